@@ -7,16 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup
+import public_tokenizers
+
+from tidemark.llm import byte_bpe, curve_packing, exact_dedup
 from tidemark.llm.common import table
 
 
+def op1_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 over all documents: the places of every piece and a checksum of its ids."""
+    pieces = curve_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 over all documents: digests of the ids and of the bytes that they decode to."""
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 6 over all documents."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_curve_packing": op1_curve_packing,
+    "op2_byte_bpe": op2_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
