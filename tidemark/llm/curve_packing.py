@@ -6,6 +6,7 @@ range-sorted by the Hilbert key of that point, and each range is cut into sequen
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,47 +14,82 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words remembered by each worker before its memory of words is emptied.
-WORD_MEMORY = 600_000
+from tidemark.llm.common import durable
+
+#: Parts of texts and words remembered by each worker before that memory is emptied.
+PART_MEMORY, WORD_MEMORY = 600_000, 500_000
 #: Control characters that Python's split takes for white space and the tokenizer doesn't.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
+#: Fixed values of the word tokenizer: its word pattern, written out for Latin-1 text in lower case, and the space.
+LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^\x00a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+|\x00")
+
+
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable Latin-1 characters stand for themselves, other bytes for 256 and up, in order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: 256 + i for i, b in enumerate(rest)}
 
 
 class WordTokenizer:
     """Ids of whole texts by a tokenizer file that never joins what white space separates.
 
     Such a tokenizer's ids of a text are those of its white-space-separated parts, one after the other. Each distinct
-    part is encoded once by the library and remembered, within a bounded memory.
+    part is encoded once and remembered, within a bounded memory: parts of Latin-1 letters word by word through the
+    library's merges, all others by the library as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memory: dict[str, bytes] = {}
+        self.letters = byte_letters()
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {"\x00": b""}
 
     def encode(self, text: str) -> np.ndarray:
-        if any(x in text for x in self.special) or any(x in text for x in ODD_SPACE):
+        if any(x in text for x in self.special) or any(x in text for x in ODD_SPACE) or "\x00" in text:
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
         parts = text.split()
-        memory = self.memory
+        memory = self.parts
         if unseen := set(parts).difference(memory):
-            if len(memory) + len(unseen) > WORD_MEMORY:
-                memory = self.memory = {}
+            if len(memory) + len(unseen) > PART_MEMORY:
+                memory = self.parts = {}
                 unseen = set(parts)
             self.learn(list(unseen))
         return np.frombuffer(b"".join(map(memory.__getitem__, parts)), dtype="<u4")
 
     def learn(self, parts: list[str]) -> None:
-        """Encodes distinct parts in one call, as one text, and cuts the ids where the parts begin."""
-        found = self.tokenizer.encode(" ".join(parts), add_special_tokens=False)
-        ids = np.asarray(found.ids, dtype="<u4").tobytes()
-        begins = np.cumsum([0] + [len(x) + 1 for x in parts])
-        cuts = (4 * np.searchsorted(np.asarray([a for a, _ in found.offsets], dtype=np.int64), begins)).tolist()
-        memory = self.memory
-        for i, x in enumerate(parts):
-            memory[x] = ids[cuts[i] : cuts[i + 1]]
+        latin, other = [], []
+        for x in parts:
+            try:
+                x.encode("latin-1")
+                latin.append(x)
+            except UnicodeEncodeError:
+                other.append(x)
+        memory, words, word_ids = self.parts, self.words, self.word_ids
+        for x in other:
+            memory[x] = np.asarray(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if len(words) > WORD_MEMORY:
+            words = self.words = {"\x00": b""}
+        held: list[bytes] = []
+        at = 0
+        for w in LATIN_WORDS.findall("\x00".join(latin).lower() + "\x00" * bool(latin)):
+            if w == "\x00":
+                memory[latin[at]] = b"".join(held) if len(held) != 1 else held[0]
+                at += 1
+                held = []
+            else:
+                ids = words.get(w)
+                if ids is None:
+                    ids = words[w] = word_ids(w)
+                held.append(ids)
+
+    def word_ids(self, word: str) -> bytes:
+        spelled = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merges(spelled)])
 
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
@@ -88,16 +124,25 @@ def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def id_type(vocabulary: int, end_id: int) -> str:
+    """How ids travel: two bytes each if all of them fit, else four."""
+    return "<u2" if max(vocabulary - 1, end_id) < 1 << 16 else "<u4"
+
+
 def projection(dims: int, buckets: int = 1 << 16, seed: int = 7) -> np.ndarray:
     """Gaussian rows for hashed token buckets: the projection of a hashed document vector is the mean of its rows."""
     return np.random.default_rng(seed).standard_normal((buckets, dims)).astype(np.float32)
 
 
 def encode_along_curve(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, end_id: int, dims: int, bits: int) -> DataFrame:
-    """``_id, _key, _ids`` of every document: its Hilbert key and its token ids with the end id, as little-endian uint32."""
+    """``_id, _key, _ids`` of every document: its Hilbert key and its token ids with the end id, little-endian.
+
+    The ids take two bytes each where the vocabulary allows it and else four; see ``id_type``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, table = WordTokenizer(tokenizer_path), projection(dims)
+        kind = id_type(tokenizer.tokenizer.get_vocab_size(), end_id)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -107,7 +152,7 @@ def encode_along_curve(docs: DataFrame, tokenizer_path: str, id_col: str, text_c
                     # mean projection, stretched by a fixed factor and squashed into the unit interval
                     mean = table[ids & 0xFFFF].mean(axis=0) if len(ids) else np.zeros(dims, dtype=np.float32)
                     points.append(np.floor((np.tanh(4 * mean) + 1) * ((1 << bits) - 1) / 2))
-                    encoded.append(np.append(ids, np.uint32(end_id)).astype("<u4").tobytes())
+                    encoded.append(np.append(ids, np.uint32(end_id)).astype(kind).tobytes())
                 keys = hilbert_keys(np.asarray(points), bits)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.int64()), pa.array(encoded, pa.binary())], names=["_id", "_key", "_ids"])
 
@@ -136,7 +181,11 @@ def pack(
 
     One range shuffle moves the ids. A task holds one Arrow batch and one open sequence, never a whole range.
     """
-    encoded = encode_along_curve(docs, tokenizer_path, id_col, text_col, end_id, dims, bits)
+    # written once: the sampling of range bounds would otherwise tokenize everything a second time
+    encoded = durable(encode_along_curve(docs, tokenizer_path, id_col, text_col, end_id, dims, bits))
+    from tokenizers import Tokenizer
+
+    kind_of_ids = id_type(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id)
     order = [F.col("_key"), F.col("_id")]
     ranged = encoded.repartitionByRange(ranges, *order) if ranges else encoded.repartitionByRange(*order)
 
@@ -144,16 +193,18 @@ def pack(
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 32
+        width = np.dtype(kind_of_ids).itemsize
         sequence, filled = 0, 0
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids")}
             held = 0
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = raw.as_buffer()
-                total, start = raw.size // 4, 0
+                total, start = raw.size // width, 0
                 while start < total:
                     n = min(length - filled, total - start)
-                    row = (key, start, n, total, base + sequence, filled, raw.slice(4 * start, 4 * n).to_pybytes())
+                    ids = np.frombuffer(raw, kind_of_ids, n, width * start).astype("<u4").tobytes()
+                    row = (key, start, n, total, base + sequence, filled, ids)
                     for name, value in zip(out, row, strict=True):
                         out[name].append(value)
                     held += n
