@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidemark.llm import byte_bpe, curve_packing, exact_dedup
+from tidemark.llm import bloom_lm, byte_bpe, curve_packing, exact_dedup
 from tidemark.llm.common import table
 
 
@@ -29,10 +29,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 over all documents."""
+    return bloom_lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
     "op2_byte_bpe": op2_byte_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_bloom_lm": op9_bloom_lm,
 }
 
 ORACLES: dict[str, str] = {
