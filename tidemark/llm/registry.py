@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidemark.llm import bloom_lm, byte_bpe, curve_packing, exact_dedup
+from tidemark.llm import bloom_lm, byte_bpe, curve_packing, exact_dedup, simhash_trie
 from tidemark.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over all documents."""
+    return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 6 over all documents."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
@@ -37,6 +42,7 @@ def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_simhash_trie": op4_simhash_trie,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_bloom_lm": op9_bloom_lm,
 }
