@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidemark.llm import bloom_lm, byte_bpe, curve_packing, exact_dedup, simhash_trie
+from tidemark.llm import bloom_lm, byte_bpe, curve_packing, exact_dedup, language_id, pu_quality, simhash_trie
 from tidemark.llm.common import table
 
 
@@ -24,6 +24,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 3 over all documents."""
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.fit(docs))
+    return found.select("doc_id", (~language_id.learnable("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 4 over all documents."""
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
@@ -34,6 +41,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 over all documents."""
+    docs = table(spark, sf_dir, "documents")
+    found = pu_quality.score(docs, pu_quality.fit(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (~language_id.learnable("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 9 over all documents."""
     return bloom_lm.score(table(spark, sf_dir, "documents"))
@@ -42,8 +56,10 @@ def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_language_id": op3_language_id,
     "op4_simhash_trie": op4_simhash_trie,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_pu_quality": op8_pu_quality,
     "op9_bloom_lm": op9_bloom_lm,
 }
 
