@@ -44,15 +44,15 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model.tokenize
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = ["\x00", *ODD_SPACE, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.letters = byte_letters()
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {"\x00": b""}
 
     def encode(self, text: str) -> np.ndarray:
-        if any(x in text for x in self.special) or any(x in text for x in ODD_SPACE) or "\x00" in text:
+        if any(x in text for x in self.odd):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        parts = text.split()
+        parts = (text.lower() if text.isascii() else text).split()  # the tokenizer lowers what it reads
         memory = self.parts
         if unseen := set(parts).difference(memory):
             if len(memory) + len(unseen) > PART_MEMORY:

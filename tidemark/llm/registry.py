@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidemark.llm import bloom_lm, byte_bpe, curve_packing, exact_dedup, language_id, pu_quality, simhash_trie
+from tidemark.llm import bloom_lm, byte_bpe, curve_packing, exact_dedup, language_id, pu_quality, simhash_trie, suffix_dedup
 from tidemark.llm.common import table
 
 
@@ -53,6 +53,11 @@ def op9_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 over all documents."""
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
     "op2_byte_bpe": op2_byte_bpe,
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op8_pu_quality": op8_pu_quality,
     "op9_bloom_lm": op9_bloom_lm,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {
