@@ -9,12 +9,11 @@ The filter is broadcast in slices of checked size and the documents are scored o
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import durable
@@ -43,9 +42,9 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
-def held_out_id(value) -> bool:
+def held_out(id_col: str) -> Column:
     """Whether a document is kept from training; a null id counts as an empty text."""
-    return zlib.crc32(b"" if value is None else str(value).encode()) % 7 == 2
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
 class Words:
@@ -69,11 +68,16 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
 
 
-def probe_places(keys: np.ndarray, at_level: np.ndarray | int, i: int, size: np.ndarray | int) -> np.ndarray:
-    """Place of probe ``i`` for entries (key, level) in a segment of ``size`` bits."""
-    entry = mix(keys + np.asarray(at_level).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-    step = (entry >> np.uint64(33)) | np.uint64(1)
-    return ((entry & np.uint64(0xFFFFFFFF)) + np.uint64(i) * step) % np.asarray(size).astype(np.uint64)
+LOW = np.uint64(0xFFFFFFFF)
+
+
+def probe_places(keys: np.ndarray, at_level: int, size: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
+    """Places of the probes for entries (key, level) in segments of ``size`` bits, fewer than 2**32."""
+    entry = mix(keys + np.uint64(at_level * 0xD1342543DE82EF95 % (1 << 64)))
+    place, step = entry & LOW, (entry >> np.uint64(33)) | np.uint64(1)
+    for _ in range(PROBES):
+        yield (place * size) >> np.uint64(32)
+        place = (place + step) & LOW
 
 
 def build_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -82,9 +86,8 @@ def build_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
     size = (int(levels.sum()) * BITS // 64 + 1) * 64
     bits = np.zeros(size, dtype=bool)
     for j in range(1, int(levels.max(initial=0)) + 1):
-        some = keys[levels >= j]
-        for i in range(PROBES):
-            bits[probe_places(some, j, i, size)] = True
+        for place in probe_places(keys[levels >= j], j, np.uint64(size)):
+            bits[place] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -106,14 +109,15 @@ class Filter:
     def levels(self, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
         """The level read back for each key; its shard must be held."""
         out = np.zeros(len(keys), dtype=np.int64)
-        left = np.arange(len(keys))
+        left, base, size = np.arange(len(keys)), self.base[shard], self.size[shard]
         j = 0
         while len(left):
             j += 1
-            for i in range(PROBES):
-                s = shard[left]
-                place = self.base[s] + probe_places(keys[left], j, i, self.size[s])
-                left = left[(self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+            there = np.ones(len(left), dtype=bool)
+            for place in probe_places(keys[left], j, size):
+                place += base
+                there &= (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            left, base, size = left[there], base[there], size[there]
             out[left] = j
         return out
 
@@ -126,7 +130,8 @@ def typical_count(levels: np.ndarray) -> np.ndarray:
 def _in_blocks(docs: DataFrame, id_col: str, text_col: str, per_block: int) -> tuple[DataFrame, int]:
     blocks = max(1, -(-docs.count() // per_block))
     block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), block.alias("_block")), blocks
+    # ids go as text, which holds a null where pandas would make numbers of another kind
+    return docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"), block.alias("_block"), held_out(id_col).alias("_held")), blocks
 
 
 def _gather(blocked: DataFrame, shards: int) -> DataFrame:
@@ -134,9 +139,9 @@ def _gather(blocked: DataFrame, shards: int) -> DataFrame:
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         words, trained, lone = Words(), [], []
-        for key, text in zip(block["_id"], block["_text"], strict=True):
+        for held, text in zip(block["_held"], block["_text"], strict=True):
             ids = words.ids(text)
-            if not held_out_id(None if pd.isna(key) else key):
+            if not held:
                 trained.append(ids)
         hashes = words.hashes()
         counts = np.bincount(np.concatenate([*trained, np.empty(0, np.int32)]), minlength=len(hashes)).astype("<i8")
@@ -188,8 +193,8 @@ def _total(gathered: DataFrame) -> DataFrame:
     return gathered.groupBy("_shard").applyInPandas(run, "_block int, _shard int, words binary, counts binary, bits binary, n_tokens long, n_words long")
 
 
-def _score_block(docs: pd.DataFrame, counted: pd.DataFrame, held: Filter, shards: int, n_tokens: int, n_words: int, n_texts: int, whole: bool) -> Iterator[tuple]:
-    """``id, held_out, tokens, known, base, score`` of each document; without ``whole`` only the score of the slice's bigrams."""
+def _score_block(docs: pd.DataFrame, counted: pd.DataFrame, held: Filter, shards: int, n_tokens: int, n_words: int, n_texts: int, whole: bool) -> pd.DataFrame:
+    """``_id, held_out, n_tokens, n_known, base_score, score`` of a block; without ``whole`` only the slice's bigrams are scored."""
     count_of: dict[bytes, int] = {}
     for words, counts in zip(counted["words"], counted["counts"], strict=True):
         count_of.update(zip(words.split(b"\n"), np.frombuffer(counts, "<i8").tolist(), strict=True))
@@ -197,26 +202,49 @@ def _score_block(docs: pd.DataFrame, counted: pd.DataFrame, held: Filter, shards
     words.number = {w: i for i, w in enumerate(count_of)}
     counts, hashes = np.fromiter(count_of.values(), np.int64, len(count_of)), words.hashes()
     everything = n_tokens + n_words + 1
-    for key, text in zip(docs["_id"], docs["_text"], strict=True):
-        ids = words.ids(text)
-        h, c = hashes[ids], np.append(counts[ids], n_texts)
+    out: list[list] = [[] for _ in range(4)]
+
+    def flush(texts: list[np.ndarray]) -> None:
+        """Some texts at once: tokens laid end to end, an end after each text."""
+        sizes = np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts))
+        ends = np.cumsum(sizes) - 1
+        inner = np.ones(int(sizes.sum()), dtype=bool)
+        inner[ends] = False
+        ids = np.concatenate(texts)
+        h, c = np.full(len(inner), END), np.full(len(inner), n_texts, np.int64)
+        h[inner], c[inner] = hashes[ids], counts[ids]
+        first, before = np.append(START, h[:-1]), np.append(n_texts, c[:-1])
+        first[ends[:-1] + 1], before[ends[:-1] + 1] = START, n_texts
         alone = (c + 1.0) / everything
-        bigrams = bigram_keys(np.append(START, h), np.append(h, END))
+        bigrams = bigram_keys(first, h)
         shard = (bigrams % np.uint64(shards)).astype(np.int64)
-        mine = held.holds(shard)
-        before = np.append(n_texts, c[:-1])[mine]
-        seen = np.minimum(typical_count(held.levels(bigrams[mine], shard[mine])), np.minimum(before, c[mine]))
-        p = np.where(before > 0, (1 - BACKOFF) * seen / np.maximum(before, 1) + BACKOFF * alone[mine], alone[mine])
-        key = None if pd.isna(key) else key
-        yield key, held_out_id(key), len(c), int((c > 0).sum()), float(np.log10(alone).sum()) if whole else 0.0, float(np.log10(p).sum())
+        mine = np.flatnonzero(held.holds(shard))
+        seen = np.minimum(typical_count(held.levels(bigrams[mine], shard[mine])), np.minimum(before[mine], c[mine]))
+        p = np.where(before[mine] > 0, (1 - BACKOFF) * seen / np.maximum(before[mine], 1) + BACKOFF * alone[mine], alone[mine])
+        logs = np.zeros(len(inner))
+        logs[mine] = np.log10(p)
+        begins = ends - sizes + 1
+        for values, name in zip((sizes, np.add.reduceat((c > 0).astype(np.int64), begins), np.add.reduceat(np.log10(alone), begins) * whole, np.add.reduceat(logs, begins)), out, strict=True):
+            name.append(values)
+
+    texts, size = [], 0
+    for text in docs["_text"]:
+        texts.append(words.ids(text))
+        size += len(texts[-1]) + 1
+        if size > 500_000:
+            flush(texts)
+            texts, size = [], 0
+    if texts:
+        flush(texts)
+    columns = [np.concatenate(x) if x else np.empty(0) for x in out]
+    return pd.DataFrame({"_id": docs["_id"], "held_out": docs["_held"], "n_tokens": columns[0], "n_known": columns[1], "base_score": columns[2], "score": columns[3]})
 
 
 def _scorer(shared, shards: int, n_tokens: int, n_words: int, n_texts: int, whole: bool):
     """The function over a block's documents and counts for one broadcast slice of the filter."""
 
     def run(docs: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        rows = _score_block(docs, counted, Filter(shared.value, shards), shards, n_tokens, n_words, n_texts, whole)
-        return pd.DataFrame(list(rows), columns=["_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        return _score_block(docs, counted, Filter(shared.value, shards), shards, n_tokens, n_words, n_texts, whole)
 
     return run
 
@@ -238,8 +266,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_b
     totals = durable(_total(_gather(blocked, shards)))
     segments = totals.where("_block = -1")
     n_tokens, n_words = segments.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0))).first()
-    trained = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 != 2
-    n_texts = docs.where(trained).count()
+    n_texts = docs.where(~held_out(id_col)).count()
     n_tokens, n_words = n_tokens + n_texts, n_words + (n_texts > 0)
     counted = totals.where("_block >= 0").select(F.col("_block").alias("_in"), "words", "counts")
     sizes = [(r[0], r[1]) for r in segments.select("_shard", F.octet_length("bits")).collect()]  # two numbers a shard
@@ -252,7 +279,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_b
         slices[-1].append(shard)
         room -= size
     id_type = docs.schema[id_col].dataType.simpleString()
-    kinds = f"_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    kinds = f"_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     out = None
     for number, shard_list in enumerate(slices):
         held = {r[0]: bytes(r[1]) for r in segments.where(F.col("_shard").isin(shard_list)).select("_shard", "bits").toLocalIterator()}
@@ -265,4 +292,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_b
         if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
             raise ValueError("scoring in several slices needs unique ids")
         out = out.groupBy("_id").agg(F.first("held_out").alias("held_out"), F.first("n_tokens").alias("n_tokens"), F.first("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
-    return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select(F.col("_id").cast(id_type).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")

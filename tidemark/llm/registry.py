@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidemark.llm import bloom_lm, byte_bpe, curve_packing, exact_dedup, language_id, pu_quality, simhash_trie, suffix_dedup
+from tidemark.llm import bloom_lm, byte_bpe, curve_packing, exact_dedup, language_id, nn_descent, paragraph_dedup, pu_quality, simhash_trie, suffix_dedup
 from tidemark.llm.common import table
 
 
@@ -36,11 +36,22 @@ def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_trie.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 over all documents: what goes from each, and the text that is left."""
+    cut = paragraph_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_removed", "removed_words", "text")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 6 over all documents."""
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 over all embeddings."""
+    return nn_descent.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 8 over all documents."""
     docs = table(spark, sf_dir, "documents")
@@ -63,7 +74,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_language_id": op3_language_id,
     "op4_simhash_trie": op4_simhash_trie,
+    "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_nn_descent": op7_nn_descent,
     "op8_pu_quality": op8_pu_quality,
     "op9_bloom_lm": op9_bloom_lm,
     "op10_suffix_dedup": op10_suffix_dedup,
