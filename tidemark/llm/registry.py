@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+import corpus_pipeline
 from tidemark.llm import bloom_lm, byte_bpe, curve_packing, exact_dedup, language_id, nn_descent, paragraph_dedup, pu_quality, simhash_trie, suffix_dedup
 from tidemark.llm.common import table
 
@@ -80,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pu_quality": op8_pu_quality,
     "op9_bloom_lm": op9_bloom_lm,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
@@ -95,3 +97,5 @@ ORACLES: dict[str, str] = {
                sha256(norm) AS text_sha256
         FROM d""",
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
