@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tidemark.plans import corpus, language, longitudinal, scoring, serving_rules, streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**longitudinal.QUERIES, **scoring.QUERIES, **corpus.QUERIES, **language.QUERIES, **serving_rules.QUERIES, **streams.QUERIES}
+ORACLES: dict[str, str] = {**longitudinal.ORACLES, **scoring.ORACLES, **corpus.ORACLES, **language.ORACLES, **serving_rules.ORACLES, **streams.ORACLES}
