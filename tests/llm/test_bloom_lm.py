@@ -22,9 +22,6 @@ def brute(rows):
     return out
 
 
-def brute_base(rows):
-    """The base exactly as asked: log10((c + 1) / (N + 1 * (V + 1)))."""
-    return brute(rows)
 
 
 def test_counts_and_base(docs, sample, nothing):
@@ -59,3 +56,11 @@ def test_filter_reads_levels_back():
     assert (back >= true).all() and (back == true).mean() > 0.97
     absent = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
     assert (held.levels(absent, np.zeros(5000, int)) > 0).mean() < 0.03
+
+
+def test_more_shards_than_words(spark):
+    frame = spark.createDataFrame([(i, "one two") for i in range(40)], "doc_id long, text string")
+    want = brute([(i, "one two") for i in range(40)])
+    rows = bloom_lm.score(frame, per_block=2).collect()
+    assert len(rows) == 40 and all(math.isclose(r.base_score, want[r.doc_id][4], rel_tol=1e-9) and r.score < 0 for r in rows)
+    assert len({r.score for r in rows}) == 1

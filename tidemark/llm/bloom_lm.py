@@ -155,6 +155,8 @@ def _gather(blocked: DataFrame, shards: int) -> DataFrame:
         rows = []
         for s in range(shards):
             w, k = order[w_cut[s] : w_cut[s + 1]], key_order[k_cut[s] : k_cut[s + 1]]
+            if not len(w) and not len(k):
+                continue  # with very many shards a block has nothing for most of them
             many = np.flatnonzero(seen[k] > 1)
             rows.append((s, int(block["_block"].iloc[0]), b"\n".join(names[w]), counts[w].tobytes(), keys[k].tobytes(), many.astype("<u4").tobytes(), seen[k][many].astype("<i8").tobytes()))
         return pd.DataFrame(rows, columns=["_shard", "block", "words", "counts", "keys", "many", "seen"])
@@ -283,6 +285,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_b
     out = None
     for number, shard_list in enumerate(slices):
         held = {r[0]: bytes(r[1]) for r in segments.where(F.col("_shard").isin(shard_list)).select("_shard", "bits").toLocalIterator()}
+        if number == 0:  # shards that no block has anything for hold an empty segment
+            held |= {n: bytes(8) for n in set(range(shards)) - {n for n, _ in sizes}}
         shared = spark.sparkContext.broadcast(held)
 
         scorer = _scorer(shared, shards, n_tokens, n_words, n_texts, number == 0)
