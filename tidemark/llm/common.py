@@ -30,6 +30,18 @@ def durable(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def join_spread(rows: DataFrame, named: DataFrame, keys: list[str], weight: str, total: int, heavy: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``named`` (one row a key), so that no task gets all rows of a hot key.
+
+    ``weight`` counts the rows of each key, ``total`` all rows. Keys that hold over one ``heavy``-th of the rows, fewer
+    than ``heavy`` by their definition, are broadcast and joined where the rows are; the others are joined by a shuffle.
+    ``rows`` is read twice, so it should be a written table.
+    """
+    hot = F.broadcast(named.where(F.col(weight) * heavy > total))
+    cold = named.where(F.col(weight) * heavy <= total)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected graph by alternating large-star and small-star rounds.
 

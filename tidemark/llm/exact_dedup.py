@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import durable, join_spread
+
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
 
@@ -24,7 +26,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts travel once, after equal ones have been merged within each task: grouping by (hash, text) compares bytes, so
     different texts under one 128-bit hash stay apart, told from each other by their SHA-256. Only hashes, lengths and
-    ids move otherwise, and a third of all rows in one group are merged before the shuffle or split by the join.
+    ids move otherwise. Hot groups are merged before each shuffle, and their rows find what stays without a shuffle.
     """
     norm = normalised(F.col(text_col))
     base = docs.select(F.col(id_col).alias("_id"), norm.alias("_norm"), F.coalesce(F.char_length(text_col), F.lit(0)).alias("_cp"))
@@ -36,13 +38,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .agg(F.sum("_n").alias("group_size"), F.count("*").alias("_texts"))
         .select("_h128", "_sha", F.when(F.col("_texts") == 1, F.col("group_size")).otherwise(F.raise_error("two texts share MD5 and SHA-256").cast("bigint")).alias("group_size"))
     )
-    best = base.groupBy("_h128", "_sha").agg(F.max(F.struct(F.col("_cp"), (-F.col("_id")).alias("_neg"))).alias("_best"))
-    groups = texts.join(best, ["_h128", "_sha"]).select("_h128", "_sha", "group_size", (-F.col("_best._neg")).alias("keep_id"))
-    return (
-        base.select("_id", "_h128", "_sha")
-        .join(groups, ["_h128", "_sha"])
-        .select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256"))
-    )
+    digests = durable(base.select("_id", "_cp", "_h128", "_sha"))
+    best = digests.groupBy("_h128", "_sha").agg(F.max(F.struct(F.col("_cp"), (-F.col("_id")).alias("_neg"))).alias("_best"))
+    groups = durable(texts.join(best, ["_h128", "_sha"]).select("_h128", "_sha", "group_size", (-F.col("_best._neg")).alias("keep_id")))
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    joined = join_spread(digests.select("_id", "_h128", "_sha"), groups, ["_h128", "_sha"], "group_size", total)
+    return joined.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256"))
 
 
 def keep_first_of_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
