@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, durable
+from tidemark.llm.common import components, durable, join_spread
 
 BITS = 64
 #: Node pairs that one step of the trie join takes down together.
@@ -216,11 +216,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     node of the graph.
     """
     marked = durable(fingerprints(docs, id_col, text_col, width))
-    reps = durable(marked.groupBy("_fp").agg(F.min("_id").cast("long").alias("_rep")))
+    reps = durable(marked.groupBy("_fp").agg(F.min("_id").cast("long").alias("_rep"), F.count("*").alias("_n")))
     found = components(links(reps.where("_rep is not null"), budget))
-    named = reps.join(found, reps["_rep"] == found["node"], "left").select("_fp", F.coalesce("component", "_rep").alias("component_id"))
+    named = durable(reps.join(found, reps["_rep"] == found["node"], "left").select("_fp", "_n", F.coalesce("component", "_rep").alias("component_id")))
+    total = named.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     hexed = F.lower(F.lpad(F.hex("_fp"), 16, "0"))
-    return marked.join(named, "_fp").select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
+    return join_spread(marked, named, ["_fp"], "_n", total).select(F.col("_id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
 def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3, width: int = 3) -> DataFrame:
