@@ -19,7 +19,7 @@ THRESHOLDS = (
     ("RF", None, None, None, None, "neutral"),
 )
 SAFETY = {"first": ("AF", "AO"), "second": ("NF", "NO", "RO")}
-ROUTES = {"the": r"\bthe\b", "und": r"\bund\b", "que": r"\bque\b", "question": r"\?"}
+ROUTES = {"the": r"(^|[^a-z])the([^a-z]|$)", "und": r"(^|[^a-z])und([^a-z]|$)", "que": r"(^|[^a-z])que([^a-z]|$)", "question": r"\?"}
 
 
 def _signals(spark, sf):
@@ -163,7 +163,7 @@ ORACLES = {
         FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_suppkey % 4 < 2 AND s_suppkey % 5 + 1 >= 2 AND s_acctbal <= 9000""",
     "kpi_counts": "SELECT count(*) AS orders, count(DISTINCT o_custkey) AS customers, count(*) FILTER (o_orderstatus = 'F') AS closed, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_totalprice > 200000) AS large FROM orders",
     "left_join_counts": "SELECT c_custkey, c_mktsegment, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n_orders FROM customer",
-    "context_routing": "WITH m AS (SELECT conv_id, turn, role, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '\\bthe\\b') THEN 'the' END, CASE WHEN regexp_matches(lower(text), '\\bund\\b') THEN 'und' END, CASE WHEN regexp_matches(lower(text), '\\bque\\b') THEN 'que' END, CASE WHEN contains(text, '?') THEN 'question' END], lambda x: x IS NOT NULL), ',') AS i FROM conversations) SELECT conv_id, turn, role, CASE WHEN i IS NULL OR i = '' THEN 'general' ELSE i END AS intents FROM m",
+    "context_routing": "WITH m AS (SELECT conv_id, turn, role, array_to_string(list_filter([CASE WHEN regexp_matches(lower(text), '(^|[^a-z])the([^a-z]|$)') THEN 'the' END, CASE WHEN regexp_matches(lower(text), '(^|[^a-z])und([^a-z]|$)') THEN 'und' END, CASE WHEN regexp_matches(lower(text), '(^|[^a-z])que([^a-z]|$)') THEN 'que' END, CASE WHEN contains(text, '?') THEN 'question' END], lambda x: x IS NOT NULL), ',') AS i FROM conversations) SELECT conv_id, turn, role, CASE WHEN i IS NULL OR i = '' THEN 'general' ELSE i END AS intents FROM m",
     "alerts": _PROG + ", v AS (SELECT entity, kind, CASE WHEN severity = 'HIGH' THEN 'critical' WHEN abnormality IN ('LOW', 'HIGH') THEN 'warning' WHEN worsening THEN 'notice' END AS level, kind || ' ' || lower(abnormality) || ' ' || lower(trend) AS message FROM sg) SELECT * FROM v WHERE level IS NOT NULL",
     "request_histogram": "SELECT event_type, " + ", ".join(f"count(*) FILTER (value <= {x}) AS le_{str(x).replace('.', '_')}" for x in (1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0)) + ", count(*) AS n FROM events GROUP BY event_type",
 }
