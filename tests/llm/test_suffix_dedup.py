@@ -25,9 +25,9 @@ def brute(texts, threshold):
     return out
 
 
-def check(frame, threshold=200):
+def check(frame, threshold=200, crowded=10_000):
     want = brute([(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()], threshold)
-    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digests(frame, threshold=threshold).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digests(frame, threshold=threshold, crowded=crowded).collect()}
     assert got == want
 
 
@@ -49,7 +49,9 @@ def test_planted_passages(spark):
             parts += [p[cut:], prose(rng.randint(0, 10**6), rng.randint(0, 20))]
         texts.append("".join(parts))
     texts += ["é" * 150, "é" * 150, "z" * 199, "z" * 199, "y" * 200, "q" * 201, None, ""]
-    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for crowded in (10_000, 5, 1):  # anchors in one task each, some string by string, all so
+        check(frame, crowded=crowded)
 
 
 def test_repeated_rows(spark):

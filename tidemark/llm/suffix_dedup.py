@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable
+from tidemark.llm.common import durable, join_spread
 
 #: Odd bases of the two names.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -142,7 +142,38 @@ def _narrowed(docs: DataFrame, found: DataFrame, most: int = 1_000_000) -> DataF
     return docs.join(found, "_key")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 200) -> DataFrame:
+def solve_crowded(rows: DataFrame, width: int) -> DataFrame:
+    """As ``solve``, for groups of any size: ``name, around, left, right`` of the rows that have a repeated string.
+
+    Each of the strings around an anchor is named by itself and counted with partial sums; strings that are seen twice
+    find their rows again, where hot ones are joined without a shuffle. No group meets in one task.
+    """
+
+    def name_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                group = part.column(0).to_numpy().view(np.uint64)
+                left, left_size = _prefix_names([x[::-1] for x in part.column(2).to_pylist()], width)
+                right, right_size = _prefix_names(part.column(3).to_pylist(), width)
+                which, keys, places = [], [], []
+                for o in range(width + 1):
+                    found = np.flatnonzero((left_size >= o) & (right_size >= width - o))
+                    which.append(found)
+                    keys.append(_mix(_mix(group[found] ^ left[found, o]) + right[found, width - o] + np.uint64(o)))
+                    places.append(np.full(len(found), o, np.int32))
+                take = pa.array(np.concatenate(which))
+                columns = [part.column(i).take(take) for i in (0, 1, 4)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places))], names=["name", "around", "times", "key", "o"])
+
+    named = durable(rows.select("name", "around", "before", "after", "times").mapInArrow(name_strings, "name long, around long, times long, key long, o int"))
+    counted = durable(named.groupBy("key").agg(F.sum("times").alias("_seen"), F.count("*").alias("_rows")).where("_seen > 1"))
+    total = counted.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    hit = join_spread(named.select("name", "around", "key", "o"), counted, ["key"], "_rows", total)
+    return hit.groupBy("name", "around").agg(F.max("o").cast("long").alias("left"), (width - F.min("o")).cast("long").alias("right"))
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 200, crowded: int = 10_000) -> DataFrame:
     """One row per document that holds a string of ``threshold`` bytes which also starts elsewhere.
 
     Columns: ``id_col``, ``text_sha256`` (of the whole text), ``spans`` (array of start and stop, in bytes, of the maximal
@@ -152,7 +183,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     ignored; an empty table gives no rows. Every byte of every text takes part.
 
     A document's names are distinct before the first shuffle, so a passage that is in every document gives a name one row a
-    document; surroundings of anchors are merged within each task before they meet, so copies don't pile up.
+    document; surroundings of anchors are merged within each task before they meet, so copies don't pile up. Anchors that
+    occur more than ``crowded`` times are settled string by string instead of in one task each; the result is the same.
     """
     # rows that repeat an id and its text have the same key and get the same ranges
     base = docs.select(F.xxhash64(id_col, text_col).alias("_key"), F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_raw"))
@@ -216,13 +248,25 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["name", "around", "left", "right"])
 
     counted = long_enough.mapInArrow(name_anchors, "_key long, name long, times int").withColumn("_all", F.sum("times").over(W.partitionBy("name")))
-    alive = durable(counted.where("_all > 1").groupBy("_key").agg(F.collect_list("name").alias("alive")))
-
-    texts = _narrowed(long_enough, alive)
-    around = texts.mapInArrow(surround, "_key long, place long, name long, before binary, after binary").withColumn("around", F.xxhash64("before", "after"))
-    distinct = around.groupBy("name", "before", "after").agg(F.count("*").alias("times")).withColumn("around", F.xxhash64("before", "after"))
-    bounds = distinct.repartition("name").sortWithinPartitions("name").select("name", "around", "before", "after", "times").mapInArrow(solve_groups, "name long, around long, left long, right long")
-    ranges = around.select("_key", "place", "name", "around").join(bounds, ["name", "around"]).select("_key", F.struct((F.col("place") - F.col("left")).alias("start"), (F.col("place") + length + F.col("right")).alias("stop")).alias("range"))
+    many = F.col("_all") > crowded
+    alive = counted.where("_all > 1").groupBy("_key").agg(F.collect_list(F.when(~many, F.col("name"))).alias("alive"), F.collect_list(F.when(many, F.col("name"))).alias("crowd"))
+    alive = durable(alive)
+
+    def ranges_of(names: DataFrame, in_crowds: bool) -> DataFrame:
+        around = _narrowed(long_enough, names).mapInArrow(surround, "_key long, place long, name long, before binary, after binary").withColumn("around", F.xxhash64("before", "after"))
+        distinct = around.groupBy("name", "before", "after").agg(F.count("*").alias("times")).withColumn("around", F.xxhash64("before", "after"))
+        rows = distinct.select("name", "around", "before", "after", "times")
+        if in_crowds:
+            bounds = solve_crowded(rows, width)
+        else:
+            bounds = rows.repartition("name").sortWithinPartitions("name").mapInArrow(solve_groups, "name long, around long, left long, right long")
+        joined = around.select("_key", "place", "name", "around").join(bounds, ["name", "around"])
+        return joined.select("_key", F.struct((F.col("place") - F.col("left")).alias("start"), (F.col("place") + length + F.col("right")).alias("stop")).alias("range"))
+
+    ranges = ranges_of(alive.where("size(alive) > 0").select("_key", "alive"), False)
+    crowds = alive.where("size(crowd) > 0").select("_key", F.col("crowd").alias("alive"))
+    if crowds.take(1):
+        ranges = ranges.unionByName(ranges_of(crowds, True))
     cuts = durable(ranges.groupBy("_key").agg(F.collect_list("range").alias("ranges")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,9 +292,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     return out.withColumnRenamed("_id", id_col).dropDuplicates([id_col, "text_sha256"])
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 200) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 200, crowded: int = 10_000) -> DataFrame:
     """One row per document: ``id_col, n_bytes, n_removed, n_spans, kept_sha256``, from ``repeats``."""
-    cut = repeats(docs, id_col, text_col, threshold).select(
+    cut = repeats(docs, id_col, text_col, threshold, crowded).select(
         F.xxhash64(id_col).alias("_key"), F.col("text_sha256").alias("_sha"), F.octet_length("kept").alias("_left"), F.size("spans").alias("_spans"), F.sha2("kept", 256).alias("_kept_sha")
     )
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
