@@ -62,7 +62,7 @@ def _last_position(words: Column, word: str) -> Column:
 def intensity(text: Column) -> Column:
     """A level from 0 to 10 given as ``n/10`` or ``n out of 10``; null where there is none."""
     raw = F.regexp_extract(F.lower(text), r"\b(10|[0-9])\s*(?:/|out of)\s*10\b", 1)
-    return F.expr("try_cast(NULL AS int)") if raw is None else F.when(raw != "", raw.cast("int"))
+    return F.when(raw != "", raw.cast("int"))
 
 
 def indel(a: str, b: str) -> float:

@@ -28,7 +28,7 @@ def parsed(lines: DataFrame, id_col: str = "id", line_col: str = "line") -> Data
     """``id, kind, value, unit`` of every measurement in a line; pressures give two, lines without a measurement none."""
     line = F.coalesce(F.col(line_col), F.lit(""))
     group = lambda pattern, n: F.regexp_extract(line, pattern, n)
-    item = lambda kind, value, unit: F.struct(kind.alias("kind"), F.expr("cast(null as double)").alias("value") if value is None else value.alias("value"), unit.alias("unit"))
+    item = lambda kind, value, unit: F.struct(kind.alias("kind"), value.alias("value"), unit.alias("unit"))
     number = lambda c: F.when(c != "", c.cast("double"))
     two = F.array(item(F.lit("systolic"), number(group(PRESSURE, 1)), group(PRESSURE, 3)), item(F.lit("diastolic"), number(group(PRESSURE, 2)), group(PRESSURE, 3)))
     one = F.array(item(F.lower(F.trim(group(LINE, 1))), number(group(LINE, 2)), group(LINE, 3)))

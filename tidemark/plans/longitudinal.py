@@ -88,9 +88,6 @@ def label_balance(spark, sf):
     return labelled.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("entity").alias("entities"))
 
 
-_EVENT_POINTS = "interval 7 days"
-
-
 def _event_windows(spark, sf):
     """The feature block on the event stream's values: windows of 7 and 3 days, points each 7 days."""
     events = table(spark, sf, "events").select(F.col("user_id").alias("entity"), "ts", F.col("event_type").alias("kind"), "value")

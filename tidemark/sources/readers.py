@@ -24,20 +24,14 @@ def csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None =
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """Entity records in JSON, one document a file or an array of them; field names may use known synonyms."""
-    raw = spark.read.option("multiLine", True).schema(
-        "patient_id string, PATIENT_ID string, patient string, id string, reference_date string, "
-        "observations array<struct<name:string,observation:string,type:string,value:string,date:string,timestamp:string,time:string,unit:string>>"
-    )
-    raw = raw.option("columnNameOfCorruptRecord", "_corrupt")
-    spark_case = spark.conf.get("spark.sql.caseSensitive", "false")
-    if spark_case != "true":  # synonyms differ by case only; one of them is enough then
-        raw = spark.read.option("multiLine", True).schema(
-            "patient_id string, patient string, id string, reference_date string, "
-            "observations array<struct<name:string,observation:string,type:string,value:string,date:string,timestamp:string,time:string,unit:string>>"
-        )
-    frame = raw.json(path)
-    names = [c for c in ("patient_id", "PATIENT_ID", "patient", "id") if c in frame.columns]
+    """Entity records in JSON, one document a file or an array of them; field names may use known synonyms.
+
+    Names are matched without regard to case, as is Spark's rule, so synonyms that differ in case only are one.
+    """
+    names = ("patient_id", "patient", "id")
+    item = "struct<name:string,observation:string,type:string,value:string,date:string,timestamp:string,time:string,unit:string>"
+    schema = ", ".join(f"{n} string" for n in names) + f", reference_date string, observations array<{item}>"
+    frame = spark.read.option("multiLine", True).schema(schema).json(path)
     entity = first_filled(*[F.col(c) for c in names])
     items = F.transform(
         "observations",
