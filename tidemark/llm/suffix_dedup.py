@@ -143,7 +143,7 @@ def _narrowed(docs: DataFrame, found: DataFrame, most: int = 1_000_000) -> DataF
 
 
 def solve_crowded(rows: DataFrame, width: int) -> DataFrame:
-    """As ``solve``, for groups of any size: ``name, around, left, right`` of the rows that have a repeated string.
+    """As ``solve``, for groups of any size: ``row, left, right`` of those that have a repeated string; ``row`` is a hash of name and ``around``.
 
     Each of the strings around an anchor is named by itself and counted with partial sums; strings that are seen twice
     find their rows again, where hot ones are joined without a shuffle. No group meets in one task.
@@ -162,15 +162,18 @@ def solve_crowded(rows: DataFrame, width: int) -> DataFrame:
                     which.append(found)
                     keys.append(_mix(_mix(group[found] ^ left[found, o]) + right[found, width - o] + np.uint64(o)))
                     places.append(np.full(len(found), o, np.int32))
-                take = pa.array(np.concatenate(which))
-                columns = [part.column(i).take(take) for i in (0, 1, 4)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(places))], names=["name", "around", "times", "key", "o"])
-
-    named = durable(rows.select("name", "around", "before", "after", "times").mapInArrow(name_strings, "name long, around long, times long, key long, o int"))
+                which, keys, places = (np.concatenate(x) for x in (which, keys, places))
+                order = np.argsort(which, kind="stable")  # a row's strings lie together, which keeps the written table small
+                take = pa.array(which[order])
+                columns = [part.column(i).take(take) for i in (1, 4)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys[order].view(np.int64)), pa.array(places[order])], names=["row", "times", "key", "o"])
+
+    row = F.xxhash64("name", "around").alias("row")
+    named = durable(rows.select("name", row, "before", "after", "times").mapInArrow(name_strings, "row long, times long, key long, o int"))
     counted = durable(named.groupBy("key").agg(F.sum("times").alias("_seen"), F.count("*").alias("_rows")).where("_seen > 1"))
     total = counted.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
-    hit = join_spread(named.select("name", "around", "key", "o"), counted, ["key"], "_rows", total)
-    return hit.groupBy("name", "around").agg(F.max("o").cast("long").alias("left"), (width - F.min("o")).cast("long").alias("right"))
+    hit = join_spread(named.select("row", "key", "o"), counted, ["key"], "_rows", total)
+    return hit.groupBy("row").agg(F.max("o").cast("long").alias("left"), (width - F.min("o")).cast("long").alias("right"))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 200, crowded: int = 10_000) -> DataFrame:
@@ -256,11 +259,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         around = _narrowed(long_enough, names).mapInArrow(surround, "_key long, place long, name long, before binary, after binary").withColumn("around", F.xxhash64("before", "after"))
         distinct = around.groupBy("name", "before", "after").agg(F.count("*").alias("times")).withColumn("around", F.xxhash64("before", "after"))
         rows = distinct.select("name", "around", "before", "after", "times")
+        places = around.select("_key", "place", "name", "around")
         if in_crowds:
-            bounds = solve_crowded(rows, width)
+            joined = places.withColumn("row", F.xxhash64("name", "around")).join(solve_crowded(rows, width), "row")
         else:
             bounds = rows.repartition("name").sortWithinPartitions("name").mapInArrow(solve_groups, "name long, around long, left long, right long")
-        joined = around.select("_key", "place", "name", "around").join(bounds, ["name", "around"])
+            joined = places.join(bounds, ["name", "around"])
         return joined.select("_key", F.struct((F.col("place") - F.col("left")).alias("start"), (F.col("place") + length + F.col("right")).alias("stop")).alias("range"))
 
     ranges = ranges_of(alive.where("size(alive) > 0").select("_key", "alive"), False)
