@@ -2,8 +2,8 @@
 
 A paragraph is what lies between line breaks and sentence ends; one of more than ``LONG`` words is cut again behind words
 chosen by the hash of the two last words, so that equal content is cut alike wherever it stands. Paragraphs of five words or more get a MinHash
-signature of their five-word shingles. Paragraphs that agree in a band are candidates; the exact Jaccard similarity of their
-shingles decides; links are followed to components, and of each component's occurrences the first one stays.
+signature of their five-word shingles. Paragraphs that agree in a band are candidates, each with each; the exact Jaccard
+similarity of their shingles decides; links are followed to components, and of each component's occurrences the first one stays.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ LONG = 64
 LEAST_RUN = 13
 #: Distinct paragraphs that a task remembers to have sent.
 SENT = 1_000_000
+#: Paragraphs of a crowded bucket on one side of a comparison, and shingles that are compared at a time.
+TILE, COLUMNS = 512, 4096
 
 _ENDS = np.zeros(256, bool)
 _ENDS[[ord(c) for c in ".!?"]] = True
@@ -122,14 +124,14 @@ def _all_paragraphs(base: DataFrame) -> DataFrame:
 
 
 def _banded(base: DataFrame) -> DataFrame:
-    """``_key, no, h, band, beside``: for every distinct paragraph that a task meets, each band's MinHash value and the next band's."""
+    """``_key, no, h, band``: for every distinct paragraph that a task meets, each band's MinHash value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                which, cols = [], [[], [], [], []]
+                which, cols = [], [[], [], []]
                 for i, text in enumerate(part.column(1).to_pylist()):
                     p = Paragraphs(text)
                     some = np.flatnonzero(p.size >= SHINGLE)
@@ -145,16 +147,16 @@ def _banded(base: DataFrame) -> DataFrame:
                         continue
                     some, h = some[fresh], h[fresh]
                     bands = signature(*p.shingles(some))
-                    for row, beside in zip(bands, np.roll(bands, -1, axis=0), strict=True):
+                    for row in bands:
                         which.append(np.full(len(some), i))
-                        for c, v in zip(cols, (some.astype(np.int32), h, row, beside), strict=True):
+                        for c, v in zip(cols, (some.astype(np.int32), h, row), strict=True):
                             c.append(v)
                 if len(sent) > SENT:
                     sent.clear()
                 if which:
-                    yield _columns(part, which, ["_key", "no", "h", "band", "beside"], cols)
+                    yield _columns(part, which, ["_key", "no", "h", "band"], cols)
 
-    return base.mapInArrow(run, "_key long, no int, h long, band long, beside long")
+    return base.mapInArrow(run, "_key long, no int, h long, band long")
 
 
 def _shingle_sets(texts: DataFrame) -> DataFrame:
@@ -176,24 +178,85 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.select("_text", "wanted").mapInArrow(run, "h long, set array<long>")
 
 
-def similar_paragraphs(base: DataFrame) -> DataFrame:
+def similar_in(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links ``i, j`` that join all sets whose Jaccard similarity reaches the threshold, as a spanning forest of these pairs."""
+    n, size = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+    word, at = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(n), size)
+    # shingles of one set alone are shared by no pair
+    common = np.flatnonzero(np.bincount(at, minlength=len(word)) > 1)
+    column = np.full(len(word), -1)
+    column[common] = np.arange(len(common))
+    column = column[at]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((n, n), np.float32)
+    for begin in range(0, len(common), COLUMNS):
+        lo, hi = np.searchsorted(column, [begin, begin + COLUMNS])
+        held = np.zeros((n, min(COLUMNS, len(common) - begin)), np.float32)
+        held[row[lo:hi], column[lo:hi] - begin] = 1
+        shared += held @ held.T
+    linked = shared >= SIMILAR * (size[:, None] + size[None, :] - shared.astype(np.float64))
+    left, a, b = np.ones(n, bool), [], []
+    for root in range(n):
+        todo = [root] if left[root] else []
+        left[root] = False
+        while todo:
+            i = todo.pop()
+            found = np.flatnonzero(linked[i] & left)
+            left[found] = False
+            a += [i] * len(found)
+            b += found.tolist()
+            todo += found.tolist()
+    return np.asarray(a, np.int64), np.asarray(b, np.int64)
+
+
+def _links(members: DataFrame) -> DataFrame:
+    """``a, b``: links among the members (``h, set``) of each block (``band, row, col``); a block is held by one task."""
+
+    def within(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        h, sets = block.column(3).to_numpy(), block.column(4)
+        ends, flat = sets.offsets.to_numpy(), sets.values.to_numpy()
+        i, j = similar_in([flat[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)])
+        return h[i], h[j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+            whole = table.to_batches()[0]
+            key = np.stack([whole.column(k).to_numpy() for k in range(3)])
+            cut = np.append(0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1)
+            found = [within(whole.slice(x, y - x)) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if y - x > 1]
+            rest = whole.slice(int(cut[-1]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["a", "b"])
+        if rest is not None and rest.num_rows > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in within(rest)], names=["a", "b"])
+
+    dealt = members.select("band", "row", "col", "h", "set").repartition("band", "row", "col").sortWithinPartitions("band", "row", "col")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def similar_paragraphs(base: DataFrame, tile: int = TILE) -> DataFrame:
     """``a, b``: names of different paragraphs whose shingles' Jaccard similarity reaches the threshold.
 
-    In each band's bucket a paragraph is compared with the first and the one before it, so a bucket gives two candidates
-    a member at most, however many it holds. A bucket is in the order of the next band's values: of paragraphs that share
-    little but one common shingle, similar ones still lie side by side.
+    All pairs of a band's bucket are compared, and links that connect the similar ones are returned. Members of a bucket
+    are dealt into tiles of about ``tile`` by a hash and each two tiles are compared in a task of their own, so that no
+    bucket meets in one task, however many it holds.
     """
-    bucket = W.partitionBy("band").orderBy("beside", "h", "_key", "no")
-    me = F.struct("h", "_key", "no")
-    met = _banded(base).select("band", "h", "_key", "no", F.lag(me).over(bucket).alias("before"), F.first(me).over(bucket).alias("head")).where("before is not null and head.h <> h")
-    sides = met.select(me.alias("x"), F.explode(F.array("before", "head")).alias("y")).where("x.h <> y.h")
-    pairs = durable(sides.groupBy(F.col("x.h").alias("a"), F.col("y.h").alias("b")).agg(F.min("x").alias("x"), F.min("y").alias("y")))
-    places = pairs.select("x").unionByName(pairs.select(F.col("y").alias("x"))).groupBy("x.h").agg(F.min("x").alias("x"))
+    bucket = W.partitionBy("band")
+    met = _banded(base).repartition("band").groupBy("band", "h").agg(F.min(F.struct("_key", "no")).alias("x"))
+    met = durable(met.withColumn("_n", F.count("*").over(bucket)).where("_n > 1"))
+    places = met.groupBy("h").agg(F.min("x").alias("x"))
     wanted = durable(places.groupBy(F.col("x._key").alias("_key")).agg(F.collect_list("x.no").alias("wanted")))
     sets = durable(_shingle_sets(_narrowed(base, wanted)).dropDuplicates(["h"]))
-    joined = pairs.select("a", "b").join(sets.select(F.col("h").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("h").alias("b"), F.col("set").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return joined.where(shared >= SIMILAR * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    tiles = F.ceil(F.col("_n") / tile).cast("int")
+    dealt = met.select("band", "h", tiles.alias("_tiles"), F.pmod(F.xxhash64("h"), tiles).cast("int").alias("_tile"))
+    others = F.filter(F.sequence(F.lit(0), F.col("_tiles") - 1), lambda t: (t != F.col("_tile")) | (F.col("_tiles") == 1))
+    spread = dealt.select("band", "h", "_tile", F.explode(others).alias("_with"))
+    blocks = spread.select("band", "h", F.least("_tile", "_with").alias("row"), F.greatest("_tile", "_with").alias("col"))
+    return _links(blocks.join(sets, "h")).distinct()
 
 
 def cut_text(text: str, numbers: list[int], least_run: int = LEAST_RUN) -> tuple[str, int, int]:
