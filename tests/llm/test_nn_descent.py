@@ -59,3 +59,15 @@ def test_given_vectors(spark):
     got = {r.vec_id: tuple(r)[1:] for r in nn_descent.near_vectors(frame).collect()}
     assert got == brute(rows)
     assert nn_descent.near_vectors(frame.where("false")).collect() == []
+
+
+def test_two_large_groups_beside_each_other(spark):
+    rng = np.random.default_rng(4)
+    turn = np.arccos(0.985)
+    centres = np.zeros((2, 16))
+    centres[0, 0], centres[1, 0], centres[1, 1] = 1, np.cos(turn), np.sin(turn)
+    rows = [(i, (centres[i % 2] + 0.001 * rng.standard_normal(16)).tolist(), 0) for i in range(80)]
+    rows += [(100 + i, centres[i % 2].tolist(), 0) for i in range(60)]  # copies of thirty in each
+    rows += [(200 + i, rng.standard_normal(16).tolist(), 0) for i in range(100)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    assert {r.vec_id: tuple(r)[1:] for r in nn_descent.near_vectors(frame).collect()} == brute(rows)

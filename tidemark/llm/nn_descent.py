@@ -3,8 +3,8 @@
 Vectors are compared only within their label. The graph starts from neighbours along random projections. Each round, every
 vector gathers itself, its neighbours and those that have it as a neighbour, compares them with each other in one local
 matrix product, and offers each the best of the others; the best ``k`` offers stay. Vectors whose whole list links are
-saturated: their lists are enlarged to all members of their connected group, in tiles of bounded size. What reaches the
-threshold is an edge.
+saturated: all of their connected group are compared with their whole label, in tiles of bounded size. What reaches the
+threshold is an edge. Equal vectors take part as one, with a weight.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, durable
+from tidemark.llm.common import components, durable, join_spread
 
 #: Vectors on a side of a tile.
 TILE = 1024
@@ -107,34 +107,61 @@ def refine(points: DataFrame, graph: DataFrame, k: int) -> DataFrame:
     return offers.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= k).select("_id", "_other", "_sim")
 
 
-def tiles(points: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """``_id, _links, _least``: for members of ``groups`` (``node, component``), links within the group and the smallest linked id.
+def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a symmetric matrix of links those ``i, j`` that make a spanning forest."""
+    left, a, b = np.ones(len(linked), bool), [], []
+    for root in range(len(linked)):
+        todo = [root] if left[root] else []
+        left[root] = False
+        while todo:
+            i = todo.pop()
+            found = np.flatnonzero(linked[i] & left)
+            left[found] = False
+            a += [i] * len(found)
+            b += found.tolist()
+            todo += found.tolist()
+    return np.asarray(a, np.int64), np.asarray(b, np.int64)
 
-    Groups are cut into tiles of at most ``TILE`` vectors by a hash; each pair of tiles is one task's matrix product, so no
-    group meets in one task. A vector travels once for each tile of its own group.
+
+def tiles(points: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
+    """What the vectors ``asked`` (``_id``) link with among all of their label.
+
+    Rows with ``_links``: for ``_id`` in ``asked`` the weights of all that it links with, for others of all in ``asked``
+    that they link with. Rows with ``_other``: links that connect what is linked. ``points`` has ``_id, _label, _v, _w``.
+
+    Both sides are cut into tiles of at most ``TILE`` vectors by a hash; each pair of tiles is one task's matrix product,
+    so no label meets in one task. A vector travels once for each tile of the other side in its label.
     """
-    sized = groups.join(groups.groupBy("component").agg(F.count("*").alias("_size")), "component")
-    cut = F.ceil(F.col("_size") / (0.8 * TILE)).cast("int")
-    member = sized.select(F.col("node").alias("_id"), "component", cut.alias("_tiles"), F.pmod(F.xxhash64("node"), cut).cast("int").alias("_tile")).join(points.select("_id", "_v"), "_id")
-    spread = member.select("_id", "_v", "component", "_tile", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)).alias("_with"))
-    spread = spread.select("_id", "_v", "component", F.least("_tile", "_with").alias("_row"), F.greatest("_tile", "_with").alias("_col"), "_tile")
+    mine = points.join(asked.select("_id", F.lit(True).alias("_asked")), "_id", "left").withColumn("_asked", F.coalesce("_asked", F.lit(False)))
+    cut = lambda n: F.ceil(n / (0.8 * TILE)).cast("int")
+    sized = mine.groupBy("_label").agg(cut(F.count("*")).alias("_cols"), cut(F.count(F.when(F.col("_asked"), 1))).alias("_rows")).where("_rows > 0")
+    dealt = mine.join(sized, "_label")
+    place = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["_id", "_label", "_v", "_w", "_asked"]
+    rows = dealt.where("_asked").select(*columns, place("_rows").alias("_row"), each("_cols").alias("_col"), F.lit(True).alias("_is_row"))
+    cols = dealt.select(*columns, each("_rows").alias("_row"), place("_cols").alias("_col"), F.lit(False).alias("_is_row"))
 
     def product(part: pd.DataFrame) -> pd.DataFrame:
-        row, col = int(part["_row"].iloc[0]), int(part["_col"].iloc[0])
-        a, b = part[part["_tile"] == row], part[part["_tile"] == col]
+        is_row = part["_is_row"].to_numpy()
+        a, b = part[is_row], part[~is_row]
         if not len(a) or not len(b):
-            return pd.DataFrame({"_id": [], "_links": [], "_least": []})
+            return pd.DataFrame({"_id": [], "_other": [], "_links": []})
         x, y, ia, ib = unit(a["_v"].tolist()), unit(b["_v"].tolist()), a["_id"].to_numpy(), b["_id"].to_numpy()
         linked = (x @ y.T >= threshold) & (ia[:, None] != ib[None, :])
-        top = np.iinfo(np.int64).max
-        out = [pd.DataFrame({"_id": ia, "_links": linked.sum(axis=1), "_least": np.where(linked, ib[None, :], top).min(axis=1)})]
-        if row != col:
-            out.append(pd.DataFrame({"_id": ib, "_links": linked.sum(axis=0), "_least": np.where(linked, ia[:, None], top).min(axis=0)}))
-        frame = pd.concat(out)
-        return frame[frame["_links"] > 0]
+        new = ~b["_asked"].to_numpy()
+        square = np.zeros((len(a) + len(b),) * 2, bool)
+        square[: len(a), len(a) :], square[len(a) :, : len(a)] = linked, linked.T
+        i, j = forest(square)
+        both = np.concatenate([ia, ib])
+        frame = pd.concat([
+            pd.DataFrame({"_id": ia, "_links": linked @ b["_w"].to_numpy()}),
+            pd.DataFrame({"_id": ib[new], "_links": a["_w"].to_numpy() @ linked[:, new]}),
+            pd.DataFrame({"_id": both[i], "_other": both[j], "_links": 0}),
+        ])
+        return frame.astype({"_other": "Int64"})[(frame["_links"] > 0) | frame["_other"].notna()][["_id", "_other", "_links"]]
 
-    met = spread.groupBy("component", "_row", "_col").applyInPandas(product, "_id long, _links long, _least long")
-    return met.groupBy("_id").agg(F.sum("_links").alias("_links"), F.min("_least").alias("_least"))
+    return rows.unionByName(cols).groupBy("_label", "_row", "_col").applyInPandas(product, "_id long, _other long, _links long")
 
 
 def neighbour_links(points: DataFrame, threshold: float, k: int = 16, rounds: int = 3, lines: int = 4, seed: int = 11) -> tuple[DataFrame, DataFrame]:
@@ -154,20 +181,29 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     vectors with null or non-finite components, and rows without a label or id link with nothing: they have 0 links and
     are their own component. Vectors of different lengths have no cosine and are never linked. Ids are taken to be unique;
     rows that repeat one count once as a vector and are returned each. An empty table gives no rows; other columns are
-    ignored. Links found are exact; a link is missed only if neither NN-descent nor a group that it belongs to met it.
+    ignored. Links found are exact; a link is missed only if
+    NN-descent didn't meet it and neither end's group has a saturated list.
     """
     points = usable(vectors, id_col, vector_col, label_col).dropDuplicates(["_id"])
     points = durable(points.withColumn("_label", F.concat_ws("/", "_label", F.size("_v").cast("string"))).repartition("_id"))
-    edges, saturated = neighbour_links(points, threshold, k, rounds)
+    # equal vectors are one, with a weight
+    same = durable(points.groupBy("_label", "_v").agg(F.min("_id").alias("_id"), F.count("*").alias("_w")))
+    edges, saturated = neighbour_links(same.select("_id", "_label", "_v"), threshold, k, rounds)
     edges = durable(edges)
     groups = durable(components(edges))
     full = groups.join(saturated, groups["node"] == saturated["_id"], "left_semi").select("component").distinct()
-    # lists that aren't saturated hold all links found; saturated ones are enlarged to their whole group
-    counts = tiles(points, groups.join(full, "component", "left_semi"), threshold)
+    # lists that aren't saturated hold all links found; groups with saturated ones are held against their whole label
+    asked = durable(groups.join(full, "component", "left_semi").select(F.col("node").alias("_id")))
+    met = durable(tiles(same, asked, threshold))
+    groups = durable(components(edges.unionByName(met.where("_other is not null").select(F.col("_id").alias("a"), F.col("_other").alias("b")))))
     pairs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    listed = pairs.groupBy("a").agg(F.count("*").alias("_n")).select(F.col("a").alias("_id"), "_n")
-    named = groups.select(F.col("node").alias("_id"), F.col("component").alias("_component")).join(listed, "_id", "left").join(counts, "_id", "left")
-    named = named.select(F.col("_id").alias("_key"), "_component", F.coalesce("_links", "_n").alias("_count"))
+    listed = pairs.join(asked, pairs["a"] == asked["_id"], "left_anti").join(asked, pairs["b"] == asked["_id"], "left_anti")
+    listed = listed.join(same.select(F.col("_id").alias("b"), F.col("_w").alias("_links")), "b").select(F.col("a").alias("_id"), "_links")
+    counts = met.where("_other is null").select("_id", "_links").unionByName(listed).groupBy("_id").agg(F.sum("_links").alias("_links"))
+    named = same.join(groups.select(F.col("node").alias("_id"), "component"), "_id", "left").join(counts, "_id", "left")
+    named = durable(named.select("_label", "_v", "_w", F.coalesce("component", "_id").alias("_component"), (F.coalesce("_links", F.lit(0)) + F.col("_w") - 1).alias("_count")))
+    total = points.count()
+    named = join_spread(points, named, ["_label", "_v"], "_w", total).select(F.col("_id").alias("_key"), "_component", "_count")
     out = vectors.select(id_col).join(named, F.col(id_col).cast("long") == F.col("_key"), "left")
     component = F.coalesce("_component", F.col(id_col).cast("long"))
     return out.select(id_col, F.coalesce("_count", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col(id_col).cast("long") == component).alias("kept"))
