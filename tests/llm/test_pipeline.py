@@ -47,3 +47,23 @@ def test_same_rows_twice(spark, stages):
     assert again.columns == stages[-1][2].columns and set(cols) <= set(again.columns)
     assert totals(again) == totals(stages[-1][2])
     assert np.all([v > 0 for v in totals(again).values()])
+
+
+def test_null_and_repeated_ids_leave_one_row_of_each_group(spark):
+    from tests.llm.conftest import prose
+
+    a, b, c, d = (prose(i, 80) for i in range(200, 204))
+    rows = [(1, a), (1, a), (None, a), (None, b), (None, b), (2, c), (2, d), (None, c + " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    exact = corpus_pipeline.drop_exact_copies(spark, docs, "")
+    key = lambda r: (r[0] or 0, r[1])
+    assert sorted(map(tuple, exact.collect()), key=key) == sorted([(1, a), (None, b), (2, d), (None, c + " ")], key=key)
+    near = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert sorted(map(tuple, near.collect()), key=key) == sorted([(1, a), (None, b), (2, c), (2, d)], key=key)
+
+
+def test_rows_without_a_language_go_whatever_their_ids(spark):
+    rows = [(i, "the cat sat on the mat and saw the dog", "en") for i in range(20)] + [(i, "der Hund und die Katze sind im Haus", "de") for i in range(20, 40)]
+    docs = spark.createDataFrame([*rows, (None, "the cat and the dog", "en"), (None, "12 34", "en"), (3, None, "en")], "doc_id long, text string, lang string")
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns and kept.count() == 41 and kept.where("text is null or text = '12 34'").count() == 0

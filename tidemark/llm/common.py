@@ -30,6 +30,15 @@ def durable(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Name of the column that tells rows apart, whatever their ids.
+ROW = "_tidemark_row"
+
+
+def numbered(frame: DataFrame) -> DataFrame:
+    """``frame`` with a number of its own in each row, written so that it stays the same."""
+    return durable(frame.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def join_spread(rows: DataFrame, named: DataFrame, keys: list[str], weight: str, total: int, heavy: int = 1000) -> DataFrame:
     """Inner join of ``rows`` with ``named`` (one row a key), so that no task gets all rows of a hot key.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import durable, join_spread
+from tidemark.llm.common import ROW, durable, join_spread, numbered
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]"
@@ -47,6 +47,14 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_first_of_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_duplicates`` drops; all columns stay."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    """``docs`` with one row of each group of equal texts, by the order of ``exact_duplicates``; all columns stay.
+
+    Rows without an id come after those with one; of rows that are alike in id and length too, any one stays.
+    """
+    rows = numbered(docs)
+    norm = normalised(F.col(text_col))
+    order = F.struct(F.coalesce(F.char_length(text_col), F.lit(0)).alias("_cp"), (-F.col(id_col)).alias("_neg"), ROW)
+    base = rows.select(F.md5(norm).alias("_h128"), F.sha2(norm, 256).alias("_sha"), norm.alias("_norm"), order.alias("_best"))
+    texts = base.groupBy("_h128", "_sha", "_norm").agg(F.max("_best").alias("_best")).groupBy("_h128", "_sha").agg(F.max("_best").alias("_best"), F.count("*").alias("_texts"))
+    kept = texts.select(F.when(F.col("_texts") == 1, F.col(f"_best.{ROW}")).otherwise(F.raise_error("two texts share MD5 and SHA-256").cast("bigint")).alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

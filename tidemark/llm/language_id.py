@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import ROW, numbered
+
 #: Hash buckets of byte trigrams.
 DIMS = 1 << 13
 #: Labelled documents drawn for each language at most; the only sample that is taken.
@@ -179,7 +181,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the documents that are in no language; all columns stay. Ids are taken to be unique."""
-    found = identify(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
-    kept = found.where("lang_pred <> 'und'").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """``docs`` without the rows that are in no language, each judged by its own text whatever its id; all columns stay."""
+    model = fit(docs, id_col, text_col, lang_col)
+    rows = numbered(docs)
+    kept = identify(rows, model, ROW, text_col).where("lang_pred <> 'und'").select(ROW)
+    return rows.join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, durable, join_spread
+from tidemark.llm.common import ROW, components, durable, join_spread, numbered
 
 BITS = 64
 #: Node pairs that one step of the trie join takes down together.
@@ -225,6 +225,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3, width: int = 3) -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates, the one of smallest id; all columns stay."""
-    kept = near_duplicates(docs, id_col, text_col, budget, width).where(f"{id_col} = component_id").select(F.col(id_col).alias("_kept_id"))
-    return docs.join(kept, docs[id_col] == kept["_kept_id"], "left_semi")
+    """``docs`` with one row of each group of near-duplicates, the one of smallest id; all columns stay.
+
+    Rows without an id come after those with one; of rows that are alike in id any one stays.
+    """
+    rows = numbered(docs)
+    near = near_duplicates(rows, ROW, text_col, budget, width).select(ROW, "component_id")
+    order = F.struct(F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("_id"), ROW)
+    best = rows.select(ROW, order.alias("_order")).join(near, ROW).groupBy("component_id").agg(F.min("_order").alias("_best"))
+    return rows.join(best.select(F.col(f"_best.{ROW}").alias(ROW)), ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
