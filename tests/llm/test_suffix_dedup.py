@@ -25,16 +25,17 @@ def brute(texts, threshold):
     return out
 
 
-def check(frame, threshold=200, crowded=10_000):
+def check(frame, threshold=200, crowded=None):
     want = brute([(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()], threshold)
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.digests(frame, threshold=threshold, crowded=crowded).collect()}
     assert got == want
 
 
 def test_fixture(docs, nothing):
+    check(docs)  # the longest has about 80,000 bytes
     short = docs.where("length(text) < 5000 OR text IS NULL")
-    check(short)
     check(short, 40)
+    check(short, 40, crowded=0)
     assert suffix_dedup.digests(nothing).collect() == []
 
 
@@ -50,7 +51,7 @@ def test_planted_passages(spark):
         texts.append("".join(parts))
     texts += ["é" * 150, "é" * 150, "z" * 199, "z" * 199, "y" * 200, "q" * 201, None, ""]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for crowded in (10_000, 5, 1):  # anchors in one task each, some string by string, all so
+    for crowded in (None, 5, 0):  # anchors of a name in one task, some by rounds of joins, all so
         check(frame, crowded=crowded)
 
 

@@ -26,7 +26,7 @@ def durable(frame: DataFrame) -> DataFrame:
     """``frame`` written once as Parquet in the shared folder and read again: cuts lineage and survives lost executors."""
     spark = frame.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 

@@ -1,21 +1,26 @@
 """Removal of byte strings that start at two places or more, by prefix doubling over sampled positions.
 
-Positions are ranked by the name of the bytes that start there, and the survivors are ranked again by pairs of names at
-greater lengths; those that are unique drop out, until the threshold is reached. A name is a fingerprint, made from
-differences of prefix sums, so that a name of any length costs the same. Ranks are only compared for being equal, so a
-shuffle by name with counts stands for the sort.
+Positions are ranked by the name of the bytes that start there; survivors are ranked again by pairs of their rank and the
+name of further bytes, at lengths that go from 72 by half of what is left to the threshold of 200: 136, 168, 184, ... Those
+that are unique drop out. Ranks are only compared for being equal, so a rank is a hash and a shuffle with counts stands for
+the sort.
 
 1. *Anchors.* In the first round a position takes part only if it has the least name among those of some string of
    threshold length. Which position of a string that is depends on the string's bytes alone, so equal strings hold equal
    anchors at equal places. Anchors whose name is unique drop out, and with them all strings that they stand for.
-2. *Pairs.* A string of threshold length around an anchor is told by the anchor's name, the name of the bytes before it
-   and the name of those after it. For every place of the anchor within the string the pairs are ranked once more; the
-   first and the last place at which a pair is repeated bound the bytes to remove around this anchor.
+2. *Doubling.* The strings around an anchor are told by how many bytes they have before it: 0 to 128. In every further
+   round a range of these is halved. What all strings of a half share is its core, longer than before: cores that are
+   unique drop out. If all bytes that the strings of a half cover are repeated as a whole, all of them are, and the half is
+   settled. Rounds end with single strings.
+
+Anchors of one name are few as a rule, and go through the rounds of step 2 within one task; those of crowded names go
+through the same rounds as Spark joins, so that no group meets in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +33,15 @@ from tidemark.llm.common import durable, join_spread
 
 #: Odd bases of the two names.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: A name that more than one of so many documents holds is a frequent one.
+FREQUENT = 512
+#: Documents of a name from which it is crowded at any rate, and below which it is not.
+CROWDED, NOT_CROWDED = 20_000, 1000
+#: Distinct surroundings that a task merges before it sends them, and that it solves at a time.
+MERGED, SOLVED = 100_000, 20_000
+#: Where an anchor is: two halves of its document's 128-bit key, and the place.
+MEMBER, MEMBER_SIZE = "<qqi", struct.calcsize("<qqi")
+MEMBERS = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("place", "<i4")])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -103,28 +117,40 @@ def _prefix_names(side: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray
     return _mix(out), size
 
 
-def solve(group: np.ndarray, before: list[bytes], after: list[bytes], times: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def solve(group: np.ndarray, before: list[bytes], after: list[bytes], asks: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """How far before and after its anchor the bytes of each row are to be removed; -1 and -1 for not at all.
 
-    A row is a distinct surrounding of an anchor, seen ``times`` times; ``group`` is the anchor's name. The string that
-    has ``o`` bytes before the anchor is repeated if another row of the group has the same ``o`` bytes before and the same
-    ``width - o`` bytes after, or if the row is seen twice.
+    A row is a distinct surrounding of an anchor; ``group`` is the anchor's name. Rows that ``asks`` leaves out have their
+    answer and are only there for others to be equal to. Equal names of covered bytes are compared byte for byte.
     """
     left, left_size = _prefix_names([x[::-1] for x in before], width)
     right, right_size = _prefix_names(after, width)
-    most_left, least_left = np.full(len(group), -1), np.full(len(group), width + 1)
-    for o in range(width + 1):
-        rows = np.flatnonzero((left_size >= o) & (right_size >= width - o))
-        key = _mix(_mix(group[rows] ^ left[rows, o]) + right[rows, width - o])
-        order = np.argsort(key)
-        same = key[order][1:] == key[order][:-1]
-        hit = times[rows] > 1
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
-        found = rows[hit]
-        most_left[found] = o
-        least_left[found] = np.minimum(least_left[found], o)
-    return most_left, np.where(most_left >= 0, width - least_left, -1)
+    most_left, most_right = np.full(len(group), -1), np.full(len(group), -1)
+    row, lo, hi, ask = np.arange(len(group)), np.zeros(len(group), np.int64), np.full(len(group), width), asks.copy()
+    while len(row):
+        middle = (lo + hi) >> 1
+        row, ask = np.concatenate([row, row]), np.concatenate([ask, ask])
+        lo, hi = np.concatenate([lo, middle + 1]), np.concatenate([middle, hi])
+        real = (lo <= hi) & (np.maximum(lo, width - right_size[row]) <= np.minimum(hi, left_size[row]))
+        row, lo, hi, ask = row[real], lo[real], hi[real], ask[real]
+        core = _mix(_mix(group[row] ^ left[row, lo]) + right[row, width - hi] + lo.astype(np.uint64))
+        cover = _mix(_mix(group[row] ^ left[row, hi]) + right[row, width - lo] + lo.astype(np.uint64))
+        whole = (hi <= left_size[row]) & (width - lo <= right_size[row])
+        order = np.lexsort((cover, whole, core))
+        row, lo, hi, ask, core, cover, whole = (x[order] for x in (row, lo, hi, ask, core, cover, whole))
+        new = np.append(True, core[1:] != core[:-1])[: len(row)]
+        new_cover = new | ~whole | np.append(True, (cover[1:] != cover[:-1]) | ~whole[:-1])[: len(row)]
+        of_core, of_cover = np.cumsum(new) - 1, np.cumsum(new_cover) - 1
+        first, many = np.flatnonzero(new_cover), np.bincount(of_cover, minlength=1)
+        for k in np.flatnonzero(ask & (many[of_cover] > 1)).tolist():
+            i, o, h, w = row[k], first[of_cover[k]], hi[k], width - lo[k]
+            j = row[o + 1] if o == k else row[o]
+            if before[i][len(before[i]) - h :] == before[j][len(before[j]) - h :] and after[i][:w] == after[j][:w]:
+                ask[k] = False
+                most_left[i], most_right[i] = max(most_left[i], h), max(most_right[i], w)
+        on = (np.bincount(of_core)[of_core] > 1) & (np.bincount(of_core, weights=ask)[of_core] > 0) & (lo < hi) if len(row) else np.empty(0, bool)
+        row, lo, hi, ask = row[on], lo[on], hi[on], ask[on]
+    return most_left, most_right
 
 
 def merged(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -135,176 +161,281 @@ def merged(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.stack([starts[first], stops[np.append(first[1:] - 1, len(stops) - 1)]], axis=1)
 
 
-def _narrowed(docs: DataFrame, found: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """``docs`` joined with ``found`` by ``_key``; for at most ``most`` keys, other documents are dropped before the shuffle."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_k1, _k2, _id, _raw``: a 128-bit key of id and text, alike for rows that repeat both, which get the same ranges."""
+    return docs.select(
+        F.xxhash64(id_col, text_col).alias("_k1"), F.xxhash64(F.lit("2"), text_col, id_col).alias("_k2"), F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_raw")
+    )
+
+
+def _narrowed(docs: DataFrame, found: DataFrame, keys: list[str] | None = None, most: int = 1_000_000) -> DataFrame:
+    """``docs`` joined with ``found`` by ``keys``; for at most ``most`` of 16 bytes each, other documents are dropped before the shuffle."""
+    keys = keys or ["_key"]
     if found.count() <= most:
-        docs = docs.join(F.broadcast(found.select("_key")), "_key", "left_semi")
-    return docs.join(found, "_key")
+        docs = docs.join(F.broadcast(found.select(*keys)), keys, "left_semi")
+    return docs.join(found, keys)
+
+
+def _unique_names(raw, length: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(anchors(Names(raw), length, threshold)[1], return_counts=True)
 
 
-def solve_crowded(rows: DataFrame, width: int) -> DataFrame:
-    """As ``solve``, for groups of any size: ``row, left, right`` of those that have a repeated string; ``row`` is a hash of name and ``around``.
+def frequent_names(texts: DataFrame, total: int, length: int, threshold: int) -> dict[int, int]:
+    """Names of anchors that over one of ``FREQUENT`` documents hold, with a lower bound of how many do.
 
-    Each of the strings around an anchor is named by itself and counted with partial sums; strings that are seen twice
-    find their rows again, where hot ones are joined without a shuffle. No group meets in one task.
+    A task counts the names of 2,048 documents at a time and sends those over that share, so any name of twice the share is
+    found, and there are at most ``FREQUENT`` times as many as anchors in a mean document: about 30,000 at 3 kB a document.
     """
 
-    def name_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                group = part.column(0).to_numpy().view(np.uint64)
-                left, left_size = _prefix_names([x[::-1] for x in part.column(2).to_pylist()], width)
-                right, right_size = _prefix_names(part.column(3).to_pylist(), width)
-                which, keys, places = [], [], []
-                for o in range(width + 1):
-                    found = np.flatnonzero((left_size >= o) & (right_size >= width - o))
-                    which.append(found)
-                    keys.append(_mix(_mix(group[found] ^ left[found, o]) + right[found, width - o] + np.uint64(o)))
-                    places.append(np.full(len(found), o, np.int32))
-                which, keys, places = (np.concatenate(x) for x in (which, keys, places))
-                order = np.argsort(which, kind="stable")  # a row's strings lie together, which keeps the written table small
-                take = pa.array(which[order])
-                columns = [part.column(i).take(take) for i in (1, 4)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys[order].view(np.int64)), pa.array(places[order])], names=["row", "times", "key", "o"])
-
-    row = F.xxhash64("name", "around").alias("row")
-    named = durable(rows.select("name", row, "before", "after", "times").mapInArrow(name_strings, "row long, times long, key long, o int"))
-    counted = durable(named.groupBy("key").agg(F.sum("times").alias("_seen"), F.count("*").alias("_rows")).where("_seen > 1"))
-    total = counted.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
-    hit = join_spread(named.select("row", "key", "o"), counted, ["key"], "_rows", total)
-    return hit.groupBy("row").agg(F.max("o").cast("long").alias("left"), (width - F.min("o")).cast("long").alias("right"))
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 200, crowded: int = 10_000) -> DataFrame:
-    """One row per document that holds a string of ``threshold`` bytes which also starts elsewhere.
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                names = [_unique_names(part.column(0)[i].as_buffer(), length, threshold)[0] for i in range(part.num_rows)]
+                found, n = np.unique(np.concatenate(names), return_counts=True)
+                often = n >= max(2, -(-part.num_rows // FREQUENT))
+                yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], names=["name", "n"])
 
-    Columns: ``id_col``, ``text_sha256`` (of the whole text), ``spans`` (array of start and stop, in bytes, of the maximal
-    runs to remove) and ``kept`` (the other bytes, joined; they may cut a character in two). Texts are UTF-8; matches don't
-    cross documents, may overlap, and are judged on the input. Null texts are empty; texts shorter than the threshold are
-    never removed from; documents of repeated ids count each, and a repeated row has its result once; other columns are
-    ignored; an empty table gives no rows. Every byte of every text takes part.
+    found = texts.select("_raw").mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2, total // FREQUENT))
+    return {r[0]: r[1] for r in found.collect()}
+
+
+def doubling_rounds(rows: DataFrame, width: int, length: int) -> DataFrame:
+    """As ``solve``, for groups of any size: ``_k1, _k2, start, stop`` of what is repeated around the anchors that ask.
 
-    A document's names are distinct before the first shuffle, so a passage that is in every document gives a name one row a
-    document; surroundings of anchors are merged within each task before they meet, so copies don't pile up. Anchors that
-    occur more than ``crowded`` times are settled string by string instead of in one task each; the result is the same.
+    ``rows`` has ``name, before, after`` and, for those that ask, ``_k1, _k2, place``. Each round halves the ranges twice,
+    counts cores and covers with partial sums, and joins the counts back where hot ones need no shuffle.
     """
-    # rows that repeat an id and its text have the same key and get the same ranges
-    base = docs.select(F.xxhash64(id_col, text_col).alias("_key"), F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_raw"))
-    long_enough = base.select("_key", "_raw").where(F.octet_length("_raw") >= threshold)
+
+    def halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                which, los, his, cores, covers, befores, afters = [], [], [], [], [], [], []
+                columns = (part.column(i).to_pylist() for i in range(3, 8))
+                for i, (name, lo, hi, before, after) in enumerate(zip(*columns, strict=True)):
+                    step = -(-(hi - lo + 1) // 4)
+                    for a in range(lo, hi + 1, step):
+                        b = min(a + step - 1, hi)
+                        if max(a, width - len(after)) > min(b, len(before)):
+                            continue
+                        tag = struct.pack(MEMBER, name, a, 0)
+                        whole = b <= len(before) and width - a <= len(after)
+                        x, y = before[max(0, len(before) - b) :], after[: width - a]
+                        which.append(i)
+                        los.append(a)
+                        his.append(b)
+                        cores.append(xxh3_64_intdigest(tag + before[len(before) - a :] + after[: width - b]))
+                        covers.append(hashlib.blake2b(tag + x + y, digest_size=16).digest() if whole else b"")
+                        befores.append(x)
+                        afters.append(y)
+                take = part.take(pa.array(which, pa.int64()))
+                arrays = [take.column(i) for i in range(4)] + [pa.array(los, pa.int32()), pa.array(his, pa.int32()), pa.array(befores, pa.binary()), pa.array(afters, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.asarray(cores, np.uint64).view(np.int64)), pa.array(covers, pa.binary())], names=[*part.schema.names, "core", "cover"])
+
+    kinds = "_k1 long, _k2 long, place long, name long, lo int, hi int, before binary, after binary"
+    rows = rows.select("_k1", "_k2", "place", "name", F.lit(0).alias("lo"), F.lit(width).alias("hi"), "before", "after")
+    asks, whole = F.col("place").isNotNull(), F.octet_length("cover") > 0
+    found = None
+    for _ in range(width.bit_length() + 1):
+        halved = durable(rows.mapInArrow(halve, f"{kinds}, core long, cover binary"))
+        counted = durable(halved.groupBy("core", "cover").agg(F.count("*").alias("n"), F.count_if(asks).alias("_asks")))
+        left_open = F.when(whole & (F.col("n") > 1), 0).otherwise(F.col("_asks"))
+        cores = durable(counted.groupBy("core").agg(F.sum("n").alias("_in_core"), F.sum(left_open).alias("_open"), F.count("*").alias("_covers")))
+        total, kinds_of = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        told = join_spread(counted, cores, ["core"], "_covers", kinds_of)
+        settled, goes_on = whole & (F.col("n") > 1), (F.col("_in_core") > 1) & (F.col("_open") > 0)
+        told = durable(told.select("core", "cover", "n", settled.alias("_settled"), goes_on.alias("_goes_on")).where("_settled or _goes_on"))
+        met = durable(join_spread(halved, told, ["core", "cover"], "n", total).drop("core", "cover", "n"))
+        done = met.where(asks & F.col("_settled")).select("_k1", "_k2", (F.col("place") - F.col("hi")).alias("start"), (F.col("place") + length + width - F.col("lo")).alias("stop"))
+        found = done if found is None else found.unionByName(done)
+        place = F.when(F.col("_settled"), None).otherwise(F.col("place")).alias("place")
+        rows = met.where(F.col("_goes_on") & (F.col("lo") < F.col("hi"))).select("_k1", "_k2", place, "name", "lo", "hi", "before", "after")
+        if not rows.take(1):
+            break
+    return found
+
+
+def _ranges(texts: DataFrame, threshold: int, crowded: int | None) -> DataFrame:
+    """``_k1, _k2, start, stop``: bytes to remove; ranges of one document may overlap."""
     length = max(1, threshold * 36 // 100)
     width = threshold - length
-    id_type = docs.schema[id_col].dataType.simpleString()
+    total = texts.count()
+    most = crowded if crowded is not None else max(NOT_CROWDED, min(total // 16, CROWDED))
+    often = frequent_names(texts, total, length, threshold)
+    known = np.sort(np.asarray(list(often), np.int64).view(np.uint64))
+    known_crowds = np.sort(np.asarray([name for name, n in often.items() if n > most], np.int64).view(np.uint64))
+    shared = texts.sparkSession.sparkContext.broadcast((known, known_crowds))
 
     def name_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rare names of each document; one that holds a frequent name asks for itself by its key, counted as twice."""
+        known = shared.value[0]
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
+                keys = part.column(0).to_numpy()
                 which, name, times = [], [], []
                 for i in range(part.num_rows):
-                    found, n = np.unique(anchors(Names(part.column(1)[i].as_buffer()), length, threshold)[1], return_counts=True)
+                    found, n = _unique_names(part.column(1)[i].as_buffer(), length, threshold)
+                    rare = ~np.isin(found, known, assume_unique=True)
+                    if not rare.all():
+                        found, n = np.append(found[rare], keys[i : i + 1].view(np.uint64)), np.append(n[rare], 2)
                     which.append(np.full(len(found), i))
                     name.append(found)
                     times.append(n)
                 if which:
                     columns = [pa.array(np.concatenate(name).view(np.int64)), pa.array(np.concatenate(times).astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(which))), *columns], names=["_key", "name", "times"])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(which))), *columns], names=["_k1", "name", "times"])
 
     def surround(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                which, places, named, before, after = [], [], [], [], []
-                for i in range(part.num_rows):
-                    raw = part.column(1)[i].as_py()
-                    place, name = anchors(Names(raw), length, threshold)
-                    alive = np.isin(name, np.asarray(part.column(2)[i].values, np.int64).view(np.uint64))
-                    place = place[alive]
-                    which.append(np.full(len(place), i))
-                    places.append(place)
-                    named.append(name[alive])
-                    before += [raw[max(0, p - width) : p] for p in place.tolist()]
-                    after += [raw[p + length : p + length + width] for p in place.tolist()]
-                if which:
-                    columns = [pa.array(np.concatenate(places)), pa.array(np.concatenate(named).view(np.int64)), pa.array(before, pa.binary()), pa.array(after, pa.binary())]
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.concatenate(which))), *columns], names=["_key", "place", "name", "before", "after"])
+        """Surroundings of the anchors that are left, equal ones of a task merged, with the places where they are."""
+        from xxhash import xxh3_64_intdigest
+
+        known, known_crowds = shared.value
+        held: dict[tuple[int, bool, bytes, bytes], bytearray] = {}
+        size = 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(entries := list(held.items())), 10_000):
+                some = entries[at : at + 10_000]
+                names, crowd, before, after = zip(*(k for k, _ in some), strict=True)
+                salt = [np.int64(np.uint64(xxh3_64_intdigest(b + a))) if c else 0 for c, b, a in zip(crowd, before, after, strict=True)]
+                members = [bytes(m) for _, m in some]
+                arrays = [pa.array(names, pa.int64()), pa.array(salt, pa.int64()), pa.array(crowd), pa.array(before, pa.binary()), pa.array(after, pa.binary()), pa.array(members, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["name", "salt", "crowd", "before", "after", "members"])
+            held.clear()
 
-    def solve_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                k1, k2, raw = (batch.column(c)[i].as_py() for c in range(3))
+                rare, crowd = (np.asarray(batch.column(c)[i].values, np.int64).view(np.uint64) for c in (3, 4))
+                place, name = anchors(Names(raw), length, threshold)
+                in_crowd = np.isin(name, known_crowds) | np.isin(name, crowd)
+                alive = in_crowd | np.isin(name, rare) | np.isin(name, known)
+                for p, x, c in zip(place[alive].tolist(), name[alive].view(np.int64).tolist(), in_crowd[alive].tolist(), strict=True):
+                    key = (x, c, raw[max(0, p - width) : p], raw[p + length : p + length + width])
+                    held.setdefault(key, bytearray()).extend(struct.pack(MEMBER, k1, k2, p))
+                    size += MEMBER_SIZE
+                if len(held) > MERGED or size > 64 << 20:
+                    yield from sent()
+                    size = 0
+        yield from sent()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             held.append(batch)
-            if sum(b.num_rows for b in held) < 20_000:
+            if sum(b.num_rows for b in held) < SOLVED:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
-            name = rows["name"].to_numpy()
-            cut = int(np.searchsorted(name, name[-1]))  # the last group may go on
+            name, salt = rows["name"].to_numpy(), rows["salt"].to_numpy()
+            cut = int(np.argmax((name == name[-1]) & (salt == salt[-1])))  # the last group may go on
             if cut:
-                yield solved(rows.slice(0, cut))
+                yield settled(rows.slice(0, cut))
             held = rows.slice(cut).to_batches()
         if held:
-            yield solved(pa.Table.from_batches(held))
-
-    def solved(rows: pa.Table) -> pa.RecordBatch:
-        left, right = solve(rows["name"].to_numpy().view(np.uint64), rows["before"].to_pylist(), rows["after"].to_pylist(), rows["times"].to_numpy(), width)
+            yield settled(pa.Table.from_batches(held))
+
+    def settled(rows: pa.Table) -> pa.RecordBatch:
+        merged_rows: dict[tuple[int, bool, bytes, bytes], bytes] = {}
+        for *key, members in zip(*(rows[c].to_pylist() for c in ("name", "crowd", "before", "after", "members")), strict=True):
+            key = tuple(key)
+            merged_rows[key] = merged_rows[key] + members if key in merged_rows else members
+        names, crowd, before, after = (list(x) for x in zip(*merged_rows, strict=True))
+        members = list(merged_rows.values())
+        times = np.fromiter(map(len, members), np.int64, len(members)) // MEMBER_SIZE
+        names, crowd = np.asarray(names, np.int64), np.asarray(crowd)
+        fits = np.fromiter((len(b) + len(a) for b, a in zip(before, after, strict=True)), np.int64, len(times)) >= width
+        left, right = np.full(len(times), -1), np.full(len(times), -1)
+        repeated = fits & (times > 1)
+        left[repeated] = [len(before[i]) for i in np.flatnonzero(repeated)]
+        right[repeated] = [len(after[i]) for i in np.flatnonzero(repeated)]
+        some = np.flatnonzero(fits & ~crowd)
+        if len(some):
+            found = solve(names[some].view(np.uint64), [before[i] for i in some], [after[i] for i in some], times[some] == 1, width)
+            left[some], right[some] = np.maximum(left[some], found[0]), np.maximum(right[some], found[1])
         hit = np.flatnonzero(left >= 0)
-        out = [rows["name"].to_numpy()[hit], rows["around"].to_numpy()[hit], left[hit], right[hit]]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["name", "around", "left", "right"])
-
-    counted = long_enough.mapInArrow(name_anchors, "_key long, name long, times int").withColumn("_all", F.sum("times").over(W.partitionBy("name")))
-    many = F.col("_all") > crowded
-    alive = counted.where("_all > 1").groupBy("_key").agg(F.collect_list(F.when(~many, F.col("name"))).alias("alive"), F.collect_list(F.when(many, F.col("name"))).alias("crowd"))
-    alive = durable(alive)
-
-    def ranges_of(names: DataFrame, in_crowds: bool) -> DataFrame:
-        around = _narrowed(long_enough, names).mapInArrow(surround, "_key long, place long, name long, before binary, after binary").withColumn("around", F.xxhash64("before", "after"))
-        distinct = around.groupBy("name", "before", "after").agg(F.count("*").alias("times")).withColumn("around", F.xxhash64("before", "after"))
-        rows = distinct.select("name", "around", "before", "after", "times")
-        places = around.select("_key", "place", "name", "around")
-        if in_crowds:
-            joined = places.withColumn("row", F.xxhash64("name", "around")).join(solve_crowded(rows, width), "row")
-        else:
-            bounds = rows.repartition("name").sortWithinPartitions("name").mapInArrow(solve_groups, "name long, around long, left long, right long")
-            joined = places.join(bounds, ["name", "around"])
-        return joined.select("_key", F.struct((F.col("place") - F.col("left")).alias("start"), (F.col("place") + length + F.col("right")).alias("stop")).alias("range"))
-
-    ranges = ranges_of(alive.where("size(alive) > 0").select("_key", "alive"), False)
-    crowds = alive.where("size(crowd) > 0").select("_key", F.col("crowd").alias("alive"))
+        at = np.frombuffer(b"".join([members[i] for i in hit]), MEMBERS)
+        start = at["place"] - np.repeat(left[hit], times[hit])
+        stop = at["place"] + length + np.repeat(right[hit], times[hit])
+        # those of crowded names go on: with their place if they ask, without if they are told
+        on = np.flatnonzero(crowd & fits)
+        lone = np.frombuffer(b"".join([members[i][: MEMBER_SIZE] for i in on]), MEMBERS)
+        mask = np.concatenate([np.zeros(len(at), bool), times[on] > 1])
+        none = pa.nulls(len(at), pa.int64())
+        both = lambda a, b: pa.array(np.concatenate([a, b]).astype(np.int64), mask=mask)
+        arrays = [
+            both(at["k1"], lone["k1"]), both(at["k2"], lone["k2"]), both(start, lone["place"]), pa.concat_arrays([pa.array(stop.astype(np.int64)), pa.nulls(len(on), pa.int64())]),
+            pa.concat_arrays([none, pa.array(names[on])]), *(pa.concat_arrays([pa.nulls(len(at), pa.binary()), pa.array([x[i] for i in on], pa.binary())]) for x in (before, after)),
+        ]
+        return pa.RecordBatch.from_arrays(arrays, names=["_k1", "_k2", "start", "stop", "name", "before", "after"])
+
+    counted = texts.select("_k1", "_raw").mapInArrow(name_anchors, "_k1 long, name long, times int").withColumn("_all", F.sum("times").over(W.partitionBy("name")))
+    many = F.col("_all") > most
+    alive = counted.where("_all > 1").groupBy("_k1").agg(F.collect_list(F.when(~many, F.col("name"))).alias("rare"), F.collect_list(F.when(many, F.col("name"))).alias("crowd"))
+    around = _narrowed(texts, durable(alive), ["_k1"]).select("_k1", "_k2", "_raw", "rare", "crowd").mapInArrow(surround, "name long, salt long, crowd boolean, before binary, after binary, members binary")
+    dealt = around.repartition("name", "salt").sortWithinPartitions("name", "salt")
+    told = durable(dealt.mapInArrow(settle, "_k1 long, _k2 long, start long, stop long, name long, before binary, after binary"))
+    ranges = told.where("name is null").select("_k1", "_k2", "start", "stop")
+    crowds = told.where("name is not null").select("_k1", "_k2", F.col("start").alias("place"), "name", "before", "after")
     if crowds.take(1):
-        ranges = ranges.unionByName(ranges_of(crowds, True))
-    cuts = durable(ranges.groupBy("_key").agg(F.collect_list("range").alias("ranges")))
+        ranges = ranges.unionByName(doubling_rounds(crowds, width, length))
+    return ranges
+
+
+def _cut(docs: DataFrame, id_col: str, text_col: str, threshold: int, crowded: int | None) -> DataFrame:
+    """``_k1, _k2, _id, text_sha256, spans, kept``, a row for each row of ``docs`` that has something to remove."""
+    base = _keyed(docs, id_col, text_col)
+    ranges = _ranges(base.where(F.octet_length("_raw") >= threshold).select("_k1", "_k2", "_raw"), threshold, crowded)
+    cuts = durable(ranges.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("start", "stop")).alias("ranges")))
+    id_type = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                rows, digests, spans, kept = [], [], [], []
+                digests, spans, kept = [], [], []
                 for i in range(part.num_rows):
-                    raw, ranges = part.column(1)[i].as_py() or b"", part.column(2)[i].values
+                    raw, ranges = part.column(3)[i].as_py(), part.column(4)[i].values
                     found = merged(np.asarray(ranges.field("start")), np.asarray(ranges.field("stop")))
-                    rows.append(i)
                     digests.append(hashlib.sha256(raw).hexdigest())
                     spans.append([{"start": a, "stop": b} for a, b in found.tolist()])
                     stops, starts = [0, *found[:, 1].tolist()], [*found[:, 0].tolist(), len(raw)]
                     kept.append(b"".join(raw[a:b] for a, b in zip(stops, starts, strict=True)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(rows)), pa.array(digests), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(kept, pa.binary())],
-                        names=["_id", "text_sha256", "spans", "kept"],
-                    )
+                span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), pa.array(digests), pa.array(spans, span), pa.array(kept, pa.binary())], names=["_k1", "_k2", "_id", "text_sha256", "spans", "kept"])
 
-    out = _narrowed(base, cuts).select("_id", "_raw", "ranges").mapInArrow(cut, f"_id {id_type}, text_sha256 string, spans array<struct<start:long,stop:long>>, kept binary")
-    return out.withColumnRenamed("_id", id_col).dropDuplicates([id_col, "text_sha256"])
+    touched = _narrowed(base, cuts, ["_k1", "_k2"]).select("_k1", "_k2", "_id", "_raw", "ranges")
+    return touched.mapInArrow(cut, f"_k1 long, _k2 long, _id {id_type}, text_sha256 string, spans array<struct<start:long,stop:long>>, kept binary")
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 200, crowded: int = 10_000) -> DataFrame:
-    """One row per document: ``id_col, n_bytes, n_removed, n_spans, kept_sha256``, from ``repeats``."""
-    cut = repeats(docs, id_col, text_col, threshold, crowded).select(
-        F.xxhash64(id_col).alias("_key"), F.col("text_sha256").alias("_sha"), F.octet_length("kept").alias("_left"), F.size("spans").alias("_spans"), F.sha2("kept", 256).alias("_kept_sha")
-    )
-    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    all_docs = docs.select(F.col(id_col), F.xxhash64(id_col).alias("_key"), F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("_sha"))
-    return all_docs.join(cut, ["_key", "_sha"], "left").select(
-        id_col,
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 200, crowded: int | None = None) -> DataFrame:
+    """One row per document that holds a string of ``threshold`` bytes which also starts elsewhere.
+
+    Columns: ``id_col``, ``text_sha256`` (of the whole text), ``spans`` (array of start and stop, in bytes, of the maximal
+    runs to remove) and ``kept`` (the other bytes, joined; they may cut a character in two). Texts are UTF-8; matches don't
+    cross documents, may overlap, and are judged on the input. Null texts are empty; texts shorter than the threshold are
+    never removed from; documents of repeated ids count each, and a repeated row has its result once; other columns are
+    ignored; an empty table gives no rows. Every byte of every text takes part.
+
+    Names that many documents hold are told beforehand and are not shuffled; surroundings of anchors are merged within
+    each task before they meet, so copies don't pile up. Anchors whose name over ``crowded`` documents hold (by default a
+    sixteenth of all, at least 1,000 and at most 20,000) are dealt out by their surroundings; the result is the same.
+    """
+    cut = _cut(docs, id_col, text_col, threshold, crowded).dropDuplicates(["_k1", "_k2"])
+    return cut.select(F.col("_id").alias(id_col), "text_sha256", "spans", "kept")
+
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 200, crowded: int | None = None) -> DataFrame:
+    """One row per document: ``id_col, n_bytes, n_removed, n_spans, kept_sha256``, by the same cuts as ``repeats``."""
+    cut = _cut(docs, id_col, text_col, threshold, crowded)
+    cut = cut.select("_k1", "_k2", F.octet_length("kept").alias("_left"), F.size("spans").alias("_spans"), F.sha2("kept", 256).alias("_kept_sha")).dropDuplicates(["_k1", "_k2"])
+    raw = F.coalesce("_raw", F.lit(b""))
+    all_docs = _keyed(docs, id_col, text_col).select("_id", "_k1", "_k2", F.octet_length(raw).cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("_sha"))
+    return all_docs.join(cut, ["_k1", "_k2"], "left").select(
+        F.col("_id").alias(id_col),
         "n_bytes",
         (F.col("n_bytes") - F.coalesce(F.col("_left").cast("long"), F.col("n_bytes"))).alias("n_removed"),
         F.coalesce(F.col("_spans"), F.lit(0)).cast("long").alias("n_spans"),
