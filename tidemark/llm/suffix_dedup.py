@@ -33,12 +33,12 @@ from tidemark.llm.common import durable, join_spread
 
 #: Odd bases of the two names.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: A name that more than one of so many documents holds is a frequent one.
+#: A name is frequent if it occurs more often than once in so many documents.
 FREQUENT = 512
-#: Documents of a name from which it is crowded at any rate, and below which it is not.
+#: Occurrences of a name from which it is crowded at any rate, and below which it is not.
 CROWDED, NOT_CROWDED = 20_000, 1000
 #: Distinct surroundings that a task merges before it sends them, and that it solves at a time.
-MERGED, SOLVED = 100_000, 20_000
+MERGED, SOLVED = 60_000, 20_000
 #: Where an anchor is: two halves of its document's 128-bit key, and the place.
 MEMBER, MEMBER_SIZE = "<qqi", struct.calcsize("<qqi")
 MEMBERS = np.dtype([("k1", "<i8"), ("k2", "<i8"), ("place", "<i4")])
@@ -181,7 +181,7 @@ def _unique_names(raw, length: int, threshold: int) -> tuple[np.ndarray, np.ndar
 
 
 def frequent_names(texts: DataFrame, total: int, length: int, threshold: int) -> dict[int, int]:
-    """Names of anchors that over one of ``FREQUENT`` documents hold, with a lower bound of how many do.
+    """Names of anchors that occur at least once in ``FREQUENT`` documents, with a lower bound of how often they do.
 
     A task counts the names of 2,048 documents at a time and sends those over that share, so any name of twice the share is
     found, and there are at most ``FREQUENT`` times as many as anchors in a mean document: about 30,000 at 3 kB a document.
@@ -191,7 +191,7 @@ def frequent_names(texts: DataFrame, total: int, length: int, threshold: int) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                names = [_unique_names(part.column(0)[i].as_buffer(), length, threshold)[0] for i in range(part.num_rows)]
+                names = [anchors(Names(part.column(0)[i].as_buffer()), length, threshold)[1] for i in range(part.num_rows)]
                 found, n = np.unique(np.concatenate(names), return_counts=True)
                 often = n >= max(2, -(-part.num_rows // FREQUENT))
                 yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], names=["name", "n"])
@@ -421,8 +421,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     ignored; an empty table gives no rows. Every byte of every text takes part.
 
     Names that many documents hold are told beforehand and are not shuffled; surroundings of anchors are merged within
-    each task before they meet, so copies don't pile up. Anchors whose name over ``crowded`` documents hold (by default a
-    sixteenth of all, at least 1,000 and at most 20,000) are dealt out by their surroundings; the result is the same.
+    each task before they meet, so copies don't pile up. Anchors whose name occurs over ``crowded`` times (by default once
+    in sixteen documents, at least 1,000 and at most 20,000) are dealt out by their surroundings; the result is the same.
     """
     cut = _cut(docs, id_col, text_col, threshold, crowded).dropDuplicates(["_k1", "_k2"])
     return cut.select(F.col("_id").alias(id_col), "text_sha256", "spans", "kept")
