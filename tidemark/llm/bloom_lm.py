@@ -1,9 +1,10 @@
 """Language-model scoring with a log-frequency Bloom filter of quantised bigram counts.
 
-Documents are dealt into blocks by a hash of their id. Each block names its distinct words and bigrams once; shards of
-words and bigrams add up the counts of all blocks, hand every block the exact counts of its own words, and hold their
-bigrams' counts, quantised to powers of two, as one segment of a log-frequency Bloom filter: a bigram counted c times is
-entered at the levels 1 to 1 + floor(log2 c), and is read back by probing level after level up to the first miss.
+Documents are dealt into blocks of about equal bytes by a hash of id and text. Each block names its distinct words and
+bigrams once; shards of words and bigrams add up the counts of all blocks, hand every block the exact counts of its own
+words, and hold their bigrams' counts, quantised to powers of two, as one segment of a log-frequency Bloom filter: a bigram
+counted c times is entered at the levels 1 to 1 + floor(log2 c), and is read back by probing level after level up to the
+first miss.
 The filter is broadcast in slices of checked size and the documents are scored once a slice; one slice is the rule.
 """
 
@@ -22,6 +23,8 @@ from tidemark.llm.common import durable
 BITS, PROBES = 10, 5
 #: Share of a bigram's probability left to its second word alone.
 BACKOFF = 0.4
+#: Bytes of text in a block, about.
+BLOCK = 16 << 20
 #: Ends of a text as second and first word of a bigram.
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -91,17 +94,20 @@ def build_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def laid_out(segments: dict[int, bytes], total: int) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Segments end to end, with the size and the place in bits of each of ``total`` shards; size 0 for those not held."""
+    size, base, at = np.zeros(total, dtype=np.uint64), np.zeros(total, dtype=np.uint64), 0
+    for s, b in segments.items():
+        size[s], base[s] = 8 * len(b), at
+        at += 8 * len(b)
+    return size, base, b"".join(segments.values())
+
+
 class Filter:
-    """Segments of the filter, laid end to end; ``shards`` says which shards they are, of ``total``."""
+    """Segments of the filter as ``laid_out``; the bytes are used where they are."""
 
-    def __init__(self, segments: dict[int, bytes], total: int):
-        self.size = np.zeros(total, dtype=np.uint64)
-        self.base = np.zeros(total, dtype=np.uint64)
-        at = 0
-        for s, b in segments.items():
-            self.size[s], self.base[s] = 8 * len(b), at
-            at += 8 * len(b)
-        self.bits = np.frombuffer(b"".join(segments.values()), dtype=np.uint8)
+    def __init__(self, size: np.ndarray, base: np.ndarray, bits: bytes):
+        self.size, self.base, self.bits = size, base, np.frombuffer(bits, dtype=np.uint8)
 
     def holds(self, shard: np.ndarray) -> np.ndarray:
         return self.size[shard] > 0
@@ -127,9 +133,10 @@ def typical_count(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, 0.75 * np.exp2(levels) - 0.5, 0.0)
 
 
-def _in_blocks(docs: DataFrame, id_col: str, text_col: str, per_block: int) -> tuple[DataFrame, int]:
-    blocks = max(1, -(-docs.count() // per_block))
-    block = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+def _in_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> tuple[DataFrame, int]:
+    size = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 16), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block_bytes))
+    block = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int")
     # ids go as text, which holds a null where pandas would make numbers of another kind
     return docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"), block.alias("_block"), held_out(id_col).alias("_held")), blocks
 
@@ -196,7 +203,12 @@ def _total(gathered: DataFrame) -> DataFrame:
 
 
 def _score_block(docs: pd.DataFrame, counted: pd.DataFrame, held: Filter, shards: int, n_tokens: int, n_words: int, n_texts: int, whole: bool) -> pd.DataFrame:
-    """``_id, held_out, n_tokens, n_known, base_score, score`` of a block; without ``whole`` only the slice's bigrams are scored."""
+    """``_row, _id, held_out, n_tokens, n_known, base_score, score`` of a block; without ``whole`` only the slice's bigrams are scored.
+
+    Rows are numbered in the order of id and text, so those of several slices are told to be the same; rows that repeat
+    both have the same scores.
+    """
+    docs = docs.sort_values(["_id", "_text"], ignore_index=True)
     count_of: dict[bytes, int] = {}
     for words, counts in zip(counted["words"], counted["counts"], strict=True):
         count_of.update(zip(words.split(b"\n"), np.frombuffer(counts, "<i8").tolist(), strict=True))
@@ -239,31 +251,31 @@ def _score_block(docs: pd.DataFrame, counted: pd.DataFrame, held: Filter, shards
     if texts:
         flush(texts)
     columns = [np.concatenate(x) if x else np.empty(0) for x in out]
-    return pd.DataFrame({"_id": docs["_id"], "held_out": docs["_held"], "n_tokens": columns[0], "n_known": columns[1], "base_score": columns[2], "score": columns[3]})
+    return pd.DataFrame({"_block": docs["_block"], "_row": np.arange(len(docs)), "_id": docs["_id"], "held_out": docs["_held"], "n_tokens": columns[0], "n_known": columns[1], "base_score": columns[2], "score": columns[3]})
 
 
 def _scorer(shared, shards: int, n_tokens: int, n_words: int, n_texts: int, whole: bool):
     """The function over a block's documents and counts for one broadcast slice of the filter."""
 
     def run(docs: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
-        return _score_block(docs, counted, Filter(shared.value, shards), shards, n_tokens, n_words, n_texts, whole)
+        return _score_block(docs, counted, Filter(*shared.value), shards, n_tokens, n_words, n_texts, whole)
 
     return run
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_block: int = 5000, slice_bytes: int = 256 << 20) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK, slice_bytes: int = 128 << 20) -> DataFrame:
     """One row per document: ``id_col, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Learns from documents whose crc32(id) mod 7 is not 2. Tokens are words (A-Z lowered) and one end. ``base_score`` adds
     log10 of exact add-one unigram probabilities; ``score`` of 0.6 * c(a b)/c(a) + 0.4 * P(b), the bigram count read
     back from the filter and never above the exact counts of its words; after an unseen word P(b) alone. Null and empty
-    texts have the end alone; an empty table gives no rows; repeated ids are separate documents and train as such; other
-    columns are ignored. Blocks hold about ``per_block`` documents; the shards are as many as the blocks. The filter
-    grows with the training text; no more than ``slice_bytes`` of it is collected and broadcast at a time, and the
-    documents are scored again for every further slice.
+    texts have the end alone; an empty table gives no rows; repeated ids are separate documents and train as such; other columns are ignored. Blocks hold
+    about ``block_bytes`` of text; the shards are as many as the blocks. The filter grows with the training text; no more
+    than ``slice_bytes`` of it is collected and broadcast at a time, and the documents are scored again for every further
+    slice.
     """
     spark = docs.sparkSession
-    blocked, blocks = _in_blocks(docs, id_col, text_col, per_block)
+    blocked, blocks = _in_blocks(docs, id_col, text_col, block_bytes)
     shards = max(8, blocks)
     totals = durable(_total(_gather(blocked, shards)))
     segments = totals.where("_block = -1")
@@ -281,19 +293,17 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_b
         slices[-1].append(shard)
         room -= size
     id_type = docs.schema[id_col].dataType.simpleString()
-    kinds = f"_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    kinds = "_block int, _row long, _id string, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     out = None
     for number, shard_list in enumerate(slices):
         held = {r[0]: bytes(r[1]) for r in segments.where(F.col("_shard").isin(shard_list)).select("_shard", "bits").toLocalIterator()}
         if number == 0:  # shards that no block has anything for hold an empty segment
             held |= {n: bytes(8) for n in set(range(shards)) - {n for n, _ in sizes}}
-        shared = spark.sparkContext.broadcast(held)
-
+        shared = spark.sparkContext.broadcast(laid_out(held, shards))
         scorer = _scorer(shared, shards, n_tokens, n_words, n_texts, number == 0)
         part = blocked.groupBy("_block").cogroup(counted.groupBy("_in")).applyInPandas(scorer, kinds)
         out = part if out is None else out.unionByName(part)
     if len(slices) > 1:
-        if docs.groupBy(id_col).count().where("count > 1").limit(1).count():
-            raise ValueError("scoring in several slices needs unique ids")
-        out = out.groupBy("_id").agg(F.first("held_out").alias("held_out"), F.first("n_tokens").alias("n_tokens"), F.first("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
+        same = [F.first(c).alias(c) for c in ("_id", "held_out", "n_tokens", "n_known")]
+        out = out.groupBy("_block", "_row").agg(*same, F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
     return out.select(F.col("_id").cast(id_type).alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
