@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -9,15 +10,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROW, numbered
+from tidemark.llm.common import ROW, durable, numbered
 
 #: Hash buckets of byte trigrams.
 DIMS = 1 << 13
-#: Labelled documents drawn for each language at most; the only sample that is taken.
-PER_LANGUAGE = 300
+#: Labelled documents drawn for each language at most, and for all together; the only sample that is taken.
+PER_LANGUAGE, IN_ALL = 300, 20_000
 #: Bytes of a text that are counted at a time.
 CHUNK = 1 << 20
 #: Families of languages by ISO 639-1 code. A language outside the table is a family by itself.
@@ -128,16 +128,21 @@ def learnable(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 != 0
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model | None:
-    """A model from at most ``per_language`` labelled documents of each language, drawn by a hash of their ids.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, in_all: int = IN_ALL) -> Model | None:
+    """A model from at most ``per_language`` labelled documents of each language and ``in_all`` of all, drawn by a hash.
 
-    None if no document has a language and a letter. The draw ranks ids alone; the drawn rows fetch their texts after.
+    None if no document has a language and a letter. Of each language those documents are drawn whose hash of id and text
+    lies below a bound, so that half as many again as wanted are in the mean; those of lowest hash are used. Rows that repeat
+    id and text count once.
     """
     labelled = docs.where(learnable(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    by_hash = W.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id")
-    drawn = labelled.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang")).withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= per_language)
-    drawn = drawn.select("_id", "_lang").distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(drawn), "_id")
+    labelled = labelled.select(F.xxhash64(id_col, text_col).alias("_hash"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    sizes = durable(labelled.groupBy("_lang").agg(F.approx_count_distinct("_hash").alias("_size")))
+    most = F.least(F.lit(per_language), F.greatest(F.lit(1), F.lit(in_all) / F.col("_languages")))
+    share = F.least(F.lit(1.0), (1.5 * most + 20) / F.col("_size"))
+    bounds = sizes.join(F.broadcast(sizes.agg(F.count("*").alias("_languages")))).select("_lang", share.alias("_share"), most.cast("int").alias("_most"))
+    unit = F.shiftrightunsigned("_hash", 11) / float(1 << 53)
+    texts = labelled.join(F.broadcast(bounds), "_lang").where(unit < F.col("_share")).dropDuplicates(["_hash", "_lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,12 +152,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 at = np.flatnonzero(v)
                 places.append(at.astype("<u2").tobytes())
                 values.append(v[at].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=["_lang", "at", "v"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (0, 2, 3)), pa.array(places, pa.binary()), pa.array(values, pa.binary())], names=["_lang", "_hash", "_most", "at", "v"])
 
-    rows = texts.select("_lang", "_text").mapInArrow(run, "_lang string, at binary, v binary").collect()
-    if not rows:
+    drawn = texts.select("_lang", "_text", "_hash", "_most").mapInArrow(run, "_lang string, _hash long, _most int, at binary, v binary").collect()
+    if not drawn:
         return None
-    rows.sort(key=lambda r: (r[0], bytes(r[1]), bytes(r[2])))  # any order of the rows gives the same model
+    drawn.sort(key=lambda r: (r[0], r[1] % (1 << 64)))  # any order of the rows gives the same model
+    used, rows = Counter(), []
+    for lang, _, most_of, at, v in drawn:
+        used[lang] += 1
+        if used[lang] <= most_of:
+            rows.append((lang, at, v))
     x = np.zeros((len(rows), DIMS), dtype=np.float32)
     for i, (_, at, v) in enumerate(rows):
         x[i, np.frombuffer(at, "<u2")] = np.frombuffer(v, np.float32)
