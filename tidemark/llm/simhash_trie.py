@@ -21,9 +21,11 @@ from tidemark.llm.common import ROW, components, durable, join_spread, numbered
 
 BITS = 64
 #: Node pairs that one step of the trie join takes down together.
-FRONTIER = 1 << 18
+FRONTIER = 1 << 16
 #: Products of node sizes from which a pair of nodes is no longer split but compared outright.
 OUTRIGHT = 64
+#: Pairs found, above as many as there are fingerprints, at which they are thinned to a spanning forest.
+HELD = 1 << 18
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -83,10 +85,16 @@ def trie_self_join(fps: np.ndarray, roots: np.ndarray, depth: np.ndarray, budget
     """Pairs of indices of fingerprints under the same root at most ``budget`` bits apart.
 
     ``fps`` are uint64, ascending within each root; ``roots`` are the first index of each root and the end; ``depth`` is
-    how many leading bits each root's fingerprints share. A node is a range of the array. Only enough pairs to connect
-    what is linked are returned when a node's fingerprints are all within the budget of each other.
+    how many leading bits each root's fingerprints share. A node is a range of the array. Pairs are thinned to a spanning
+    forest whenever many are held, so fewer are returned than there are fingerprints, and memory is bounded in dense balls.
     """
-    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    out_a, out_b, found = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+
+    def thinned() -> tuple[np.ndarray, np.ndarray]:
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        keep = spanning(a, b)
+        return a[keep], b[keep]
+
     lo, hi = roots[:-1].astype(np.int64), roots[1:].astype(np.int64)
     big = hi - lo > 1
     stack = [(lo[big], hi[big], lo[big], hi[big], depth[big].astype(np.int64), np.zeros(int(big.sum()), np.int64))]
@@ -107,6 +115,10 @@ def trie_self_join(fps: np.ndarray, roots: np.ndarray, depth: np.ndarray, budget
             near = (i < j) & (np.bitwise_count(fps[i] ^ fps[j]) <= budget)
             out_a.append(i[near])
             out_b.append(j[near])
+            found += int(near.sum())
+            if found > HELD + 2 * len(fps):
+                a, b = thinned()
+                out_a, out_b, found = [a], [b], len(a)
         big = ~small
         if not big.any():
             continue
@@ -125,7 +137,7 @@ def trie_self_join(fps: np.ndarray, roots: np.ndarray, depth: np.ndarray, budget
                 ok &= ~(same & (x1 - x0 == 1))  # a single fingerprint with itself
             children.append(tuple(x[ok] for x in (x0, x1, y0, y1, d + 1, e)))
         stack.append(tuple(np.concatenate(x) for x in zip(*children, strict=True)))
-    return np.concatenate(out_a), np.concatenate(out_b)
+    return thinned()
 
 
 def _split(fps: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarray) -> np.ndarray:
@@ -162,7 +174,8 @@ def links(reps: DataFrame, budget: int = 3, hot: int = 20_000) -> DataFrame:
     """Edges ``a, b`` between ids whose distinct fingerprints are at most ``budget`` bits apart.
 
     ``reps`` has ``_rep`` (long) and a distinct ``_fp`` each. Within a subtree a spanning forest of the links found
-    there is returned, so that a dense group gives no more edges than members; connectivity is that of all links.
+    there is returned, so that a dense group gives no more edges than members; connectivity is that of all links. A
+    subtree is held by one task: of those dealt out again the members share 28 bits, 37 in the mean at 10**10 fingerprints.
     """
     level1 = parts_of(0, BITS, budget + 1)
     spread = reps.select(
@@ -172,7 +185,7 @@ def links(reps: DataFrame, budget: int = 3, hot: int = 20_000) -> DataFrame:
     width = BITS // (budget + 1)
     spread = spread.withColumn("key", F.shiftrightunsigned("fp", BITS - width))
     crowded = spread.groupBy("part", "key").count().where(F.col("count") > hot).select("part", "key", F.lit(True).alias("crowded"))
-    marked = spread.join(crowded, ["part", "key"], "left")
+    marked = spread.join(F.broadcast(crowded), ["part", "key"], "left")  # at most (budget + 1) * 2**16 keys
     level2 = parts_of(width, BITS - width, budget + 1)
     again = F.array(*[F.struct((F.col("part") * 16 + i + 1).alias("part"), F.lit(width + n).alias("shared"), turned(F.col("fp"), p, n, width).alias("fp")) for i, (p, n) in enumerate(level2)])
     whole = F.array(F.struct((F.col("part") * 16).alias("part"), F.lit(width).alias("shared"), F.col("fp")))
@@ -199,9 +212,7 @@ def links(reps: DataFrame, budget: int = 3, hot: int = 20_000) -> DataFrame:
         part, key, fps, rep, shared = part[order], key[order], fps[order], rep[order], frame["shared"].to_numpy()[order]
         first = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (key[1:] != key[:-1])))
         i, j = trie_self_join(fps, np.append(first, len(fps)), shared[first], budget)
-        a, b = rep[i], rep[j]
-        keep = spanning(a, b)
-        return pd.DataFrame({"a": a[keep], "b": b[keep]})
+        return pd.DataFrame({"a": rep[i], "b": rep[j]})
 
     return dealt.repartition("part", "key").sortWithinPartitions("part", "key").mapInPandas(run, "a long, b long")
 
