@@ -56,7 +56,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``edges`` has two long columns ``a`` and ``b``. Returns ``node, component`` for every node of an edge, where
     ``component`` is the smallest node reachable. Self loops and repeated edges do no harm; null ends are ignored; no
-    edges give no rows. Each round is two joins on pre-aggregated minima (skewed nodes are split by the join) and is
+    edges give no rows. Each round is two joins with pre-aggregated minima, those of hubs where their rows are, and is
     written to the shared folder, so neither a hub's neighbours nor the graph meet in one task or on the driver.
     """
     e = durable(
@@ -65,15 +65,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct()
     )
     before = None
+    rows = e.count()
     for _ in range(max_rounds):
         # large star: every larger neighbour of u is tied to the smallest of u and its neighbours
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("_n"))
+        large = durable(join_spread(both, least, ["u"], "_n", 2 * rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: u and its smaller neighbours are tied to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n"))
         small = (
-            large.join(low, "u")
+            join_spread(large, low, ["u"], "_n", rows)
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
             .select("x.u", "x.v")
             .where("u <> v")
@@ -83,7 +84,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
+        before, rows = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
