@@ -71,3 +71,15 @@ def test_two_large_groups_beside_each_other(spark):
     rows += [(200 + i, rng.standard_normal(16).tolist(), 0) for i in range(100)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
     assert {r.vec_id: tuple(r)[1:] for r in nn_descent.near_vectors(frame).collect()} == brute(rows)
+
+
+def test_recall_on_the_larger_table(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    row = nn_descent.audit_recall(frame, nn_descent.near_vectors(frame)).first()
+    assert row.queries > 10 and row.recall >= 0.9
+
+
+def test_repeated_ids_and_rows(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 0)]
+    got = sorted(tuple(r) for r in nn_descent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]

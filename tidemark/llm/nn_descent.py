@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import components, durable, join_spread
 
 #: Vectors on a side of a tile.
-TILE = 1024
+TILE = 2048
+#: Share of new links at which rounds end, and rounds at most.
+SETTLED, ROUNDS = 0.001, 12
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -149,32 +151,41 @@ def tiles(points: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
             return pd.DataFrame({"_id": [], "_other": [], "_links": []})
         x, y, ia, ib = unit(a["_v"].tolist()), unit(b["_v"].tolist()), a["_id"].to_numpy(), b["_id"].to_numpy()
         linked = (x @ y.T >= threshold) & (ia[:, None] != ib[None, :])
+        number = linked.astype(np.float64)
         new = ~b["_asked"].to_numpy()
         square = np.zeros((len(a) + len(b),) * 2, bool)
         square[: len(a), len(a) :], square[len(a) :, : len(a)] = linked, linked.T
         i, j = forest(square)
         both = np.concatenate([ia, ib])
         frame = pd.concat([
-            pd.DataFrame({"_id": ia, "_links": linked @ b["_w"].to_numpy()}),
-            pd.DataFrame({"_id": ib[new], "_links": a["_w"].to_numpy() @ linked[:, new]}),
+            pd.DataFrame({"_id": ia, "_links": number @ b["_w"].to_numpy(np.float64)}),
+            pd.DataFrame({"_id": ib[new], "_links": a["_w"].to_numpy(np.float64) @ number[:, new]}),
             pd.DataFrame({"_id": both[i], "_other": both[j], "_links": 0}),
         ])
-        return frame.astype({"_other": "Int64"})[(frame["_links"] > 0) | frame["_other"].notna()][["_id", "_other", "_links"]]
+        return frame.astype({"_other": "Int64", "_links": "int64"})[(frame["_links"] > 0) | frame["_other"].notna()][["_id", "_other", "_links"]]
 
     return rows.unionByName(cols).groupBy("_label", "_row", "_col").applyInPandas(product, "_id long, _other long, _links long")
 
 
-def neighbour_links(points: DataFrame, threshold: float, k: int = 16, rounds: int = 3, lines: int = 4, seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """Edges ``a, b`` at the threshold found by NN-descent, and ``_id`` of the vectors whose lists are saturated."""
+def neighbour_links(points: DataFrame, threshold: float, k: int = 16, rounds: int = ROUNDS, lines: int = 4, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """Edges ``a, b`` at the threshold found by NN-descent, and ``_id`` of the vectors whose lists are saturated.
+
+    Rounds go on until one adds less than ``SETTLED`` of the links at the threshold.
+    """
     graph = durable(initial_graph(points, k, lines, seed))
+    before = None
     for _ in range(rounds):
         graph = durable(refine(points, graph, k))
+        now = graph.where(F.col("_sim") >= threshold).count()
+        if before is not None and now - before <= SETTLED * now:
+            break
+        before = now
     linked = graph.where(F.col("_sim") >= threshold) if "_sim" in graph.columns else graph.where("false")
     saturated = linked.groupBy("_id").count().where(F.col("count") >= k).select("_id")
     return linked.select(F.col("_id").alias("a"), F.col("_other").alias("b")), saturated
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, k: int = 16, rounds: int = 3) -> DataFrame:
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, k: int = 16, rounds: int = ROUNDS) -> DataFrame:
     """One row per vector: ``id_col, n_links, component_id, kept``.
 
     Vectors of one label with cosine at least ``threshold`` in double precision are linked. Null, empty and zero vectors,
