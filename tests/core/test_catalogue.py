@@ -5,7 +5,7 @@ import pytest
 from tests.compare import difference, tables
 from tidemark.plans import catalogue
 
-SLOW = {"rf_fit_score", "gbt_importance"}
+SLOW = {"rf_fit_score", "gbt_importance", "rf_attribution"}  # in test_models.py
 
 
 @pytest.fixture(scope="module")

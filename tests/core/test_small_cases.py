@@ -78,7 +78,9 @@ def test_hot_entity_is_spread_over_buckets(spark):
 
 @pytest.mark.parametrize("said, positive, negative", [
     ("I have fever.", {"fever"}, set()), ("I don't have fever.", set(), {"fever"}), ("I don't have fever but I have a cough.", {"cough"}, {"fever"}),
-    ("I have fever but I do not have a cough.", {"fever"}, {"cough"}), ("Fever is absent.", set(), {"fever"})])
+    ("I have fever but I do not have a cough.", {"fever"}, {"cough"}), ("Fever is absent.", set(), {"fever"}),
+    ("Neither fever nor cough.", set(), {"fever", "cough"}), ("Lacks fever, instead a cough.", {"cough"}, {"fever"}), ("The fever was ruled out.", set(), {"fever"}), ("I dont have fever.", set(), {"fever"}),
+    ("not a b c d e f fever", {"fever"}, set())])
 def test_negation(spark, said, positive, negative):
     from tidemark.operators import matching
 
@@ -92,11 +94,38 @@ def test_lab_lines(spark):
     lines = ["Blood Pressure: 135/88 mmHg", "Glucose: 5.5 mmol/L", "platelets 2.4 lakhs/cumm", "Creatinine 100 µmol/L", "HbA1c: 48 mmol/mol", "nothing here", None, ""]
     items = lab_lines.judged(lab_lines.converted(lab_lines.parsed(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))))
     got = {(r.kind, r.value, r.unit) for r in items.collect()}
-    assert got == {("systolic", 135.0, "mmHg"), ("diastolic", 88.0, "mmHg"), ("glucose", 99.1, "mg/dL"), ("platelets", 240.0, "10^3/uL"), ("creatinine", 1.13, "mg/dL"), ("hba1c", 6.54, "%")}
+    assert got == {("systolic", 135.0, "mmHg"), ("diastolic", 88.0, "mmHg"), ("glucose", 99.1, "mg/dL"), ("platelets", 240.0, "10³/µL"), ("creatinine", 1.13, "mg/dL"), ("hba1c", 6.54, "%")}
 
 
-def test_sound_codes_and_ratios():
-    assert text.sound_code("pfister") == "P123" and text.sound_code("ashcraft") == "A226" and text.sound_code("") == ""
+@pytest.mark.parametrize("kind, value, unit, want", [
+    ("HbA1c", 150.0, "mmol/mol", (15.87, "%")), ("hemoglobin a1c", 26.0, "", (4.53, "%")), ("HbA1c", 6.1, "", (6.1, "%")), ("Leukocytes in blood", 7600.0, "/cumm", (7.6, "10³/µL")), ("Leukocytes", 110.0, "x", (110.0, "10³/µL")),
+    ("Leukocytes", 130.0, "x", (0.13, "10³/µL")), ("Leukocytes", 7.6, "/µL", (7.6, "10³/µL")), ("Platelet count", 250000.0, "/cumm", (250.0, "10³/µL")), ("Platelets", 2.5, "Lac/cumm", (250.0, "10³/µL")), ("HDL Cholesterol", 1.0, "mmol/L", (38.7, "mg/dL")),
+    ("Triglycerides", 2.0, "mmol/l", (177.1, "mg/dL")), ("Bilirubin total", 20.0, "µmol/L", (1.17, "mg/dL")), ("Glucose", 90.0, "", (90.0, "mg/dL")), ("Sodium", 140.0, "mmol/L", (140.0, "mmol/L"))])
+def test_units(spark, kind, value, unit, want):
+    row = lab_lines.converted(spark.createDataFrame([(kind, value, unit)], "kind string, value double, unit string")).first()
+    assert (row.value, row.unit) == want
+
+
+def test_repeats_go_before_units_are_trimmed(spark):
+    rows = [(1, day("2024-01-01"), "g", v, u) for v, u in ((1.0, "mg"), (1.0, "mg "), (4.0, "mg"), (4.0, "mg"))]
+    row = cleaning.clean(spark.createDataFrame(rows, OBS)).first()
+    assert (row.value, row.n_raw, row.unit) == (2.0, 3, "mg")
+
+
+def test_reports(spark):
+    lines = [(1, "Patient report"), (2, "B.P.: 135/88"), (3, "Glucose: 5.5 mmol/L H"), (4, "Haemoglobin      13.2   g/dL"), (5, "Sodium 140 mmol/L"), (6, "Creatinine"), (7, "1,2 mg/dL"), (8, "Glucose 7 mmol/L"), (9, None), (10, "120/80 mm Hg")]
+    names = spark.createDataFrame([("glucose", "glucose"), ("Haemoglobin", "hb"), ("sodium", "na"), ("creatinine", "creatinine")], "alias string, kind string")
+    rows = lab_lines.report_items(spark.createDataFrame([("d", *x) for x in lines], "doc string, no int, line string"), names).collect()
+    got = {(r.kind, r.value, r.unit, r.line, r.confidence) for r in rows}
+    assert got == {("systolic", 135.0, "mmHg", 2, 0.95), ("diastolic", 88.0, "mmHg", 2, 0.95), ("glucose", 99.1, "mg/dL", 3, 1.0), ("hb", 13.2, "g/dL", 4, 1.0), ("na", 140.0, "mmol/L", 5, 1.0), ("creatinine", 12.0, "mg/dL", 6, 0.9)}
+
+
+def test_sound_codes_and_ratios(spark):
+    words = {"pfister": "P123", "ashcraft": "A226", "": "", "blood": "B430", "blud": "B430", "A": "A000"}
+    words["blood"] = words["blud"] = "B430"
+    got = {r.w: r.s for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", text.sounds(F.col("w")).alias("s")).collect()}
+    assert got == words
+    assert text.partial("ab", "xxabxx") == 1.0 and text.token_set("a b", "b a c") == 1.0 and text.token_sort("b a", "a b") == 1.0 and text.partial("", "x") == 0.0
     assert text.indel("abc", "abd") == pytest.approx(4 / 6) and text.indel("", "") == 1.0 and text.indel("a", "") == 0.0
 
 

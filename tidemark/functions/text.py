@@ -7,22 +7,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Contractions and what they stand for.
-CONTRACTIONS = (("don't", "do not"), ("doesn't", "does not"), ("didn't", "did not"), ("haven't", "have not"), ("hasn't", "has not"), ("isn't", "is not"), ("aren't", "are not"), ("wasn't", "was not"), ("can't", "can not"), ("i'm", "i am"), ("i've", "i have"))
+#: Contractions, with and without the apostrophe, and what they stand for.
+CONTRACTIONS = (
+    ("don't", "do not"), ("dont", "do not"), ("doesn't", "does not"), ("doesnt", "does not"), ("didn't", "did not"), ("didnt", "did not"), ("can't", "cannot"), ("cant", "cannot"),
+    ("couldn't", "could not"), ("couldnt", "could not"), ("isn't", "is not"), ("isnt", "is not"), ("aren't", "are not"), ("arent", "are not"), ("wasn't", "was not"), ("wasnt", "was not"),
+    ("weren't", "were not"), ("werent", "were not"), ("haven't", "have not"), ("havent", "have not"), ("hasn't", "has not"), ("hasnt", "has not"), ("hadn't", "had not"), ("hadnt", "had not"),
+    ("i'm", "i am"), ("im", "i am"), ("i've", "i have"), ("ive", "i have"),
+)
 #: Words that negate what follows, words that negate what precedes, and words that end a clause.
-CUES_BEFORE = ("no", "not", "never", "without", "denies", "deny", "negative", "absence")
-CUES_AFTER = ("absent", "denied", "negative", "resolved")
-CLAUSE_ENDS = ("but", "however", "although", "though", "except", "yet")
+CUES_BEFORE = ("no", "not", "never", "without", "neither", "nor", "deny", "denies", "denied", "absent", "lack", "lacks", "lacking", "negative", "ruled")
+CUES_AFTER = ("not", "absent", "negative")
+CLAUSE_ENDS = ("but", "however", "although", "though", "except", "instead", "yet")
 #: Words that carry no content.
 STOP = ("a", "an", "the", "of", "any", "i", "have", "has", "is", "was", "there", "to", "and", "do")
 
 
 def normalised(text: Column) -> Column:
-    """Lower case, contractions written out, all but letters, digits and inner decimal points blanked, blanks squeezed."""
-    out = F.replace(F.lower(text), F.lit("’"), F.lit("'"))
+    """Lower case, contracted words written out, all but letters, digits and inner decimal points blanked, blanks squeezed."""
+    plain = F.regexp_replace(F.replace(F.lower(text), F.lit("’"), F.lit("'")), r"[^a-z0-9.']+|\.(?![0-9])", " ")
+    out = F.concat(F.lit(" "), F.replace(plain, F.lit(" "), F.lit("  ")), F.lit(" "))  # each word between blanks of its own
     for short, long in CONTRACTIONS:
-        out = F.replace(out, F.lit(short), F.lit(long))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[^a-z0-9.]+|\.(?![0-9])", " "), r" +", " "))
+        out = F.replace(out, F.lit(f" {short} "), F.lit(f" {long} "))
+    return F.trim(F.regexp_replace(out, r"[ ']+", " "))
 
 
 def tokens(normal: Column) -> Column:
@@ -43,20 +49,41 @@ def negated(words: Column, first: Column, count: Column, before: int = 6, after:
     """Whether the ``count`` words from number ``first`` (from 1) on are negated.
 
     A cue among the ``before`` words ahead of them negates unless a clause ends between; so does one among the ``after``
-    words behind them.
+    words behind them up to a clause's end, and ``ruled out`` among all of these.
     """
     start = F.greatest(F.lit(1), first - before)
     ahead = F.slice(words, start, first - start)
-    stop = F.greatest(*[F.coalesce(_last_position(ahead, w), F.lit(0)) for w in CLAUSE_ENDS])
-    cue = F.greatest(*[F.coalesce(_last_position(ahead, w), F.lit(0)) for w in CUES_BEFORE])
     behind = F.slice(words, first + count, after)
-    end = F.coalesce(F.array_min(F.filter(F.array(*[F.array_position(behind, w) for w in CLAUSE_ENDS]), lambda x: x > 0)), F.lit(after + 1))
-    late = F.exists(F.slice(behind, 1, F.greatest(F.lit(0), end.cast("int") - 1)), lambda w: w.isin(*CUES_AFTER))
-    return (cue > stop) | late
+    early = _last_position(ahead, CUES_BEFORE) > _last_position(ahead, CLAUSE_ENDS)
+    late = _first_position(behind, CUES_AFTER) < _first_position(behind, CLAUSE_ENDS)
+    ruled = F.concat(F.lit(" "), F.concat_ws(" ", behind), F.lit(" ")).contains(" ruled out ")
+    return early | late | ruled
 
 
-def _last_position(words: Column, word: str) -> Column:
-    return F.array_max(F.transform(words, lambda w, i: F.when(w == word, i + 1).otherwise(0)))
+def _last_position(words: Column, some: tuple[str, ...]) -> Column:
+    """Place from 1 of the last of ``some`` words; 0 for none."""
+    return F.coalesce(F.array_max(F.transform(words, lambda w, i: F.when(w.isin(*some), i + 1).otherwise(0))), F.lit(0))
+
+
+def _first_position(words: Column, some: tuple[str, ...]) -> Column:
+    """Place from 1 of the first of ``some`` words; 99 for none."""
+    return F.coalesce(F.array_min(F.transform(words, lambda w, i: F.when(w.isin(*some), i + 1).otherwise(99))), F.lit(99))
+
+
+#: Words that speak of pain, and phrases that give a value of it from 0 to 10.
+PAIN = ("pain", "ache", "aching", "hurt", "hurts", "painful")
+PAIN_VALUES = {
+    "intensity": (r"\bpain\s+intensity\s+(?:is|at|of)\s+(10|[0-9])\b", r"\bintensity\s+of\s+the\s+pain\s+(?:is|at|of)\s+(10|[0-9])\b", r"\bpain\s+level\s+(?:is|at|of)\s+(10|[0-9])\b", r"\bpain\s+is\s+(10|[0-9])\s*(?:/10|out\s+of\s+10)\b"),
+    "onset": (r"\bpain\s+onset\s+(?:is|at|of)\s+(10|[0-9])\b", r"\bpain\s+appeared\s+(?:at|with)\s+(10|[0-9])\b", r"\bpain\s+started\s+(?:at|with)\s+(10|[0-9])\b"),
+    "precision": (r"\bpain\s+locali[sz]ation\s+(?:is|at|of)\s+(10|[0-9])\b", r"\bpain\s+location\s+(?:is|at|of)\s+(10|[0-9])\b", r"\blocali[sz]ation\s+precision\s+(?:is|at|of)\s+(10|[0-9])\b"),
+}
+
+
+def pain_value(text: Column, which: str) -> Column:
+    """The value from 0 to 10 that a text gives for its pain's intensity, onset or precision of place; null for none."""
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.replace(F.lower(text), F.lit("’"), F.lit("'")), F.lit("-"), F.lit(" ")), r"[^a-z0-9\s']", " "), r"\s+", " "))
+    found = F.coalesce(*[F.nullif(F.regexp_extract(plain, p, 1), F.lit("")) for p in PAIN_VALUES[which]])
+    return F.when(plain.rlike(r"\b(" + "|".join(PAIN) + r")\b"), found.cast("int"))
 
 
 def intensity(text: Column) -> Column:
@@ -85,31 +112,52 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def token_sort(a: str, b: str) -> float:
     """``indel`` of two texts with their words sorted."""
-    return pd.Series([None if x is None or y is None else indel(" ".join(sorted(x.split())), " ".join(sorted(y.split()))) for x, y in zip(a, b, strict=True)], dtype="float64")
+    return indel(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+def partial(a: str, b: str) -> float:
+    """The best ``indel`` of the shorter text with a stretch of the longer one of its length, or a shorter one at either end."""
+    short, long = sorted((a, b), key=len)
+    if not short:
+        return float(not long)
+    n, spare = len(short), len(long) - len(short)
+    whole = (long[i : i + n] for i in range(spare + 1))
+    ends = (x for k in range(1, n) for x in (long[:k], long[-k:]))
+    return max(indel(short, x) for x in (*whole, *ends))
+
+
+def token_set(a: str, b: str) -> float:
+    """The best ``indel`` of the words that two texts share and of these with what is left of either."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both, one, other = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+    if both and (not one or not other):
+        return 1.0
+    first, second = f"{both} {one}".strip(), f"{both} {other}".strip()
+    return max(indel(first, second), *((indel(both, first), indel(both, second)) if both else (0.0,)))
+
+
+def _ratio_udf(ratio):
+    @F.pandas_udf(T.DoubleType())
+    def of_pairs(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return of_pairs
+
 
+#: Ratios of pairs of short strings, for pairs that joins have made distinct; nulls give null.
+token_sort_ratio, partial_ratio, token_set_ratio = _ratio_udf(token_sort), _ratio_udf(partial), _ratio_udf(token_set)
 
-#: Sound classes of consonants.
-_SOUNDS = {c: str(i) for i, cs in enumerate(("bfpv", "cgjkqsxz", "dt", "l", "mn", "r"), 1) for c in cs}
+#: Letters with a sound class and the classes of them.
+_LETTERS, _CLASSES = "bfpvcgjkqsxzdtlmnr", "111122222222334556"
 
 
-def sound_code(word: str) -> str:
+def sounds(word: Column) -> Column:
     """A letter and three digits; every other letter, vowels and h, w alike, ends a run, and the first letter's class is not counted."""
-    letters = [c for c in word.lower() if "a" <= c <= "z"]
-    if not letters:
-        return ""
-    out, run = letters[0].upper(), ""
-    for c in letters[1:]:
-        code = _SOUNDS.get(c, "")
-        if code and code != run:
-            out += code
-        run = code
-    return (out + "000")[:4]
-
-
-@F.pandas_udf(T.StringType())
-def sounds(words: pd.Series) -> pd.Series:
-    """``sound_code`` of each word; null stays null."""
-    return words.map(lambda w: None if w is None else sound_code(w))
+    letters = F.regexp_replace(F.lower(word), "[^a-z]", "")
+    coded = F.regexp_replace(F.translate(F.substring(letters, 2, 1_000), _LETTERS, _CLASSES), "[a-z]", "0")
+    digits = F.replace(F.regexp_replace(coded, r"([1-6])\1+", "$1"), F.lit("0"), F.lit(""))
+    return F.when(letters == "", "").otherwise(F.rpad(F.concat(F.upper(F.left(letters, F.lit(1))), digits), 4, "0"))

@@ -10,6 +10,9 @@ from tidemark.operators.splits import signature
 #: Tokens before all codes in a vocabulary.
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
 
+#: Spellings of each sex, whose numbers are their places.
+SEXES = (("f", "female", "0"), ("m", "male", "1"), ("u", "unknown", "2"))
+
 #: Added before scores are rounded, so that halves go the same way in whatever order the parts are summed.
 TIE = 3.7e-8
 
@@ -74,6 +77,22 @@ def encoded(cases: DataFrame, vocab: DataFrame, length: int) -> DataFrame:
     return cases.join(F.broadcast(ids)).select("case_id", padded.alias("input_ids"), mask.alias("attention_mask"))
 
 
+def age_statistics(cases: DataFrame, split: str = "split") -> DataFrame:
+    """``age_mean, age_std``: mean and population deviation of the training rows' ages alone; a deviation of 0 counts as 1."""
+    one = cases.where(F.col(split) == "train").agg(F.avg("age").alias("age_mean"), F.stddev_pop("age").alias("age_std"))
+    return one.select("age_mean", F.when(F.col("age_std") > 0, F.col("age_std")).otherwise(1.0).alias("age_std"))
+
+
+def person(cases: DataFrame, statistics: DataFrame) -> DataFrame:
+    """``case_id, age_z, sex_id``: ages standardised by the training statistics and sexes by number; nulls for what is not valid."""
+    age, sex = F.col("age").try_cast("double"), F.lower(F.trim(F.coalesce(F.col("sex").cast("string"), F.lit(""))))
+    number = F.lit(None).cast("int")
+    for i, names in enumerate(SEXES):
+        number = F.when(sex.isin(*names), i).otherwise(number)
+    joined = cases.join(F.broadcast(statistics))
+    return joined.select("case_id", F.when(age.between(0, 130), (age - F.col("age_mean")) / F.col("age_std")).alias("age_z"), number.alias("sex_id"))
+
+
 def normalised_shares(shares: DataFrame, by: str, weight: str) -> DataFrame:
     """``shares`` with ``share``: a weight against the sum of its group's; groups without weight have nulls."""
     total = shares.groupBy(by).agg(F.sum(weight).alias("_total"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranking import quantiles
+
 KEYS = ("entity", "ts", "kind", "value", "unit")
 
 
@@ -23,12 +25,12 @@ def coerced(raw: DataFrame) -> DataFrame:
 def clean(obs: DataFrame, kinds: tuple[str, ...] | None = None) -> DataFrame:
     """One row per (entity, ts, kind, unit): ``value`` is the mean of the distinct values, ``n_raw`` how many there were.
 
-    Rows of other kinds go, exact repeats count once, units are trimmed and null units empty. Averages are partial before
-    the shuffle on the group's own key.
+    Rows of other kinds go, exact repeats count once, and only then units are trimmed and null units empty, so that rows
+    whose units differ in blanks count each. Averages are partial before the shuffle on the group's own key.
     """
     kept = obs.where(F.col("kind").isin(*kinds)) if kinds else obs
-    units = kept.withColumn("unit", F.trim(F.coalesce("unit", F.lit(""))))
-    return units.dropDuplicates(list(KEYS)).groupBy("entity", "ts", "kind", "unit").agg(F.avg("value").alias("value"), F.count("*").alias("n_raw"))
+    once = kept.dropDuplicates(list(KEYS)).withColumn("unit", F.trim(F.coalesce("unit", F.lit(""))))
+    return once.groupBy("entity", "ts", "kind", "unit").agg(F.avg("value").alias("value"), F.count("*").alias("n_raw"))
 
 
 def repeated_rows(obs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -46,9 +48,8 @@ def unit_mix(obs: DataFrame) -> DataFrame:
 
 def spread(obs: DataFrame, by: str = "kind", value: str = "value") -> DataFrame:
     """Count, extremes and interpolated quantiles of a value per group."""
-    q = F.percentile(value, F.array(*[F.lit(x) for x in (0.01, 0.05, 0.5, 0.95, 0.99)]))
-    rolled = obs.groupBy(by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("most"), q.alias("q"))
-    return rolled.select(by, "n", "least", "most", *[F.round(F.col("q")[i], 4).alias(name) for i, name in enumerate(("p01", "p05", "p50", "p95", "p99"))])
+    shares = {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+    return quantiles(obs, value, shares, (by,)).select(by, "n", "least", "most", *[F.round(p, 4).alias(p) for p in shares])
 
 
 def history(obs: DataFrame) -> DataFrame:
@@ -59,9 +60,9 @@ def history(obs: DataFrame) -> DataFrame:
 
 def described(frame: DataFrame, value: str) -> DataFrame:
     """One row: count, mean, sample deviation, extremes and quartiles of a column."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    one = frame.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"), q.alias("q"))
-    return one.select("n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "least", "most", *[F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("p25", "p50", "p75"))])
+    one = frame.agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    cut = quantiles(frame, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return cut.join(F.broadcast(one)).select("n", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "least", "most", *[F.round(p, 4).alias(p) for p in ("p25", "p50", "p75")])
 
 
 def boundary(events: DataFrame, days: int = 90) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import BUCKETS, hash_order, hash_ranked, running
+from tidemark.operators.ranking import BUCKETS, hash_order, hash_ranked, quantiles, running
 
 #: Thresholds of a sweep.
 THRESHOLDS = (0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80)
@@ -83,8 +83,8 @@ def calibration(scored: DataFrame, bins: int = 10) -> DataFrame:
 
     Equal edges are one edge; bins are closed on the right, the first one on both sides. Only the edges are broadcast.
     """
-    cuts = F.percentile("p", F.array(*[F.lit(i / bins) for i in range(bins + 1)]))
-    edges = scored.agg(F.array_distinct(cuts).alias("edges"))
+    cuts = quantiles(scored, "p", {f"q{i}": i / bins for i in range(bins + 1)})
+    edges = cuts.select(F.array_distinct(F.array(*[F.col(f"q{i}") for i in range(bins + 1)])).alias("edges"))
     below = F.size(F.filter("edges", lambda e: e < F.col("p")))
     placed = scored.join(F.broadcast(edges)).withColumn("bin", F.greatest(below, F.lit(1)))
     rolled = placed.groupBy("bin").agg(F.count("*").alias("n"), F.min("p").alias("least"), F.max("p").alias("most"), F.round(F.avg("p"), 6).alias("mean_p"), F.round(F.avg("label"), 6).alias("rate"))
@@ -144,8 +144,9 @@ def class_summary(report: DataFrame) -> DataFrame:
 
 def top_k(candidates: DataFrame, k: int, key: str = "id", label: str = "label", score: str = "score") -> DataFrame:
     """``key`` and the ``k`` best labels in order (ties: the smaller label), for candidates in rows."""
-    best_k = F.slice(F.sort_array(F.collect_list(F.struct((-F.col(score)).alias("neg"), F.col(label).alias("label")))), 1, k)
-    return candidates.groupBy(key).agg(F.transform(best_k, lambda x: x["label"]).alias("top"))
+    ranked = rank_within(candidates.select(key, label, score), [key], [F.desc(score), F.col(label)]).where(F.col("rank") <= k)  # kept before the shuffle
+    best_k = F.sort_array(F.collect_list(F.struct("rank", F.col(label).alias("label"))))
+    return ranked.groupBy(key).agg(F.transform(best_k, lambda x: x["label"]).alias("top"))
 
 
 def rank_within(frame: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:

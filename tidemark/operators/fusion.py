@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.evaluation import rank_within
 
+#: Protocols with their scores, the one for entities that nothing else is found for, and points of severities.
+PROTOCOLS = (
+    ("Glycemic Dysregulation & Metabolic Management", 0.88),
+    ("Hypertension & Cardiovascular Risk Management", 0.82),
+    ("Renal Function Monitoring & Nephroprotection", 0.78),
+    ("Metabolic & Weight Management Protocol", 0.72),
+)
+PREVENTIVE = ("Preventive Health & Longitudinal Surveillance", 0.75)
+SEVERITY_POINTS = {"HIGH": 1.0, "MODERATE": 0.6, "MILD": 0.3, "UNKNOWN": 0.2, "NORMAL": 0.0}
 #: Weights of a recommendation's score.
 WEIGHTS = {"probability": 0.35, "relevance": 0.20, "trend": 0.15, "risk": 0.15, "safety": -0.15, "sufficiency": -0.20}
 
@@ -59,7 +68,7 @@ def recommendations(candidates: DataFrame, k: int = 3) -> DataFrame:
     """The ``k`` best of each entity's candidates, by the weighted score of their parts, with the parts kept.
 
     ``candidates``: ``entity, name, probability, relevance, trend, risk, safety, sufficiency``, each part in 0..1 or null
-    (zero). Names within an entity are compared in lower case; a name that contains a better one's is dropped by its rank.
+    (zero). Of names of an entity that are equal in lower case the best one counts.
     """
     part = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     score = sum((part(c) * w for c, w in WEIGHTS.items() if c != "sufficiency"), F.lit(0.0)) + WEIGHTS["sufficiency"] * (1 - part("sufficiency"))
@@ -68,6 +77,58 @@ def recommendations(candidates: DataFrame, k: int = 3) -> DataFrame:
     return rank_within(best, ["entity"], [F.desc("score"), F.col("name")]).where(F.col("rank") <= k)
 
 
+def relevance(signal_rows: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``entity, name, relevance, trend``: how far the signals of an entity concern each profile.
+
+    ``profiles`` (``name, kinds``) is a dimension. Relevance is the share of a profile's kinds that are abnormal; trend the
+    points of those that get worse (by severity) against the number of kinds, at most 1. Entities without a signal of a
+    profile have no row for it.
+    """
+    points = F.lit(0.2)
+    for severity, p in SEVERITY_POINTS.items():
+        points = F.when(F.col("severity") == severity, p).otherwise(points)
+    kinds = profiles.select("name", F.size(F.array_distinct("kinds")).alias("_n"), F.explode(F.array_distinct("kinds")).alias("kind"))
+    met = signal_rows.join(kinds, "kind").groupBy("entity", "name").agg(
+        F.first("_n").alias("_n"), F.count_distinct(F.when(F.col("abnormality").isin("LOW", "HIGH"), F.col("kind"))).alias("_abnormal"), F.sum(F.when(F.col("worsening"), points).otherwise(0.0)).alias("_points")
+    )
+    return met.select("entity", "name", F.round(F.col("_abnormal") / F.col("_n"), 6).alias("relevance"), F.round(F.least(F.lit(1.0), F.col("_points") / F.col("_n")), 6).alias("trend"))
+
+
+def biomarker_protocols(signal_rows: DataFrame, risks: DataFrame) -> DataFrame:
+    """``entity, name, score``: up to five protocols that an entity's signals and risk ask for.
+
+    ``signal_rows``: ``entity, kind, abnormality``; ``risks``: ``entity, risk, band``, a null risk for one not assessed.
+    Kinds are told by parts of their names. One pass: the signals of an entity are reduced to flags.
+    """
+    kind = F.lower("kind")
+    holds = lambda *parts: F.array_contains(F.array(*[kind.contains(p) for p in parts]), True)
+    any_of = lambda c, name: F.max(F.coalesce(c, F.lit(False))).alias(name)
+    a1c = holds("hemoglobin a1c", "hba1c")
+    flags = signal_rows.groupBy("entity").agg(
+        any_of((a1c & F.col("abnormality").isin("HIGH", "MILD", "NORMAL")) | (holds("fasting glucose", "glucose") & ~a1c & F.col("abnormality").isin("HIGH", "MILD")), "glycemic"),
+        any_of(holds("systolic", "diastolic"), "pressure"), any_of(holds("creatinine", "urea nitrogen", "bun"), "renal"), any_of(holds("body mass index", "bmi", "weight"), "weight"),
+    )
+    both = flags.join(risks.select("entity", "risk", "band"), "entity", "full_outer")
+    rows = [(F.coalesce(flag, F.lit(False)), F.lit(name), score) for flag, (name, score) in zip((F.col("glycemic"), F.col("pressure"), F.col("renal"), F.col("weight")), PROTOCOLS, strict=True)]
+    rows.append((F.col("risk").isNotNull(), F.concat(F.lit("90-Day Acute Risk Mitigation & Surveillance ("), F.coalesce("band", F.lit("LOW")), F.lit(" Risk)")), 0.80))
+    each = F.filter(F.array(*[F.when(c, F.struct(n.alias("name"), F.lit(s).alias("score"))) for c, n, s in rows]), lambda x: x.isNotNull())
+    return both.select("entity", F.explode(each).alias("p")).select("entity", "p.name", "p.score")
+
+
+def merged_recommendations(entities: DataFrame, conditions: DataFrame, protocols: DataFrame) -> DataFrame:
+    """``entity, name, score, origin, rank``: conditions, then the protocols that repeat none of them, then a default for entities with neither.
+
+    A protocol repeats a condition whose name is a part of its own, without regard to case. Of equal scores conditions come
+    first, then the smaller name.
+    """
+    c, p = conditions.alias("c"), protocols.alias("p")
+    repeats = (F.col("p.entity") == F.col("c.entity")) & F.lower("p.name").contains(F.lower("c.name"))
+    found = conditions.select("entity", "name", "score", F.lit("condition").alias("origin"))
+    found = found.unionByName(p.join(c, repeats, "left_anti").select("entity", "name", "score", F.lit("protocol").alias("origin")))
+    none = entities.select("entity").distinct().join(found, "entity", "left_anti").select("entity", F.lit(PREVENTIVE[0]).alias("name"), F.lit(PREVENTIVE[1]).alias("score"), F.lit("preventive").alias("origin"))
+    return rank_within(found.unionByName(none), ["entity"], [F.desc("score"), F.col("origin"), F.col("name")])
+
+
 def risk_band(p: Column, cuts: tuple[float, float, float] = (0.15, 0.30, 0.50)) -> Column:
     """LOW, MODERATE, HIGH or VERY_HIGH; the serving variant cuts at 0.20, 0.45 and 0.70."""
     return F.when(p < cuts[0], "LOW").when(p < cuts[1], "MODERATE").when(p < cuts[2], "HIGH").otherwise("VERY_HIGH")

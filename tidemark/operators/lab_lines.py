@@ -9,15 +9,27 @@ from pyspark.sql import functions as F
 LINE = r"^\s*([A-Za-z][A-Za-z0-9 /()-]*?)\s*[:=]?\s+([0-9]+(?:\.[0-9]+)?)\s*([^\s()\[\]0-9][^\s()\[\]]*)?"
 #: Two numbers joined by a slash.
 PRESSURE = r"(?i)^\s*blood pressure\s*[:=]?\s*([0-9]{2,3})\s*/\s*([0-9]{2,3})\s*([A-Za-z]*)"
-#: Kind, unit as written, factor, decimals, unit that results.
+#: Part of a kind's name, part of a unit's name, factor, decimals, and the kind's unit.
 CONVERSIONS = (
-    ("glucose", "mmol/l", 18.0182, 1, "mg/dL"),
-    ("cholesterol", "mmol/l", 38.67, 1, "mg/dL"),
-    ("triglycerides", "mmol/l", 88.57, 1, "mg/dL"),
-    ("bilirubin", "umol/l", 0.0585, 2, "mg/dL"),
-    ("creatinine", "umol/l", 0.0113, 2, "mg/dL"),
-    ("platelets", "lakhs/cumm", 100.0, 1, "10^3/uL"),
+    ("cholesterol", "mmol", 38.67, 1, "mg/dL"),
+    ("triglyceride", "mmol", 88.57, 1, "mg/dL"),
+    ("bilirubin", "umol", 0.0585, 2, "mg/dL"),
+    ("creatinine", "umol", 0.0113, 2, "mg/dL"),
 )
+#: Glucose from mmol, glycated haemoglobin from mmol/mol, and the unit of cell counts.
+GLUCOSE, A1C, CELLS = 18.0182, (0.09148, 2.152), "10³/µL"
+#: Layouts of a line of name, value and unit, tried in order; composite pressures; a value at a line's start.
+LAYOUTS = (
+    r"(?i)^\s*\|?\s*([A-Za-z0-9\s/().\-+]{2,45}?)\s*[:=\t|]+\s*([<>]?\s*[\d,]+(?:\.\d+)?)\s*([A-Za-z%µ³/\^0-9\-*]*)",
+    r"(?i)^\s*\|?\s*([A-Za-z0-9\s/().\-+]{2,45}?)\s{2,}([<>]?\s*[\d,]+(?:\.\d+)?)\s*([A-Za-z%µ³/\^0-9\-*]*)",
+    r"(?i)^\s*([A-Za-z0-9\s/().\-+]{2,40}?)\s+([<>]?\s*[\d,]+(?:\.\d+)?)\s+([A-Za-z%µ³/\^0-9\-*]+)",
+)
+PRESSURES = (
+    r"(?i)(?:blood\s*pressure|bp|b\.p\.|nibp)[:\s]+(\d{2,3})\s*[/\\-]\s*(\d{2,3})",
+    r"(?i)(\d{2,3})\s*[/\\-]\s*(\d{2,3})\s*mm\s*hg",
+    r"(?i)systolic[/_]diastolic[:\s]+(\d{2,3})\s*[/\\-]\s*(\d{2,3})",
+)
+VALUE_FIRST = r"^\s*([<>]?\s*[\d,]+(?:\.\d+)?)\s*([A-Za-z%µ³/\^0-9\-]*)"
 #: Added before rounding: halves go up, whatever the product's last binary digit.
 HALF = 3.7e-8
 #: Bounds within which a value of a kind is plausible.
@@ -41,23 +53,57 @@ def _unit_key(unit: Column) -> Column:
 
 
 def converted(items: DataFrame) -> DataFrame:
-    """``items`` in one unit for each kind, each rule rounded to its own decimals; glycated haemoglobin in mmol/mol becomes %.
+    """``items`` in the one unit of their kind, each rule rounded to its own decimals; other kinds keep theirs.
 
-    Platelets given per microlitre (over 3000) are counted in thousands.
+    Cells given in lakhs or per microlitre are counted in thousands, leukocytes from 100 on if their unit says so or they
+    are more than 120; glycated haemoglobin over 25 or in mmol/mol becomes %.
     """
-    key, kind, value = _unit_key(F.col("unit")), F.col("kind"), F.col("value")
+    key, kind, value = _unit_key(F.col("unit")), F.lower("kind"), F.col("value")
+    rounded = lambda v, n: F.round(v + HALF, n)
+    in_unit = lambda *parts: F.array_contains(F.array(*[key.contains(p) for p in parts]), True)
+    rules = [
+        (kind.contains("platelet"), F.when(in_unit("lakh", "lac"), rounded(value * 100, 1)).when(value > 3000, rounded(value / 1000, 1)), CELLS),
+        (kind.contains("leukocyte"), F.when((in_unit("cumm", "mcl", "ul") | (value > 120)) & (value > 100), rounded(value / 1000, 2)), CELLS),
+        (kind == "glucose", F.when(in_unit("mmol"), rounded(value * GLUCOSE, 1)), "mg/dL"),
+        *[(kind.contains(k), F.when(in_unit(unit), rounded(value * factor, places)), result) for k, unit, factor, places, result in CONVERSIONS],
+        (kind.contains("hba1c") | kind.contains("hemoglobin a1c"), F.when(in_unit("mmol/mol") | (value > 25), rounded(value * A1C[0] + A1C[1], 2)), "%"),
+    ]
     new_value, new_unit = value, F.col("unit")
-    for k, unit, factor, places, result in CONVERSIONS:
-        rule = kind.contains(k) & (key == unit)
-        new_value, new_unit = F.when(rule, F.round(value * factor + HALF, places)).otherwise(new_value), F.when(rule, result).otherwise(new_unit)
-    a1c = (kind == "hba1c") & (key == "mmol/mol")
-    many = kind.contains("platelets") & (value > 3000)
-    new_value = F.when(a1c, F.round(value * 0.0915 + 2.15 + HALF, 2)).when(many, F.round(value / 1000, 1)).otherwise(new_value)
-    new_unit = F.when(a1c, "%").when(many, "10^3/uL").otherwise(new_unit)
+    for rule, changed, unit in reversed(rules):
+        new_value, new_unit = F.when(rule, F.coalesce(changed, value)).otherwise(new_value), F.when(rule, unit).otherwise(new_unit)
     rest = [c for c in items.columns if c not in ("value", "unit")]
     return items.select(*rest, new_value.alias("value"), new_unit.alias("unit"))
 
 
+def report_items(lines: DataFrame, names: DataFrame) -> DataFrame:
+    """``doc, kind, value, unit, line, confidence``: measurements of whole reports, each kind's first one.
+
+    ``lines`` has ``doc, no, line``; ``names`` (``alias, kind``) is a dimension of names as they are written. A line counts
+    in the first of three layouts whose name is known; a line that is a known name alone takes the value that the next line
+    begins with, at nine tenths of the confidence. A composite pressure gives a systolic and a diastolic value, if plausible.
+    """
+    from pyspark.sql import Window as W
+
+    key = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    number = lambda c: F.regexp_replace(c, r"[,<>\s]", "").try_cast("double")
+    line = F.regexp_replace(F.trim(F.coalesce("line", F.lit(""))), "[\"']", "")
+    after = F.lead("line").over(W.partitionBy("doc").orderBy("no"))  # the lines of one report
+    cleaned = lines.select("doc", "no", line.alias("line"), F.trim(F.coalesce(after, F.lit(""))).alias("after"))
+    part = lambda pattern, n, c="line": F.regexp_extract(c, pattern, n)
+    option = lambda i, name, value, unit, sure: F.struct(F.lit(i).alias("i"), key(name).alias("alias"), value.alias("value"), unit.alias("unit"), F.lit(sure).alias("sure"))
+    options = [option(i, part(p, 1), number(part(p, 2)), part(p, 3), 1.0) for i, p in enumerate(LAYOUTS)] + [option(9, F.col("line"), number(part(VALUE_FIRST, 1, "after")), part(VALUE_FIRST, 2, "after"), 0.9)]
+    each = cleaned.where(F.length("line") >= 3).select("doc", "no", F.explode(F.array(*options)).alias("o")).select("doc", "no", "o.*").where("value is not null and alias <> ''")
+    known = names.select(key(F.col("alias")).alias("alias"), "kind").distinct()
+    met = each.join(known, "alias").groupBy("doc", "no").agg(F.min(F.struct("i", "kind", "value", "unit", "sure")).alias("m")).select("doc", "no", "m.*")
+    named = converted(met.groupBy("doc", "kind").agg(F.min(F.struct("no", "value", "unit", "sure")).alias("m")).select("doc", "kind", "m.*"))
+    pressed = cleaned.select("doc", "no", F.coalesce(*[F.when(part(p, 1) != "", F.array(part(p, 1), part(p, 2))) for p in PRESSURES]).alias("p")).where("p is not null")
+    two = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("p")[i].cast("double").alias("value")) for i, k in enumerate(("systolic", "diastolic"))])
+    two = judged(pressed.select("doc", "no", F.explode(two).alias("x")).select("doc", "no", "x.*")).where("plausible")
+    two = two.groupBy("doc", "kind").agg(F.min(F.struct("no", "value")).alias("m")).select("doc", "kind", "m.value", F.lit("mmHg").alias("unit"), F.col("m.no").alias("no"), F.lit(0.95).alias("sure"))
+    both = named.join(two, ["doc", "kind"], "left_anti").select("doc", "kind", "value", "unit", "no", "sure").unionByName(two)
+    return both.select("doc", "kind", "value", "unit", F.col("no").alias("line"), F.col("sure").alias("confidence"))
+
+
 def judged(items: DataFrame) -> DataFrame:
     """``items`` with ``plausible``: within the bounds of their kind, or 0 to 10,000 where it has none."""
     from tidemark.operators.cleaning import in_range

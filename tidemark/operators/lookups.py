@@ -7,10 +7,19 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import content_tokens, normalised, overlap, tokens
 
-#: Formats in which a date may be written, tried in order.
-DATE_FORMATS = (("yyyy-MM-dd", r"[0-9]{4}-[0-9]{2}-[0-9]{2}"), ("dd/MM/yyyy", r"[0-9]{2}/[0-9]{2}/[0-9]{4}"), ("dd-MMM-yyyy", r"[0-9]{2}-[A-Za-z]{3}-[0-9]{4}"), ("MMM dd yyyy", r"[A-Za-z]{3} [0-9]{2} [0-9]{4}"))
+#: Where a report's date may stand, in the order of trust, and formats of numbers and with names of months.
+_LABELS = r"(?:report\s*date|collected|collection\s*date|date\s*of\s*collection|specimen\s*date|test\s*date|sample\s*date|registered\s*on|registration\s*date)"
+DATE_PLACES = (
+    rf"(?i){_LABELS}[:\s]+(\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}})",
+    rf"(?i){_LABELS}[:\s]+(\d{{1,2}}[-/]\d{{1,2}}[-/]\d{{2,4}})",
+    r"(?i)(?:report\s*date|collected|date)[:\s]+([A-Za-z]{3,9}\s+\d{1,2},?\s+\d{4})",
+    r"(\d{4}-\d{2}-\d{2})",
+    r"(\d{1,2}/\d{1,2}/\d{4})",
+    r"(\d{1,2}-\d{1,2}-\d{4})",
+)
+DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "M-d-yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMM yyyy", "d MMMM yyyy")
 #: Confidence of each tier of a name's match; the last one is multiplied by the overlap of words.
-TIERS = {"exact": 1.0, "folded": 0.98, "squeezed": 0.95, "contained": 0.92, "overlap": 0.85}
+TIERS = {"exact": 1.0, "folded": 0.98, "squeezed": 0.95, "contained": 0.92, "within": 0.90, "overlap": 0.85}
 
 
 def tiered(names: DataFrame, canon: DataFrame, least_overlap: float = 0.5) -> DataFrame:
@@ -31,6 +40,8 @@ def tiered(names: DataFrame, canon: DataFrame, least_overlap: float = 0.5) -> Da
     by_word = left.withColumn("_k", F.explode(F.array_distinct("_w"))).join(right.withColumn("_ck", F.explode(F.array_distinct("_cw"))), F.col("_k") == F.col("_ck"))
     inside = F.concat(F.lit(" "), F.concat_ws(" ", "_w"), F.lit(" ")).contains(F.concat(F.lit(" "), F.concat_ws(" ", "_cw"), F.lit(" ")))
     found = found.unionByName(hit(by_word.where(inside), "contained", level("contained")))
+    around = F.concat(F.lit(" "), F.concat_ws(" ", "_cw"), F.lit(" ")).contains(F.concat(F.lit(" "), F.concat_ws(" ", "_w"), F.lit(" ")))
+    found = found.unionByName(hit(by_word.where(around & (F.length(F.concat_ws(" ", "_w")) >= 5)), "within", level("within")))
     share = overlap(F.col("_w"), F.col("_cw"))
     found = found.unionByName(hit(by_word.where(share >= least_overlap), "overlap", F.round(level("overlap") * share, 6)))
     best = found.groupBy("name").agg(F.max(F.struct("confidence", (-F.col("ordinal")).alias("neg"), "canonical", "tier")).alias("m"))
@@ -47,12 +58,16 @@ def cached(names: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def first_date(text: Column) -> Column:
-    """The first date that can be read in a text, trying the formats in order; null for none."""
-    out = F.lit(None).cast("date")
-    for fmt, pattern in reversed(DATE_FORMATS):
-        found = F.regexp_extract(text, pattern, 0)
-        out = F.coalesce(F.try_to_timestamp(F.when(found != "", found), F.lit(fmt)).cast("date"), out)
-    return out
+    """The date of a report: the first place of ``DATE_PLACES`` that reads as a date from 1990 on in one of the formats; null for none."""
+    tried = []
+    for place in DATE_PLACES:
+        found = F.regexp_replace(F.trim(F.nullif(F.regexp_extract(text, place, 1), F.lit(""))), r"\s+", " ")
+        named = "[A-Za-z]" in place
+        for fmt in DATE_FORMATS:
+            if ("MMM" in fmt) == named:
+                tried.append(F.try_to_timestamp(found, F.lit(fmt)).cast("date"))
+    plausible = [F.when(F.year(d).between(1990, F.year(F.current_date()) + 1), d) for d in tried]
+    return F.coalesce(*plausible)
 
 
 def combined_atoms(atoms: Column) -> Column:

@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import content_tokens, indel_ratio, negated, normalised, sounds, tokens
+from tidemark.functions.text import content_tokens, indel_ratio, negated, normalised, partial_ratio, sounds, token_set_ratio, token_sort, tokens
+from tidemark.operators.evaluation import rank_within
+
+#: Words before and behind a match that decide on its negation; words that a window may have above an alias's.
+BEFORE, AFTER, EXTRA = 6, 4, 4
+#: Words that say little, which weigh a sixth of others in a window.
+LITTLE = frozenset(
+    "i me my mine we our ours you your yours he him his she her hers they them their theirs the a an this that these those am is are was were be been being have has had having do does did "
+    "will would should could can may might feel feeling felt seem seems seemed very really quite just some any something someone today yesterday tomorrow currently recently for since during "
+    "from with without and or but so to of in on at by as about into when while where why how than then bad good little much more less".split()
+)
 
 
 def prepared(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -28,12 +39,18 @@ def exact(texts: DataFrame, aliases: DataFrame) -> DataFrame:
 def contained(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """``id, code, place, n_alias, negated``: aliases that occur word for word, at each place.
 
-    Texts are blocked by word: each word is looked up as the head of an alias, so no text meets all aliases.
+    Texts are blocked by word: each word is looked up as the head of an alias, so no text meets all aliases. A word carries
+    its surroundings only, as many words as the longest alias and the scope of a negation take, not its text.
     """
+    names = alias_words(aliases)
+    most = names.agg(F.max("n_alias")).first()[0] or 0
     words = prepared(texts).select("id", "words", F.posexplode("words").alias("pos", "word"))
-    met = words.join(alias_words(aliases), F.col("word") == F.col("head"))
-    hit = met.where(F.slice("words", F.col("pos") + 1, F.col("n_alias")) == F.col("alias_tokens"))
-    return hit.select("id", "code", (F.col("pos") + 1).alias("place"), "n_alias", F.coalesce(negated(F.col("words"), F.col("pos") + 1, F.col("n_alias")), F.lit(False)).alias("negated"))
+    ahead = F.least(F.col("pos"), F.lit(BEFORE))
+    near = words.select("id", "pos", "word", ahead.alias("ahead"), F.slice("words", F.col("pos") - ahead + 1, ahead + most + AFTER).alias("near"))
+    met = near.join(names, F.col("word") == F.col("head"))
+    first = F.col("ahead") + 1
+    hit = met.where(F.slice("near", first, F.col("n_alias")) == F.col("alias_tokens"))
+    return hit.select("id", "code", (F.col("pos") + 1).alias("place"), "n_alias", F.coalesce(negated(F.col("near"), first, F.col("n_alias"), BEFORE, AFTER), F.lit(False)).alias("negated"))
 
 
 def longest(found: DataFrame) -> DataFrame:
@@ -61,11 +78,12 @@ def by_overlap(texts: DataFrame, aliases: DataFrame, least: float = 0.5) -> Data
 def fuzzy(words: DataFrame, aliases: DataFrame, least: float = 0.78) -> DataFrame:
     """``word, alias_word, tier, similarity`` for the distinct words of ``words`` (column ``word``).
 
-    Tiers: exact (1.0), edited (the Indel ratio, for words of four letters or more) and phonetic (0.82). Pairs come from
-    equal beginnings, endings and sounds, each an equi-join of distinct words, so only near ones are compared.
+    Tiers: exact (1.0), lemma (0.98), edited (the Indel ratio, for words of four letters or more) and phonetic (0.82, for
+    words of one sound code and beginning whose ratio is 0.45 or more). Pairs come from equal beginnings, endings and sounds,
+    each an equi-join of distinct words, so only near ones are compared.
     """
-    left = words.select("word").distinct().where(F.length("word") >= 1).withColumn("sound", sounds("word"))
-    right = alias_words(aliases).select(F.explode("alias_tokens").alias("alias_word")).distinct().withColumn("_sound", sounds("alias_word"))
+    left = words.select("word").distinct().where(F.length("word") >= 1).withColumn("sound", sounds(F.col("word")))
+    right = alias_words(aliases).select(F.explode("alias_tokens").alias("alias_word")).distinct().withColumn("_sound", sounds(F.col("alias_word")))
 
     def keys(word: str, sound: str):
         return F.array(F.concat(F.lit("b"), F.left(F.col(word), F.lit(2))), F.concat(F.lit("e"), F.right(F.col(word), F.lit(2))), F.concat(F.lit("s"), F.col(sound)))
@@ -78,11 +96,116 @@ def fuzzy(words: DataFrame, aliases: DataFrame, least: float = 0.78) -> DataFram
     )
     scored = pairs.withColumn("ratio", indel_ratio("word", "alias_word"))
     edited = (F.least(F.length("word"), F.length("alias_word")) >= 4) & (F.col("ratio") >= least)
-    tier = F.when(F.col("word") == F.col("alias_word"), "exact").when(edited, "edited").when(F.col("sounds_alike"), "phonetic")
-    similarity = F.when(tier == "exact", 1.0).when(tier == "edited", F.col("ratio")).when(tier == "phonetic", 0.82)
+    phonetic = F.col("sounds_alike") & (F.left("word", F.lit(1)) == F.left("alias_word", F.lit(1))) & (F.least(F.length("word"), F.length("alias_word")) >= 4) & (F.col("ratio") >= 0.45)
+    lemmas = F.col("word") == F.col("alias_word")
+    for a, b in ((lemma(F.col("word")), lemma(F.col("alias_word"))), (lemma(F.col("word")), F.col("alias_word")), (F.col("word"), lemma(F.col("alias_word")))):
+        lemmas = lemmas | (a == b)
+    tier = F.when(F.col("word") == F.col("alias_word"), "exact").when(lemmas, "lemma").when(edited, "edited").when(phonetic, "phonetic")
+    similarity = F.when(tier == "exact", 1.0).when(tier == "lemma", 0.98).when(tier == "edited", F.col("ratio")).when(tier == "phonetic", 0.82)
     return scored.select("word", "alias_word", tier.alias("tier"), F.round(similarity, 6).alias("similarity")).where("tier is not null")
 
 
+def lemma(word: Column) -> Column:
+    """A word without the ending of a plural, a participle or a past, where four letters or more are left."""
+    return F.regexp_replace(word, r"^(.{4,}?)(?:ings?|ed|es|s)$", "$1")
+
+
+def _windows(words: list[str], alias: list[str], similar: dict[tuple[str, str], float], weight) -> tuple | None:
+    """The window of at most ``EXTRA`` words more than the alias that fits it best, and how well: see ``spans``."""
+    best = None
+    for size in range(1, min(len(words), len(alias) + EXTRA) + 1):
+        for start in range(len(words) - size + 1):
+            window, used, got = words[start : start + size], [], []
+            for a in alias:
+                of = [(similar.get((w, a), 0.0), -i) for i, w in enumerate(window) if i not in used]
+                score, place = max(of, default=(0.0, 0))
+                if score > 0:
+                    used.append(-place)
+                    got.append(score)
+            if not got:
+                continue
+            coverage, mean = len(got) / len(alias), sum(got) / len(got)
+            precision = sum(weight(window[i]) for i in used) / sum(map(weight, window))
+            local = 0.50 * coverage + 0.30 * mean + 0.20 * precision - 0.035 * max(0, size - len(alias)) + (0.08 if coverage >= 1 else 0.0)
+            if best is None or local > best[0]:
+                best = local, start, size, coverage, precision, mean, sorted(start + i for i in used), min(got)
+    return best
+
+
+def spans(texts: DataFrame, aliases: DataFrame, least: float = 0.60) -> DataFrame:
+    """``id, code, alias, place, size, matched, coverage, precision, score``: stretches of texts that say an alias, not only word for word.
+
+    A text meets an alias only if one of its words is near one of the alias's (``fuzzy``); how near words are comes with the
+    pair. The best window of up to four words more than the alias counts; its score is 0.40 of the share of the alias's
+    words, 0.25 of the weighted share of the window's, 0.20 of their harmonic mean and 0.15 of the words' mean similarity,
+    at least 0.95 for the exact phrase, plus a bonus for windows that read alike as a whole. It is accepted as an exact
+    phrase, with all words at 0.80, with two thirds of them at a mean of 0.78, or reading alike; a word that only sounds
+    alike needs the whole alias.
+    """
+    mine, names = prepared(texts), alias_words(aliases)
+    near = fuzzy(mine.select(F.explode("words").alias("word")), aliases)
+    of_word = names.select("alias", "code", F.explode(F.array_distinct("alias_tokens")).alias("alias_word")).join(near, "alias_word")
+    met = mine.select("id", F.explode(F.array_distinct("words")).alias("word")).join(of_word, "word")
+    pairs = met.groupBy("id", "alias", "code").agg(F.collect_list(F.struct("word", "alias_word", "similarity", (F.col("tier") == "phonetic").alias("by_sound"))).alias("near"))
+    pairs = pairs.join(mine.select("id", "words"), "id")  # a row for each text and alias that share a near word
+    kind = "place int, size int, coverage double, precision double, mean double, matched array<int>, worst double, semantic double, window string, by_sound boolean"
+
+    @F.pandas_udf(kind)
+    def aligned(words: pd.Series, alias: pd.Series, near: pd.Series) -> pd.DataFrame:
+        weight = lambda w: 0.10 if w in LITTLE else 0.60
+        rows = []
+        for ws, name, pairs_of in zip(words, alias, near, strict=True):
+            ws, parts = list(ws), name.split()
+            similar = {(p["word"], p["alias_word"]): p["similarity"] for p in pairs_of}
+            sounding = {(p["word"], p["alias_word"]) for p in pairs_of if p["by_sound"]}
+            found = _windows(ws, parts, similar, weight)
+            if found is None:
+                rows.append((None,) * 10)
+                continue
+            _, start, size, coverage, precision, mean, matched, worst = found
+            window = " ".join(ws[start : start + size])
+            by_sound = any((ws[i], a) in sounding for i in matched for a in parts)
+            rows.append((start + 1, size, coverage, precision, mean, [i + 1 for i in matched], worst, token_sort(window, name), window, by_sound))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
+
+    held = pairs.select("id", "code", "alias", aligned("words", "alias", "near").alias("a")).select("id", "code", "alias", "a.*").where("place is not null")
+    c, p, mean, semantic = (F.col(x) for x in ("coverage", "precision", "mean", "semantic"))
+    exact_phrase = F.col("window").contains(F.col("alias"))
+    lexical = 0.40 * c + 0.25 * p + 0.20 * F.try_divide(2 * c * p, c + p) + 0.15 * mean
+    bonus = F.when((c >= 0.50) & (semantic >= 0.85), 0.16).when((semantic >= 0.78) & (c >= 0.67), 0.12).when((semantic >= 0.72) & (c >= 0.67), 0.07).otherwise(0.0)
+    score = F.least(F.lit(1.0), F.when(exact_phrase, F.greatest(lexical, F.lit(0.95))).otherwise(lexical) + bonus)
+    accepted = exact_phrase | ((c >= 1) & (F.col("worst") >= 0.80)) | ((c >= 0.67) & (mean >= 0.78)) | ((c >= 0.67) & (semantic >= 0.72))
+    valid = accepted & (~F.col("by_sound") | (c >= 1)) & (score >= least)
+    return held.where(valid).select("id", "code", "alias", "place", "size", "matched", F.round(c, 6).alias("coverage"), F.round(p, 6).alias("precision"), F.round(score, 6).alias("score"))
+
+
+def strongest(found: DataFrame) -> DataFrame:
+    """Of ``spans``, without those whose words are a part of another's that scores at most 0.04 less, the best of each code in a text."""
+    a, b = found.alias("a"), found.alias("b")
+    within = (F.size("b.matched") > F.size("a.matched")) & (F.size(F.array_except("a.matched", "b.matched")) == 0) & (F.col("b.score") >= F.col("a.score") - 0.04)
+    kept = a.join(b, (F.col("a.id") == F.col("b.id")) & within, "left_anti")
+    best = kept.groupBy("id", "code").agg(F.max(F.struct("score", (-F.col("place")).alias("_neg"), "alias", "place", "size", "matched", "coverage", "precision")).alias("m"))
+    return best.select("id", "code", *[f"m.{c}" for c in ("alias", "place", "size", "matched", "coverage", "precision", "score")])
+
+
+def keyword_ranking(texts: DataFrame, classes: DataFrame, bias: dict[str, tuple[str, ...]], k: int = 5) -> DataFrame:
+    """``id, label, probability, rank``: classes whose names read like a text, where nothing better is known.
+
+    0.4 of the partial and 0.6 of the token-set ratio of name and text, from 0 to 100, and 45 for each keyword of ``bias``
+    that is in the text and speaks for the class; of the ``k`` best, shares of these scores (at least 10 each). ``classes``
+    (``label``) is a dimension; distinct texts meet each of its names.
+    """
+    said = texts.select(F.lower("text").alias("text")).where("text is not null").distinct()
+    met = said.join(F.broadcast(classes.select("label").distinct()))
+    plus = sum((F.when(F.col("text").contains(w) & F.col("label").isin(*names), 45.0).otherwise(0.0) for w, names in bias.items()), F.lit(0.0))
+    name = F.lower("label")
+    scored = met.select("text", "label", F.round(40 * partial_ratio(name, F.col("text")) + 60 * token_set_ratio(name, F.col("text")) + plus, 6).alias("score"))
+    top = rank_within(scored, ["text"], [F.desc("score"), F.col("label")]).where(F.col("rank") <= k).withColumn("_w", F.greatest("score", F.lit(10.0)))
+    total = top.groupBy("text").agg(F.sum("_w").alias("_total"))
+    shares = top.join(total, "text").select("text", "label", F.round(F.col("_w") / F.col("_total"), 4).alias("probability"), "rank")
+    return texts.select("id", F.lower("text").alias("text")).join(shares, "text").select("id", "label", "probability", "rank")
+
+
 def last_polarity(found: DataFrame) -> DataFrame:
     """``conv, code, positive, turn``: what was said last of each code in a conversation; within a turn a denial wins."""
     return found.groupBy("conv", "code").agg(F.max(F.struct("turn", F.col("negated"))).alias("m")).select("conv", "code", (~F.col("m.negated")).alias("positive"), F.col("m.turn").alias("turn"))

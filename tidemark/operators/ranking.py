@@ -26,6 +26,27 @@ def running(frame: DataFrame, bucket: Column, order: list[Column], sums: dict[st
     return joined.select(*frame.columns, *[(F.col(f"_c_{n}") + F.col(f"_s_{n}")).alias(n) for n in sums])
 
 
+def quantiles(frame: DataFrame, value: str, shares: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """``by``, ``n, least, most`` and the named quantiles of a number, interpolated between its two nearest ranks.
+
+    Distinct values are counted and their running counts come from bucket totals, so no group's values meet in one task.
+    The bounds of each group, a row for each, are broadcast. Without values there is one row of nulls if ``by`` is empty.
+    """
+    at = frame.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_k"))
+    bounds = at.groupBy(*by).agg(F.coalesce(F.sum("_k"), F.lit(0)).alias("n"), F.min("_v").alias("least"), F.max("_v").alias("most"))
+    placed = at.join(F.broadcast(bounds), list(by)) if by else at.join(F.broadcast(bounds))
+    share = F.coalesce(F.try_divide((F.col("_v") - F.col("least")).cast("double"), (F.col("most") - F.col("least")).cast("double")), F.lit(0.0))
+    counted = running(placed, F.floor(share * (BUCKETS - 1)).cast("int"), [F.col("_v")], {"_upto": F.col("_k")}, by)
+    cuts = []
+    for name, q in shares.items():
+        place = q * (F.col("n") - 1)
+        for side, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            cuts.append(F.max(F.when((F.col("_upto") > rank) & (F.col("_upto") - F.col("_k") <= rank), F.col("_v"))).alias(f"_{name}_{side}"))
+    rolled = counted.groupBy(*by).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max("least").alias("least"), F.max("most").alias("most"), *cuts)
+    between = lambda name, q: F.col(f"_{name}_lo") + (F.col(f"_{name}_hi") - F.col(f"_{name}_lo")) * (q * (F.col("n") - 1) - F.floor(q * (F.col("n") - 1)))
+    return rolled.select(*by, "n", "least", "most", *[between(name, q).alias(name) for name, q in shares.items()])
+
+
 def hash_order(*parts: Column, seed: int = 42) -> Column:
     """A reproducible order that depends on the row's content alone: 32 hexadecimal digits, the same in any SQL engine."""
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(str(seed))))

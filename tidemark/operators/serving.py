@@ -76,6 +76,51 @@ def routed(messages: DataFrame, routes: dict[str, str], text: str = "text") -> D
     return messages.withColumn("intents", F.when(F.size(found) > 0, F.concat_ws(",", found)).otherwise("general"))
 
 
+def same_text(column: Column | str, text: str) -> Column:
+    """Whether a column is a text without regard to case; the text is taken as it is, not as a pattern."""
+    return F.lower(column) == F.lit(text.lower())
+
+
+def with_status(rows: DataFrame, status: str | None, column: str = "status") -> DataFrame:
+    """Rows of a status; all for none or ``all``."""
+    return rows if status in (None, "", "all") else rows.where(F.col(column) == status)
+
+
+def applications(people: DataFrame, status: str | None = None, role: str = "doctor") -> DataFrame:
+    """Rows of ``people`` with a role and a status, with the names of who verified and who rejected them, numbered from the newest.
+
+    ``people``: ``id, name, role, status, verified_by, rejected_by, created``.
+    """
+    asked = with_status(people.where(F.col("role") == role), status)
+    named = people.select(F.col("id").alias("_id"), F.col("name").alias("_name"))
+    for by in ("verified_by", "rejected_by"):
+        asked = asked.join(named, F.col(by) == F.col("_id"), "left").withColumnRenamed("_name", f"{by}_name").drop("_id")
+    return asked.select("id", "name", "status", "created", "verified_by_name", "rejected_by_name")
+
+
+def section(rows: DataFrame, key: str, line: Column, order: list[Column], most: int, between: str = "\n") -> DataFrame:
+    """``key, text``: the first ``most`` lines of each key in an order, as one text."""
+    lined = rank_within(rows.select(key, line.alias("_line"), *[c.alias(f"_o{i}") for i, c in enumerate(order)]), [key], [F.col(f"_o{i}") for i in range(len(order))], "_rank").where(F.col("_rank") <= most)
+    return lined.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_rank", "_line"))).alias("_all")).select(key, F.concat_ws(between, F.transform("_all", lambda x: x["_line"])).alias("text"))
+
+
+def assembled(requests: DataFrame, summary: DataFrame, sections: dict[str, DataFrame], patterns: dict[str, str], general: tuple[str, ...], titles: dict[str, str], key: str = "entity") -> DataFrame:
+    """``requests`` (``id, key, text``) with ``context``: the summary and those sections that the text asks for, in their order.
+
+    A request that asks for none has the sections in ``general``. Sections (``key, text``) are left out where they are empty.
+    """
+    asks = {n: F.lower(F.coalesce("text", F.lit(""))).rlike(p) for n, p in patterns.items()}
+    none = F.lit(True)
+    for c in asks.values():
+        none = none & ~c
+    flagged = requests.select("id", key, *[(c | (none if n in general else F.lit(False))).alias(f"_asks_{n}") for n, c in asks.items()])
+    out = flagged.join(summary.select(key, F.col("text").alias("_summary")), key, "left")
+    for n, rows in sections.items():
+        out = out.join(rows.select(key, F.col("text").alias(f"_text_{n}")), key, "left")
+    parts = [F.when(F.col(f"_asks_{n}") & (F.coalesce(f"_text_{n}", F.lit("")) != ""), F.concat(F.lit(f"\n### {titles[n]}:\n"), F.col(f"_text_{n}"))) for n in sections]
+    return out.select("id", key, F.concat_ws("\n", "_summary", *parts).alias("context"))
+
+
 def alerts(signal_rows: DataFrame) -> DataFrame:
     """One alert for each abnormal or worsening signal, with its level."""
     level = F.when(F.col("severity") == "HIGH", "critical").when(F.col("abnormality").isin("LOW", "HIGH"), "warning").when(F.col("worsening"), "notice")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import cases, splits
+from tidemark.operators import cases, questions, splits
 from tidemark.sources import roles
 from tidemark.sources.readers import table
 from tidemark.sources.roles import SQL
@@ -97,6 +97,26 @@ def graph_next_question(spark, sf):
     return cases.questions(_known(spark, sf), cases.edges(roles.bags(spark, sf))).select("conv", "candidate", "support", "pairs", "score", "rank")
 
 
+def graph_ranked_questions(spark, sf):
+    """The five best questions for each order's codes, by all parts of the score."""
+    return questions.ranked(_known(spark, sf), cases.edges(roles.bags(spark, sf)), roles.ontology(spark, sf))
+
+
+def question_roles(spark, sf):
+    return questions.described(roles.ontology(spark, sf)).select("code", "role", F.size("q_words").alias("n_words"))
+
+
+def evidence_gate(spark, sf):
+    return questions.sufficient(_known(spark, sf))
+
+
+def encode_person(spark, sf):
+    """Ages standardised by the training split's statistics, and sexes by number; one in eleven has no valid age, one in seven no known sex."""
+    rows = _split(spark, sf).withColumn("age", F.when(F.col("case_id") % 11 == 0, 140).otherwise(F.col("case_id") % 90).cast("double")).withColumn("sex", F.element_at(F.array(*[F.lit(x) for x in ("F", "male", "U", "female ", "M", "unknown", "x")]), (F.col("case_id") % 7 + 1).cast("int")))
+    coded = cases.person(rows, cases.age_statistics(rows))
+    return coded.select("case_id", F.round("age_z", 6).alias("age_z"), "sex_id")
+
+
 _BAGS = f"WITH {SQL['bags']}"
 _SIG = f"{_BAGS}, sig AS (SELECT *, sha256('[\"' || array_to_string(codes, '\",\"') || '\"]') AS signature FROM bags)"
 _UNIQ = _SIG + ", uniq AS (SELECT signature, min(case_id) AS case_id, count(*) AS copies, arg_min(codes, case_id) AS codes, arg_min(class, case_id) AS class FROM sig GROUP BY signature)"
@@ -110,10 +130,28 @@ _EDGES = """flat AS (SELECT case_id, unnest(codes) AS code FROM bags), nd AS (SE
         FROM pc JOIN nd na ON na.code = a JOIN nd nb ON nb.code = b)"""
 _OVERLAP = "SELECT a.split AS split_a, b.split AS split_b, count(*) AS shared FROM s a JOIN s b ON a.signature = b.signature AND a.split < b.split GROUP BY 1, 2"
 
+_WORDS = lambda c: f"list_distinct(list_filter(string_split(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) > 2 AND NOT list_contains([{', '.join(repr(w) for w in questions.STOP)}], x)))"
+_ROLES = f"""{SQL['ontology']}, items AS (SELECT code, {_WORDS('question')} AS qw, {_WORDS('name')} AS nw, CASE CAST(substr(code, 3, 2) AS INT) % 8 WHEN 0 THEN 'generic' WHEN 1 THEN 'risk' WHEN 2 THEN 'history' WHEN 3 THEN 'symptom_detail' WHEN 4 THEN 'value' ELSE 'symptom' END AS role FROM ontology)"""
+_RANKED = f"""{_BAGS}, {_EDGES}, {_ROLES}, bw AS (SELECT a, b, pair_count, conditional, jaccard, association FROM ed UNION ALL SELECT b, a, pair_count, reverse, jaccard, association FROM ed),
+    known AS (SELECT case_id AS conv, code, CAST(substr(code, 3, 2) AS INT) % 3 <> 0 AS positive FROM flat), pos AS (SELECT conv, code FROM known WHERE positive), sz AS (SELECT conv, count(*) AS n FROM pos GROUP BY conv),
+    cd AS (SELECT conv, b AS candidate, count(*) AS support, avg(association) AS sa, avg(conditional) AS sc, avg(jaccard) AS sj FROM pos JOIN bw ON bw.a = pos.code WHERE association >= 0.03 AND pair_count >= 10 GROUP BY 1, 2),
+    fr AS (SELECT * FROM cd WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.conv = cd.conv AND k.code = candidate)),
+    wd AS (SELECT fr.conv, candidate, max(len(list_intersect(h.nw, c.qw)) / least(len(h.nw), len(c.qw))) AS rel, max(len(list_intersect(c.qw, h.qw)) / len(c.qw)) AS red FROM fr JOIN items c ON c.code = candidate JOIN pos ON pos.conv = fr.conv JOIN items h ON h.code = pos.code GROUP BY 1, 2),
+    pt AS (SELECT fr.*, n, role, len(qw) AS nq, rel, red, max(CASE WHEN role IN ('symptom', 'symptom_detail') THEN 1 ELSE 0 END) OVER (PARTITION BY fr.conv) AS sy FROM fr JOIN sz ON sz.conv = fr.conv JOIN items ON code = candidate JOIN wd ON wd.conv = fr.conv AND wd.candidate = fr.candidate),
+    sd AS (SELECT conv, candidate, role, support, sc, sa, 0.24::DOUBLE * least(1, sa) + 0.20::DOUBLE * least(1, sc) + 0.08::DOUBLE * least(1, sj) + 0.12::DOUBLE * least(1, sqrt(support / n)) + 0.10::DOUBLE * CASE WHEN role = 'generic' THEN 0.35 ELSE greatest(0, 1 - rel) END
+        + 0.10::DOUBLE * CASE WHEN role = 'generic' THEN 0.20 ELSE 0.45::DOUBLE + 0.55::DOUBLE * least(1, nq / 7) END
+        + 0.08::DOUBLE * CASE role WHEN 'symptom' THEN 1.0 WHEN 'symptom_detail' THEN 0.95 WHEN 'history' THEN CASE WHEN n >= 3 THEN 0.85 ELSE 0.62 END WHEN 'risk' THEN CASE WHEN n >= 3 THEN 0.78 WHEN n = 2 THEN 0.58 ELSE 0.42 END WHEN 'value' THEN 0.55 ELSE 0.35 END
+        + 0.04::DOUBLE * CASE WHEN sc <= 0 THEN 0 WHEN sc < 0.05 THEN 0.20 WHEN sc < 0.15 THEN 0.55 WHEN sc < 0.75 THEN 1.0 WHEN sc < 0.95 THEN 0.80 ELSE 0.55 END + 0.04::DOUBLE * rel
+        - 0.25::DOUBLE * red - CASE WHEN role = 'generic' THEN 0.16 WHEN role IN ('history', 'risk') THEN 0.18 WHEN role = 'value' THEN 0.20 ELSE 0 END - CASE WHEN nq <= 2 THEN 0.08 ELSE 0 END
+        + CASE WHEN support >= 2 THEN least(0.10, 0.04 * (support - 1)) ELSE 0 END - CASE WHEN sy = 1 AND role IN ('history', 'risk') THEN 0.10 ELSE 0 END AS s FROM pt),
+    cl AS (SELECT conv, candidate, role, support, sc, sa, round(greatest(0, least(1, s)) + 3.7e-8, 5) AS score FROM sd),
+    rk AS (SELECT conv, candidate, role, support, score, row_number() OVER (PARTITION BY conv ORDER BY score DESC, support DESC, round(sc, 6) DESC, round(sa, 6) DESC, candidate) AS rank FROM cl)"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         dedup_first_wins, split_hash_bucket, leakage_overlap, entity_overlap, class_distribution, class_coverage, case_validate, vocab_build, encode_pad, sequence_length, differential_norm, graph_nodes, graph_edges, graph_next_question,
+        graph_ranked_questions, question_roles, evidence_gate, encode_person,
     )
 }
 ORACLES = {
@@ -133,6 +171,11 @@ ORACLES = {
     "differential_norm": "WITH w AS (SELECT l_orderkey AS case_id, l_returnflag AS condition, sum(l_quantity) AS weight FROM lineitem GROUP BY 1, 2) SELECT case_id, condition, round(weight / sum(weight) OVER (PARTITION BY case_id), 6) AS share FROM w",
     "graph_nodes": f"{_BAGS}, {_EDGES} SELECT code, n AS frequency, round(n / (SELECT count(*) FROM bags), 6) AS prevalence FROM nd",
     "graph_edges": f"{_BAGS}, {_EDGES} SELECT * FROM ed",
+    "graph_ranked_questions": _RANKED + " SELECT * FROM rk WHERE rank <= 5",
+    "question_roles": f"WITH {_ROLES} SELECT code, role, len(qw) AS n_words FROM items",
+    "evidence_gate": f"{_BAGS}, k AS (SELECT case_id AS conv, unnest(codes) AS code FROM bags), c AS (SELECT conv, count(DISTINCT code) FILTER (CAST(substr(code, 3, 2) AS INT) % 3 <> 0) AS n_positive FROM k GROUP BY conv) SELECT conv, n_positive, n_positive >= 2 AS enough, CASE WHEN n_positive = 0 THEN 'no_positive_evidence' WHEN n_positive >= 2 THEN 'multiple_supported_evidence' ELSE 'single_evidence_insufficient_by_policy' END AS reason FROM c",
+    "encode_person": _SPLIT + """, p AS (SELECT case_id, split, CASE WHEN case_id % 11 = 0 THEN 140 ELSE case_id % 90 END AS age FROM sp), st AS (SELECT avg(age) AS m, stddev_pop(age) AS s FROM p WHERE split = 'train')
+        SELECT case_id, CASE WHEN age <= 130 THEN round((age - m) / s, 6) END AS age_z, [0, 1, 2, 0, 1, 2, NULL][case_id % 7 + 1] AS sex_id FROM p, st""",
     "graph_next_question": f"""{_BAGS}, {_EDGES}, bw AS (SELECT a, b, pair_count, conditional, jaccard, association FROM ed UNION ALL SELECT b, a, pair_count, reverse, jaccard, association FROM ed),
         known AS (SELECT case_id AS conv, code, CAST(substr(code, 3, 2) AS INT) % 3 <> 0 AS positive FROM flat), pos AS (SELECT conv, code FROM known WHERE positive), sz AS (SELECT conv, count(*) AS n FROM pos GROUP BY conv),
         cd AS (SELECT conv, b AS candidate, count(*) AS support, avg(association) AS sa, avg(conditional) AS sc, max(jaccard) AS sj, sum(pair_count) AS pairs FROM pos JOIN bw ON bw.a = pos.code WHERE association >= 0.03 AND pair_count >= 10 GROUP BY 1, 2),

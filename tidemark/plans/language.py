@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import lab_lines, matching
+from tidemark.operators import lab_lines, matching, questions
+from tidemark.operators.evaluation import rank_within
 from tidemark.sources import roles
 from tidemark.sources.readers import table
 from tidemark.sources.roles import SQL
@@ -59,12 +60,12 @@ def value_intensity(spark, sf):
 
 
 def _lines(spark, sf):
-    kinds = ("Glucose", "Cholesterol", "Creatinine", "Platelets", "Blood Pressure", "HbA1c", "Sodium")
-    units = ("mmol/L", "mmol/L", "umol/L", "lakhs/cumm", "mmHg", "mmol/mol", "mmol/L")
-    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.col("l_linenumber"))
-    lines = table(spark, sf, "lineitem").where(F.col("l_linenumber").between(1, 7))
+    kinds = ("Glucose", "Cholesterol", "Creatinine", "Platelets", "Blood Pressure", "HbA1c", "Leukocytes")
+    units = ("mmol/L", "mmol/L", "umol/L", "lakhs/cumm", "mmHg", "mmol/mol", "/cumm")
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), ((F.col("l_linenumber") - 1) % 7 + 1).cast("int"))
+    lines = table(spark, sf, "lineitem")
     number = F.col("l_quantity").cast("int")
-    value = F.when(F.col("l_linenumber") == 5, F.concat((number + 100).cast("string"), F.lit("/"), (number + 40).cast("string"))).otherwise(F.concat(number.cast("string"), F.lit("."), (number % 10).cast("string")))
+    value = F.when((F.col("l_linenumber") - 1) % 7 == 4, F.concat((number + 100).cast("string"), F.lit("/"), (number + 40).cast("string"))).when((F.col("l_linenumber") - 1) % 7 == 6, F.concat((number * 5).cast("string"), F.lit(".0"))).otherwise(F.concat(number.cast("string"), F.lit("."), (number % 10).cast("string")))
     return lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat(pick(kinds), F.lit(": "), value, F.lit(" "), pick(units)).alias("line"))
 
 
@@ -88,8 +89,59 @@ def cosine_topk(spark, sf):
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     met = asked.join(rows, "label").where("vec_id <> query")
     near = met.select("query", "vec_id", F.round(dot("q", "v") / (F.sqrt(dot("q", "q")) * F.sqrt(dot("v", "v"))), 6).alias("cosine"))
-    best = near.groupBy("query").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("neg"), "vec_id"))), 1, 5).alias("top"))
-    return best.select("query", F.posexplode("top").alias("rank", "t")).select("query", (F.col("rank") + 1).alias("rank"), F.col("t.vec_id").alias("vec_id"), (-F.col("t.neg")).alias("cosine"))
+    return rank_within(near, ["query"], [F.desc("cosine"), F.col("vec_id")]).where("rank <= 5").select("query", "rank", "vec_id", "cosine")  # kept before the shuffle
+
+
+def _typos(spark, sf):
+    """Each distinct sentence on a product once, its words misspelt in four ways."""
+    names = roles.aliases(spark, sf).select("alias", "code")
+    first, second = F.element_at(F.split("alias", " "), 1), F.element_at(F.split("alias", " "), 2)
+    said = F.array(
+        F.concat(F.lit("I have a "), "alias"), F.concat(F.lit("there is a "), first, F.lit("s "), second, F.lit(" here")),
+        F.concat(F.lit("my "), second, F.lit(" was "), first), F.concat(F.lit("the "), F.expr("substring(split(alias, ' ')[0], 1, length(split(alias, ' ')[0]) - 1)"), F.lit(" "), second),
+    )
+    each = names.select("alias", F.posexplode(said).alias("i", "text"))
+    return each.select(F.concat_ws("/", "alias", F.col("i").cast("string")).alias("id"), "text")
+
+
+def alias_spans(spark, sf):
+    """Products named in misspelt or turned sentences, with how well."""
+    return matching.strongest(matching.spans(_typos(spark, sf), roles.aliases(spark, sf))).select("id", "code", "place", "size", "coverage", "precision", "score")
+
+
+def near_misses(spark, sf):
+    """What to ask back: products that a sentence nearly names."""
+    found = matching.spans(_typos(spark, sf), roles.aliases(spark, sf))
+    asks = roles.aliases(spark, sf).select("code", F.concat(F.lit("Did you mean "), "alias", F.lit("?")).alias("question"))
+    return questions.near_misses(found, asks)
+
+
+def keyword_ranking(spark, sf):
+    """Product names that read like each distinct wording of a report."""
+    texts = _typos(spark, sf)
+    bias = {"bolt": ("blue bolt", "small bolt"), "ring": ("small ring",)}
+    return matching.keyword_ranking(texts, roles.aliases(spark, sf).select(F.col("alias").alias("label")), bias)
+
+
+def pain_values(spark, sf):
+    """Intensity, onset and precision of place, each in a wording of its own."""
+    parts = table(spark, sf, "part").select("p_partkey", (F.col("p_size") % 11).cast("string").alias("n"))
+    kind = F.col("p_partkey") % 5
+    said = F.when(kind == 0, F.concat(F.lit("The pain intensity is "), "n")).when(kind == 1, F.concat(F.lit("My pain started at "), "n")).when(kind == 2, F.concat(F.lit("pain location is "), "n")).when(kind == 3, F.concat(F.lit("The pain is "), "n", F.lit(" out of 10"))).otherwise(F.concat(F.lit("The level is "), "n"))
+    return parts.select("p_partkey", *[text.pain_value(said, w).alias(w) for w in text.PAIN_VALUES])
+
+
+def report_measurements(spark, sf):
+    """Reports of the lines of each order: a colon layout, a wide one, a name with its value on the next line, and a pressure."""
+    q = F.col("q").cast("int")
+    kinds = ("Glucose", "Total Cholesterol", "Creatinine", "Platelets", "BP", "HbA1c", "Sodium")
+    kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), ((F.col("l_linenumber") - 1) % 7 + 1).cast("int"))
+    numbered = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("q"))
+    lines = numbered.select("l_orderkey", "l_linenumber", kind.alias("kind"), (F.col("l_linenumber") % 3).alias("how"), q.cast("string").alias("q"), (q + 100).cast("string").alias("top"), (q + 40).cast("string").alias("low"))
+    one = F.when(F.col("kind") == "BP", F.array(F.concat(F.lit("BP: "), "top", F.lit("/"), "low"))).when(F.col("how") == 0, F.array(F.concat("kind", F.lit(": "), "q", F.lit(" mg/dL")))).when(F.col("how") == 1, F.array(F.concat(F.lit("| "), "kind", F.lit(" | "), "q"))).otherwise(F.array(F.col("kind"), F.concat("q", F.lit(" mg/dL"))))
+    rows = lines.select(F.col("l_orderkey").alias("doc"), "l_linenumber", F.posexplode(one).alias("i", "line"))
+    names = spark.createDataFrame([(k, k.lower()) for k in kinds if k != "BP"], "alias string, kind string")
+    return lab_lines.report_items(rows.select("doc", (F.col("l_linenumber") * 2 + F.col("i")).alias("no"), "line"), names).select("doc", "kind", "value", "unit", "confidence")
 
 
 def conv_state_last_polarity(spark, sf):
@@ -97,36 +149,36 @@ def conv_state_last_polarity(spark, sf):
     return matching.last_polarity(found)
 
 
-_CONTRACTED = "replace(lower(text), '’', '''')"
-for _short, _long in text.CONTRACTIONS:
-    _CONTRACTED = f"replace({_CONTRACTED}, '{_short.replace(chr(39), chr(39) * 2)}', '{_long}')"
-
-
 def _normal(column: str) -> str:
-    """Normal form in SQL: full stops that end a number's first part are protected while the others go."""
-    inner = _CONTRACTED.replace("lower(text)", f"lower({column})")
-    inner = f"regexp_replace(regexp_replace(regexp_replace({inner}, '[^a-z0-9.]+', ' ', 'g'), '\\.([0-9])', '§\\1', 'g'), '\\.', ' ', 'g')"
-    return f"trim(regexp_replace(replace({inner}, '§', '.'), ' +', ' ', 'g'))"
+    """Normal form in SQL: full stops that end a number's first part are protected while the others go; words are replaced whole."""
+    plain = f"replace(regexp_replace(regexp_replace(regexp_replace(replace(lower({column}), '’', chr(39)), '[^a-z0-9.'']+', ' ', 'g'), '\\.([0-9])', '§\\1', 'g'), '\\.', ' ', 'g'), '§', '.')"
+    out = f"' ' || replace({plain}, ' ', '  ') || ' '"
+    for short, long in text.CONTRACTIONS:
+        quoted = short.replace("'", "''")
+        out = f"replace({out}, ' {quoted} ', ' {long} ')"
+    return f"trim(regexp_replace({out}, '[ '']+', ' ', 'g'))"
 
 
 _REP = f"WITH {SQL['reports']}, {SQL['aliases']}, n AS (SELECT id, {_normal('text')} AS normal FROM reports), w AS (SELECT id, list_filter(string_split(normal, ' '), lambda x: x <> '') AS words FROM n)"
 _HITS = """h AS (SELECT id, words, unnest(range(1, len(words) + 1)) AS place FROM w),
     c AS (SELECT id, code, words, place, 2 AS n_alias FROM h JOIN aliases ON alias = words[place] || ' ' || words[place + 1])"""
-_POS = lambda ws, xs: f"greatest({', '.join(f'coalesce(list_max(list_filter(range(1, len({xs}) + 1), lambda i: {xs}[i] = {w!r})), 0)' for w in ws)})"
+_LISTED = lambda ws: "[" + ", ".join(repr(w) for w in ws) + "]"
+_POS = lambda ws, xs: f"coalesce(list_max(list_filter(range(1, len({xs}) + 1), lambda i: list_contains({_LISTED(ws)}, {xs}[i]))), 0)"
 _NEG = f"""a AS (SELECT id, code, place, words[greatest(1, place - 6):place - 1] AS ahead, words[place + 2:place + 5] AS behind FROM c),
     b AS (SELECT id, code, place, {_POS(text.CUES_BEFORE, 'ahead')} > {_POS(text.CLAUSE_ENDS, 'ahead')} AS early, behind, coalesce(list_min(list_filter(range(1, len(behind) + 1), lambda i: behind[i] IN {text.CLAUSE_ENDS})), 5) AS stop FROM a),
-    g AS (SELECT id, code, place, early OR len(list_filter(range(1, len(behind) + 1), lambda i: i < stop AND behind[i] IN {text.CUES_AFTER})) > 0 AS negated FROM b)"""
+    g AS (SELECT id, code, place, early OR len(list_filter(range(1, len(behind) + 1), lambda i: i < stop AND behind[i] IN {text.CUES_AFTER})) > 0 OR contains(' ' || array_to_string(behind, ' ') || ' ', ' ruled out ') AS negated FROM b)"""
 _STOP = ", ".join(f"'{w}'" for w in text.STOP)
-_LINES = """ln AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber AS k, CAST(l_quantity AS INT) AS q FROM lineitem WHERE l_linenumber BETWEEN 1 AND 7),
-    one AS (SELECT id, k, lower(['Glucose', 'Cholesterol', 'Creatinine', 'Platelets', '', 'HbA1c', 'Sodium'][k]) AS kind, CAST(q || '.' || (q % 10) AS DOUBLE) AS value, ['mmol/L', 'mmol/L', 'umol/L', 'lakhs/cumm', 'mmHg', 'mmol/mol', 'mmol/L'][k] AS unit FROM ln WHERE k <> 5
+_LINES = """ln AS (SELECT l_orderkey * 10 + l_linenumber AS id, (l_linenumber - 1) % 7 + 1 AS k, CAST(l_quantity AS INT) AS q FROM lineitem),
+    one AS (SELECT id, k, lower(['Glucose', 'Cholesterol', 'Creatinine', 'Platelets', '', 'HbA1c', 'Leukocytes'][k]) AS kind, CASE WHEN k = 7 THEN q * 5.0 ELSE CAST(q || '.' || (q % 10) AS DOUBLE) END AS value, ['mmol/L', 'mmol/L', 'umol/L', 'lakhs/cumm', 'mmHg', 'mmol/mol', '/cumm'][k] AS unit FROM ln WHERE k <> 5
         UNION ALL SELECT id, k, 'systolic', q + 100, 'mmHg' FROM ln WHERE k = 5 UNION ALL SELECT id, k, 'diastolic', q + 40, 'mmHg' FROM ln WHERE k = 5),
-    cv AS (SELECT id, kind, CASE kind WHEN 'glucose' THEN round(value * 18.0182::DOUBLE + 3.7e-8, 1) WHEN 'cholesterol' THEN round(value * 38.67::DOUBLE + 3.7e-8, 1) WHEN 'creatinine' THEN round(value * 0.0113::DOUBLE + 3.7e-8, 2) WHEN 'platelets' THEN CASE WHEN value > 3000 THEN round(value / 1000, 1) ELSE round(value * 100 + 3.7e-8, 1) END
-        WHEN 'hba1c' THEN round(value * 0.0915::DOUBLE + 2.15::DOUBLE + 3.7e-8, 2) ELSE value END AS value, CASE kind WHEN 'glucose' THEN 'mg/dL' WHEN 'cholesterol' THEN 'mg/dL' WHEN 'creatinine' THEN 'mg/dL' WHEN 'platelets' THEN '10^3/uL' WHEN 'hba1c' THEN '%' ELSE unit END AS unit FROM one)"""
+    cv AS (SELECT id, kind, CASE kind WHEN 'glucose' THEN round(value * 18.0182::DOUBLE + 3.7e-8, 1) WHEN 'cholesterol' THEN round(value * 38.67::DOUBLE + 3.7e-8, 1) WHEN 'creatinine' THEN round(value * 0.0113::DOUBLE + 3.7e-8, 2) WHEN 'platelets' THEN round(value * 100 + 3.7e-8, 1)
+        WHEN 'leukocytes' THEN CASE WHEN value > 100 THEN round(value / 1000 + 3.7e-8, 2) ELSE value END WHEN 'hba1c' THEN round(value * 0.09148::DOUBLE + 2.152::DOUBLE + 3.7e-8, 2) ELSE value END AS value, CASE kind WHEN 'glucose' THEN 'mg/dL' WHEN 'cholesterol' THEN 'mg/dL' WHEN 'creatinine' THEN 'mg/dL' WHEN 'platelets' THEN '10³/µL' WHEN 'leukocytes' THEN '10³/µL' WHEN 'hba1c' THEN '%' ELSE unit END AS unit FROM one)"""
 
 QUERIES = {
     f.__name__: f
     for f in (
         text_normalize, alias_exact, alias_containment, alias_overlap, alias_fuzzy, alias_longest, negation_scope, polarity_counts, value_intensity, lab_lines_parsed, unit_convert, plausibility, cosine_topk, conv_state_last_polarity,
+        alias_spans, near_misses, keyword_ranking, pain_values, report_measurements,
     )
 }
 ORACLES = {
@@ -146,5 +198,11 @@ ORACLES = {
         SELECT kind, unit, count(*) AS n, count(*) FILTER (value BETWEEN coalesce(low, 0) AND coalesce(high, 10000)) AS n_plausible FROM cv LEFT JOIN b USING (kind) GROUP BY 1, 2""",
     "cosine_topk": """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT a.vec_id AS query, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM m) SELECT query, rank, vec_id, cosine FROM r WHERE rank <= 5""",
+    "pain_values": "SELECT p_partkey, CASE WHEN p_partkey % 5 IN (0, 3) THEN CAST(p_size % 11 AS INT) END AS intensity, CASE WHEN p_partkey % 5 = 1 THEN CAST(p_size % 11 AS INT) END AS onset, CASE WHEN p_partkey % 5 = 2 THEN CAST(p_size % 11 AS INT) END AS precision FROM part",
+    "report_measurements": """WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS n, (l_linenumber - 1) % 7 + 1 AS k, l_linenumber % 3 AS how, CAST(min(l_quantity) AS INT) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber),
+        f AS (SELECT *, row_number() OVER (PARTITION BY doc, k ORDER BY n, how) AS i FROM l), o AS (SELECT * FROM f WHERE i = 1 AND k <> 5)
+        SELECT doc, lower(['Glucose', 'Total Cholesterol', 'Creatinine', 'Platelets', '', 'HbA1c', 'Sodium'][k]) AS kind, CASE WHEN k = 6 AND q > 25 THEN round(q * 0.09148::DOUBLE + 2.152::DOUBLE + 3.7e-8, 2) ELSE q END::DOUBLE AS value,
+            CASE WHEN k IN (1, 2, 3) THEN 'mg/dL' WHEN k = 4 THEN '10³/µL' WHEN k = 6 THEN '%' WHEN how = 1 THEN '' ELSE 'mg/dL' END AS unit, CASE WHEN how = 2 THEN 0.9 ELSE 1.0 END::DOUBLE AS confidence FROM o
+        UNION ALL SELECT doc, 'systolic', q + 100, 'mmHg', 0.95 FROM f WHERE i = 1 AND k = 5 UNION ALL SELECT doc, 'diastolic', q + 40, 'mmHg', 0.95 FROM f WHERE i = 1 AND k = 5""",
     "conv_state_last_polarity": f"{_REP}, {_HITS}, {_NEG} SELECT id // 10 AS conv, code, NOT arg_max(negated, {{'t': id % 10, 'n': negated}}) AS positive, max(id % 10) AS turn FROM g GROUP BY 1, 2",
 }

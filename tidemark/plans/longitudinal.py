@@ -35,7 +35,10 @@ def clean_coerce(spark, sf):
 
 
 def clean_mean_by_ts(spark, sf):
-    return cleaning.clean(roles.observations(spark, sf), KINDS[:5]).withColumn("value", F.round("value", 4))
+    """Units in two spellings that differ in blanks: repeats in one spelling count once, in both they count each."""
+    spelt = roles.observations(spark, sf).withColumn("unit", F.when(F.dayofmonth("ts") % 3 == 0, F.concat("unit", F.lit(" "))).otherwise(F.col("unit")))
+    twice = spelt.unionByName(spelt.where(F.dayofmonth("ts") % 5 == 0).withColumn("unit", F.trim("unit")))
+    return cleaning.clean(twice, KINDS[:5]).withColumn("value", F.round("value", 4))
 
 
 def audit_exact_dups(spark, sf):
@@ -238,7 +241,8 @@ QUERIES = {
 }
 ORACLES = {
     "clean_coerce": "SELECT event_type AS kind, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS total FROM events WHERE try_cast(json_extract_string(props, '$.k') AS DOUBLE) IS NOT NULL GROUP BY 1",
-    "clean_mean_by_ts": _with("obs") + "SELECT entity, ts, kind, unit, round(avg(value), 4) AS value, count(*) AS n_raw FROM (SELECT DISTINCT entity, ts, kind, value, trim(coalesce(unit, '')) AS unit FROM obs WHERE kind IN ('AF', 'AO', 'NF', 'NO', 'RF')) GROUP BY entity, ts, kind, unit",
+    "clean_mean_by_ts": _with("obs") + """, sp AS (SELECT entity, ts, kind, value, CASE WHEN day(ts) % 3 = 0 THEN unit || ' ' ELSE unit END AS unit FROM obs), tw AS (SELECT * FROM sp UNION ALL SELECT entity, ts, kind, value, trim(unit) FROM sp WHERE day(ts) % 5 = 0),
+        d AS (SELECT DISTINCT entity, ts, kind, value, unit FROM tw WHERE kind IN ('AF', 'AO', 'NF', 'NO', 'RF')) SELECT entity, ts, kind, trim(coalesce(unit, '')) AS unit, round(avg(value), 4) AS value, count(*) AS n_raw FROM d GROUP BY entity, ts, kind, trim(coalesce(unit, ''))""",
     "audit_exact_dups": _with("obs") + "SELECT entity, kind, round(value / 1000) AS value, count(*) AS copies FROM obs GROUP BY 1, 2, 3 HAVING count(*) > 1",
     "audit_repeat_groups": _with("obs") + "SELECT entity, ts, kind, count(*) AS copies FROM obs GROUP BY 1, 2, 3 HAVING count(*) > 1",
     "audit_units": _with("obs") + """, u AS (SELECT kind, unit, count(*) AS n FROM obs GROUP BY kind, unit), k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, unit) AS i FROM u)

@@ -18,7 +18,9 @@ def subsample_hash(spark, sf):
 
 def name_tiers(spark, sf):
     parts = table(spark, sf, "part")
-    canon = parts.where("p_name < 'm'").groupBy(F.col("p_name").alias("canonical")).agg(F.min("p_partkey").alias("ordinal"))
+    # names from the middle of the alphabet on are canonical under another spelling, so those asked for are missed
+    canonical = F.when(F.col("p_name") < "m", F.col("p_name")).otherwise(F.concat(F.lit("x"), F.md5("p_name")))
+    canon = parts.groupBy(canonical.alias("canonical")).agg(F.min("p_partkey").alias("ordinal"))
     kind = F.col("p_partkey") % 5
     name = F.when(kind == 0, F.col("p_name")).when(kind == 1, F.upper("p_name")).when(kind == 2, F.replace("p_name", F.lit(" "), F.lit("-"))).when(kind == 3, F.concat(F.lit("fine "), "p_name", F.lit(" set"))).otherwise(F.concat(F.lit("odd "), F.element_at(F.split("p_name", " "), 2)))
     return lookups.tiered(parts.select(name.alias("name")), canon)
@@ -31,15 +33,24 @@ def lookup_fanout(spark, sf):
     bought = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
     counted = bought.groupBy("o_custkey", "p_name").agg(F.count("*").alias("n"))
     top = rank_within(counted, ["o_custkey"], [F.desc("n"), F.col("p_name")]).where("rank <= 3").select(F.concat(F.lit(" "), F.upper("p_name")).alias("name"))
-    size = parts.groupBy(F.col("p_name").alias("key")).agg(F.min("p_size").alias("m")).where("key > 'c'")
-    return lookups.cached(top, size.select("key", F.when(F.col("m") > 1, "FOUND").otherwise("NONE").alias("status"), F.col("m").alias("detail")))
+    size = parts.groupBy(F.col("p_name").alias("key")).agg(F.min("p_size").alias("m"))
+    entry = F.when(F.col("key") > "c", F.col("key")).otherwise(F.concat(F.lit("old "), "key"))  # entries under a name that is no longer asked for
+    return lookups.cached(top, size.select(entry.alias("key"), F.when(F.col("m") > 1, "FOUND").otherwise("NONE").alias("status"), F.col("m").alias("detail")))
 
 
 def report_dates(spark, sf):
     orders = table(spark, sf, "orders")
-    kind = F.col("o_orderkey") % 4
+    kind = F.col("o_orderkey") % 6
     d = F.col("o_orderdate")
-    text = F.concat(F.lit("Reported on "), F.when(kind == 0, F.date_format(d, "yyyy-MM-dd")).when(kind == 1, F.date_format(d, "dd/MM/yyyy")).when(kind == 2, F.date_format(d, "MMM dd yyyy")).otherwise(F.lit("no day")), F.lit("."))
+    said = (
+        F.when(kind == 0, F.concat(F.lit("Printed 2001-02-03. Report date: "), F.date_format(d, "yyyy/M/d")))
+        .when(kind == 1, F.concat(F.lit("Collected "), F.date_format(d, "d/M/yyyy"), F.lit(" at noon")))
+        .when(kind == 2, F.concat(F.lit("date: "), F.date_format(d, "MMMM d, yyyy")))
+        .when(kind == 3, F.concat(F.lit("seen "), F.date_format(d, "d-M-yyyy")))
+        .when(kind == 4, F.concat(F.lit("on "), F.date_format(d, "yyyy-MM-dd")))
+        .otherwise(F.lit("no day, born 01/02/1907"))
+    )
+    text = F.concat(said, F.lit("."))
     return orders.select("o_orderkey", lookups.first_date(text).alias("day"))
 
 
@@ -93,7 +104,7 @@ def text_report(spark, sf):
 QUERIES = {f.__name__: f for f in (subsample_hash, name_tiers, lookup_fanout, report_dates, combine_atoms, latest_biomarkers, suggested_prompts, action_categories, rule_protocols, populate_twice, text_report)}
 ORACLES = {
     "subsample_hash": "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(o_orderkey || '|42') LIMIT 1000",
-    "name_tiers": """WITH canon AS (SELECT p_name AS canonical, min(p_partkey) AS ordinal FROM part WHERE p_name < 'm' GROUP BY 1),
+    "name_tiers": """WITH canon AS (SELECT p_name AS canonical, min(p_partkey) AS ordinal FROM part WHERE p_name < 'm' GROUP BY 1),  -- the others' spellings share no word with what is asked
         nm AS (SELECT DISTINCT p_name AS p, p_partkey % 5 AS k, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, ' ', '-') WHEN 3 THEN 'fine ' || p_name || ' set' ELSE 'odd ' || split_part(p_name, ' ', 2) END AS name FROM part),
         w AS (SELECT DISTINCT name, list_filter(string_split(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: length(x) > 1) AS ws FROM nm), c AS (SELECT *, string_split(canonical, ' ') AS cw FROM canon),
         m AS (SELECT name, canonical, ordinal, CASE WHEN name = canonical THEN 'exact' WHEN lower(name) = canonical THEN 'folded' WHEN regexp_replace(lower(name), '[^a-z0-9]', '', 'g') = replace(canonical, ' ', '') THEN 'squeezed' WHEN contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || canonical || ' ') THEN 'contained' ELSE 'overlap' END AS tier,
@@ -102,7 +113,7 @@ ORACLES = {
         SELECT w.name, canonical, tier, confidence FROM w LEFT JOIN (SELECT * FROM b WHERE i = 1) b ON b.name = w.name""",
     "lookup_fanout": """WITH n AS (SELECT o_custkey, p_name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, p_name) AS i FROM n),
         c AS (SELECT p_name AS key, min(p_size) AS m FROM part GROUP BY 1 HAVING p_name > 'c') SELECT DISTINCT p_name AS name, CASE WHEN m IS NULL THEN 'MISS' WHEN m > 1 THEN 'FOUND' ELSE 'NONE' END AS status, m AS detail FROM k LEFT JOIN c ON key = p_name WHERE i <= 3""",
-    "report_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN CAST(o_orderdate AS DATE) END AS day FROM orders",
+    "report_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 < 5 THEN CAST(o_orderdate AS DATE) END AS day FROM orders",
     "combine_atoms": """WITH a AS (SELECT DISTINCT l_orderkey, 'E' || (l_partkey % 7) AS code, CASE WHEN l_suppkey % 3 = 0 THEN '_@_' || (l_linenumber % 2) ELSE '' END AS v FROM lineitem)
         SELECT l_orderkey, array_to_string(list_sort(list(code || v)), ',') AS atoms FROM a WHERE v <> '' OR NOT EXISTS (SELECT 1 FROM a b WHERE b.l_orderkey = a.l_orderkey AND b.code = a.code AND b.v <> '') GROUP BY l_orderkey""",
     "latest_biomarkers": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS i FROM orders), m AS (SELECT o_custkey, l_returnflag AS kind, l_extendedprice AS value, o_orderdate AS ts, row_number() OVER (PARTITION BY o_custkey, l_returnflag ORDER BY o_orderdate DESC, o_orderkey DESC, l_extendedprice DESC) AS j FROM r JOIN lineitem ON l_orderkey = o_orderkey WHERE i <= 3)

@@ -29,7 +29,7 @@ def _signals(spark, sf):
 
 
 def _sufficiency(spark, sf):
-    confidence = features.history_confidence(roles.observations(spark, sf)).where("entity % 7 <> 0")
+    confidence = features.history_confidence(roles.observations(spark, sf))
     evidence = table(spark, sf, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("entity")).agg(F.count("*").alias("n_evidence"))
     return fusion.sufficiency(confidence, evidence)
 
@@ -72,6 +72,89 @@ def recommend_rank(spark, sf):
     return fusion.recommendations(rolled)
 
 
+def _profiles(spark):
+    return spark.createDataFrame([("flags", ["AF", "NF", "RF"]), ("open", ["AO", "NO", "RO", "XX"]), ("all", ["AF", "AO", "NF", "NO"])], "name string, kinds array<string>")
+
+
+def clinical_relevance(spark, sf):
+    """How far the signals of each customer concern three profiles of kinds."""
+    return fusion.relevance(_signals(spark, sf), _profiles(spark))
+
+
+def _protocols(spark, sf):
+    """Kinds spelt as the rules look for them; the risk of every customer's latest order."""
+    spelt = {"AF": "Hemoglobin A1c", "AO": "Glucose", "NF": "Systolic Blood Pressure", "NO": "Creatinine", "RF": "Body Mass Index", "RO": "Sodium"}
+    kind = F.col("kind")
+    for k, name in spelt.items():
+        kind = F.when(F.col("kind") == k, name).otherwise(kind)
+    context = _context(spark, sf).select("entity", "risk", F.col("risk_band").alias("band"))
+    return fusion.biomarker_protocols(_signals(spark, sf).withColumn("kind", kind), context)
+
+
+def biomarker_protocols(spark, sf):
+    return _protocols(spark, sf)
+
+
+def recommend_merged(spark, sf):
+    """Conditions of the customers with a large order, their protocols, and the default for customers with neither."""
+    large = table(spark, sf, "orders").where("o_totalprice > 400000").groupBy(F.col("o_custkey").alias("entity")).agg(F.max("o_totalprice").alias("p"))
+    conditions = large.select("entity", F.lit("renal function").alias("name"), F.round(F.col("p") / 600000, 4).alias("score"))
+    people = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"))
+    return fusion.merged_recommendations(people, conditions, _protocols(spark, sf))
+
+
+def applications(spark, sf):
+    """Suppliers as applicants that other suppliers have verified or rejected; those pending."""
+    s = table(spark, sf, "supplier")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("pending", "verified", "rejected")]), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    people = s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 4 == 3, "patient").otherwise("doctor").alias("role"), status.alias("status"), F.when(F.col("s_suppkey") % 3 == 1, F.floor(F.col("s_suppkey") / 2)).alias("verified_by"), F.when(F.col("s_suppkey") % 3 == 2, F.floor(F.col("s_suppkey") / 3)).alias("rejected_by"), F.col("s_acctbal").alias("created"))
+    return serving.applications(people, "all").unionByName(serving.applications(people, "pending"))
+
+
+def admin_counts(spark, sf):
+    """Nine counts over several tables, each aggregated to one row first."""
+    s, c = table(spark, sf, "supplier"), table(spark, sf, "customer")
+    count = lambda cond, n: F.count(F.when(cond, 1)).alias(n)
+    k = F.col("s_suppkey") % 3
+    one = s.agg(F.count("*").alias("doctors"), count(k == 0, "pending"), count(k == 1, "verified"), count(k == 2, "rejected"))
+    for rows, name in ((c, "patients"), (table(spark, sf, "orders"), "records"), (table(spark, sf, "lineitem"), "predictions"), (table(spark, sf, "events"), "analyses"), (table(spark, sf, "conversations"), "feedbacks")):
+        one = one.join(F.broadcast(rows.agg(F.count("*").alias(name))))
+    return one
+
+
+#: Sections of a read view: what asks for each, and their titles.
+ASKS = {"labs": r"lab|test|blood|result", "risk": r"risk|urgent|acute", "disease": r"symptom|disease|pain", "treatment": r"treat|drug|diet", "history": r"history|past|timeline"}
+TITLES = {"labs": "RECENT LAB READINGS", "risk": "RISK EVALUATION", "disease": "DIFFERENTIAL", "treatment": "CARE PLAN", "history": "TIMELINE"}
+#: Texts that customers are taken to send, by the last digit of their key.
+MESSAGES = ("My lab results?", "What is my risk", "I have a pain", "Which diet treats it", "Tell me my history", "Hello there", "risk and history", "blood test", "acute symptoms", "")
+
+
+def context_sections(spark, sf):
+    """What a customer's message is answered from: a summary and the sections it asks for, each of a few lines."""
+    people = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), "c_name", "c_mktsegment")
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("entity"), "o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority", "o_orderstatus")
+    day, key = F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("o_orderkey")
+    newest = [F.desc("o_orderdate"), F.desc("o_orderkey")]
+    line = lambda *parts: F.concat_ws(" ", *parts)
+    ordered = lambda text, order, most: serving.section(orders, "entity", text, order, most)
+    by_time = [-F.unix_micros(F.col("o_orderdate").cast("timestamp")), -key]
+    sections = {
+        "labs": ordered(line(F.lit("-"), key.cast("string"), F.col("o_orderstatus"), day), by_time, 5),
+        "risk": ordered(line(F.lit("- price of"), key.cast("string")), [-F.col("o_totalprice"), key], 5),
+        "disease": ordered(line(F.lit("-"), "o_orderpriority", key.cast("string")), [F.col("o_orderpriority"), key], 4),
+        "treatment": ordered(line(F.lit("* item"), key.cast("string")), [F.col("o_totalprice"), key], 5),
+        "history": ordered(line(F.lit("- past"), day), by_time, 3),
+    }
+    summary = people.select("entity", F.concat(F.lit("### SUMMARY:\n- "), "c_name", F.lit(" ("), "c_mktsegment", F.lit(")")).alias("text"))
+    text = F.element_at(F.array(*[F.lit(m) for m in MESSAGES]), (F.col("entity") % 10 + 1).cast("int"))
+    requests = people.select(F.col("entity").alias("id"), "entity", text.alias("text"))
+    return serving.assembled(requests, summary, sections, ASKS, ("labs", "risk", "disease", "treatment"), TITLES)
+
+
+def same_text(spark, sf):
+    return table(spark, sf, "customer").where(serving.same_text("c_mktsegment", "Building")).select("c_custkey", "c_mktsegment")
+
+
 def latest_per_entity(spark, sf):
     return serving.latest(table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice", "o_orderstatus"), "o_custkey", "o_orderdate", "o_orderkey")
 
@@ -130,17 +213,24 @@ _PROG = _with("obs", _DAILY)[:-1] + """, pg AS (SELECT entity, kind, arg_max(val
     ab AS (SELECT entity, t.kind, l, trend, CASE WHEN dir IS NULL THEN 'UNKNOWN' WHEN l < low THEN 'LOW' WHEN l > high THEN 'HIGH' ELSE 'NORMAL' END AS abnormality, vl, vh, dir FROM tr t LEFT JOIN th ON th.kind = t.kind),
     sg AS (SELECT entity, kind, l AS latest_value, trend, abnormality, CASE WHEN abnormality IN ('UNKNOWN', 'NORMAL') THEN abnormality WHEN abnormality = 'HIGH' AND l >= vh THEN 'HIGH' WHEN abnormality = 'LOW' AND l <= vl THEN 'HIGH' ELSE 'MILD' END AS severity,
         coalesce((dir = 'higher' AND trend = 'INCREASING') OR (dir = 'lower' AND trend = 'DECREASING'), false) AS worsening FROM ab)"""
-_SUF = f"""{SQL['obs']}, hc AS (SELECT entity, count(*) AS records, count(DISTINCT kind) AS kinds, count(DISTINCT CAST(ts AS DATE)) AS dates, date_diff('second', min(ts), max(ts)) / 86400 AS days FROM obs WHERE entity % 7 <> 0 GROUP BY entity),
+_SUF = f"""{SQL['obs']}, hc AS (SELECT entity, count(*) AS records, count(DISTINCT kind) AS kinds, count(DISTINCT CAST(ts AS DATE)) AS dates, date_diff('second', min(ts), max(ts)) / 86400 AS days FROM obs GROUP BY entity),
     cs AS (SELECT entity, round(greatest(0, least(1, 0.20::DOUBLE * least(records / 30, 1) + 0.20::DOUBLE * least(kinds / 10, 1) + 0.25::DOUBLE * least(dates / 5, 1) + 0.20::DOUBLE * least(days / 365, 1))), 6) AS c FROM hc),
     ev AS (SELECT o_custkey AS entity, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
     su AS (SELECT entity, coalesce(n, 0) AS n_evidence, round(0.6::DOUBLE * coalesce(c, 0) + 0.4::DOUBLE * CASE WHEN n IS NULL THEN 0 WHEN n < 2 THEN 0.3::DOUBLE ELSE least(1, n / 5) END, 4) AS sufficiency FROM cs FULL JOIN ev USING (entity)),
     sb AS (SELECT *, CASE WHEN sufficiency >= 0.70 THEN 'HIGH' WHEN sufficiency >= 0.40 THEN 'MODERATE' ELSE 'LIMITED' END AS band FROM su)"""
+_PROTOCOLS = """, sp AS (SELECT entity, kind, abnormality FROM sg), fl AS (SELECT entity, bool_or(kind = 'AF' AND abnormality IN ('HIGH', 'MILD', 'NORMAL') OR kind = 'AO' AND abnormality IN ('HIGH', 'MILD')) AS g, bool_or(kind = 'NF') AS p, bool_or(kind = 'NO') AS r, bool_or(kind = 'RF') AS w FROM sp GROUP BY entity),
+    rs AS (SELECT o_custkey AS entity, round(least(1, o_totalprice / 500000), 6) AS risk FROM lt WHERE i = 1),
+    pr AS (SELECT entity, 'Glycemic Dysregulation & Metabolic Management' AS name, 0.88::DOUBLE AS score FROM fl WHERE g UNION ALL SELECT entity, 'Hypertension & Cardiovascular Risk Management', 0.82 FROM fl WHERE p UNION ALL SELECT entity, 'Renal Function Monitoring & Nephroprotection', 0.78 FROM fl WHERE r
+        UNION ALL SELECT entity, 'Metabolic & Weight Management Protocol', 0.72 FROM fl WHERE w
+        UNION ALL SELECT entity, '90-Day Acute Risk Mitigation & Surveillance (' || CASE WHEN risk < 0.2 THEN 'LOW' WHEN risk < 0.45 THEN 'MODERATE' WHEN risk < 0.7 THEN 'HIGH' ELSE 'VERY_HIGH' END || ' Risk)', 0.80 FROM rs)"""
+_NEWEST, _LINE = "ORDER BY o_orderdate DESC, o_orderkey DESC", lambda name, line, order, most: f"{name} AS (SELECT entity, string_agg(line, chr(10) ORDER BY i) AS t FROM (SELECT o_custkey AS entity, {line} AS line, row_number() OVER (PARTITION BY o_custkey {order}) AS i FROM orders) WHERE i <= {most} GROUP BY entity)"
 _LAST = "lt AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS i FROM orders)"
 
 QUERIES = {
     f.__name__: f
     for f in (
         signals, sufficiency, safety_flags, urgency, recommend_rank, latest_per_entity, dashboard_join, history_union, directory_facets, kpi_counts, left_join_counts, context_routing, alerts, request_histogram,
+        clinical_relevance, biomarker_protocols, recommend_merged, applications, admin_counts, context_sections, same_text,
     )
 }
 ORACLES = {
@@ -153,6 +243,24 @@ ORACLES = {
     "recommend_rank": """WITH r AS (SELECT o_custkey AS entity, p_type AS name, round(max(l_quantity) / 50, 4) AS probability, round(max(l_discount) * 10, 4) AS relevance, round(max(l_tax) * 10, 4) AS trend, round(min(l_quantity) / 50, 4) AS risk, round(min(l_discount) * 10, 4) AS safety, round(min(l_tax) * 10, 4) AS sufficiency
             FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
         s AS (SELECT *, round(probability * 0.35::DOUBLE + relevance * 0.20::DOUBLE + trend * 0.15::DOUBLE + risk * 0.15::DOUBLE - safety * 0.15::DOUBLE - 0.20::DOUBLE * (1 - sufficiency) + 3.7e-8, 4) AS score FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, name) AS rank FROM s) SELECT * FROM k WHERE rank <= 3""",
+    "clinical_relevance": _PROG + """, pf AS (SELECT * FROM (VALUES ('flags', 'AF', 3), ('flags', 'NF', 3), ('flags', 'RF', 3), ('open', 'AO', 4), ('open', 'NO', 4), ('open', 'RO', 4), ('all', 'AF', 4), ('all', 'AO', 4), ('all', 'NF', 4), ('all', 'NO', 4)) v(name, kind, n))
+        SELECT entity, name, round(count(DISTINCT CASE WHEN abnormality IN ('LOW', 'HIGH') THEN sg.kind END) / any_value(n), 6) AS relevance, round(least(1, sum(CASE WHEN worsening THEN CASE severity WHEN 'HIGH' THEN 1.0 WHEN 'MODERATE' THEN 0.6 WHEN 'MILD' THEN 0.3 WHEN 'NORMAL' THEN 0.0 ELSE 0.2 END ELSE 0 END)::DOUBLE / any_value(n)), 6) AS trend
+        FROM sg JOIN pf ON pf.kind = sg.kind GROUP BY entity, name""",
+    "biomarker_protocols": _PROG + f", {_LAST}{_PROTOCOLS} SELECT entity, name, score FROM pr",
+    "recommend_merged": _PROG + f""", {_LAST}{_PROTOCOLS}, cn AS (SELECT o_custkey AS entity, 'renal function' AS name, round(max(o_totalprice) / 600000, 4) AS score FROM orders WHERE o_totalprice > 400000 GROUP BY 1),
+        al AS (SELECT entity, name, score, 'condition' AS origin FROM cn UNION ALL SELECT entity, name, score, 'protocol' FROM pr WHERE NOT (name LIKE 'Renal Function%' AND entity IN (SELECT entity FROM cn))),
+        ev AS (SELECT * FROM al UNION ALL SELECT c_custkey, 'Preventive Health & Longitudinal Surveillance', 0.75, 'preventive' FROM customer WHERE c_custkey NOT IN (SELECT entity FROM al))
+        SELECT entity, name, score, origin, row_number() OVER (PARTITION BY entity ORDER BY score DESC, origin, name) AS rank FROM ev""",
+    "applications": """WITH p AS (SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 4 = 3 THEN 'patient' ELSE 'doctor' END AS role, ['pending', 'verified', 'rejected'][s_suppkey % 3 + 1] AS status, CASE WHEN s_suppkey % 3 = 1 THEN s_suppkey // 2 END AS v, CASE WHEN s_suppkey % 3 = 2 THEN s_suppkey // 3 END AS r, s_acctbal AS created FROM supplier),
+        a AS (SELECT p.id, p.name, p.status, p.created, v.name AS verified_by_name, r.name AS rejected_by_name FROM p LEFT JOIN p v ON v.id = p.v LEFT JOIN p r ON r.id = p.r WHERE p.role = 'doctor') SELECT * FROM a UNION ALL SELECT * FROM a WHERE status = 'pending'""",
+    "admin_counts": "SELECT (SELECT count(*) FROM supplier) AS doctors, (SELECT count(*) FROM supplier WHERE s_suppkey % 3 = 0) AS pending, (SELECT count(*) FROM supplier WHERE s_suppkey % 3 = 1) AS verified, (SELECT count(*) FROM supplier WHERE s_suppkey % 3 = 2) AS rejected, (SELECT count(*) FROM customer) AS patients, (SELECT count(*) FROM orders) AS records, (SELECT count(*) FROM lineitem) AS predictions, (SELECT count(*) FROM events) AS analyses, (SELECT count(*) FROM conversations) AS feedbacks",
+    "context_sections": f"""WITH {_LINE("lb", "'- ' || o_orderkey || ' ' || o_orderstatus || ' ' || strftime(o_orderdate, '%Y-%m-%d')", _NEWEST, 5)}, {_LINE("rk", "'- price of ' || o_orderkey", "ORDER BY o_totalprice DESC, o_orderkey", 5)}, {_LINE("ds", "'- ' || o_orderpriority || ' ' || o_orderkey", "ORDER BY o_orderpriority, o_orderkey", 4)},
+        {_LINE("tr", "'* item ' || o_orderkey", "ORDER BY o_totalprice, o_orderkey", 5)}, {_LINE("hs", "'- past ' || strftime(o_orderdate, '%Y-%m-%d')", _NEWEST, 3)},
+        n AS (SELECT c_custkey AS entity, '### SUMMARY:' || chr(10) || '- ' || c_name || ' (' || c_mktsegment || ')' AS s, [['labs'], ['risk'], ['disease'], ['treatment'], ['history'], ['labs', 'risk', 'disease', 'treatment'], ['risk', 'history'], ['labs'], ['risk', 'disease'], ['labs', 'risk', 'disease', 'treatment']][c_custkey % 10 + 1] AS w FROM customer)
+        SELECT n.entity AS id, n.entity, concat_ws(chr(10), s, CASE WHEN list_contains(w, 'labs') THEN chr(10) || '### RECENT LAB READINGS:' || chr(10) || lb.t END, CASE WHEN list_contains(w, 'risk') THEN chr(10) || '### RISK EVALUATION:' || chr(10) || rk.t END, CASE WHEN list_contains(w, 'disease') THEN chr(10) || '### DIFFERENTIAL:' || chr(10) || ds.t END,
+            CASE WHEN list_contains(w, 'treatment') THEN chr(10) || '### CARE PLAN:' || chr(10) || tr.t END, CASE WHEN list_contains(w, 'history') THEN chr(10) || '### TIMELINE:' || chr(10) || hs.t END) AS context
+        FROM n LEFT JOIN lb USING (entity) LEFT JOIN rk USING (entity) LEFT JOIN ds USING (entity) LEFT JOIN tr USING (entity) LEFT JOIN hs USING (entity)""",
+    "same_text": "SELECT c_custkey, c_mktsegment FROM customer WHERE lower(c_mktsegment) = 'building'",
     "latest_per_entity": f"WITH {_LAST} SELECT o_custkey, o_orderdate, o_orderkey, o_totalprice, o_orderstatus FROM lt WHERE i = 1",
     "dashboard_join": _PROG + f""", {_LAST}, a AS (SELECT entity, count(*) FILTER (abnormality IN ('LOW', 'HIGH')) AS ab, count(*) FILTER (worsening) AS wo FROM sg GROUP BY entity)
         SELECT c_custkey, c_name, o_orderkey AS last_order, coalesce(o_totalprice, 0) AS last_price, coalesce(ab, 0) AS abnormal, coalesce(wo, 0) AS worsening, CASE WHEN o_totalprice > 300000 AND ab > 1 THEN 'REVIEW' ELSE 'OK' END AS insight

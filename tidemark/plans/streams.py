@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation, features, matching, models, splits, temporal
 from tidemark.plans.longitudinal import _acute, _points
+from tidemark.session import shared_folder
 from tidemark.sources import roles
 from tidemark.sources.readers import table
 from tidemark.sources.roles import KINDS
 from tidemark.streaming import conversation, events
 
-#: How late events may come.
-DELAY = "10 minutes"
+#: How late events may come, and limits of the buckets that values are counted in.
+DELAY, LIMITS = "10 minutes", (1.0, 10.0, 50.0, 100.0)
 
 
 def _stream(spark, sf):
@@ -43,18 +44,30 @@ def stream_dedup(spark, sf):
 
 
 def stream_refresh(spark, sf):
-    """Counts and last times of each user, kept up to date batch by batch."""
-    folder = events.shared_folder(spark)
-    stream = events.event_stream(spark, f"{sf}/events.parquet", DELAY, 1)
+    """Counts and last times of each user, kept up to date by three batches that come one after another."""
+    folder = shared_folder(spark)
+    table(spark, sf, "events").repartition(3, F.pmod(F.xxhash64("event_id"), F.lit(3))).write.parquet(f"{folder}/came")
+    stream = events.event_stream(spark, f"{folder}/came", DELAY, 1)
     compute = lambda h: h.groupBy("user_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
     events.refreshed(stream, f"{folder}/history", f"{folder}/result", "user_id", compute)
     return _plain(events.current(spark, f"{folder}/result", "user_id"))
 
 
+def stream_metrics(spark, sf):
+    """Values of events by hour and type in cumulative buckets."""
+    return _plain(events.drained(events.measured(_stream(spark, sf), LIMITS)))
+
+
+def stream_join(spark, sf):
+    """Purchases within six hours after a click of the same user."""
+    of = lambda kind: _stream(spark, sf).where(F.col("event_type") == kind)
+    return _plain(events.drained(events.followed(of("click"), of("purchase"), "INTERVAL 6 HOURS"))).select("user_id", "first_id", "then_id")
+
+
 def stream_conversation(spark, sf):
     """The state of each order's conversation after all its reports, by the keyed fold."""
     found = matching.contained(roles.reports(spark, sf), roles.aliases(spark, sf))
-    folder = events.shared_folder(spark)
+    folder = shared_folder(spark)
     found.select(F.floor(F.col("id") / 10).alias("conv"), (F.col("id") % 10).alias("turn"), "code", "negated").write.parquet(f"{folder}/found")
     stream = spark.readStream.schema("conv long, turn long, code string, negated boolean").parquet(f"{folder}/found")
     out = events.drained(conversation.folded(stream))
@@ -71,7 +84,7 @@ def _training(spark, sf):
     wide = features.wide(points, features.long_block(points, roles.observations(spark, sf)), KINDS)
     labelled = temporal.forward_labels(wide, _acute(spark, sf)).drop("first_event")
     rows = labelled.join(splits.grouped(labelled.select("entity", "label")), "entity")
-    folder = events.shared_folder(spark)  # fitting reads its rows many times
+    folder = shared_folder(spark)  # fitting reads its rows many times
     rows.write.parquet(f"{folder}/training")
     return spark.read.schema(rows.schema).parquet(f"{folder}/training")
 
@@ -85,6 +98,16 @@ def rf_fit_score(spark, sf):
     return evaluation.areas(scored.withColumn("p", F.round("p", 6)))
 
 
+def rf_attribution(spark, sf):
+    """What moves the scores of held-out snapshots most: the five strongest contributions of each, by the paths of a small forest."""
+    names = features.feature_names(KINDS)
+    rows = _training(spark, sf).withColumn("id", F.concat_ws("/", "entity", F.date_format("snap_ts", "yyyy-MM-dd")))
+    model = models.fit_trees(rows.where("split = 'train'"), names, trees=10, depth=5)
+    moved = models.path_attributions(model, rows.where("split = 'test'"), names)
+    top = evaluation.rank_within(moved, ["id"], [F.desc(F.abs("contribution")), F.col("feature")]).where("rank <= 5")
+    return top.select("id", "feature", F.round("contribution", 6).alias("contribution"), "rank")
+
+
 def gbt_importance(spark, sf):
     """What boosted trees on all rows rest on."""
     names = features.feature_names(KINDS)
@@ -102,7 +125,7 @@ def bayes_topk(spark, sf):
 
 _CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
-QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_session, stream_dedup, stream_refresh, stream_conversation, recent_messages, rf_fit_score, gbt_importance, bayes_topk)}
+QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_session, stream_dedup, stream_refresh, stream_metrics, stream_join, stream_conversation, recent_messages, rf_fit_score, rf_attribution, gbt_importance, bayes_topk)}
 ORACLES = {
     "stream_tumbling": f'SELECT date_trunc(\'hour\', ts) AS start, date_trunc(\'hour\', ts) + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2, 3 HAVING date_trunc(\'hour\', ts) + INTERVAL 1 HOUR <= {_CLOSED}'.replace("HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR", "HAVING max(date_trunc('hour', ts)) + INTERVAL 1 HOUR"),
     "stream_sliding": f"""WITH w AS (SELECT *, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 2 HOUR AS start FROM events, range(3) r(k))
@@ -111,5 +134,7 @@ ORACLES = {
         SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n, round(sum(value), 2) AS total FROM s GROUP BY user_id, i HAVING max(ts) + INTERVAL 30 MINUTE <= {_CLOSED}""",
     "stream_dedup": "SELECT DISTINCT user_id, event_type, date_trunc('second', ts) AS second FROM events",
     "stream_refresh": "SELECT user_id, count(*) AS n, max(ts) AS last_ts FROM events GROUP BY user_id",
+    "stream_metrics": "SELECT date_trunc('hour', ts) AS start, event_type, " + ", ".join(f"count(*) FILTER (value <= {x}) AS le_{str(x).replace('.', '_')}" for x in LIMITS) + f", count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2 HAVING max(date_trunc('hour', ts)) + INTERVAL 1 HOUR <= {_CLOSED}",
+    "stream_join": "SELECT a.user_id, a.event_id AS first_id, b.event_id AS then_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR",
     "recent_messages": "WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS i FROM conversations) SELECT conv_id, string_agg(turn, ',' ORDER BY turn) AS turns, count(*) AS n FROM k WHERE i <= 3 GROUP BY conv_id",
 }

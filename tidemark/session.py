@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Settings that every plan in this library assumes.
@@ -13,6 +15,16 @@ SETTINGS = {
 }
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder that all executors reach: under spark.checkpoint.dir, or under /tmp on a single machine where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file:///tmp/spark-tidemark-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
+
+
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "12g", name: str = "tidemark") -> SparkSession:
     """A single-machine session for tests and benchmarks; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)

@@ -23,15 +23,31 @@ def csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None =
     return frame.select(*columns) if columns else frame
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
-    """Entity records in JSON, one document a file or an array of them; field names may use known synonyms.
+def csv_found(spark: SparkSession, base: str, schema: str, columns: list[str] | None = None) -> DataFrame:
+    """A headed CSV that is named ``base``, ``base.csv`` or ``base.txt``, whichever is there."""
+    return csv(spark, f"{base}{{,.csv,.txt}}", schema, columns)
+
+
+def last_json_line(text: Column) -> Column:
+    """The last line of a text that is a JSON object; null for none."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x).rlike(r"^\{.*\}$"))
+    return F.trim(F.try_element_at(lines, F.lit(-1)))
+
+
+def age_in_years(born: Column, at: Column) -> Column:
+    """Whole years of 365.25 days between two dates."""
+    return F.floor(F.datediff(at, born) / 365.25).cast("int")
+
+
+def records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Entity records in JSON, one document a file or an array of them, or one a line; field names may use known synonyms.
 
     Names are matched without regard to case, as is Spark's rule, so synonyms that differ in case only are one.
     """
     names = ("patient_id", "patient", "id")
     item = "struct<name:string,observation:string,type:string,value:string,date:string,timestamp:string,time:string,unit:string>"
     schema = ", ".join(f"{n} string" for n in names) + f", reference_date string, observations array<{item}>"
-    frame = spark.read.option("multiLine", True).schema(schema).json(path)
+    frame = spark.read.option("multiLine", not lines).schema(schema).json(path)
     entity = first_filled(*[F.col(c) for c in names])
     items = F.transform(
         "observations",

@@ -26,6 +26,9 @@ SQL = {
              WHEN 2 THEN 'The ' || p_name || ' is absent, nothing else' WHEN 3 THEN 'There was never any sign of the ' || p_name || ' today'
              ELSE 'Since yesterday: ' || upper(p_name) || ', pain intensity is ' || CAST(p_size % 11 AS VARCHAR) || '/10' END AS text
         FROM lineitem JOIN part ON p_partkey = l_partkey)""",
+    "ontology": """part40 AS (SELECT p_partkey % 40 AS k, min(p_name) AS name FROM part GROUP BY 1), ontology AS (SELECT 'E_' || lpad(CAST(k AS VARCHAR), 2, '0') AS code, name,
+        CASE k % 8 WHEN 0 THEN 'Do you have any ' || name || ' for a related reason?' WHEN 1 THEN 'Do you smoke near the ' || name || '?' WHEN 2 THEN 'Was the ' || name || ' diagnosed before?'
+            WHEN 3 THEN 'Is the ' || name || ' worse at night?' WHEN 4 THEN 'How strong is the ' || name || '?' ELSE 'Do you have a ' || name || '?' END AS question, k % 8 IN (1, 2) AS antecedent, k % 8 = 4 AS has_values FROM part40)""",
     "aliases": "aliases AS (SELECT p_name AS alias, 'C_' || replace(p_name, ' ', '_') AS code FROM (SELECT DISTINCT p_name FROM part))",
 }
 
@@ -82,6 +85,23 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_orderkey").alias("conv"), F.col("l_linenumber").alias("turn"), text.alias("text"))
 
 
+def ontology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``code, name, question, data_type, values, antecedent``: an entry for each code of ``bags``, in six wordings."""
+    parts = table(spark, sf_dir, "part").groupBy((F.col("p_partkey") % 40).alias("k")).agg(F.min("p_name").alias("name"))
+    name, kind = F.col("name"), F.col("k") % 8
+    question = (
+        F.when(kind == 0, F.concat(F.lit("Do you have any "), name, F.lit(" for a related reason?")))
+        .when(kind == 1, F.concat(F.lit("Do you smoke near the "), name, F.lit("?")))
+        .when(kind == 2, F.concat(F.lit("Was the "), name, F.lit(" diagnosed before?")))
+        .when(kind == 3, F.concat(F.lit("Is the "), name, F.lit(" worse at night?")))
+        .when(kind == 4, F.concat(F.lit("How strong is the "), name, F.lit("?")))
+        .otherwise(F.concat(F.lit("Do you have a "), name, F.lit("?")))
+    )
+    code = F.concat(F.lit("E_"), F.lpad(F.col("k").cast("string"), 2, "0"))
+    values = F.when(kind == 4, F.array(F.lit("0"), F.lit("1")))
+    return parts.select(code.alias("code"), "name", question.alias("question"), F.when(kind == 4, "C").otherwise("B").alias("data_type"), values.alias("values"), kind.isin(1, 2).alias("antecedent"))
+
+
 def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``alias, code``: each distinct product name is an alias of a code of its own."""
     names = table(spark, sf_dir, "part").select("p_name").distinct()

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def finite(frame: DataFrame) -> DataFrame:
-    """NaN and infinite numbers as null, in all top-level columns."""
-    bad = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
-    numeric = {f.name for f in frame.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return frame.select(*[F.when(~bad(F.col(f"`{c}`")), F.col(f"`{c}`")).alias(c) if c in numeric else F.col(f"`{c}`") for c in frame.columns])
+    """NaN and infinite numbers as null, in all columns, and in structs, arrays and maps at any depth."""
+    return frame.select(*[_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in frame.schema])
+
+
+def _finite(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~(F.isnan(value) | (F.abs(value) == float("inf"))), value)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_finite(value[f.name], f.dataType).alias(f.name) for f in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: _finite(x, kind.valueType))
+    return value
 
 
 def write_parquet(frame: DataFrame, path: str, by: list[str] | None = None) -> None:
@@ -20,6 +30,11 @@ def write_parquet(frame: DataFrame, path: str, by: list[str] | None = None) -> N
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def write_csv(frame: DataFrame, path: str) -> None:
+    """Headed CSV files."""
+    frame.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def write_split_csv(frame: DataFrame, path: str, split: str, order: str) -> None:
     """Headed CSV files, a folder for each split, each file sorted; no global sort is needed."""
     frame.sortWithinPartitions(split, order).write.mode("overwrite").option("header", True).partitionBy(split).csv(path)

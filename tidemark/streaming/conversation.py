@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.evaluation import rank_within
+
 #: Questions that a conversation may ask.
 FOLLOW_UPS = 6
 
@@ -41,5 +43,5 @@ def folded(found: DataFrame) -> DataFrame:
 
 def last_messages(messages: DataFrame, keep: int = 50, key: str = "conv_id", turn: str = "turn") -> DataFrame:
     """The last ``keep`` messages of each conversation, in order, as one array."""
-    ordered = F.sort_array(F.collect_list(F.struct(turn, "role", "text")))
-    return messages.groupBy(key).agg(F.slice(ordered, F.greatest(F.lit(1), F.size(ordered) - keep + 1), keep).alias("messages"))
+    last = rank_within(messages.select(key, turn, "role", "text"), [key], [F.desc(turn)]).where(F.col("rank") <= keep)  # kept before the shuffle
+    return last.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(turn, "role", "text"))).alias("messages"))

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.session import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder that all executors reach: under spark.checkpoint.dir, or under /tmp where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/spark-tidemark-{uuid.uuid4().hex}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+#: Folders that a history is dealt into.
+PARTS = 64
 
 
 def event_stream(spark: SparkSession, path: str, delay: str = "10 minutes", files_per_trigger: int | None = None) -> DataFrame:
@@ -49,6 +49,24 @@ def distinct(events: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(list(keys))
 
 
+def measured(events: DataFrame, limits: tuple[float, ...], width: str = "1 hour") -> DataFrame:
+    """Per window and kind: how many values there were up to each limit, all of them, and their sum, as a metrics endpoint gives them."""
+    counts = [F.count(F.when(F.col("value") <= x, 1)).alias(f"le_{str(x).replace('.', '_')}") for x in limits]
+    rolled = events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(*counts, F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+    return rolled.select(F.col("w.start").alias("start"), "event_type", *[c for c in rolled.columns if c not in ("w", "event_type")])
+
+
+def followed(first: DataFrame, then: DataFrame, within: str = "INTERVAL 1 HOUR", key: str = "user_id") -> DataFrame:
+    """Pairs of two streams: events of ``then`` after one of ``first`` of the same key, no later than ``within``.
+
+    Both have ``event_id, ts`` and the key, and a watermark, so the state holds no more than that time of either stream.
+    """
+    a = first.select(F.col(key).alias("_k"), F.col("event_id").alias("first_id"), F.col("ts").alias("first_ts"))
+    b = then.select(F.col(key), F.col("event_id").alias("then_id"), F.col("ts").alias("then_ts"))
+    met = a.join(b, F.expr(f"_k = {key} AND then_ts > first_ts AND then_ts <= first_ts + {within}"))
+    return met.select(key, "first_id", "then_id", "first_ts", "then_ts")
+
+
 def drained(stream: DataFrame) -> DataFrame:
     """Everything that the stream gives on the input at hand, written as Parquet (exactly once) and read back.
 
@@ -64,15 +82,19 @@ def drained(stream: DataFrame) -> DataFrame:
 def refreshed(stream: DataFrame, history_path: str, result_path: str, key: str, compute: Callable[[DataFrame], DataFrame]) -> None:
     """Appends each batch to the history and recomputes ``compute`` for the keys that the batch touches.
 
-    Results are written in a folder for each batch; the latest batch that holds a key has its current result. A batch that
-    is run again writes its folders anew, so a restart neither loses nor doubles rows.
+    The history lies in folders by a hash of the key, and only those that the batch touches are read. Results are written in
+    a folder for each batch; the latest batch that holds a key has its current result. A batch that is run again writes its
+    folders anew, so a restart neither loses nor doubles rows.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        rows.write.mode("overwrite").parquet(f"{history_path}/batch={number}")
-        history = spark.read.option("basePath", history_path).schema(rows.schema).parquet(*[f"{history_path}/batch={n}" for n in range(number + 1)])
-        touched = history.join(rows.select(key).distinct(), key, "left_semi")
+        part = F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int")
+        rows.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{history_path}/batch={number}")
+        parts = [r[0] for r in rows.select(part).distinct().collect()]  # at most PARTS numbers
+        schema = T.StructType([*rows.schema.fields, T.StructField("batch", T.IntegerType()), T.StructField("part", T.IntegerType())])
+        history = spark.read.option("basePath", history_path).schema(schema).parquet(history_path).where(F.col("part").isin(parts) & (F.col("batch") <= number))
+        touched = history.drop("batch", "part").join(rows.select(key).distinct(), key, "left_semi")
         compute(touched).write.mode("overwrite").parquet(f"{result_path}/batch={number}")
 
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{result_path}/_state").trigger(availableNow=True).start()
