@@ -24,7 +24,9 @@ BITS, PROBES = 10, 5
 #: Share of a bigram's probability left to its second word alone.
 BACKOFF = 0.4
 #: Bytes of text in a block, about.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
+#: Bytes of a bigram's key within its shard.
+KEY = 5
 #: Ends of a text as second and first word of a bigram.
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
@@ -40,6 +42,21 @@ def bigram_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * np.uint64(0x9E3779B97F4A7C15) + second)
 
 
+def in_shards(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each key, and what tells it there: 40 bits of the rest."""
+    return (keys % np.uint64(shards)).astype(np.int64), (keys // np.uint64(shards)) & np.uint64((1 << 8 * KEY) - 1)
+
+
+def packed(keys: np.ndarray) -> bytes:
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // KEY, 8), np.uint8)
+    out[:, :KEY] = np.frombuffer(raw, np.uint8).reshape(-1, KEY)
+    return out.view("<u8").ravel()
+
+
 def tokens(text: str | None) -> list[bytes]:
     """Words of a text, A-Z lowered: runs of bytes other than ASCII white space."""
     return (text or "").encode().lower().split()
@@ -156,7 +173,7 @@ def _gather(blocked: DataFrame, shards: int) -> DataFrame:
             h = hashes[ids]
             lone.append(bigram_keys(np.append(START, h), np.append(h, END)))
         keys, seen = np.unique(np.concatenate([*lone, np.empty(0, np.uint64)]), return_counts=True)
-        by_word, by_key = (hashes % np.uint64(shards)).astype(int), (keys % np.uint64(shards)).astype(int)
+        by_word, (by_key, keys) = (hashes % np.uint64(shards)).astype(int), in_shards(keys, shards)
         order, names, key_order = np.argsort(by_word, kind="stable"), np.array([*words.number, None], dtype=object)[:-1], np.argsort(by_key, kind="stable")
         w_cut, k_cut = np.searchsorted(by_word[order], np.arange(shards + 1)), np.searchsorted(by_key[key_order], np.arange(shards + 1))
         rows = []
@@ -165,7 +182,7 @@ def _gather(blocked: DataFrame, shards: int) -> DataFrame:
             if not len(w) and not len(k):
                 continue  # with very many shards a block has nothing for most of them
             many = np.flatnonzero(seen[k] > 1)
-            rows.append((s, int(block["_block"].iloc[0]), b"\n".join(names[w]), counts[w].tobytes(), keys[k].tobytes(), many.astype("<u4").tobytes(), seen[k][many].astype("<i8").tobytes()))
+            rows.append((s, int(block["_block"].iloc[0]), b"\n".join(names[w]), counts[w].tobytes(), packed(keys[k]), many.astype("<u4").tobytes(), seen[k][many].astype("<i8").tobytes()))
         return pd.DataFrame(rows, columns=["_shard", "block", "words", "counts", "keys", "many", "seen"])
 
     return blocked.groupBy("_block").applyInPandas(run, "_shard int, block int, words binary, counts binary, keys binary, many binary, seen binary")
@@ -181,7 +198,7 @@ def _total(gathered: DataFrame) -> DataFrame:
             if r.counts:
                 for w, n in zip(r.words.split(b"\n"), np.frombuffer(r.counts, "<i8").tolist(), strict=True):
                     total[w] = total.get(w, 0) + n
-            k = np.frombuffer(r.keys, np.uint64)
+            k = unpacked(r.keys)
             n = np.ones(len(k), np.int64)
             n[np.frombuffer(r.many, "<u4")] = np.frombuffer(r.seen, "<i8")
             keys.append(k)
@@ -231,7 +248,7 @@ def _score_block(docs: pd.DataFrame, counted: pd.DataFrame, held: Filter, shards
         first[ends[:-1] + 1], before[ends[:-1] + 1] = START, n_texts
         alone = (c + 1.0) / everything
         bigrams = bigram_keys(first, h)
-        shard = (bigrams % np.uint64(shards)).astype(np.int64)
+        shard, bigrams = in_shards(bigrams, shards)
         mine = np.flatnonzero(held.holds(shard))
         seen = np.minimum(typical_count(held.levels(bigrams[mine], shard[mine])), np.minimum(before[mine], c[mine]))
         p = np.where(before[mine] > 0, (1 - BACKOFF) * seen / np.maximum(before[mine], 1) + BACKOFF * alone[mine], alone[mine])
