@@ -59,3 +59,15 @@ def test_quality_of_nothing(docs, nothing, spark):
     assert pu_quality.score(nothing, net).collect() == []
     assert pu_quality.fit(docs, labels.where("false")) is None
     assert {r.score for r in pu_quality.score(docs, None).collect()} == {0.5}
+
+
+def test_repeated_rows_and_labels(spark):
+    """Repeated ids, rows and labels, null ids and empty texts: each row is predicted and scored as its text alone."""
+    words = {"en": "the cat and the dog are in the house of the man ", "de": "der Hund und die Katze sind in dem Haus des Mannes "}
+    rows = [(i % 40, words[lang] * (1 + i % 5), lang) for i in range(80) for lang in [("en", "de")[i % 2]]] + [(None, words["en"], "en"), (None, None, None), (7, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    out = language_id.identify(docs, language_id.fit(docs)).collect()
+    assert len(out) == len(rows) and {r.lang_pred for r in out} == {"en", "de", "und"}
+    labels = spark.createDataFrame([(i % 20, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    scored = pu_quality.score(docs, pu_quality.fit(docs, labels)).collect()
+    assert len(scored) == len(rows) and len({r.score for r in scored}) <= 11

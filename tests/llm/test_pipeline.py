@@ -67,3 +67,33 @@ def test_rows_without_a_language_go_whatever_their_ids(spark):
     docs = spark.createDataFrame([*rows, (None, "the cat and the dog", "en"), (None, "12 34", "en"), (3, None, "en")], "doc_id long, text string, lang string")
     kept = corpus_pipeline.identify_language(spark, docs, "")
     assert kept.columns == docs.columns and kept.count() == 41 and kept.where("text is null or text = '12 34'").count() == 0
+
+
+def test_first_fourth_and_fifth_stage_against_their_rules(stages):
+    import zlib
+
+    import public_tokenizers
+    import regex
+    import tokenizers
+
+    texts = lambda f: {r.doc_id: r.text for r in f.select("doc_id", "text").collect()}
+    (_, b1, a1), (_, b4, a4), (_, b5, a5) = stages[0], stages[3], stages[4]
+    assert texts(a1) == {i: t for i, t in texts(b1).items() if t and regex.search(r"\p{L}", t)}
+    before, after = texts(b4), texts(a4)
+    for i, text in after.items():  # what is left of a text is in its order
+        rest = iter(before[i].split())
+        assert all(w in rest for w in text.split())
+    tokenizer = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("word_bpe_49k.json")))
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, t in texts(b5).items()}
+    pieces, places = {}, {}
+    for r in a5.collect():
+        assert r.doc_tokens == len(ids[r.doc_id])
+        part = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(part) == r.length and zlib.crc32(np.asarray(part, "<u4").tobytes()) == r.ids_crc32
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length))
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for runs, whole in [*((v, len(ids[i])) for i, v in pieces.items()), *((v, None) for v in places.values())]:
+        runs.sort()
+        assert runs[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(runs, runs[1:])) and (whole is None or sum(n for _, n in runs) == whole)
+        assert whole is not None or sum(n for _, n in runs) <= 2048
+    assert set(pieces) == set(ids)

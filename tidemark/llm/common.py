@@ -14,8 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one under /tmp where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one under /tmp on a single machine where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not folder:
         folder = f"file:///tmp/spark-tidemark-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(folder)

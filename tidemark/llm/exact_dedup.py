@@ -22,7 +22,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Of equal texts the row with the most code points in its original text stays, then the smallest id. Null texts count
     as empty, so null, empty and all-blank texts form one group. Other columns of ``docs`` are ignored, whatever their
     names; an empty table gives no rows; rows that repeat an id count as separate rows of their group and each is
-    returned (all of them ``kept`` if the id stays).
+    returned (all of them ``kept`` if the id stays). Ids are numbers.
 
     Texts travel once, after equal ones have been merged within each task: grouping by (hash, text) compares bytes, so
     different texts under one 128-bit hash stay apart, told from each other by their SHA-256. Only hashes, lengths and
@@ -49,7 +49,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def keep_first_of_equal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, by the order of ``exact_duplicates``; all columns stay.
 
-    Rows without an id come after those with one; of rows that are alike in id and length too, any one stays.
+    Rows without an id (a number) come after those with one; of rows that are alike in id and length too, any one stays.
     """
     rows = numbered(docs)
     norm = normalised(F.col(text_col))

@@ -138,7 +138,7 @@ def _measured(docs: DataFrame, kept: list[str], text_col: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, prior: float | None = None) -> Network | None:
     """A network from at most ``sample`` trusted positives and ``sample`` unlabelled texts, drawn by a hash of their ids.
 
-    Only rows that ``learnable`` allows are used. ``prior``, the share of good texts among all, is estimated as the share
+    Only rows that ``learnable`` allows are used; of rows that repeat an id the smallest text is. ``prior``, the share of good texts among all, is estimated as the share
     of ones among the labels if it is not given. None without positives.
     """
     named = labels.where(learnable(id_col) & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("_label"))
@@ -151,6 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     unlabelled = ids.orderBy(F.xxhash64("_id", F.lit(4)), "_id").limit(sample).select("_id", F.lit(False).alias("_positive"))
     drawn = positives.unionByName(unlabelled).distinct()  # at most twice the sample
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text2")).join(F.broadcast(drawn), "_id")
+    texts = texts.groupBy("_id", "_positive").agg(F.min("_text2").alias("_text2"))  # one text of each id, however often it repeats
     rows = _measured(texts, ["_id", "_positive"], "_text2").collect()
     rows.sort(key=lambda r: (r[1], r[0], r[2]))
     p, u = (np.asarray([r[2] for r in rows if r[1] is side], dtype=np.float64) for side in (True, False))

@@ -218,7 +218,7 @@ def links(reps: DataFrame, budget: int = 3, hot: int = 20_000) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 3, width: int = 3) -> DataFrame:
-    """One row per document: ``id_col`` (long), ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable).
+    """One row per document: ``id_col`` (a number), ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable).
 
     Texts are lowered (A-Z) and cut at ASCII white space into words; fingerprints at most ``budget`` bits apart are
     linked, and links are followed to the end. Null, empty and blank texts have fingerprint zero and link as any other.
