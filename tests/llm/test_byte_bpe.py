@@ -43,3 +43,13 @@ def test_round_trip(docs, nothing):
     decoded = byte_bpe.decode(byte_bpe.encode(docs, RANKS, P.PATTERN), RANKS)
     assert {r[0]: bytes(r[1]).decode() for r in decoded.collect()} == texts
     assert byte_bpe.round_trip(nothing, RANKS, P.PATTERN).collect() == []
+
+
+def test_repeated_rows_and_a_very_long_text(spark):
+    from tests.llm.conftest import prose
+
+    rows = [(1, "one two"), (1, "one two"), (2, prose(8, 60_000)), (None, "a" * 3000), (3, None)]
+    got = byte_bpe.round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), RANKS, P.PATTERN).collect()
+    lib = library()
+    want = sorted(((i or 0, len(lib.encode_ordinary(t or "")), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows))
+    assert sorted((r.doc_id or 0, r.n_tokens, r.decoded_sha256) for r in got) == want

@@ -55,3 +55,15 @@ def test_checksum(docs):
 
     for r in curve_packing.pack(docs, PATH).select("ids", F.crc32("ids").alias("c")).collect():
         assert r.c == zlib.crc32(r.ids)
+
+
+def test_repeated_rows_and_a_very_long_text(spark):
+    from tests.llm.conftest import prose
+
+    rows = [(1, "one two three"), (1, "one two three"), (2, prose(8, 60_000)), (None, "x"), (3, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    lib = Tokenizer.from_file(PATH)
+    sizes = [len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows]
+    pieces = curve_packing.pack(frame, PATH).collect()
+    assert sum(r.length for r in pieces) == sum(sizes) and all(r.offset + r.length <= 2048 for r in pieces)
+    assert sum(r.length for r in pieces if r.doc_id == 1) == 2 * sizes[0] and sum(r.length for r in pieces if r.doc_id == 2) == sizes[2]
