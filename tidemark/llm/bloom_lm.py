@@ -262,7 +262,7 @@ def _score_block(docs: pd.DataFrame, counted: pd.DataFrame, held: Filter, shards
     for text in docs["_text"]:
         texts.append(words.ids(text))
         size += len(texts[-1]) + 1
-        if size > 500_000:
+        if size > 200_000:
             flush(texts)
             texts, size = [], 0
     if texts:
