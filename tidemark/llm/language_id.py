@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROW, durable, numbered
+from tidemark.llm.common import durable
 
 #: Hash buckets of byte trigrams.
 DIMS = 1 << 13
@@ -172,6 +172,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(fit_machine(x, families), within)
 
 
+def _predicted(texts: pa.Array, model: Model | None) -> list[tuple[str, float]]:
+    """The language and score of each text."""
+    import regex
+
+    letter = regex.compile(r"\p{L}").search
+    return [model.predict(t) if model and t and letter(t) else ("und", 0.0) for t in (x.as_py() for x in texts)]
+
+
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, lang_pred, score`` of every whole text; ``und`` and 0 if it is null or has no letter or there is no model.
 
@@ -179,11 +187,8 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        letter = regex.compile(r"\p{L}").search
         for batch in batches:
-            found = [model.predict(t) if model and t and letter(t) else ("und", 0.0) for t in (x.as_py() for x in batch.column(1))]
+            found = _predicted(batch.column(1), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -191,8 +196,17 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows that are in no language, each judged by its own text whatever its id; all columns stay."""
+    """``docs`` without the rows that are in no language, each judged by its own text whatever its id; all columns stay.
+
+    Rows go through the model as they are: nothing is shuffled.
+    """
     model = fit(docs, id_col, text_col, lang_col)
-    rows = numbered(docs)
-    kept = identify(rows, model, ROW, text_col).where("lang_pred <> 'und'").select(ROW)
-    return rows.join(kept, ROW, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [language != "und" for language, _ in _predicted(batch.column(1), model)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(kept, pa.bool_()))], names=["_row"])
+
+    found = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}")
+    return found.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
