@@ -10,7 +10,21 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 import corpus_pipeline
-from tidemark.llm import bloom_lm, byte_bpe, curve_packing, exact_dedup, language_id, nn_descent, paragraph_dedup, pu_quality, simhash_trie, suffix_dedup
+from tidemark.llm import (
+    bin_slack_packing,
+    bloom_lm,
+    byte_bpe,
+    curve_packing,
+    exact_dedup,
+    language_id,
+    lexical_search,
+    nn_descent,
+    paragraph_dedup,
+    pu_quality,
+    simhash_trie,
+    source_divergence,
+    suffix_dedup,
+)
 from tidemark.llm.common import table
 
 
@@ -70,6 +84,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 11: all benchmark items against all documents."""
+    return lexical_search.search(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
+def op12_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 12 over all documents: the places of every piece and a checksum of its ids."""
+    return bin_slack_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 13 over all documents."""
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_curve_packing": op1_curve_packing,
     "op2_byte_bpe": op2_byte_bpe,
@@ -81,9 +110,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pu_quality": op8_pu_quality,
     "op9_bloom_lm": op9_bloom_lm,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_bin_slack_packing": op12_bin_slack_packing,
+    "op13_source_divergence": op13_source_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
+#: A-Z lowered and nothing else; null is empty.
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {
     "op6_exact_dedup": r"""
         WITH d AS (
@@ -96,6 +131,48 @@ ORACLES: dict[str, str] = {
                doc_id = first_value(doc_id) OVER (PARTITION BY norm ORDER BY cp DESC, doc_id) AS kept,
                sha256(norm) AS text_sha256
         FROM d""",
+    "op11_lexical_search": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+        totals AS (SELECT count(*) FILTER (WHERE len(ts) > 0) AS n_docs, coalesce(sum(len(ts)), 0)::BIGINT AS n_terms FROM d),
+        i AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM benchmark),
+        wanted AS (SELECT i, t, count(*) AS a FROM (SELECT i, unnest(ts) AS t FROM i) GROUP BY i, t),
+        entries AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) GROUP BY r, t),
+        weighed AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM entries, totals GROUP BY t, n_docs),
+        lengths AS (SELECT r, doc_id, 100 - 25 + ((25 * len(ts) * n_docs) // n_terms) AS m FROM d, totals WHERE len(ts) > 0),
+        scored AS (
+            SELECT i, r, sum(a * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+            FROM wanted JOIN entries USING (t) JOIN weighed USING (t) JOIN lengths USING (r) GROUP BY i, r),
+        ranked AS (
+            SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id)::INTEGER AS rank
+            FROM scored JOIN lengths USING (r) WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked JOIN i USING (i) WHERE rank <= 20""",
+    "op13_source_divergence": rf"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                   regexp_extract_all({LOWERED}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+            FROM documents),
+        words AS (SELECT r, lang, source, unnest(ts) AS t FROM d),
+        kept AS (SELECT lang, t, count(*) AS n FROM words GROUP BY lang, t HAVING count(DISTINCT r) >= 10),
+        counted AS (SELECT lang, source, t, count(*) AS n FROM words GROUP BY lang, source, t),
+        grid AS (
+            SELECT g.lang, g.source, k.t, k.n AS lang_n, coalesce(c.n, 0) AS n, count(*) OVER (PARTITION BY g.lang, g.source) AS v,
+                   sum(coalesce(c.n, 0)) OVER (PARTITION BY g.lang, g.source)::BIGINT AS total, sum(k.n) OVER (PARTITION BY g.lang, g.source)::BIGINT AS lang_total
+            FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept k USING (lang) LEFT JOIN counted c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+        shares AS (
+            SELECT lang, source, t, n, 1 + (1000000000 * (n + 2)) // (total + 2 * v) AS p, 1 + (1000000000 * (lang_n + 2)) // (lang_total + 2 * v) AS q
+            FROM grid),
+        sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+            FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', t, (p - q) * (p - q) // (p + q) FROM shares WHERE n > 0 AND p > q),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM parts)
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
