@@ -2,6 +2,7 @@
 
 import zlib
 
+import numpy as np
 import regex
 from pyspark.sql import functions as F
 
@@ -52,6 +53,54 @@ def test_quality_held_out(spark):
     assert auc > 0.85
 
 
+def test_quality_of_other_texts(spark):
+    """More texts: held-out order, beside that by the measures of the surface alone."""
+    rows = spark.read.parquet(f"{SF.replace('0.01', '0.1')}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF.replace('0.01', '0.1')}/labels.parquet")
+    net = pu_quality.fit(rows, labels)
+    scored = pu_quality.score(rows.where(~language_id.learnable("doc_id")), net).join(labels.where("quality is not null"), "doc_id").select("score", "quality").collect()
+    good, bad = [r.score for r in scored if r.quality], [r.score for r in scored if not r.quality]
+    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) > 0.9
+
+
+def test_a_hot_id_leaves_the_draw_to_others(spark):
+    rows = spark.range(600).selectExpr("id AS doc_id").unionByName(spark.range(2000).selectExpr("7L AS doc_id")).repartition(4)
+    named = rows.selectExpr("doc_id", "1 AS _label").distinct()
+    learnable = {r.doc_id for r in rows.where(language_id.learnable("doc_id")).collect()}
+    for sample in (50, 5000):
+        got = pu_quality.drawn(rows, named, "doc_id", sample).collect()
+        for side in (True, False):
+            ids = [r[0] for r in got if r[1] is side]
+            assert len(ids) == len(set(ids)) == min(sample, len(learnable)) and set(ids) <= learnable
+
+
+def test_prior_from_positives_alone():
+    rng = np.random.default_rng(1)
+    for prior in (0.2, 0.5, 0.8):
+        good, bad = rng.normal(1.5, 1, (6000, 4)), rng.normal(-1.5, 1, (6000, 4))
+        mixed = np.where(rng.random((6000, 1)) < prior, rng.normal(1.5, 1, (6000, 4)), bad)
+        assert abs(pu_quality.estimated_prior(good, mixed) - prior) < 0.08
+
+
+def test_steps_lower_the_non_negative_risk():
+    """The fitted network's risk is below that of the empty one and of a plain logistic fit of positives against unlabelled."""
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(1, 1, (800, 3)), np.vstack([rng.normal(1, 1, (600, 3)), rng.normal(-1, 1, (600, 3))])
+    net = pu_quality.fit_network(p, u, 0.5)
+
+    def risk(score):
+        g = lambda x: np.log(np.clip(score(x), 1e-12, 1)) - np.log(np.clip(1 - score(x), 1e-12, 1))
+        loss = lambda z: np.logaddexp(0, -z).mean()
+        return 0.5 * loss(g(p)) + max(0.0, loss(-g(u)) - 0.5 * loss(-g(p)))
+
+    w = np.zeros(4)
+    x, y = np.column_stack([np.vstack([p, u]), np.ones(len(p) + len(u))]), np.repeat([1.0, 0.0], [len(p), len(u)])
+    for _ in range(500):
+        w += 0.5 * x.T @ (y - 1 / (1 + np.exp(-x @ w))) / len(x)
+    plain = lambda z: 1 / (1 + np.exp(-(np.column_stack([z, np.ones(len(z))]) @ w)))
+    assert risk(net.scores) < risk(plain) and risk(net.scores) < risk(lambda z: np.full(len(z), 0.5))
+
+
 def test_quality_of_nothing(docs, nothing, spark):
     labels = spark.createDataFrame([(0, 1), (1, 1), (2, 0), (3, None)], "doc_id long, quality int")
     net = pu_quality.fit(docs, labels)

@@ -2,14 +2,15 @@
 
 Trusted positives are rows labelled 1; unlabelled rows are web texts whatever their label. With class prior p, loss l and
 scores g, the risk is p * E_P[l(g, +)] + max(0, E_U[l(g, -)] - p * E_P[l(g, -)]); when the second part falls below zero,
-the step goes the other way, which keeps the network from memorising the positives. The prior is estimated from the
-labels' own share of ones.
+the step goes the other way, which keeps the network from memorising the positives. The prior is the labels' own share of
+ones, or estimated from positives alone where there are no zeros.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,9 @@ MEASURES = (
     "symbols", "paired_marks", "bars", "lines_per_word", "distinct_lines", "short_words", "long_words", "high_bytes", "trigram_spread",
 )
 
+#: Places that hashed words, and hashed runs of three bytes, are counted in, beside the measures.
+HASHED = 128
+
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LOWER = np.zeros(256, bool)
@@ -39,12 +43,12 @@ _SYMBOL[[ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]] = True
 
 
 def measure(text: str | None) -> np.ndarray:
-    """The measures of a whole text; all 0 for a text without words."""
+    """The measures of a whole text, then square roots of the shares of its hashed words and runs of three bytes; all 0 without words."""
     raw = (text or "").encode()
     words = raw.split()
     n = len(words)
     if not n:
-        return np.zeros(len(MEASURES), dtype=np.float64)
+        return np.zeros(len(MEASURES) + 2 * HASHED, dtype=np.float64)
     x = np.frombuffer(raw, np.uint8)
     hist = np.bincount(x, minlength=256)
     letters = hist[_UPPER].sum() + hist[_LOWER].sum()
@@ -57,17 +61,21 @@ def measure(text: str | None) -> np.ndarray:
     pairs = int((marks[x[1:]] & (x[1:] == x[:-1])).sum())
     lines = [line for line in raw.split(b"\n") if line.strip()]
     inside = max(len(raw) - 2, 0)
-    spread = 0.0
+    spread, runs = 0.0, np.zeros(HASHED)
     if inside:
         y = x.astype(np.uint32)
         code = ((y[:-2] << np.uint32(16)) | (y[1:-1] << np.uint32(8)) | y[2:]) * np.uint32(0x9E3779B1) >> np.uint32(20)
         seen = np.bincount(code, minlength=4096)
         share = seen[seen > 0] / inside
+        runs = np.sqrt(seen.reshape(HASHED, -1).sum(axis=1) / inside)
         spread = float(-(share * np.log2(share)).sum()) / max(1.0, np.log2(min(inside, 4096)))
-    return np.asarray([
+    kinds = np.fromiter(map(crc32, counts), np.int64, len(counts)) % HASHED
+    named = np.sqrt(np.bincount(kinds, weights=np.fromiter(counts.values(), np.int64, len(counts)), minlength=HASHED) / n)
+    surface = np.asarray([
         np.log(n), sizes.mean(), len(counts) / n, max(counts.values()) / n, again / max(n - 1, 1), hist[_UPPER].sum() / max(letters, 1), hist[_DIGIT].sum() / len(x), hist[_MARK].sum() / n,
         hist[_SYMBOL].sum() / n, pairs / n, hist[ord("|")] / n, len(lines) / n, len(set(lines)) / max(len(lines), 1), (sizes <= 2).mean(), (sizes >= 15).mean(), hist[128:].sum() / len(x), spread,
     ])
+    return np.concatenate([surface, named, runs])
 
 
 @dataclass
@@ -135,27 +143,49 @@ def _measured(docs: DataFrame, kept: list[str], text_col: str) -> DataFrame:
     return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, x array<double>")
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.2) -> float:
+    """The share of positives among unlabelled rows, from positives alone.
+
+    No region holds a smaller share of the unlabelled rows than the prior times that of the positives. A network is fitted
+    on one half of both; on the other half the regions above each of its scores that hold ``least`` or more of the positives
+    are tried, and the smallest ratio of shares, corrected for the number of rows, is the prior.
+    """
+    net = fit_network(positive[::2], unlabelled[::2], 0.5, epochs=40)
+    p, u = (np.sort(net.scores(x[1::2] if len(x) > 1 else x)) for x in (positive, unlabelled))
+    share_p, share_u = (1 - np.searchsorted(x, p, side="left") / len(x) for x in (p, u))
+    near = share_p >= least
+    slack = np.sqrt(share_u * (1 - share_u) / len(u)) + 1 / len(u)
+    return float(np.clip(((share_u + slack) / share_p)[near].min(initial=1.0), 0.02, 0.98))
+
+
+def drawn(docs: DataFrame, named: DataFrame, id_col: str, sample: int) -> DataFrame:
+    """``_id, _positive``: at most ``sample`` distinct ids of positives, and of any documents, least by a hash of them."""
+    ids = docs.where(learnable(id_col)).select(F.col(id_col).alias("_id")).distinct()
+    trusted = ids.join(named.where("_label = 1").select(F.col(id_col).alias("_id")), "_id", "left_semi")
+    sides = [some.orderBy(F.xxhash64("_id", F.lit(seed)), "_id").limit(sample).select("_id", F.lit(positive).alias("_positive")) for some, seed, positive in ((trusted, 3, True), (ids, 4, False))]
+    return sides[0].unionByName(sides[1])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, prior: float | None = None) -> Network | None:
-    """A network from at most ``sample`` trusted positives and ``sample`` unlabelled texts, drawn by a hash of their ids.
+    """A network from at most ``sample`` trusted positives and ``sample`` unlabelled texts, drawn by a hash of their distinct ids.
 
-    Only rows that ``learnable`` allows are used; of rows that repeat an id the smallest text is. ``prior``, the share of good texts among all, is estimated as the share
-    of ones among the labels if it is not given. None without positives.
+    Only rows that ``learnable`` allows are used; of rows that repeat an id the smallest text is. ``prior``, the share of
+    good texts among all, is the share of ones among the labels if it is not given, and ``estimated_prior`` where no label
+    is 0. None without positives.
     """
     named = labels.where(learnable(id_col) & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.min(label_col).alias("_label"))
     if prior is None:
         share = named.agg(F.avg(F.col("_label").cast("double"))).first()[0]
-        prior = min(max(share if share is not None else 0.5, 0.02), 0.98)
-    ids = docs.where(learnable(id_col)).select(F.col(id_col).alias("_id"))
-    by_hash = [F.xxhash64("_id", F.lit(3)), F.col("_id")]
-    positives = ids.join(named.where("_label = 1").select(F.col(id_col).alias("_id")), "_id", "left_semi").orderBy(*by_hash).limit(sample).select("_id", F.lit(True).alias("_positive"))
-    unlabelled = ids.orderBy(F.xxhash64("_id", F.lit(4)), "_id").limit(sample).select("_id", F.lit(False).alias("_positive"))
-    drawn = positives.unionByName(unlabelled).distinct()  # at most twice the sample
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text2")).join(F.broadcast(drawn), "_id")
+        prior = min(max(share, 0.02), 0.98) if share is not None and share < 1 else None
+    ids = drawn(docs, named, id_col, sample)  # at most twice the sample
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text2")).join(F.broadcast(ids), "_id")
     texts = texts.groupBy("_id", "_positive").agg(F.min("_text2").alias("_text2"))  # one text of each id, however often it repeats
     rows = _measured(texts, ["_id", "_positive"], "_text2").collect()
     rows.sort(key=lambda r: (r[1], r[0], r[2]))
     p, u = (np.asarray([r[2] for r in rows if r[1] is side], dtype=np.float64) for side in (True, False))
-    return fit_network(p, u, prior) if len(p) and len(u) else None
+    if not len(p) or not len(u):
+        return None
+    return fit_network(p, u, estimated_prior(p, u) if prior is None else prior)
 
 
 def score(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -167,7 +197,7 @@ def score(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.asarray([measure(t.as_py()) for t in batch.column(1)], dtype=np.float64).reshape(batch.num_rows, len(MEASURES))
+            x = np.asarray([measure(t.as_py()) for t in batch.column(1)], dtype=np.float64).reshape(batch.num_rows, len(MEASURES) + 2 * HASHED)
             s = network.scores(x) if network else np.full(batch.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
