@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.functions import text
 from tidemark.operators import cases, cleaning, evaluation, features, fusion, lab_lines, ranking, splits, temporal, trajectory
 from tidemark.sources import readers, sinks
@@ -80,7 +81,7 @@ def test_hot_entity_is_spread_over_buckets(spark):
     ("I have fever.", {"fever"}, set()), ("I don't have fever.", set(), {"fever"}), ("I don't have fever but I have a cough.", {"cough"}, {"fever"}),
     ("I have fever but I do not have a cough.", {"fever"}, {"cough"}), ("Fever is absent.", set(), {"fever"}),
     ("Neither fever nor cough.", set(), {"fever", "cough"}), ("Lacks fever, instead a cough.", {"cough"}, {"fever"}), ("The fever was ruled out.", set(), {"fever"}), ("I dont have fever.", set(), {"fever"}),
-    ("not a b c d e f fever", {"fever"}, set())])
+    ("not a b c d e f fever", {"fever"}, set()), ("I won't have a fever", set(), {"fever"}), ("It wouldnt be a cough", set(), {"cough"}), ("I wont say but I'd say fever", {"fever"}, set())])
 def test_negation(spark, said, positive, negative):
     from tidemark.operators import matching
 
@@ -164,6 +165,19 @@ def test_ranks_over_buckets(spark):
     assert all(r.m == r.d == 2500 for r in per)
 
 
+def test_quantiles_with_outliers_have_even_buckets(spark):
+    rows = spark.range(100_000).select((F.col("id") * 0.37 + 5).alias("v"), (F.col("id") % 2).alias("g")).unionByName(spark.createDataFrame([(1e300, 0), (-1e300, 0), (None, 1)], "v double, g long"))
+    ordered = sorted(r.v for r in rows.where("v is not null").collect())
+    got = ranking.quantiles(rows, "v", {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.999, "e": 1.0}).first()
+    place = lambda q: (ordered[int(q * (len(ordered) - 1))], ordered[-(-int(q * (len(ordered) - 1) * 1000) // 1000)])
+    assert (got.n, got.a, got.e) == (100_002, -1e300, 1e300) and got.b == pytest.approx(ordered[25_000] + (ordered[25_001] - ordered[25_000]) * 0.25)
+    assert place(0.999)[0] <= got.d <= ordered[99_901] and got.c == pytest.approx((ordered[50_000] + ordered[50_001]) / 2)
+    cuts = session.stored(rows.where("v is not null").agg(ranking.even_cuts("v").alias("cuts")))
+    sizes = rows.where("v is not null").join(F.broadcast(cuts)).groupBy(ranking.bucket_of(F.col("v"), F.col("cuts")).alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()
+    assert max(r.n for r in sizes) <= 0.01 * 100_002 and all(x.hi < y.lo for x, y in zip(sizes, sizes[1:], strict=False))
+    assert [r.n for r in ranking.quantiles(rows, "v", {"m": 0.5}, ("g",)).orderBy("g").collect()] == [50_002, 50_000]
+
+
 def test_splits_do_not_leak(spark):
     rows = spark.range(1000).select(F.col("id").alias("entity"), (F.col("id") % 10 == 0).cast("int").alias("label"))
     halves = splits.grouped(rows.unionByName(rows))
@@ -177,6 +191,22 @@ def test_risk_bands(spark):
     assert [r.b for r in got] == ["LOW", "MODERATE", "HIGH", "VERY_HIGH"]
 
 
+def test_urgency_sufficiency_and_safety(spark):
+    people = [(1, 0.1, "LIMITED", None), (2, 0.9, "LIMITED", None), (3, 0.9, "LIMITED", "I have Chest Pain"), (4, None, "HIGH", "severe bleeding, chest pain"), (5, 0.3, "HIGH", None), (6, 0.2, "LIMITED", None), (7, None, "HIGH", None), (8, None, "HIGH", None)]
+    context = spark.createDataFrame(people, "entity long, risk double, sufficiency_band string, evidence string")
+    conditions = spark.createDataFrame([(1, "Flu", 0.1), (3, "Flu", 0.2), (4, "Flu", 0.2), (5, "Flu", 0.5), (6, "Unstable angina", 0.25), (7, "Sepsis", 0.6), (8, "Unstable angina", 0.24), (8, "Sepsis", 0.59)], "entity long, condition string, probability double")
+    rows = fusion.urgency(context, conditions, ("Unstable angina",), ("chest pain", "severe bleeding"), ("Sepsis",)).collect()
+    assert {r.entity: (r.urgency, r.reasons) for r in rows} == {
+        1: ("ROUTINE_FOLLOW_UP", []), 2: ("INSUFFICIENT_INFORMATION", ["risk: high", "data: limited"]), 3: ("HIGH_PRIORITY", ["phrase: chest pain", "risk: high"]), 4: ("HIGH_PRIORITY", ["phrase: chest pain", "phrase: severe bleeding"]),
+        5: ("ROUTINE_FOLLOW_UP", ["risk: elevated"]), 6: ("URGENT_EVALUATION", ["condition: Unstable angina (MEDIUM)"]), 7: ("URGENT_EVALUATION", []), 8: ("ROUTINE_FOLLOW_UP", [])}
+    kinds = spark.createDataFrame([(1, 0.49993), (2, 0.9), (3, 1.0)], "entity long, score double")
+    bands = fusion.sufficiency(kinds, spark.createDataFrame([(1, 5), (2, 1), (4, 7)], "entity long, n_evidence long"))
+    assert {r.entity: (r.sufficiency, r.band) for r in bands.collect()} == {1: (0.7, "MODERATE"), 2: (0.66, "MODERATE"), 3: (0.6, "MODERATE"), 4: (0.4, "MODERATE")}
+    marks = spark.createDataFrame([(1, "Creatinine", "HIGH", False), (1, "Albumin", "NORMAL", True), (2, "Albumin", "LOW", False)], "entity long, kind string, abnormality string, worsening boolean")
+    rows = fusion.safety(marks, {"renal": ("Creatinine",), "hepatic": ("Albumin",)}, spark.createDataFrame([(1, "LIMITED")], "entity long, band string")).collect()
+    assert {(r.entity, r.grp): (r.performed, r.flagged, r.limited) for r in rows} == {(1, "renal"): (True, True, True), (1, "hepatic"): (True, False, True), (2, "renal"): (False, False, False), (2, "hepatic"): (True, True, False)}
+
+
 def test_contract_and_names():
     names = features.safe_names(["a b", "a-b", "c[1]"])
     assert list(names.values()) == ["a_b", "a_b_2", "c_1"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ CONTRACTIONS = (
     ("don't", "do not"), ("dont", "do not"), ("doesn't", "does not"), ("doesnt", "does not"), ("didn't", "did not"), ("didnt", "did not"), ("can't", "cannot"), ("cant", "cannot"),
     ("couldn't", "could not"), ("couldnt", "could not"), ("isn't", "is not"), ("isnt", "is not"), ("aren't", "are not"), ("arent", "are not"), ("wasn't", "was not"), ("wasnt", "was not"),
     ("weren't", "were not"), ("werent", "were not"), ("haven't", "have not"), ("havent", "have not"), ("hasn't", "has not"), ("hasnt", "has not"), ("hadn't", "had not"), ("hadnt", "had not"),
-    ("i'm", "i am"), ("im", "i am"), ("i've", "i have"), ("ive", "i have"),
+    ("won't", "will not"), ("wont", "will not"), ("wouldn't", "would not"), ("wouldnt", "would not"),
+    ("i'm", "i am"), ("im", "i am"), ("i've", "i have"), ("ive", "i have"), ("i'll", "i will"), ("i'd", "i would"),
 )
 #: Words that negate what follows, words that negate what precedes, and words that end a clause.
 CUES_BEFORE = ("no", "not", "never", "without", "neither", "nor", "deny", "denies", "denied", "absent", "lack", "lacks", "lacking", "negative", "ruled")
@@ -25,10 +27,9 @@ STOP = ("a", "an", "the", "of", "any", "i", "have", "has", "is", "was", "there",
 def normalised(text: Column) -> Column:
     """Lower case, contracted words written out, all but letters, digits and inner decimal points blanked, blanks squeezed."""
     plain = F.regexp_replace(F.replace(F.lower(text), F.lit("’"), F.lit("'")), r"[^a-z0-9.']+|\.(?![0-9])", " ")
-    out = F.concat(F.lit(" "), F.replace(plain, F.lit(" "), F.lit("  ")), F.lit(" "))  # each word between blanks of its own
-    for short, long in CONTRACTIONS:
-        out = F.replace(out, F.lit(f" {short} "), F.lit(f" {long} "))
-    return F.trim(F.regexp_replace(out, r"[ ']+", " "))
+    long = F.create_map(*[F.lit(x) for pair in CONTRACTIONS for x in pair])
+    written = F.transform(F.split(plain, " +"), lambda w: F.coalesce(F.try_element_at(long, w), w))
+    return F.trim(F.regexp_replace(F.array_join(written, " "), r"[ ']+", " "))
 
 
 def tokens(normal: Column) -> Column:
@@ -92,18 +93,27 @@ def intensity(text: Column) -> Column:
     return F.when(raw != "", raw.cast("int"))
 
 
+def common(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by one row of bits: a bit of ``rows`` for each character of the longer text."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return 0
+    masks = dict.fromkeys(a, 0)
+    for i, y in enumerate(b):
+        if y in masks:
+            masks[y] |= 1 << i
+    full = (1 << len(b)) - 1
+    rows = full
+    for x in a:
+        met = rows & masks[x]
+        rows = ((rows + met) | (rows - met)) & full
+    return len(b) - rows.bit_count()
+
+
 def indel(a: str, b: str) -> float:
     """One less the share of insertions and deletions: 2 * longest common subsequence / total length."""
-    if not a and not b:
-        return 1.0
-    last = [0] * (len(b) + 1)
-    for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            held = last[j]
-            last[j] = diagonal + 1 if x == y else max(last[j], last[j - 1])
-            diagonal = held
-    return 2.0 * last[-1] / (len(a) + len(b))
+    return 2.0 * common(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
 @F.pandas_udf(T.DoubleType())
@@ -117,39 +127,105 @@ def token_sort(a: str, b: str) -> float:
     return indel(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
 
 
+def partial_bound(n, pairs):
+    """At least the partial ratio of a text of ``n`` letters of which ``pairs`` adjacent ones are in the other text.
+
+    Of stretches as long, and of shorter ones at either end, the one where the bounds by letters and by pairs meet.
+    """
+    return np.where(n < 4, 1.0, np.minimum(1.0, 2.0 * (n + pairs + 1) / np.maximum(3 * n + pairs + 1, 1)))
+
+
+class Letters:
+    """A text whose stretches many short ones are compared with: its letters and pairs of them as small numbers."""
+
+    def __init__(self, text: str):
+        self.text = text
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        distinct, self.of = np.unique(codes, return_inverse=True)
+        self.letters = {chr(c): i for i, c in enumerate(distinct.tolist())}
+        pairs, self.pair_of = np.unique(codes[:-1] << 32 | codes[1:], return_inverse=True) if len(codes) > 1 else (np.empty(0, np.int64), np.empty(0, np.int64))
+        self.pairs = {chr(c >> 32) + chr(c & 0xFFFFFFFF): i for i, c in enumerate(pairs.tolist())}
+
+    def partial_bound(self, short: str) -> float:
+        """At least ``partial``, by the letters and the pairs of letters of ``short`` in each stretch."""
+        n, size = len(short), len(self.text)
+        if n < 4 or n > size:
+            return 1.0
+        at = np.arange(-(n - 1), size)  # where stretches begin
+        low, high = np.maximum(at, 0), np.minimum(at + n, size)
+
+        def counted(known: dict[str, int], of: np.ndarray, parts: set[str], last: np.ndarray) -> np.ndarray:
+            held = np.zeros(len(known) + 1, dtype=np.int64)
+            held[[known.get(x, -1) for x in parts]] = 1
+            held[-1] = 0
+            upto = np.append(0, np.cumsum(held[of]))
+            return upto[np.maximum(last, low)] - upto[low]
+
+        letters = counted(self.letters, self.of, set(short), high)
+        pairs = counted(self.pairs, self.pair_of, {short[i : i + 2] for i in range(n - 1)}, high - 1)
+        most = np.minimum(np.minimum(letters, high - low), (n + high - low + 1 + pairs) // 3)
+        return float((2.0 * most / (n + high - low)).max())
+
+    def partial(self, short: str) -> float:
+        """The best ``indel`` of the shorter text with a stretch of the longer one of its length, or a shorter one at either end.
+
+        All stretches are compared at once, each by the bits of one word, or one after the other where 63 bits do not do.
+        """
+        long, n = self.text, len(short)
+        if n > len(long):
+            return Letters(short).partial(long)
+        if not n:
+            return float(not long)
+        if n > 63:
+            whole = (long[i : i + n] for i in range(len(long) - n + 1))
+            ends = (x for k in range(1, n) for x in (long[:k], long[-k:]))
+            return max(indel(short, x) for x in (*whole, *ends))
+        masks = np.zeros(len(self.letters) + 1, dtype=np.uint64)
+        for i, x in enumerate(short):
+            masks[self.letters.get(x, -1)] |= np.uint64(1 << i)
+        padded = np.zeros(len(long) + 2 * (n - 1), dtype=np.uint64)  # no character stands at either end
+        padded[n - 1 : n - 1 + len(long)] = masks[self.of]
+        count = len(padded) - n + 1
+        full = np.uint64((1 << n) - 1)
+        rows = np.full(count, full)
+        for i in range(n):
+            met = rows & padded[i : i + count]
+            rows = ((rows + met) | (rows - met)) & full
+        begins = np.arange(count) - (n - 1)
+        length = np.minimum(begins + n, len(long)) - np.maximum(begins, 0)
+        return float((2.0 * (n - np.bitwise_count(rows).astype(np.int64)) / (n + length)).max())
+
+
 def partial(a: str, b: str) -> float:
-    """The best ``indel`` of the shorter text with a stretch of the longer one of its length, or a shorter one at either end."""
-    short, long = sorted((a, b), key=len)
-    if not short:
-        return float(not long)
-    n, spare = len(short), len(long) - len(short)
-    whole = (long[i : i + n] for i in range(spare + 1))
-    ends = (x for k in range(1, n) for x in (long[:k], long[-k:]))
-    return max(indel(short, x) for x in (*whole, *ends))
+    """The best ``indel`` of the shorter of two texts with a stretch of the longer one: see ``Letters.partial``."""
+    return Letters(b).partial(a)
 
 
 def token_set(a: str, b: str) -> float:
     """The best ``indel`` of the words that two texts share and of these with what is left of either."""
-    x, y = set(a.split()), set(b.split())
+    return set_ratio(set(a.split()), set(b.split()))
+
+
+def set_ratio(x: set[str], y: set[str]) -> float:
+    """``token_set`` of sets of words. What is shared begins both longer texts, so only these need to be compared."""
     if not x or not y:
         return 0.0
-    both, one, other = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+    both, one, other = x & y, x - y, y - x
     if both and (not one or not other):
         return 1.0
-    first, second = f"{both} {one}".strip(), f"{both} {other}".strip()
-    return max(indel(first, second), *((indel(both, first), indel(both, second)) if both else (0.0,)))
+    if not both:
+        return indel(" ".join(sorted(one)), " ".join(sorted(other)))
+    shared = " ".join(sorted(both))
+    first, second = (f"{shared} {' '.join(sorted(s))}" for s in (one, other))
+    begins = max(2.0 * len(shared) / (len(shared) + len(s)) for s in (first, second))
+    return begins if begins >= 2.0 * min(len(first), len(second)) / (len(first) + len(second)) else max(begins, indel(first, second))
 
 
-def _ratio_udf(ratio):
-    @F.pandas_udf(T.DoubleType())
-    def of_pairs(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    return of_pairs
-
+@F.pandas_udf(T.DoubleType())
+def token_sort_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``token_sort`` of pairs of short strings; nulls give null."""
+    return pd.Series([None if x is None or y is None else token_sort(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-#: Ratios of pairs of short strings, for pairs that joins have made distinct; nulls give null.
-token_sort_ratio, partial_ratio, token_set_ratio = _ratio_udf(token_sort), _ratio_udf(partial), _ratio_udf(token_set)
 
 #: Letters with a sound class and the classes of them.
 _LETTERS, _CLASSES = "bfpvcgjkqsxzdtlmnr", "111122222222334556"

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import BUCKETS, hash_order, hash_ranked, quantiles, running
+from tidemark.operators.ranking import bucket_of, even_cuts, hash_order, hash_ranked, quantiles, running
+from tidemark.session import stored
 
 #: Thresholds of a sweep.
 THRESHOLDS = (0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.75, 0.80)
@@ -58,10 +59,11 @@ def best(swept: DataFrame) -> DataFrame:
 
 
 def _cumulated(scored: DataFrame) -> DataFrame:
-    """Positives and negatives at each distinct score and above, by running sums over buckets of the score."""
+    """Positives and negatives at each distinct score and above, by running sums over even buckets of scores."""
     at = scored.groupBy("p").agg(F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col("label") == 1, 0).otherwise(1)).alias("neg"))
-    bucket = F.floor((1 - F.col("p")) * (BUCKETS - 1)).cast("int")
-    return running(at, bucket, [F.desc("p")], {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")})
+    cuts = stored(at.agg(even_cuts("p").alias("_cuts")))
+    placed = at.join(F.broadcast(cuts)).withColumn("_at", -bucket_of(F.col("p"), F.col("_cuts"))).drop("_cuts")
+    return running(placed, F.col("_at"), [F.desc("p")], {"cum_pos": F.col("pos"), "cum_neg": F.col("neg")}).drop("_at")
 
 
 def areas(scored: DataFrame) -> DataFrame:

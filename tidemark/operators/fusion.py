@@ -36,32 +36,56 @@ def signals(latest: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 
 def sufficiency(confidence: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Per entity of either side: 0.6 of its history's confidence and 0.4 of its evidence (full at 5, 0.3 under 2), with a band."""
+    """Per entity of either side: 0.6 of its history's confidence and 0.4 of its evidence (full at 5, 0.3 under 2), with a band.
+
+    The band is that of the score as it is; what is returned is the score rounded to three places.
+    """
     both = confidence.select("entity", F.col("score").alias("_c")).join(evidence.select("entity", "n_evidence"), "entity", "full_outer")
     share = F.when(F.col("n_evidence").isNull(), 0.0).when(F.col("n_evidence") < 2, 0.3).otherwise(F.least(F.lit(1.0), F.col("n_evidence") / 5.0))
-    score = F.round(0.6 * F.coalesce("_c", F.lit(0.0)) + 0.4 * share, 4)
-    return both.select("entity", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), score.alias("sufficiency"), F.when(score >= 0.70, "HIGH").when(score >= 0.40, "MODERATE").otherwise("LIMITED").alias("band"))
+    score = 0.6 * F.coalesce("_c", F.lit(0.0)) + 0.4 * share
+    band = F.when(score >= 0.70, "HIGH").when(score >= 0.40, "MODERATE").otherwise("LIMITED")
+    return both.select("entity", F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), F.round(score.cast("decimal(18, 9)"), 3).cast("double").alias("sufficiency"), band.alias("band"))
 
 
-def safety(signal_rows: DataFrame, groups: dict[str, tuple[str, ...]]) -> DataFrame:
-    """Per entity and safety group: whether any of its kinds was measured, and which of them are abnormal or getting worse."""
+def safety(signal_rows: DataFrame, groups: dict[str, tuple[str, ...]], bands: DataFrame) -> DataFrame:
+    """Per entity and safety group: whether any of its kinds was measured, which of them are abnormal, and whether data are few.
+
+    ``bands`` (``entity, band``) comes from ``sufficiency``; ``limited`` says that its band is LIMITED, in which case no group
+    that is not flagged is to be relied on. Entities without signals have no rows.
+    """
     table = F.array(*[F.struct(F.lit(g).alias("grp"), F.array(*[F.lit(k) for k in ks]).alias("kinds")) for g, ks in groups.items()])
-    rolled = signal_rows.groupBy("entity").agg(
-        F.collect_set("kind").alias("seen"), F.collect_set(F.when(F.col("abnormality").isin("LOW", "HIGH") | F.col("worsening"), F.col("kind"))).alias("bad")
-    )
-    each = rolled.select("entity", "seen", "bad", F.explode(table).alias("g"))
+    rolled = signal_rows.groupBy("entity").agg(F.collect_set("kind").alias("seen"), F.collect_set(F.when(F.col("abnormality").isin("LOW", "HIGH"), F.col("kind"))).alias("bad"))
+    limited = bands.groupBy("entity").agg(F.max(F.col("band") == "LIMITED").alias("limited"))
+    each = rolled.join(limited, "entity", "left").select("entity", "seen", "bad", "limited", F.explode(table).alias("g"))
     concern = F.sort_array(F.array_intersect("bad", "g.kinds"))
-    return each.select("entity", F.col("g.grp").alias("grp"), F.arrays_overlap("seen", "g.kinds").alias("performed"), (F.size(concern) > 0).alias("flagged"), F.concat_ws(",", concern).alias("concerns"))
+    return each.select(
+        "entity", F.col("g.grp").alias("grp"), F.arrays_overlap("seen", "g.kinds").alias("performed"), (F.size(concern) > 0).alias("flagged"), F.concat_ws(",", concern).alias("concerns"), F.coalesce("limited", F.lit(False)).alias("limited")
+    )
 
 
-def urgency(context: DataFrame, red_flags: tuple[str, ...], keywords: tuple[str, ...]) -> DataFrame:
-    """Per row of ``entity, condition, band, risk, sufficiency_band``: ROUTINE, HIGH_PRIORITY, URGENT or INSUFFICIENT_DATA."""
-    name = F.lower(F.coalesce("condition", F.lit("")))
-    red = name.isin(*[r.lower() for r in red_flags]) & F.col("band").isin("MEDIUM", "HIGH")
-    word = name.rlike("|".join(keywords)) if keywords else F.lit(False)
-    level = F.when(red, 2).when(word | (F.coalesce("risk", F.lit(0.0)) >= 0.5), 1).otherwise(0)
-    nothing = (level == 0) & (F.col("sufficiency_band") == "LIMITED")
-    return context.select("entity", "condition", F.when(nothing, "INSUFFICIENT_DATA").when(level == 2, "URGENT").when(level == 1, "HIGH_PRIORITY").otherwise("ROUTINE").alias("urgency"))
+def urgency(context: DataFrame, conditions: DataFrame, red_flags: tuple[str, ...], keywords: tuple[str, ...], emergencies: tuple[str, ...] = (), most: int = 5) -> DataFrame:
+    """Per entity of ``context`` how urgent its findings are, and why: ``entity, urgency, reasons``.
+
+    ``context``: ``entity, risk, sufficiency_band, evidence`` (the text of what was affirmed, null for none). ``conditions``:
+    ``entity, condition, probability``, of which the ``most`` likeliest count (of equal ones the smaller name). A red-flag
+    condition of 0.25 or more, or an emergency of 0.60 or more, is URGENT_EVALUATION. Short of that, a red-flag phrase in
+    the evidence or a risk of 0.50 is HIGH_PRIORITY, anything else ROUTINE_FOLLOW_UP. Without any condition LIMITED data are
+    INSUFFICIENT_INFORMATION whatever else is known. Reasons come in that order; a risk from 0.30 on is one, too.
+    """
+    ranked = rank_within(conditions, ["entity"], [F.desc("probability"), F.col("condition")]).where(F.col("rank") <= most)
+    band = F.when(F.col("probability") >= 0.60, "HIGH").when(F.col("probability") >= 0.25, "MEDIUM").otherwise("LOW")
+    red = F.col("condition").isin(*red_flags) & (band != "LOW") if red_flags else F.lit(False)
+    emergency = F.col("condition").isin(*emergencies) & (band == "HIGH") if emergencies else F.lit(False)
+    reason = F.when(red, F.struct("rank", F.concat(F.lit("condition: "), "condition", F.lit(" ("), band, F.lit(")")).alias("text")))
+    found = ranked.groupBy("entity").agg(F.max(red | emergency).alias("_urgent"), F.sort_array(F.collect_list(reason))["text"].alias("_red"))
+    text = F.lower(F.coalesce("evidence", F.lit("")))
+    phrases = F.filter(F.array(*[F.when(text.contains(k), F.lit(f"phrase: {k}")) for k in keywords]), lambda x: x.isNotNull()) if keywords else F.array().cast("array<string>")
+    risk = F.when(F.col("risk") >= 0.50, "risk: high").when(F.col("risk") >= 0.30, "risk: elevated")
+    joined = context.join(found, "entity", "left")
+    few = (F.col("sufficiency_band") == "LIMITED") & F.col("_urgent").isNull()
+    level = F.when(few, "INSUFFICIENT_INFORMATION").when(F.col("_urgent"), "URGENT_EVALUATION").when((F.size(phrases) > 0) | (F.coalesce("risk", F.lit(0.0)) >= 0.50), "HIGH_PRIORITY").otherwise("ROUTINE_FOLLOW_UP")
+    reasons = F.array_compact(F.concat(F.coalesce("_red", F.array().cast("array<string>")), phrases, F.array(risk), F.array(F.when(few, "data: limited"))))
+    return joined.select("entity", level.alias("urgency"), reasons.alias("reasons"))
 
 
 def recommendations(candidates: DataFrame, k: int = 3) -> DataFrame:

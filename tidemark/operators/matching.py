@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+import functools
+import math
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import content_tokens, indel_ratio, negated, normalised, partial_ratio, sounds, token_set_ratio, token_sort, tokens
-from tidemark.operators.evaluation import rank_within
+from tidemark.functions.text import Letters, content_tokens, indel, negated, normalised, partial_bound, set_ratio, sounds, token_sort_ratio, tokens
+from tidemark.session import stored
 
 #: Words before and behind a match that decide on its negation; words that a window may have above an alias's.
 BEFORE, AFTER, EXTRA = 6, 4, 4
-#: Words that say little, which weigh a sixth of others in a window.
-LITTLE = frozenset(
-    "i me my mine we our ours you your yours he him his she her hers they them their theirs the a an this that these those am is are was were be been being have has had having do does did "
-    "will would should could can may might feel feeling felt seem seems seemed very really quite just some any something someone today yesterday tomorrow currently recently for since during "
-    "from with without and or but so to of in on at by as about into when while where why how than then bad good little much more less".split()
-)
+#: Aliases that are broadcast to where texts are; more of them are joined by a shuffle of words with their surroundings.
+FEW = 200_000
+#: Words of grammar, and others that say as little; these weigh a sixth of other words in a window.
+GRAMMAR = (
+    "i", "me", "my", "mine", "we", "our", "ours", "you", "your", "yours", "he", "him", "his", "she", "her", "hers", "they", "them", "their", "theirs", "the", "a", "an", "this", "that",
+    "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "will", "would", "should", "could", "can", "may", "might",
+    "feel", "feeling", "felt", "seem", "seems", "seemed", "very", "really", "quite", "just", "some", "any", "something", "someone", "today", "yesterday", "tomorrow", "currently", "recently",
+    "for", "since", "during", "from", "with", "without", "and", "or", "but", "so", "to", "of", "in", "on", "at", "by", "as", "about", "into", "when", "while", "where", "why", "how", "than", "then",
+)
+LITTLE = (*GRAMMAR, "bad", "good", "little", "much", "more", "less")
 
 
 def prepared(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """``id, normal, words`` of each text; null texts have no words."""
-    normal = normalised(F.coalesce(F.col(text_col), F.lit("")))
-    return texts.select(F.col(id_col).alias("id"), normal.alias("normal"), tokens(normal).alias("words"))
+    normal = texts.select(F.col(id_col).alias("id"), normalised(F.coalesce(F.col(text_col), F.lit(""))).alias("normal"))
+    return normal.select("id", "normal", tokens(F.col("normal")).alias("words"))
 
 
 def alias_words(aliases: DataFrame) -> DataFrame:
@@ -36,21 +46,31 @@ def exact(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     return prepared(texts).join(alias_words(aliases).select("alias", "code"), F.col("normal") == F.col("alias")).select("id", "code").distinct()
 
 
-def contained(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+def _met(texts: DataFrame, heads: DataFrame, before: int, behind: int, few: bool) -> DataFrame:
+    """Words of ``prepared`` texts that are in ``heads`` (column ``head``): ``id, pos, first, near`` and the columns of ``heads``.
+
+    ``pos`` is a word's place from 0 on, ``near`` up to ``before`` words before it, itself (number ``first``) and ``behind``
+    behind it. A few heads are sent to the texts, and only around words that are found is anything cut out; else each word
+    goes to its head with its surroundings, not with its text.
+    """
+    ahead = F.least(F.col("pos"), F.lit(before))
+    near = {"first": ahead + 1, "near": F.slice("words", F.col("pos") - ahead + 1, ahead + 1 + behind)}
+    words = texts.select("id", "words", F.posexplode("words").alias("pos", "head"))
+    met = words.join(F.broadcast(heads), "head").withColumns(near) if few else words.withColumns(near).drop("words").join(heads, "head")
+    return met.drop("words")
+
+
+def contained(texts: DataFrame, aliases: DataFrame, few: int = FEW) -> DataFrame:
     """``id, code, place, n_alias, negated``: aliases that occur word for word, at each place.
 
-    Texts are blocked by word: each word is looked up as the head of an alias, so no text meets all aliases. A word carries
-    its surroundings only, as many words as the longest alias and the scope of a negation take, not its text.
+    Texts are blocked by word: each word is looked up as the head of an alias, so no text meets all aliases; up to ``few``
+    aliases are sent to the texts (see ``_met``).
     """
     names = alias_words(aliases)
-    most = names.agg(F.max("n_alias")).first()[0] or 0
-    words = prepared(texts).select("id", "words", F.posexplode("words").alias("pos", "word"))
-    ahead = F.least(F.col("pos"), F.lit(BEFORE))
-    near = words.select("id", "pos", "word", ahead.alias("ahead"), F.slice("words", F.col("pos") - ahead + 1, ahead + most + AFTER).alias("near"))
-    met = near.join(names, F.col("word") == F.col("head"))
-    first = F.col("ahead") + 1
-    hit = met.where(F.slice("near", first, F.col("n_alias")) == F.col("alias_tokens"))
-    return hit.select("id", "code", (F.col("pos") + 1).alias("place"), "n_alias", F.coalesce(negated(F.col("near"), first, F.col("n_alias"), BEFORE, AFTER), F.lit(False)).alias("negated"))
+    most, count = names.agg(F.coalesce(F.max("n_alias"), F.lit(0)), F.count("*")).first()
+    met = _met(prepared(texts), names, BEFORE, most + AFTER, count <= few)
+    hit = met.where(F.slice("near", F.col("first"), F.col("n_alias")) == F.col("alias_tokens"))
+    return hit.select("id", "code", (F.col("pos") + 1).alias("place"), "n_alias", F.coalesce(negated(F.col("near"), F.col("first"), F.col("n_alias"), BEFORE, AFTER), F.lit(False)).alias("negated"))
 
 
 def longest(found: DataFrame) -> DataFrame:
@@ -75,34 +95,143 @@ def by_overlap(texts: DataFrame, aliases: DataFrame, least: float = 0.5) -> Data
     return met.where(coverage >= least).select("id", "code", "shared", F.round(coverage, 6).alias("coverage"), F.round(precision, 6).alias("precision"), F.round(score, 6).alias("score"))
 
 
-def fuzzy(words: DataFrame, aliases: DataFrame, least: float = 0.78) -> DataFrame:
+@functools.lru_cache(maxsize=4096)
+def _plan(m: int, least: float, lengths: frozenset[int] | None = None) -> list[tuple[int, list[int], int, int]]:
+    """For each length ``n`` that a word near one of ``m`` letters may have: ``n``, where it is cut, and how far pieces may move.
+
+    Of words of ``m`` and ``n`` letters at an Indel ratio of ``least`` at most ``most`` letters are added or taken away. Each of
+    these touches one piece of a word at most, so of one piece more than that one stays whole; letters taken from the one
+    move it back, letters of the other move it on.
+    """
+    out = []
+    for n in range(max(1, math.ceil(m * least / (2 - least) - 1e-9)), math.floor(m * (2 - least) / least + 1e-9) + 1):
+        most = m + n - 2 * math.ceil(least * (m + n) / 2 - 1e-9)
+        if most >= 0 and (lengths is None or n in lengths):
+            out.append((n, [i * n // (most + 1) for i in range(most + 2)], (most + n - m) // 2, (most + m - n) // 2))
+    return out
+
+
+def _pieces(word: str, least: float, _: frozenset[int] | None) -> list[str]:
+    """Keys of a word: its pieces, by both lengths and their number, for each length that a near word may have."""
+    n, out = len(word), []
+    for m, *_ in _plan(n, least):
+        cuts = next(c for k, c, _, _ in _plan(m, least) if k == n)
+        out += [f"{m}|{n}|{i}|{word[a:b]}" for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    return out
+
+
+def _stretches(word: str, least: float, lengths: frozenset[int] | None) -> list[str]:
+    """Keys of a word: its stretches where a piece of a near word may be, for each of ``lengths`` that such a word may have."""
+    m, out = len(word), []
+    for n, cuts, back, on in _plan(m, least, lengths):
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            out += [f"{m}|{n}|{i}|{word[at : at + b - a]}" for at in range(max(0, a - back), min(a + on, m - b + a) + 1)]
+    return out
+
+
+def _all_keys(word: str, stem: str, sound: str, parts, least: float, lengths: frozenset[int] | None = None) -> set[str]:
+    """Keys of a word as it is and of its lemma; sound codes and pieces only from four letters on."""
+    keys = {f"w{word}", f"w{stem}"}
+    if len(word) >= 4:
+        keys.update((f"s{word[0]}{sound}",), parts(word, least, lengths), parts(stem, least, lengths) if stem != word else ())
+    return keys
+
+
+def _keys_of(parts, least: float, lengths: frozenset[int] | None = None) -> Column:
+    @F.pandas_udf("array<string>")
+    def keys(word: pd.Series, stem: pd.Series, sound: pd.Series) -> pd.Series:
+        return pd.Series([sorted(_all_keys(*x, parts, least, lengths)) for x in zip(word, stem, sound, strict=True)], dtype=object)
+
+    return keys("word", "lemma", "sound")
+
+
+def _index(words: list[tuple[str, str, str]], least: float) -> dict[tuple, dict[str, list[str]]]:
+    """Alias words by whole words and lemmas, by sound codes, and by each of their pieces."""
+    out: dict[tuple, dict[str, list[str]]] = {}
+    for word, stem, sound in words:
+        for key in _all_keys(word, stem, sound, _pieces, least):
+            *where, part = key.split("|", 3) if "|" in key else (key[0], key[1:])
+            out.setdefault(tuple(where), {}).setdefault(part, []).append(word)
+    return out
+
+
+def _found(word: str, stem: str, sound: str, index: dict, least: float, lengths: frozenset[int]) -> list[str]:
+    """The alias words that share a key with a word."""
+    out = [*index.get(("w",), {}).get(word, ()), *index.get(("w",), {}).get(stem, ())]
+    if len(word) >= 4:
+        out += index.get(("s",), {}).get(word[0] + sound, ())
+        for x in {word, stem}:
+            m = len(x)
+            for n, cuts, back, on in _plan(m, least, lengths):
+                for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    if pieces := index.get((str(m), str(n), str(i))):
+                        for at in range(max(0, a - back), min(a + on, m - b + a) + 1):
+                            if hit := pieces.get(x[at : at + b - a]):
+                                out += hit
+    return sorted(set(out))
+
+
+def nearness(one: tuple[str, str, str], other: tuple[str, str, str], least: float) -> tuple[str, float] | None:
+    """Tier and similarity of two words, each given with its lemma and sound code; None if they are not near."""
+    (a, stem, sound), (b, _stem, _sound) = one, other
+    if a == b:
+        return "exact", 1.0
+    if stem in (_stem, b) or a == _stem:
+        return "lemma", 0.98
+    if min(len(a), len(b)) < 4:
+        return None
+    ratio = indel(a, b)
+    best = max(ratio, *(indel(x, y) for x, y in ((a, _stem), (stem, b), (stem, _stem)) if (x, y) != (a, b)), 0.0)
+    if best >= least:
+        return "edited", round(best, 6)
+    return ("phonetic", 0.82) if sound == _sound and a[0] == b[0] and ratio >= 0.45 else None
+
+
+def _near_by_keys(shared, least: float, lengths: frozenset[int]) -> Column:
+    @F.pandas_udf("array<struct<alias_word:string,tier:string,similarity:double>>")
+    def near(word: pd.Series, stem: pd.Series, sound: pd.Series) -> pd.Series:
+        index, known = shared.value
+        out = []
+        for one in zip(word, stem, sound, strict=True):
+            said = ((a, nearness(one, known[a], least)) for a in _found(*one, index, least, lengths))
+            out.append([{"alias_word": a, "tier": x[0], "similarity": x[1]} for a, x in said if x])
+        return pd.Series(out, dtype=object)
+
+    return near("word", "lemma", "sound")
+
+
+def _near_pairs(least: float) -> Column:
+    @F.pandas_udf("tier string, similarity double")
+    def near(*columns: pd.Series) -> pd.DataFrame:
+        said = [nearness(x[:3], x[3:], least) or (None, None) for x in zip(*columns, strict=True)]
+        return pd.DataFrame(said, columns=["tier", "similarity"])
+
+    return near("word", "lemma", "sound", "alias_word", "_lemma", "_sound")
+
+
+def fuzzy(words: DataFrame, aliases: DataFrame, least: float = 0.78, few: int = FEW // 10) -> DataFrame:
     """``word, alias_word, tier, similarity`` for the distinct words of ``words`` (column ``word``).
 
-    Tiers: exact (1.0), lemma (0.98), edited (the Indel ratio, for words of four letters or more) and phonetic (0.82, for
-    words of one sound code and beginning whose ratio is 0.45 or more). Pairs come from equal beginnings, endings and sounds,
-    each an equi-join of distinct words, so only near ones are compared.
+    Tiers: exact (1.0), lemma (0.98), edited (the best Indel ratio of both words and their lemmas, ``least`` or more, for
+    words of four letters or more) and phonetic (0.82, for words of one sound code and first letter whose ratio is 0.45 or
+    more). No pair is lost: pairs come from equal words or lemmas, sound codes, and the pieces of which a near word must
+    hold one (``_pieces``); only these are compared. The keys of up to ``few`` alias words are sent to the words as an
+    index, more of them are joined.
     """
-    left = words.select("word").distinct().where(F.length("word") >= 1).withColumn("sound", sounds(F.col("word")))
-    right = alias_words(aliases).select(F.explode("alias_tokens").alias("alias_word")).distinct().withColumn("_sound", sounds(F.col("alias_word")))
-
-    def keys(word: str, sound: str):
-        return F.array(F.concat(F.lit("b"), F.left(F.col(word), F.lit(2))), F.concat(F.lit("e"), F.right(F.col(word), F.lit(2))), F.concat(F.lit("s"), F.col(sound)))
-
-    pairs = (
-        left.select("word", "sound", F.explode(F.array_distinct(keys("word", "sound"))).alias("key"))
-        .join(right.select("alias_word", "_sound", F.explode(F.array_distinct(keys("alias_word", "_sound"))).alias("key")), "key")
-        .select("word", "alias_word", (F.col("sound") == F.col("_sound")).alias("sounds_alike"))
-        .distinct()
-    )
-    scored = pairs.withColumn("ratio", indel_ratio("word", "alias_word"))
-    edited = (F.least(F.length("word"), F.length("alias_word")) >= 4) & (F.col("ratio") >= least)
-    phonetic = F.col("sounds_alike") & (F.left("word", F.lit(1)) == F.left("alias_word", F.lit(1))) & (F.least(F.length("word"), F.length("alias_word")) >= 4) & (F.col("ratio") >= 0.45)
-    lemmas = F.col("word") == F.col("alias_word")
-    for a, b in ((lemma(F.col("word")), lemma(F.col("alias_word"))), (lemma(F.col("word")), F.col("alias_word")), (F.col("word"), lemma(F.col("alias_word")))):
-        lemmas = lemmas | (a == b)
-    tier = F.when(F.col("word") == F.col("alias_word"), "exact").when(lemmas, "lemma").when(edited, "edited").when(phonetic, "phonetic")
-    similarity = F.when(tier == "exact", 1.0).when(tier == "lemma", 0.98).when(tier == "edited", F.col("ratio")).when(tier == "phonetic", 0.82)
-    return scored.select("word", "alias_word", tier.alias("tier"), F.round(similarity, 6).alias("similarity")).where("tier is not null")
+    named = lambda frame: frame.where(F.length("word") >= 1).select("word", lemma(F.col("word")).alias("lemma"), sounds(F.col("word")).alias("sound"))
+    theirs = named(alias_words(aliases).select(F.explode("alias_tokens").alias("word")).distinct())
+    lengths = frozenset(r[0] for r in theirs.select(F.explode(F.array(F.length("word"), F.length("lemma")))).distinct().collect())  # no more than the longest word has letters
+    spark = words.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes, much work
+    mine = named(words.select("word").distinct().repartition(tasks, "word"))
+    held = theirs.limit(few + 1).collect()
+    if len(held) <= few:
+        rows = [tuple(r) for r in held]
+        shared = spark.sparkContext.broadcast((_index(rows, least), {r[0]: r for r in rows}))
+        return mine.select("word", F.inline(_near_by_keys(shared, least, lengths)))
+    right = theirs.select(F.col("word").alias("alias_word"), F.col("lemma").alias("_lemma"), F.col("sound").alias("_sound"), F.explode(_keys_of(_pieces, least)).alias("key"))
+    pairs = mine.select("word", "lemma", "sound", F.explode(_keys_of(_stretches, least, lengths)).alias("key")).join(right, "key").drop("key").distinct()
+    return pairs.select("word", "alias_word", _near_pairs(least).alias("n")).select("word", "alias_word", "n.*").where("tier is not null")
 
 
 def lemma(word: Column) -> Column:
@@ -110,73 +239,124 @@ def lemma(word: Column) -> Column:
     return F.regexp_replace(word, r"^(.{4,}?)(?:ings?|ed|es|s)$", "$1")
 
 
-def _windows(words: list[str], alias: list[str], similar: dict[tuple[str, str], float], weight) -> tuple | None:
-    """The window of at most ``EXTRA`` words more than the alias that fits it best, and how well: see ``spans``."""
-    best = None
-    for size in range(1, min(len(words), len(alias) + EXTRA) + 1):
-        for start in range(len(words) - size + 1):
-            window, used, got = words[start : start + size], [], []
-            for a in alias:
-                of = [(similar.get((w, a), 0.0), -i) for i, w in enumerate(window) if i not in used]
-                score, place = max(of, default=(0.0, 0))
-                if score > 0:
-                    used.append(-place)
-                    got.append(score)
-            if not got:
-                continue
-            coverage, mean = len(got) / len(alias), sum(got) / len(got)
-            precision = sum(weight(window[i]) for i in used) / sum(map(weight, window))
-            local = 0.50 * coverage + 0.30 * mean + 0.20 * precision - 0.035 * max(0, size - len(alias)) + (0.08 if coverage >= 1 else 0.0)
-            if best is None or local > best[0]:
-                best = local, start, size, coverage, precision, mean, sorted(start + i for i in used), min(got)
+def best_windows(similar: np.ndarray, sound: np.ndarray, weight: np.ndarray, n_alias: int) -> tuple[np.ndarray, ...]:
+    """Of each row the window over its middle word that fits an alias of ``n_alias`` words best.
+
+    ``similar`` and ``sound`` are rows x words x words of the alias: how near they are, and whether by sound alone;
+    ``weight`` is that of each word, 0 beyond a text's ends. All rows are tried with one window after the other, shorter
+    and earlier ones first. In a window each word of the alias takes the nearest word left, the first of equally near
+    ones. Returns ``local, start, size, coverage, precision, mean, worst, by_sound, taken``; ``local`` is -1 where no word
+    is near, and ``taken`` marks the words that were taken.
+    """
+    rows, width, _ = similar.shape
+    middle, most = width // 2, n_alias + EXTRA
+    best = {"local": np.full(rows, -1.0), "start": np.zeros(rows, int), "size": np.zeros(rows, int), "coverage": np.zeros(rows), "precision": np.zeros(rows), "mean": np.zeros(rows), "worst": np.zeros(rows), "by_sound": np.zeros(rows, bool), "taken": np.zeros((rows, width), bool)}
+    every = np.arange(rows)
+    for size in range(1, most + 1):
+        for start in range(max(0, middle - size + 1), min(middle, width - size) + 1):
+            window = slice(start, start + size)
+            inside = (weight[:, window] > 0).all(axis=1)
+            taken = np.zeros((rows, size), dtype=bool)
+            got, total, least, heard = np.zeros(rows, int), np.zeros(rows), np.full(rows, np.inf), np.zeros(rows, bool)
+            for t in range(n_alias):
+                near = np.where(taken, 0.0, similar[:, window, t])
+                place = near.argmax(axis=1)
+                score = near[every, place]
+                hit = score > 0
+                taken[every[hit], place[hit]] = True
+                got += hit
+                total = np.where(hit, total + score, total)
+                least = np.where(hit, np.minimum(least, score), least)
+                heard |= hit & sound[every, start + place, t]
+            coverage, mean = got / n_alias, total / np.maximum(got, 1)
+            precision = np.where(taken, weight[:, window], 0.0).sum(axis=1) / np.maximum(weight[:, window].sum(axis=1), 1e-12)
+            local = 0.50 * coverage + 0.30 * mean + 0.20 * precision - 0.035 * max(0, size - n_alias) + np.where(got == n_alias, 0.08, 0.0)
+            better = inside & (got > 0) & (np.round(local, 9) > np.round(best["local"], 9))
+            values = {"local": local, "start": start, "size": size, "coverage": coverage, "precision": precision, "mean": mean, "worst": least, "by_sound": heard}
+            for name, value in values.items():
+                best[name] = np.where(better, value, best[name])
+            best["taken"][better] = False
+            best["taken"][better, start : start + size] = taken[better]
     return best
 
 
-def spans(texts: DataFrame, aliases: DataFrame, least: float = 0.60) -> DataFrame:
+def spans(texts: DataFrame, aliases: DataFrame, least: float = 0.60, few: int = FEW) -> DataFrame:
     """``id, code, alias, place, size, matched, coverage, precision, score``: stretches of texts that say an alias, not only word for word.
 
-    A text meets an alias only if one of its words is near one of the alias's (``fuzzy``); how near words are comes with the
-    pair. The best window of up to four words more than the alias counts; its score is 0.40 of the share of the alias's
-    words, 0.25 of the weighted share of the window's, 0.20 of their harmonic mean and 0.15 of the words' mean similarity,
-    at least 0.95 for the exact phrase, plus a bonus for windows that read alike as a whole. It is accepted as an exact
-    phrase, with all words at 0.80, with two thirds of them at a mean of 0.78, or reading alike; a word that only sounds
-    alike needs the whole alias.
+    Where a word of a text is near one of the alias's words of content (any of its words, if it has none; see ``fuzzy``),
+    the windows over that word, of up to four words more than the alias, are tried; the best of a text and alias counts,
+    the shorter and then the earlier of equally good ones. Its score is 0.40 of the share of the alias's words, 0.25 of the
+    weighted share of the window's, 0.20 of their harmonic mean and 0.15 of the words' mean similarity, at least 0.95 for
+    the exact phrase, plus a bonus for windows that read alike as a whole. It is accepted as an exact phrase, with all
+    words at 0.80, with two thirds of them at a mean of 0.78, or reading alike; a word that only sounds alike needs the
+    whole alias. Null and empty texts have none; ids should tell texts apart.
+
+    What travels is a found word with its surroundings, never a text.
     """
     mine, names = prepared(texts), alias_words(aliases)
     near = fuzzy(mine.select(F.explode("words").alias("word")), aliases)
-    of_word = names.select("alias", "code", F.explode(F.array_distinct("alias_tokens")).alias("alias_word")).join(near, "alias_word")
-    met = mine.select("id", F.explode(F.array_distinct("words")).alias("word")).join(of_word, "word")
-    pairs = met.groupBy("id", "alias", "code").agg(F.collect_list(F.struct("word", "alias_word", "similarity", (F.col("tier") == "phonetic").alias("by_sound"))).alias("near"))
-    pairs = pairs.join(mine.select("id", "words"), "id")  # a row for each text and alias that share a near word
-    kind = "place int, size int, coverage double, precision double, mean double, matched array<int>, worst double, semantic double, window string, by_sound boolean"
+    near = stored(near.select("word", "alias_word", "similarity", (F.col("tier") == "phonetic").alias("by_sound")))
+    content = F.filter("alias_tokens", lambda w: ~w.isin(*GRAMMAR))
+    heads = names.select("alias", "code", "alias_tokens", "n_alias", F.explode(F.array_distinct(F.when(F.size(content) > 0, content).otherwise(F.col("alias_tokens")))).alias("alias_word"))
+    heads = heads.join(near, "alias_word").select(F.col("word").alias("head"), "alias", "code", "alias_tokens", "n_alias").distinct()
+    reach, count = names.agg(F.coalesce(F.max("n_alias"), F.lit(0)) + EXTRA - 1).first()[0], heads.count()
+    found = _met(mine, heads, reach, reach, count <= few).select("id", "pos", "first", "alias", "code", "alias_tokens", "n_alias", F.posexplode("near").alias("i", "word"))
+    found = found.withColumn("at", F.col("i") - F.col("first") + 1).where(F.abs("at") < F.col("n_alias") + EXTRA)  # places from the found word on
+    by_word = near.groupBy("word").agg(F.collect_list(F.struct("alias_word", "similarity", "by_sound")).alias("like"))  # alias words near a word are few
+    of = F.filter(F.coalesce("like", F.array().cast("array<struct<alias_word:string,similarity:double,by_sound:boolean>>")), lambda x: F.array_contains("alias_tokens", x["alias_word"]))
+    of_alias = found.join(by_word, "word", "left").select("id", "pos", "alias", "code", "alias_tokens", F.struct("at", "word", of.alias("like")).alias("x"))
+    around = of_alias.repartition("id", "alias", "code").groupBy("id", "pos", "alias", "code").agg(F.first("alias_tokens").alias("alias_tokens"), F.sort_array(F.collect_list("x")).alias("around"))
+    # two thirds of an alias's words, or its letters, must be around some word, or no window of the text will do
+    like = F.flatten(F.transform("around", lambda x: x["like"]["alias_word"]))
+    share = F.size(F.filter("alias_tokens", lambda w: F.array_contains(like, w))) / F.size("alias_tokens")
+    may = (share >= 0.66) | F.array_join(F.transform("around", lambda x: x["word"]), " ").contains(F.col("alias"))
+    around = around.withColumn("may", F.max(may).over(W.partitionBy("id", "alias", "code"))).where("may")
+    kind = "local double, start int, size int, coverage double, precision double, mean double, worst double, by_sound boolean, taken array<int>, window string"
 
     @F.pandas_udf(kind)
-    def aligned(words: pd.Series, alias: pd.Series, near: pd.Series) -> pd.DataFrame:
-        weight = lambda w: 0.10 if w in LITTLE else 0.60
-        rows = []
-        for ws, name, pairs_of in zip(words, alias, near, strict=True):
-            ws, parts = list(ws), name.split()
-            similar = {(p["word"], p["alias_word"]): p["similarity"] for p in pairs_of}
-            sounding = {(p["word"], p["alias_word"]) for p in pairs_of if p["by_sound"]}
-            found = _windows(ws, parts, similar, weight)
-            if found is None:
-                rows.append((None,) * 10)
-                continue
-            _, start, size, coverage, precision, mean, matched, worst = found
-            window = " ".join(ws[start : start + size])
-            by_sound = any((ws[i], a) in sounding for i in matched for a in parts)
-            rows.append((start + 1, size, coverage, precision, mean, [i + 1 for i in matched], worst, token_sort(window, name), window, by_sound))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in kind.split(", ")])
-
-    held = pairs.select("id", "code", "alias", aligned("words", "alias", "near").alias("a")).select("id", "code", "alias", "a.*").where("place is not null")
-    c, p, mean, semantic = (F.col(x) for x in ("coverage", "precision", "mean", "semantic"))
+    def aligned(alias: pd.Series, around: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame(index=alias.index, columns=[c.split()[0] for c in kind.split(", ")])
+        sizes = alias.map(len)
+        for n in sizes.unique():
+            index = np.flatnonzero(sizes == n)
+            middle = n + EXTRA - 1
+            shape = (len(index), 2 * middle + 1)
+            similar, sound, weight = np.zeros((*shape, n)), np.zeros((*shape, n), dtype=bool), np.zeros(shape)
+            words = np.full(shape, "", dtype=object)
+            for r, k in enumerate(index):
+                tokens_of = list(alias.iloc[k])
+                for x in around.iloc[k]:
+                    at = middle + x["at"]
+                    words[r, at], weight[r, at] = x["word"], 0.10 if x["word"] in little else 0.60
+                    for y in x["like"]:
+                        for t, w in enumerate(tokens_of):
+                            if w == y["alias_word"]:
+                                similar[r, at, t], sound[r, at, t] = y["similarity"], y["by_sound"]
+            best = best_windows(similar, sound, weight, n)
+            best["window"] = np.asarray([" ".join(words[r, s : s + z]) for r, (s, z) in enumerate(zip(best["start"], best["size"], strict=True))], dtype=object)
+            best["start"] = best["start"] - middle
+            taken = best.pop("taken")
+            for name, value in best.items():
+                out.iloc[index, out.columns.get_loc(name)] = value
+            column = out.columns.get_loc("taken")
+            for r, k in enumerate(index):
+                out.iat[k, column] = (np.flatnonzero(taken[r]) - middle).tolist()
+        return out.astype({"local": float, "start": int, "size": int, "coverage": float, "precision": float, "mean": float, "worst": float, "by_sound": bool})
+
+    little = frozenset(LITTLE)
+    held = around.select("id", "code", "alias", "pos", aligned("alias_tokens", "around").alias("a")).where("a.local >= 0")
+    place = F.col("pos") + F.col("a.start") + 1
+    first = F.struct(F.round("a.local", 9).alias("local"), (-F.col("a.size")).alias("small"), (-place).alias("early"), F.col("a"), F.transform("a.taken", lambda x: x + F.col("pos") + 1).alias("matched"))
+    best = held.groupBy("id", "code", "alias").agg(F.max(first).alias("m")).select("id", "code", "alias", (-F.col("m.early")).alias("place"), "m.a.*", "m.matched")
+    c, p, mean, semantic = F.col("coverage"), F.col("precision"), F.col("mean"), F.col("semantic")
+    best = best.withColumn("semantic", token_sort_ratio("window", "alias"))
     exact_phrase = F.col("window").contains(F.col("alias"))
     lexical = 0.40 * c + 0.25 * p + 0.20 * F.try_divide(2 * c * p, c + p) + 0.15 * mean
     bonus = F.when((c >= 0.50) & (semantic >= 0.85), 0.16).when((semantic >= 0.78) & (c >= 0.67), 0.12).when((semantic >= 0.72) & (c >= 0.67), 0.07).otherwise(0.0)
     score = F.least(F.lit(1.0), F.when(exact_phrase, F.greatest(lexical, F.lit(0.95))).otherwise(lexical) + bonus)
     accepted = exact_phrase | ((c >= 1) & (F.col("worst") >= 0.80)) | ((c >= 0.67) & (mean >= 0.78)) | ((c >= 0.67) & (semantic >= 0.72))
     valid = accepted & (~F.col("by_sound") | (c >= 1)) & (score >= least)
-    return held.where(valid).select("id", "code", "alias", "place", "size", "matched", F.round(c, 6).alias("coverage"), F.round(p, 6).alias("precision"), F.round(score, 6).alias("score"))
+    return best.where(valid).select("id", "code", "alias", "place", "size", "matched", F.round(c, 6).alias("coverage"), F.round(p, 6).alias("precision"), F.round(score, 6).alias("score"))
 
 
 def strongest(found: DataFrame) -> DataFrame:
@@ -188,22 +368,100 @@ def strongest(found: DataFrame) -> DataFrame:
     return best.select("id", "code", *[f"m.{c}" for c in ("alias", "place", "size", "matched", "coverage", "precision", "score")])
 
 
+class NameBounds:
+    """What the names of classes can score at most with a text, and the scores of those that may be among the best.
+
+    Letters that two strings share in order, one behind the other in both, are pairs of letters that both hold. Of L
+    shared letters all but as many as such pairs are apart in one of the strings, so L <= (length + length + 1 + pairs) / 3.
+    For all names at once pairs are counted over the text; for those that this leaves, over each stretch of the text as
+    long as the name. Pairs within words, blanks included, are the same in any order of the words.
+    """
+
+    def __init__(self, labels: list[str], bias: dict[str, tuple[str, ...]]):
+        self.labels, self.names = labels, [x.lower() for x in labels]
+        self.bias = [(w, np.asarray([x in names for x in labels], dtype=bool)) for w, names in bias.items()]
+        self.length = np.asarray([len(x) for x in self.names], dtype=np.int64)
+        self.sets = [set(x.split()) for x in self.names]
+        self.in_words = np.asarray([sum(map(len, s)) + max(len(s) - 1, 0) for s in self.sets], dtype=np.int64)
+        self.number: dict[str, int] = {}
+        of, pairs = [], []
+        self.holders: dict[str, list[int]] = {}
+        for i, x in enumerate(self.names):
+            padded = f" {' '.join(sorted(self.sets[i]))} "
+            for at, text in ((i, x), (i + len(labels), padded)):
+                for pair in (text[j : j + 2] for j in range(len(text) - 1)):
+                    of.append(at)
+                    pairs.append(self.number.setdefault(pair, len(self.number)))
+            for w in self.sets[i]:
+                self.holders.setdefault(w, []).append(i)
+        self.of, self.pairs = np.asarray(of, dtype=np.int64), np.asarray(pairs, dtype=np.int64)
+
+    def most(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """At least the partial ratio and the set ratio of every name."""
+        held = np.zeros(len(self.number) + 1, dtype=np.int64)
+        words = set(text.split())
+        padded = f" {text} "
+        for pair in {x + y for x, y in zip(padded, padded[1:], strict=False)} | {w[-1] + " " for w in words} | {" " + w[0] for w in words}:
+            held[self.number.get(pair, -1)] = 1
+        held[-1] = 0
+        shared = np.bincount(self.of, weights=held[self.pairs], minlength=2 * len(self.labels)).astype(np.int64)
+        n = self.length
+        partial_most = partial_bound(np.minimum(n, len(text)), shared[: len(n)])
+        size = sum(map(len, words)) + max(len(words) - 1, 0)
+        letters = np.minimum(np.minimum(self.in_words, size), (self.in_words + size + 1 + shared[len(n) :]) // 3)
+        set_most = np.where((self.in_words > 0) & (size > 0), 2.0 * letters / np.maximum(self.in_words + size, 1), 0.0)
+        for w in words:
+            for i in self.holders.get(w, ()):
+                set_most[i] = 1.0
+        return partial_most, set_most
+
+    def plus(self, text: str) -> np.ndarray:
+        return sum((45.0 * mask for w, mask in self.bias if w in text), np.zeros(len(self.labels)))
+
+    def best(self, text: str, k: int) -> tuple[list[tuple[float, str]], int]:
+        """The ``k`` best of (score, label), by score and then label, and how many names were compared letter by letter."""
+        plus, (partials, sets) = self.plus(text), self.most(text)
+        most = 40 * partials + 60 * sets + plus + 1e-6
+        letters, words = Letters(text), set(text.split())
+        found: list[tuple[float, str]] = []
+        compared = 0
+        for i in np.argsort(-most, kind="stable").tolist():
+            if len(found) >= k and -found[k - 1][0] > most[i]:
+                break
+            name = self.names[i]
+            if len(found) >= k and -found[k - 1][0] > 40 * letters.partial_bound(name) + 60 * sets[i] + plus[i] + 1e-6:
+                continue
+            compared += 1
+            found.append((-round(40 * letters.partial(name) + 60 * set_ratio(self.sets[i], words) + plus[i], 6), self.labels[i]))
+            found.sort()
+        return [(-s, label) for s, label in found[:k]], compared
+
+
 def keyword_ranking(texts: DataFrame, classes: DataFrame, bias: dict[str, tuple[str, ...]], k: int = 5) -> DataFrame:
     """``id, label, probability, rank``: classes whose names read like a text, where nothing better is known.
 
     0.4 of the partial and 0.6 of the token-set ratio of name and text, from 0 to 100, and 45 for each keyword of ``bias``
-    that is in the text and speaks for the class; of the ``k`` best, shares of these scores (at least 10 each). ``classes``
-    (``label``) is a dimension; distinct texts meet each of its names.
+    that is in the text and speaks for the class; of the ``k`` best, shares of these scores (at least 10 each). Null texts
+    have no rows. ``classes`` (``label``, null ones left out) is a dimension of at most ``FEW`` names, which are broadcast;
+    of each text only those names are compared whose upper bound (``NameBounds``) reaches its best ones.
     """
-    said = texts.select(F.lower("text").alias("text")).where("text is not null").distinct()
-    met = said.join(F.broadcast(classes.select("label").distinct()))
-    plus = sum((F.when(F.col("text").contains(w) & F.col("label").isin(*names), 45.0).otherwise(0.0) for w, names in bias.items()), F.lit(0.0))
-    name = F.lower("label")
-    scored = met.select("text", "label", F.round(40 * partial_ratio(name, F.col("text")) + 60 * token_set_ratio(name, F.col("text")) + plus, 6).alias("score"))
-    top = rank_within(scored, ["text"], [F.desc("score"), F.col("label")]).where(F.col("rank") <= k).withColumn("_w", F.greatest("score", F.lit(10.0)))
-    total = top.groupBy("text").agg(F.sum("_w").alias("_total"))
-    shares = top.join(total, "text").select("text", "label", F.round(F.col("_w") / F.col("_total"), 4).alias("probability"), "rank")
-    return texts.select("id", F.lower("text").alias("text")).join(shares, "text").select("id", "label", "probability", "rank")
+    labels = [r[0] for r in classes.select("label").where("label is not null").distinct().orderBy("label").limit(FEW + 1).collect()]
+    if len(labels) > FEW:
+        raise ValueError(f"more than {FEW} classes")
+    shared = texts.sparkSession.sparkContext.broadcast((labels, bias))
+
+    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bounds = NameBounds(*shared.value)
+        for batch in batches:
+            rows = []
+            for key, text in zip(batch["id"], batch["text"], strict=True):
+                top = bounds.best(text, k)[0]
+                total = sum(max(s, 10.0) for s, _ in top)
+                rows += [(key, label, math.floor(max(s, 10.0) / total * 10_000 + 0.5) / 10_000, i) for i, (s, label) in enumerate(top, 1)]
+            yield pd.DataFrame(rows, columns=["id", "label", "probability", "rank"]).astype({"rank": "int32", "probability": "float64"})
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", F.lower("text").alias("text")).where("text is not null").mapInPandas(rank, f"id {kind}, label string, probability double, rank int")
 
 
 def last_polarity(found: DataFrame) -> DataFrame:

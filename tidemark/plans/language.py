@@ -32,9 +32,9 @@ def alias_overlap(spark, sf):
 
 
 def alias_fuzzy(spark, sf):
-    words = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
-    typos = words.select(F.explode(F.array("w", F.expr("concat(w, 's')"), F.expr("substring(w, 1, length(w) - 1)"), F.reverse("w"))).alias("word"))
-    return matching.fuzzy(typos, roles.aliases(spark, sf))
+    """Words of documents that are near words of product names."""
+    words = matching.prepared(table(spark, sf, "documents"), "doc_id").select(F.explode("words").alias("word"))
+    return matching.fuzzy(words, roles.aliases(spark, sf))
 
 
 def alias_longest(spark, sf):
@@ -92,35 +92,31 @@ def cosine_topk(spark, sf):
     return rank_within(near, ["query"], [F.desc("cosine"), F.col("vec_id")]).where("rank <= 5").select("query", "rank", "vec_id", "cosine")  # kept before the shuffle
 
 
-def _typos(spark, sf):
-    """Each distinct sentence on a product once, its words misspelt in four ways."""
-    names = roles.aliases(spark, sf).select("alias", "code")
-    first, second = F.element_at(F.split("alias", " "), 1), F.element_at(F.split("alias", " "), 2)
-    said = F.array(
-        F.concat(F.lit("I have a "), "alias"), F.concat(F.lit("there is a "), first, F.lit("s "), second, F.lit(" here")),
-        F.concat(F.lit("my "), second, F.lit(" was "), first), F.concat(F.lit("the "), F.expr("substring(split(alias, ' ')[0], 1, length(split(alias, ' ')[0]) - 1)"), F.lit(" "), second),
-    )
-    each = names.select("alias", F.posexplode(said).alias("i", "text"))
-    return each.select(F.concat_ws("/", "alias", F.col("i").cast("string")).alias("id"), "text")
+def _phrases(spark, sf):
+    """``alias, code``: the first three words of each benchmark item."""
+    items = matching.prepared(table(spark, sf, "benchmark"), "item_id")
+    return items.select(F.array_join(F.slice("words", 1, 3), " ").alias("alias"), F.concat(F.lit("B_"), "id").alias("code")).where("alias <> ''")
+
+
+def _texts(spark, sf):
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
 def alias_spans(spark, sf):
-    """Products named in misspelt or turned sentences, with how well."""
-    return matching.strongest(matching.spans(_typos(spark, sf), roles.aliases(spark, sf))).select("id", "code", "place", "size", "coverage", "precision", "score")
+    """Where documents say the beginning of a benchmark item, with how well."""
+    return matching.strongest(matching.spans(_texts(spark, sf), _phrases(spark, sf))).select("id", "code", "place", "size", "coverage", "precision", "score")
 
 
 def near_misses(spark, sf):
-    """What to ask back: products that a sentence nearly names."""
-    found = matching.spans(_typos(spark, sf), roles.aliases(spark, sf))
-    asks = roles.aliases(spark, sf).select("code", F.concat(F.lit("Did you mean "), "alias", F.lit("?")).alias("question"))
-    return questions.near_misses(found, asks)
+    """What to ask back: beginnings of benchmark items that a document nearly has."""
+    asks = _phrases(spark, sf).groupBy("code").agg(F.concat(F.lit("Did you mean "), F.min("alias"), F.lit("?")).alias("question"))
+    return questions.near_misses(matching.spans(_texts(spark, sf), _phrases(spark, sf)), asks)
 
 
 def keyword_ranking(spark, sf):
-    """Product names that read like each distinct wording of a report."""
-    texts = _typos(spark, sf)
+    """Product names that read like each document."""
     bias = {"bolt": ("blue bolt", "small bolt"), "ring": ("small ring",)}
-    return matching.keyword_ranking(texts, roles.aliases(spark, sf).select(F.col("alias").alias("label")), bias)
+    return matching.keyword_ranking(_texts(spark, sf), roles.aliases(spark, sf).select(F.col("alias").alias("label")), bias)
 
 
 def pain_values(spark, sf):

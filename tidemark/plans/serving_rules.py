@@ -43,7 +43,7 @@ def sufficiency(spark, sf):
 
 
 def safety_flags(spark, sf):
-    return fusion.safety(_signals(spark, sf), SAFETY)
+    return fusion.safety(_signals(spark, sf), SAFETY, _sufficiency(spark, sf))
 
 
 def _context(spark, sf):
@@ -54,9 +54,13 @@ def _context(spark, sf):
 
 
 def urgency(spark, sf):
-    context = _context(spark, sf).withColumn("band", F.when(F.col("risk") >= 0.6, "HIGH").when(F.col("risk") >= 0.25, "MEDIUM").otherwise("LOW"))
-    joined = context.join(_sufficiency(spark, sf).select("entity", F.col("band").alias("sufficiency_band")), "entity")
-    return fusion.urgency(joined, ("1-URGENT",), ("high",))
+    """Priorities of each customer's finished orders as its conditions, and its segment as what it said."""
+    conditions = table(spark, sf, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("entity"), F.col("o_orderpriority").alias("condition"))
+    conditions = conditions.agg(F.max(F.round(F.least(F.lit(1.0), F.col("o_totalprice") / 900000.0), 6)).alias("probability"))
+    said = table(spark, sf, "customer").select(F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("evidence"))
+    context = _context(spark, sf).join(said, "entity").join(_sufficiency(spark, sf).select("entity", F.col("band").alias("sufficiency_band")), "entity")
+    found = fusion.urgency(context, conditions, ("1-URGENT",), ("machin", "build", "in"), ("2-HIGH",), 3)
+    return found.select("entity", "urgency", F.array_join("reasons", "|").alias("reasons"))
 
 
 def recommend_rank(spark, sf):
@@ -216,8 +220,9 @@ _PROG = _with("obs", _DAILY)[:-1] + """, pg AS (SELECT entity, kind, arg_max(val
 _SUF = f"""{SQL['obs']}, hc AS (SELECT entity, count(*) AS records, count(DISTINCT kind) AS kinds, count(DISTINCT CAST(ts AS DATE)) AS dates, date_diff('second', min(ts), max(ts)) / 86400 AS days FROM obs GROUP BY entity),
     cs AS (SELECT entity, round(greatest(0, least(1, 0.20::DOUBLE * least(records / 30, 1) + 0.20::DOUBLE * least(kinds / 10, 1) + 0.25::DOUBLE * least(dates / 5, 1) + 0.20::DOUBLE * least(days / 365, 1))), 6) AS c FROM hc),
     ev AS (SELECT o_custkey AS entity, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1),
-    su AS (SELECT entity, coalesce(n, 0) AS n_evidence, round(0.6::DOUBLE * coalesce(c, 0) + 0.4::DOUBLE * CASE WHEN n IS NULL THEN 0 WHEN n < 2 THEN 0.3::DOUBLE ELSE least(1, n / 5) END, 4) AS sufficiency FROM cs FULL JOIN ev USING (entity)),
-    sb AS (SELECT *, CASE WHEN sufficiency >= 0.70 THEN 'HIGH' WHEN sufficiency >= 0.40 THEN 'MODERATE' ELSE 'LIMITED' END AS band FROM su)"""
+    su AS (SELECT entity, coalesce(n, 0) AS n_evidence, 0.6::DOUBLE * coalesce(c, 0) + 0.4::DOUBLE * CASE WHEN n IS NULL THEN 0 WHEN n < 2 THEN 0.3::DOUBLE ELSE least(1, n / 5) END AS raw FROM cs FULL JOIN ev USING (entity)),
+    sb AS (SELECT entity, n_evidence, round(CAST(raw AS DECIMAL(18, 9)), 3)::DOUBLE AS sufficiency, CASE WHEN raw >= 0.70::DOUBLE THEN 'HIGH' WHEN raw >= 0.40::DOUBLE THEN 'MODERATE' ELSE 'LIMITED' END AS band FROM su)"""
+_BANDS = _SUF.removeprefix(SQL["obs"] + ", ")  # where the observations stand already
 _PROTOCOLS = """, sp AS (SELECT entity, kind, abnormality FROM sg), fl AS (SELECT entity, bool_or(kind = 'AF' AND abnormality IN ('HIGH', 'MILD', 'NORMAL') OR kind = 'AO' AND abnormality IN ('HIGH', 'MILD')) AS g, bool_or(kind = 'NF') AS p, bool_or(kind = 'NO') AS r, bool_or(kind = 'RF') AS w FROM sp GROUP BY entity),
     rs AS (SELECT o_custkey AS entity, round(least(1, o_totalprice / 500000), 6) AS risk FROM lt WHERE i = 1),
     pr AS (SELECT entity, 'Glycemic Dysregulation & Metabolic Management' AS name, 0.88::DOUBLE AS score FROM fl WHERE g UNION ALL SELECT entity, 'Hypertension & Cardiovascular Risk Management', 0.82 FROM fl WHERE p UNION ALL SELECT entity, 'Renal Function Monitoring & Nephroprotection', 0.78 FROM fl WHERE r
@@ -236,10 +241,17 @@ QUERIES = {
 ORACLES = {
     "signals": _PROG + " SELECT entity, kind, round(latest_value, 4) AS latest_value, trend, abnormality, severity, worsening FROM sg",
     "sufficiency": f"WITH {_SUF} SELECT entity, n_evidence, sufficiency, band FROM sb",
-    "safety_flags": _PROG + """, g AS (SELECT * FROM (VALUES ('first', ['AF', 'AO']), ('second', ['NF', 'NO', 'RO'])) v(grp, ks)), r AS (SELECT entity, list(kind) AS seen, list(kind) FILTER (abnormality IN ('LOW', 'HIGH') OR worsening) AS bad FROM sg GROUP BY entity)
-        SELECT entity, grp, len(list_intersect(seen, ks)) > 0 AS performed, len(list_intersect(coalesce(bad, []), ks)) > 0 AS flagged, coalesce(array_to_string(list_sort(list_intersect(coalesce(bad, []), ks)), ','), '') AS concerns FROM r, g""",
-    "urgency": f"""WITH {_SUF}, {_LAST}, cx AS (SELECT o_custkey AS entity, o_orderpriority AS condition, round(least(1, o_totalprice / 500000), 6) AS risk FROM lt WHERE i = 1)
-        SELECT cx.entity, condition, CASE WHEN condition = '1-URGENT' AND risk >= 0.25 THEN 'URGENT' WHEN lower(condition) LIKE '%high%' OR risk >= 0.5 THEN 'HIGH_PRIORITY' WHEN band = 'LIMITED' THEN 'INSUFFICIENT_DATA' ELSE 'ROUTINE' END AS urgency FROM cx JOIN sb ON sb.entity = cx.entity""",
+    "safety_flags": _PROG + f""", {_BANDS}, g AS (SELECT * FROM (VALUES ('first', ['AF', 'AO']), ('second', ['NF', 'NO', 'RO'])) v(grp, ks)), r AS (SELECT entity, list(kind) AS seen, list(kind) FILTER (abnormality IN ('LOW', 'HIGH')) AS bad FROM sg GROUP BY entity)
+        SELECT r.entity, grp, len(list_intersect(seen, ks)) > 0 AS performed, len(list_intersect(coalesce(bad, []), ks)) > 0 AS flagged, coalesce(array_to_string(list_sort(list_intersect(coalesce(bad, []), ks)), ','), '') AS concerns, coalesce(sb.band = 'LIMITED', false) AS limited
+        FROM r CROSS JOIN g LEFT JOIN sb ON sb.entity = r.entity""",
+    "urgency": f"""WITH {_SUF}, {_LAST}, cx AS (SELECT o_custkey AS entity, round(least(1, o_totalprice / 500000), 6) AS risk FROM lt WHERE i = 1),
+        cn AS (SELECT o_custkey AS entity, o_orderpriority AS condition, max(round(least(1, o_totalprice / 900000), 6)) AS p FROM orders WHERE o_orderstatus = 'F' GROUP BY 1, 2),
+        k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY p DESC, condition) AS i FROM cn),
+        f AS (SELECT entity, bool_or((condition = '1-URGENT' AND p >= 0.25) OR (condition = '2-HIGH' AND p >= 0.6)) AS urgent, string_agg('condition: ' || condition || CASE WHEN p >= 0.6 THEN ' (HIGH)' ELSE ' (MEDIUM)' END, '|' ORDER BY i) FILTER (condition = '1-URGENT' AND p >= 0.25) AS red FROM k WHERE i <= 3 GROUP BY entity),
+        t AS (SELECT cx.entity, risk, urgent, red, band, lower(c_mktsegment) AS said FROM cx JOIN customer ON c_custkey = cx.entity JOIN sb ON sb.entity = cx.entity LEFT JOIN f ON f.entity = cx.entity)
+        SELECT entity, CASE WHEN band = 'LIMITED' AND urgent IS NULL THEN 'INSUFFICIENT_INFORMATION' WHEN urgent THEN 'URGENT_EVALUATION' WHEN said LIKE '%machin%' OR said LIKE '%build%' OR said LIKE '%in%' OR risk >= 0.5 THEN 'HIGH_PRIORITY' ELSE 'ROUTINE_FOLLOW_UP' END AS urgency,
+            concat_ws('|', red, CASE WHEN said LIKE '%machin%' THEN 'phrase: machin' END, CASE WHEN said LIKE '%build%' THEN 'phrase: build' END, CASE WHEN said LIKE '%in%' THEN 'phrase: in' END,
+                CASE WHEN risk >= 0.5 THEN 'risk: high' WHEN risk >= 0.3 THEN 'risk: elevated' END, CASE WHEN band = 'LIMITED' AND urgent IS NULL THEN 'data: limited' END) AS reasons FROM t""",
     "recommend_rank": """WITH r AS (SELECT o_custkey AS entity, p_type AS name, round(max(l_quantity) / 50, 4) AS probability, round(max(l_discount) * 10, 4) AS relevance, round(max(l_tax) * 10, 4) AS trend, round(min(l_quantity) / 50, 4) AS risk, round(min(l_discount) * 10, 4) AS safety, round(min(l_tax) * 10, 4) AS sufficiency
             FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2),
         s AS (SELECT *, round(probability * 0.35::DOUBLE + relevance * 0.20::DOUBLE + trend * 0.15::DOUBLE + risk * 0.15::DOUBLE - safety * 0.15::DOUBLE - 0.20::DOUBLE * (1 - sufficiency) + 3.7e-8, 4) AS score FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, name) AS rank FROM s) SELECT * FROM k WHERE rank <= 3""",

@@ -99,11 +99,11 @@ def rf_fit_score(spark, sf):
 
 
 def rf_attribution(spark, sf):
-    """What moves the scores of held-out snapshots most: the five strongest contributions of each, by the paths of a small forest."""
+    """What moves the scores of held-out snapshots most: the five greatest Shapley values of each, of a small forest."""
     names = features.feature_names(KINDS)
     rows = _training(spark, sf).withColumn("id", F.concat_ws("/", "entity", F.date_format("snap_ts", "yyyy-MM-dd")))
     model = models.fit_trees(rows.where("split = 'train'"), names, trees=10, depth=5)
-    moved = models.path_attributions(model, rows.where("split = 'test'"), names)
+    moved = models.shapley_values(model, rows.where("split = 'test'"), names)
     top = evaluation.rank_within(moved, ["id"], [F.desc(F.abs("contribution")), F.col("feature")]).where("rank <= 5")
     return top.select("id", "feature", F.round("contribution", 6).alias("contribution"), "rank")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that every plan in this library assumes.
 SETTINGS = {
@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """``frame`` written once as Parquet in the shared folder and read again, for what several branches of a plan read."""
+    path = shared_folder(frame.sparkSession)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def local_session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "12g", name: str = "tidemark") -> SparkSession:
     """A single-machine session for tests and benchmarks; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(name)
