@@ -15,7 +15,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, durable, join_spread
@@ -265,9 +264,10 @@ def similar_paragraphs(base: DataFrame, tile: int = TILE) -> tuple[DataFrame, Da
     are dealt into tiles of about ``tile`` by a hash and each two tiles are compared in a task of their own, so that no
     bucket meets in one task, however many it holds.
     """
-    bucket = W.partitionBy("band")
-    met = _banded(base).repartition("band").groupBy("band", "h").agg(F.min(F.struct("_key", "no")).alias("x"))
-    met = durable(met.withColumn("_n", F.count("*").over(bucket)).where("_n > 1"))
+    met = durable(_banded(base).groupBy("band", "h").agg(F.min(F.struct("_key", "no")).alias("x")))
+    sizes = durable(met.groupBy("band").agg(F.count("*").alias("_n")).where("_n > 1"))
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    met = durable(join_spread(met, sizes, ["band"], "_n", total))
     places = met.groupBy("h").agg(F.min("x").alias("x"))
     wanted = durable(places.groupBy(F.col("x._key").alias("_key")).agg(F.collect_list("x.no").alias("wanted")))
     sets = durable(_shingle_sets(_narrowed(base, wanted)).dropDuplicates(["h"]))
@@ -308,9 +308,13 @@ def repeated(base: DataFrame) -> DataFrame:
     links, names = similar_paragraphs(base.select(F.col("_k1").alias("_key"), "_text"))
     found = components(links.select("a", "b")).join(names, F.col("node") == F.col("h")).select("h", "g", "component")
     me = F.struct("_k1", "_k2", "no")
-    rows = _all_paragraphs(base).withColumn("_first", F.min(me).over(W.partitionBy("h", "g")))
-    rows = rows.join(found, ["h", "g"], "left").withColumn("_again", F.col("later") | (me != F.col("_first")))
-    marked = durable(rows.where("_again or component is not null").select("_k1", "_k2", "no", "component"))
+    rows = durable(_all_paragraphs(base))
+    heads = rows.where("not later").drop("later")
+    named = heads.groupBy("h", "g").agg(F.min(me).alias("_first"), F.count("*").alias("_n")).join(found, ["h", "g"], "left")
+    named = durable(named.where("_n > 1 or component is not null"))
+    met = join_spread(heads, named, ["h", "g"], "_n", named.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
+    met = met.where((me != F.col("_first")) | F.col("component").isNotNull()).select("_k1", "_k2", "no", "component")
+    marked = durable(met.unionByName(rows.where("later").select("_k1", "_k2", "no", F.lit(None).cast("long").alias("component"))))
     similar = marked.where("component is not null")
     first = durable(similar.groupBy("component").agg(F.min(me).alias("_first"), F.count("*").alias("_n")))
     total = first.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]

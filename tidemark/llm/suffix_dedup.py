@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import durable, join_spread
@@ -372,9 +371,12 @@ def _ranges(texts: DataFrame, threshold: int, crowded: int | None) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(arrays, names=["_k1", "_k2", "start", "stop", "name", "before", "after"])
 
-    counted = texts.select("_k1", "_raw").mapInArrow(name_anchors, "_k1 long, name long, times int").withColumn("_all", F.sum("times").over(W.partitionBy("name")))
+    anchors_of = durable(texts.select("_k1", "_raw").mapInArrow(name_anchors, "_k1 long, name long, times int"))
+    occurring = durable(anchors_of.groupBy("name").agg(F.sum("times").alias("_all"), F.count("*").alias("_rows")).where("_all > 1"))
+    occurrences = occurring.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    told_of = join_spread(anchors_of.select("_k1", "name"), occurring, ["name"], "_rows", occurrences)
     many = F.col("_all") > most
-    alive = counted.where("_all > 1").groupBy("_k1").agg(F.collect_list(F.when(~many, F.col("name"))).alias("rare"), F.collect_list(F.when(many, F.col("name"))).alias("crowd"))
+    alive = told_of.groupBy("_k1").agg(F.collect_list(F.when(~many, F.col("name"))).alias("rare"), F.collect_list(F.when(many, F.col("name"))).alias("crowd"))
     around = _narrowed(texts, durable(alive), ["_k1"]).select("_k1", "_k2", "_raw", "rare", "crowd").mapInArrow(surround, "name long, salt long, crowd boolean, before binary, after binary, members binary")
     dealt = around.repartition("name", "salt").sortWithinPartitions("name", "salt")
     told = durable(dealt.mapInArrow(settle, "_k1 long, _k2 long, start long, stop long, name long, before binary, after binary"))
