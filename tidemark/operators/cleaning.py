@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import quantiles
+from tidemark.operators.ranking import joined_back, quantiles
 
 KEYS = ("entity", "ts", "kind", "value", "unit")
 
@@ -38,6 +38,11 @@ def repeated_rows(obs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return obs.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
 
 
+def repeated_members(obs: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The rows of ``repeated_rows`` themselves, with ``copies``, how many there are of their group."""
+    return joined_back(obs, repeated_rows(obs, keys), keys, "copies")
+
+
 def unit_mix(obs: DataFrame) -> DataFrame:
     """Per kind: rows, rows without a unit, distinct units, the commonest unit (ties: the smaller) and its share."""
     counted = obs.groupBy("kind", F.nullif(F.trim("unit"), F.lit("")).alias("unit")).agg(F.count("*").alias("n"))

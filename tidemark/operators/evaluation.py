@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import bucket_of, even_cuts, hash_order, hash_ranked, quantiles, running
+from tidemark.operators.ranking import bucket_of, even_cuts, hash_order, hash_ranked, joined_back, quantiles, running
 from tidemark.session import stored
 
 #: Thresholds of a sweep.
@@ -151,6 +151,11 @@ def top_k(candidates: DataFrame, k: int, key: str = "id", label: str = "label",
     return ranked.groupBy(key).agg(F.transform(best_k, lambda x: x["label"]).alias("top"))
 
 
+def with_group_size(rows: DataFrame, keys: tuple[str, ...], name: str = "group_size") -> DataFrame:
+    """``rows`` with how many of them agree in ``keys``, also where one group has most of them."""
+    return joined_back(rows, rows.groupBy(*keys).agg(F.count("*").alias(name)), keys, name)
+
+
 def rank_within(frame: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """Row numbers within groups that are small by nature (a row's candidates, an entity's records)."""
     return frame.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))

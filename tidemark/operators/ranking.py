@@ -72,6 +72,23 @@ def quantiles(frame: DataFrame, value: str, shares: dict[str, float], by: tuple[
     return rolled.select(*by, "n", "least", "most", *[between(name, q).alias(name) for name, q in shares.items()])
 
 
+def joined_back(rows: DataFrame, rolled: DataFrame, keys: tuple[str, ...], weight: str, heavy: int = 1000) -> DataFrame:
+    """``rows`` with the columns of ``rolled`` (one row for each group of ``keys``, nulls alike), by an inner join.
+
+    ``weight`` counts the rows of a group. Groups of over one ``heavy``-th of all of them, fewer than ``heavy``, are sent to
+    where the rows are; the others are joined by a shuffle. So no task gets all rows of a hot group.
+    """
+    named = rolled.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in rolled.columns if c not in keys])
+    total = F.broadcast(named.agg(F.sum(weight).alias("_total")))
+    sized = stored(named.join(total))  # counted once, for two branches
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    hot, cold = (sized.where(c).drop("_total") for c in (F.col(weight) * heavy > F.col("_total"), F.col(weight) * heavy <= F.col("_total")))
+    lone = rows.join(F.broadcast(hot), same, "left_anti").join(cold, same)
+    return rows.join(F.broadcast(hot), same).unionByName(lone).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def hash_order(*parts: Column, seed: int = 42) -> Column:
     """A reproducible order that depends on the row's content alone: 32 hexadecimal digits, the same in any SQL engine."""
     return F.md5(F.concat_ws("|", *[p.cast("string") for p in parts], F.lit(str(seed))))

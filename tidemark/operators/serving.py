@@ -34,6 +34,23 @@ def history_union(parts: dict[str, DataFrame], n: int = 10) -> DataFrame:
     return out
 
 
+def documents(entities: DataFrame, key: str, sections: dict[str, tuple[DataFrame, list[Column], int]]) -> DataFrame:
+    """One nested document for each entity: ``entities`` with an array of structs for each section.
+
+    A section is its rows (with the column ``key``), their order and the most that are kept of each entity; the order should
+    decide between any two. Each section is cut before its shuffle, so no entity gathers more than the limits add up to;
+    entities without rows have empty arrays.
+    """
+    out = entities
+    for name, (rows, order, most) in sections.items():
+        fields = [c for c in rows.columns if c != key]
+        kept = rank_within(rows, [key], order, "_rank").where(F.col("_rank") <= most)
+        item = F.struct("_rank", F.struct(*fields).alias("item"))
+        lists = kept.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["item"]).alias(name))
+        out = out.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array().cast(lists.schema[name].dataType)))
+    return out
+
+
 def directory(
     entries: DataFrame,
     place: str | None = None,

@@ -57,6 +57,11 @@ def audit_quantiles(spark, sf):
     return cleaning.spread(roles.observations(spark, sf))
 
 
+def audit_repeat_rows(spark, sf):
+    """The rows of repeated groups, with the size of their group."""
+    return cleaning.repeated_members(roles.observations(spark, sf), ("entity", "ts", "kind")).select("entity", "ts", "kind", F.round("value", 4).alias("value"), "copies")
+
+
 def audit_history(spark, sf):
     return cleaning.history(roles.observations(spark, sf))
 
@@ -234,7 +239,7 @@ _FILLED = " + ".join(f"count({s}) FILTER (kind = '{k}')" for k in KINDS for s in
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_coerce, clean_mean_by_ts, audit_exact_dups, audit_repeat_groups, audit_units, audit_quantiles, audit_history, audit_history_summary, audit_kind_coverage, audit_label_boundary,
+        clean_coerce, clean_mean_by_ts, audit_exact_dups, audit_repeat_groups, audit_repeat_rows, audit_units, audit_quantiles, audit_history, audit_history_summary, audit_kind_coverage, audit_label_boundary,
         snapshots_90d, snapshots_cutoff, label_forward_90d, label_balance, features_long_train, features_long_serve, features_wide, feature_coverage, trajectory_kind, trajectory_overall,
         progression, history_confidence, risk_progression_expanding, neg_sample_spaced, neg_sample_capped, training_rows, literal_parse,
     )
@@ -244,6 +249,7 @@ ORACLES = {
     "clean_mean_by_ts": _with("obs") + """, sp AS (SELECT entity, ts, kind, value, CASE WHEN day(ts) % 3 = 0 THEN unit || ' ' ELSE unit END AS unit FROM obs), tw AS (SELECT * FROM sp UNION ALL SELECT entity, ts, kind, value, trim(unit) FROM sp WHERE day(ts) % 5 = 0),
         d AS (SELECT DISTINCT entity, ts, kind, value, unit FROM tw WHERE kind IN ('AF', 'AO', 'NF', 'NO', 'RF')) SELECT entity, ts, kind, trim(coalesce(unit, '')) AS unit, round(avg(value), 4) AS value, count(*) AS n_raw FROM d GROUP BY entity, ts, kind, trim(coalesce(unit, ''))""",
     "audit_exact_dups": _with("obs") + "SELECT entity, kind, round(value / 1000) AS value, count(*) AS copies FROM obs GROUP BY 1, 2, 3 HAVING count(*) > 1",
+    "audit_repeat_rows": _with("obs") + "SELECT entity, ts, kind, round(value, 4) AS value, copies FROM (SELECT *, count(*) OVER (PARTITION BY entity, ts, kind) AS copies FROM obs) WHERE copies > 1",
     "audit_repeat_groups": _with("obs") + "SELECT entity, ts, kind, count(*) AS copies FROM obs GROUP BY 1, 2, 3 HAVING count(*) > 1",
     "audit_units": _with("obs") + """, u AS (SELECT kind, unit, count(*) AS n FROM obs GROUP BY kind, unit), k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, unit) AS i FROM u)
         SELECT kind, sum(n) AS n_rows, coalesce(sum(n) FILTER (unit IS NULL), 0) AS n_without, count(unit) AS n_units, max(unit) FILTER (i = 1) AS top_unit, round(max(n) FILTER (i = 1) / sum(n), 6) AS top_share FROM k GROUP BY kind""",

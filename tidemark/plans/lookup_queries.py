@@ -101,8 +101,27 @@ def text_report(spark, sf):
     return o.select("o_custkey", F.concat_ws("\n", F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")), F.concat(F.lit("Orders: "), F.col("n").cast("string")), F.concat(F.lit("Last: "), F.date_format("last", "yyyy-MM-dd"))).alias("report"))
 
 
-QUERIES = {f.__name__: f for f in (subsample_hash, name_tiers, lookup_fanout, report_dates, combine_atoms, latest_biomarkers, suggested_prompts, action_categories, rule_protocols, populate_twice, text_report)}
+def nested_view(spark, sf):
+    """One document for each customer: its last three orders, its five dearest lines, and its latest two days of each kind of order."""
+    orders = table(spark, sf, "orders")
+    lines = table(spark, sf, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    sections = {
+        "orders": (orders.select("o_custkey", F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("class"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")), [F.desc("day"), F.desc("key")], 3),
+        "lines": (lines.select("o_custkey", F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.floor("l_extendedprice").alias("price")), [F.desc("price"), F.col("key"), F.col("line"), F.col("part")], 5),
+        "open": (orders.where("o_orderstatus = 'O'").select("o_custkey", F.col("o_orderkey").alias("key")), [F.col("key")], 2),
+    }
+    found = serving.documents(table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", sections)
+    return found.select("o_custkey", "c_name", *[F.to_json(name).alias(name) for name in sections])
+
+
+QUERIES = {f.__name__: f for f in (nested_view, subsample_hash, name_tiers, lookup_fanout, report_dates, combine_atoms, latest_biomarkers, suggested_prompts, action_categories, rule_protocols, populate_twice, text_report)}
 ORACLES = {
+    "nested_view": """WITH o AS (SELECT o_custkey, o_orderkey AS key, o_orderpriority AS class, strftime(o_orderdate, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey DESC) AS i FROM orders),
+        l AS (SELECT o_custkey, l_orderkey AS key, l_linenumber AS line, l_partkey AS part, floor(l_extendedprice)::BIGINT AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY floor(l_extendedprice) DESC, l_orderkey, l_linenumber, l_partkey) AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+        p AS (SELECT o_custkey, o_orderkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_orderstatus = 'O'),
+        a AS (SELECT o_custkey, to_json(list({'key': key, 'class': class, 'day': day} ORDER BY i))::VARCHAR AS orders FROM o WHERE i <= 3 GROUP BY 1), b AS (SELECT o_custkey, to_json(list({'key': key, 'line': line, 'part': part, 'price': price} ORDER BY i))::VARCHAR AS lines FROM l WHERE i <= 5 GROUP BY 1),
+        c AS (SELECT o_custkey, to_json(list({'key': key} ORDER BY i))::VARCHAR AS open FROM p WHERE i <= 2 GROUP BY 1)
+        SELECT c_custkey AS o_custkey, c_name, coalesce(orders, '[]') AS orders, coalesce(lines, '[]') AS lines, coalesce(open, '[]') AS open FROM customer LEFT JOIN a ON a.o_custkey = c_custkey LEFT JOIN b ON b.o_custkey = c_custkey LEFT JOIN c ON c.o_custkey = c_custkey""",
     "subsample_hash": "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5(o_orderkey || '|42') LIMIT 1000",
     "name_tiers": """WITH canon AS (SELECT p_name AS canonical, min(p_partkey) AS ordinal FROM part WHERE p_name < 'm' GROUP BY 1),  -- the others' spellings share no word with what is asked
         nm AS (SELECT DISTINCT p_name AS p, p_partkey % 5 AS k, CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, ' ', '-') WHEN 3 THEN 'fine ' || p_name || ' set' ELSE 'odd ' || split_part(p_name, ' ', 2) END AS name FROM part),

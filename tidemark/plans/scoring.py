@@ -48,6 +48,12 @@ def sparse_history(spark, sf):
     return evaluation.by_size(sized, F.col("words"))
 
 
+def sparse_groups(spark, sf):
+    """Rates by how many rows a source has in its language, each count joined back to its rows."""
+    sized = evaluation.with_group_size(roles.scored(spark, sf), ("entity", "grp"), "n_rows")
+    return evaluation.by_size(sized, F.col("n_rows"))
+
+
 def patient_level(spark, sf):
     return evaluation.by_entity(roles.scored(spark, sf))
 
@@ -119,7 +125,7 @@ _GROUPED = _with("obs", "enc", _SNAP, _ACUTE, _LAB)[:-1] + """, st AS (SELECT en
 QUERIES = {
     f.__name__: f
     for f in (
-        confusion_at_t, threshold_sweep, best_threshold, roc_auc, avg_precision, brier, calibration_qcut, probability_summary, sparse_history, patient_level, missingness_stress, random_subgroups,
+        confusion_at_t, threshold_sweep, best_threshold, roc_auc, avg_precision, brier, calibration_qcut, probability_summary, sparse_history, sparse_groups, patient_level, missingness_stress, random_subgroups,
         multiclass_report, multiclass_summary, confusion_matrix, topk_accuracy, split_grouped, split_leakage,
     )
 }
@@ -137,6 +143,9 @@ ORACLES = {
     "sparse_history": f"""WITH {SQL['scored']}, w AS (SELECT *, p >= 0.5 AS said, CASE WHEN size // 100 + 1 <= 1 THEN '1' WHEN size // 100 + 1 <= 3 THEN '2-3' WHEN size // 100 + 1 <= 10 THEN '4-10' ELSE '>10' END AS size_class FROM scored),
         g AS (SELECT size_class, count(*) AS n, {_CELLS} FROM w GROUP BY size_class), f AS (SELECT size_class, coalesce(n, 0) AS n, coalesce(tn, 0) AS tn, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(tp, 0) AS tp FROM (VALUES ('1'), ('2-3'), ('4-10'), ('>10')) v(size_class) LEFT JOIN g USING (size_class))
         SELECT size_class, n, tn, fp, fn, tp, CASE WHEN n = 0 THEN 0 ELSE round((tp + tn) / n, 6) END AS accuracy, {_RATES[_RATES.index('CASE'):]} FROM f""",
+    "sparse_groups": f"""WITH {SQL['scored']}, w AS (SELECT *, p >= 0.5 AS said, count(*) OVER (PARTITION BY entity, grp) AS k FROM scored), s AS (SELECT *, CASE WHEN k <= 1 THEN '1' WHEN k <= 3 THEN '2-3' WHEN k <= 10 THEN '4-10' ELSE '>10' END AS size_class FROM w),
+        g AS (SELECT size_class, count(*) AS n, {_CELLS} FROM s GROUP BY size_class), f AS (SELECT size_class, coalesce(n, 0) AS n, coalesce(tn, 0) AS tn, coalesce(fp, 0) AS fp, coalesce(fn, 0) AS fn, coalesce(tp, 0) AS tp FROM (VALUES ('1'), ('2-3'), ('4-10'), ('>10')) v(size_class) LEFT JOIN g USING (size_class))
+        SELECT size_class, n, tn, fp, fn, tp, CASE WHEN n = 0 THEN 0 ELSE round((tp + tn) / n, 6) END AS accuracy, {_RATES[_RATES.index('CASE'):]} FROM f""",
     "patient_level": f"WITH {SQL['scored']} SELECT entity, count(*) AS n, round(avg(label), 6) AS rate, round(avg(CAST(p >= 0.5 AS INT)), 6) AS called, round(avg(p), 6) AS mean_p, max(p) AS max_p FROM scored GROUP BY entity",
     "missingness_stress": f"""WITH {SQL['scored']}, m AS (SELECT s.t::DOUBLE AS share, label, CASE WHEN CAST('0x' || substr(md5(id || '|p|42'), 1, 8) AS BIGINT) % 1000000 >= CAST(floor(s.t * 1000000) AS BIGINT) THEN p END AS p FROM scored, (VALUES (0.05), (0.10), (0.20)) s(t))
         SELECT share, count(*) FILTER (p IS NULL) AS lost, count(*) FILTER (label = 1 AND p >= 0.5) AS tp FROM m GROUP BY share""",

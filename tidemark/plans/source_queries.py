@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import cleaning, lookups
+from tidemark.operators import cleaning, contracts, lookups
 from tidemark.session import shared_folder
 from tidemark.sources import readers, sinks
 from tidemark.sources.readers import table
@@ -85,10 +85,37 @@ def last_json_lines(spark, sf):
     return o.select("o_orderkey", F.get_json_object(readers.last_json_line(said), "$.n").cast("long").alias("n"), age.alias("age"))
 
 
-QUERIES = {f.__name__: f for f in (csv_scan, csv_splits, json_records, json_finite, parquet_parts, profile_normalise, last_json_lines)}
+RULES = {"priced": lambda: F.col("o_totalprice") > 20000, "known_status": lambda: F.col("o_orderstatus").isin("F", "O", "P"), "not_urgent_open": lambda: ~((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_orderstatus") == "O"))}
+
+
+def contract_counts(spark, sf):
+    """Orders that break a rule set apart in one pass, by rule, and the good ones."""
+    good, bad, _ = contracts.set_apart(table(spark, sf, "orders"), {name: rule() for name, rule in RULES.items()})
+    keys = lambda rows, problem: rows.select(problem.alias("problem"), "o_orderkey")
+    both = keys(good, F.lit("none")).unionByName(keys(bad, F.col("problem")))
+    return both.groupBy("problem").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_key"))
+
+
+def literal_errors(spark, sf):
+    """Fields of single-quoted literals made from events, some of them broken, by kind of error."""
+    which = F.col("event_id") % 6
+    said = F.concat(F.lit("{'kind': '"), "event_type", F.lit("', 'user': "), F.col("user_id").cast("string"), F.lit(", 'ok': True}"))
+    raw = F.when(which == 0, F.lit(" ")).when(which == 1, F.regexp_replace(said, r"\}$", "")).when(which == 2, F.replace(said, F.lit("'user': "), F.lit("'user': 'u', 'id': ")))
+    raw = F.when(which == 3, F.lit(None).cast("string")).otherwise(F.coalesce(raw, F.when(which == 4, F.replace(said, F.lit("'user'"), F.lit("'other'"))).otherwise(said)))
+    literal = table(spark, sf, "events").select("event_id", readers.typed_literal(raw).alias("l"))
+    user = literal.select("event_id", readers.literal_field(F.col("l"), "$.user", "bigint").alias("u"), readers.literal_field(F.col("l"), "$.kind", "string").alias("k"))
+    return user.select("event_id", F.col("u.value").alias("user_id"), F.col("u.problem").alias("user_problem"), F.col("k.value").alias("kind"), F.col("k.problem").alias("kind_problem"))
+
+
+QUERIES = {f.__name__: f for f in (contract_counts, literal_errors, csv_scan, csv_splits, json_records, json_finite, parquet_parts, profile_normalise, last_json_lines)}
 _SIG = "sha256('[\"' || array_to_string(codes, '\",\"') || '\"]')"
 _BUCKET = f"CAST('0x' || substr(sha256({_SIG}), 1, 8) AS BIGINT) % 100"
 ORACLES = {
+    "contract_counts": """SELECT CASE WHEN o_totalprice <= 20000 THEN 'priced' WHEN o_orderstatus NOT IN ('F', 'O', 'P') THEN 'known_status' WHEN o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' THEN 'not_urgent_open' ELSE 'none' END AS problem, count(*) AS n, min(o_orderkey) AS first_key
+        FROM orders GROUP BY 1""",
+    "literal_errors": """WITH e AS (SELECT *, event_id % 6 AS w FROM events)
+        SELECT event_id, CASE WHEN w = 5 THEN user_id END AS user_id, CASE w WHEN 0 THEN 'empty' WHEN 1 THEN 'not a literal' WHEN 2 THEN 'wrong type' WHEN 3 THEN 'null' WHEN 4 THEN 'missing' END AS user_problem,
+            CASE WHEN w IN (2, 4, 5) THEN event_type END AS kind, CASE w WHEN 0 THEN 'empty' WHEN 1 THEN 'not a literal' WHEN 3 THEN 'null' END AS kind_problem FROM e""",
     "csv_scan": "SELECT CAST(o_custkey AS VARCHAR) AS entity, o_orderpriority AS kind, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(date_trunc('day', o_orderdate))::TIMESTAMP AS last_ts FROM orders WHERE o_orderkey % 10 <> 0 GROUP BY 1, 2",
     "csv_splits": f"""WITH b AS (SELECT o_orderkey AS case_id, list_sort(list_distinct(list('E_' || lpad(CAST(l_partkey % 40 AS VARCHAR), 2, '0')))) AS codes FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
         SELECT CASE WHEN {_BUCKET} < 80 THEN 'train' WHEN {_BUCKET} < 90 THEN 'val' ELSE 'test' END AS split, count(*) AS n, sum(case_id) AS ids, count(DISTINCT {_SIG}) AS signatures FROM b GROUP BY 1""",

@@ -71,6 +71,27 @@ def literal_list(text: Column, element: str = "string") -> Column:
     return F.from_json(text, f"array<{element}>", {"allowSingleQuotes": "true"})
 
 
+def typed_literal(text: Column) -> Column:
+    """A struct of ``value``, a variant of what a literal in single or double quotes says, and ``problem``, the kind of error.
+
+    Kinds: ``null``, ``empty``, ``not a literal`` for what does not parse; ``value`` is null then. ``True``, ``False`` and
+    ``None`` are read as they are meant. What follows a whole literal is not looked at.
+    """
+    plain = F.trim(text)
+    inner = F.replace(F.replace(plain, F.lit('"'), F.lit("\uE000")), F.lit("'"), F.lit('"'))  # single quotes become double ones, double ones are kept apart
+    single = F.regexp_replace(F.regexp_replace(F.regexp_replace(inner, r"\bNone\b", "null"), r"\bTrue\b", "true"), r"\bFalse\b", "false")
+    value = F.coalesce(F.try_parse_json(plain), F.try_parse_json(F.replace(single, F.lit("\uE000"), F.lit('\\"'))))
+    kind = F.when(text.isNull(), "null").when(plain == "", "empty").when(value.isNull(), "not a literal")
+    return F.struct(F.when(kind.isNull(), value).alias("value"), kind.alias("problem"))
+
+
+def literal_field(literal: Column, path: str, kind: str) -> Column:
+    """A struct of ``value``, the field at ``path`` of a ``typed_literal`` as a ``kind``, and ``problem``: its own, ``missing`` or ``wrong type``."""
+    raw, value = F.try_variant_get(literal["value"], path, "variant"), F.try_variant_get(literal["value"], path, kind)
+    problem = F.coalesce(literal["problem"], F.when(raw.isNull() | F.is_variant_null(raw), "missing").when(value.isNull(), "wrong type"))
+    return F.struct(F.when(problem.isNull(), value).alias("value"), problem.alias("problem"))
+
+
 def measurement_items(record: DataFrame) -> DataFrame:
     """``entity, ts, kind, value, unit`` and ``problem`` for each item of entity records; ``problem`` names what is wrong with it."""
     item = record.select(F.col("patient_id").alias("entity"), F.explode_outer("observations").alias("o"))
