@@ -73,10 +73,28 @@ def test_two_large_groups_beside_each_other(spark):
     assert {r.vec_id: tuple(r)[1:] for r in nn_descent.near_vectors(frame).collect()} == brute(rows)
 
 
-def test_recall_on_the_larger_table(spark):
-    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+def test_recall_on_the_larger_table_with_planted_copies(spark):
+    """The given vectors hold no pair at the threshold, so near copies are planted: pairs, chains and one group; ids divisible by 100 against all."""
+    rows = [(r.vec_id, np.asarray(r.embedding, dtype=np.float64), r.label) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
+    rng, planted, at = np.random.default_rng(9), [], 1 + max(r[0] for r in rows)
+
+    def near(v, cosine):
+        side = rng.standard_normal(len(v))
+        side -= v * (side @ v) / (v @ v)
+        return cosine * v / np.linalg.norm(v) + np.sqrt(1 - cosine**2) * side / np.linalg.norm(side)
+
+    for i, v, label in rows:
+        if i % 100 == 0 or i % 7 == 0:
+            one = near(v, rng.uniform(0.981, 0.99))
+            chain = [one, near(one, 0.985), near(near(one, 0.985), 0.985)] if i % 3 == 0 else [one]
+            planted += [(at + len(planted) + k, x, label) for k, x in enumerate(chain)]
+    hub = rows[0]
+    planted += [(at + len(planted) + k, near(hub[1], 0.992), hub[2]) for k in range(60)]
+    frame = spark.createDataFrame([(i, v.tolist(), label) for i, v, label in rows + planted], "vec_id long, embedding array<double>, label int").repartition(8)
     row = nn_descent.audit_recall(frame, nn_descent.near_vectors(frame)).first()
-    assert row.queries > 10 and row.recall >= 0.9
+    assert row.queries >= 20 and row.links >= 80 and row.recall >= 0.95
+    bare = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    assert nn_descent.audit_recall(bare, nn_descent.near_vectors(bare)).first().recall is None
 
 
 def test_repeated_ids_and_rows(spark):

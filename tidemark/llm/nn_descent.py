@@ -224,7 +224,7 @@ def audit_recall(vectors: DataFrame, result: DataFrame, id_col: str = "vec_id",
     """One row, ``queries, links, found, recall``: links of every vector whose id is divisible by 100, held against all vectors.
 
     Queries are compared by brute force with all rows, in blocks of queries; ``found`` adds the links that ``result``
-    counts for them.
+    counts for them; ``recall`` is null where there is no link to find.
     """
     points = usable(vectors, id_col, vector_col, label_col)
     queries = points.where(F.col("_id") % 100 == 0)
@@ -255,4 +255,4 @@ def audit_recall(vectors: DataFrame, result: DataFrame, id_col: str = "vec_id",
         total = part if total is None else total.unionByName(part)
     both = total.join(result.select(F.col(id_col).cast("long").alias("_id"), "n_links"), "_id")
     sums = both.agg(F.count("*").alias("queries"), F.sum("_true").alias("links"), F.sum(F.least("n_links", "_true")).alias("found"))
-    return sums.withColumn("recall", F.when(F.col("links") > 0, F.col("found") / F.col("links")).otherwise(1.0))
+    return sums.withColumn("recall", F.try_divide("found", "links"))
