@@ -55,7 +55,8 @@ def _met(texts: DataFrame, heads: DataFrame, before: int, behind: int, few: bool
     """
     ahead = F.least(F.col("pos"), F.lit(before))
     near = {"first": ahead + 1, "near": F.slice("words", F.col("pos") - ahead + 1, ahead + 1 + behind)}
-    words = texts.select("id", "words", F.posexplode("words").alias("pos", "head"))
+    # the outer form: with the other one the optimiser asks for texts with words first, and finds the words of each once more for that
+    words = texts.select("id", "words", F.posexplode_outer("words").alias("pos", "head")).where("head is not null")
     met = words.join(F.broadcast(heads), "head").withColumns(near) if few else words.withColumns(near).drop("words").join(heads, "head")
     return met.drop("words")
 
@@ -86,7 +87,7 @@ def by_overlap(texts: DataFrame, aliases: DataFrame, least: float = 0.5) -> Data
     Both sides are reduced to (id, word) pairs that are distinct, joined on the word and counted.
     """
     mine = prepared(texts).select("id", F.array_distinct(content_tokens(F.col("words"))).alias("w"))
-    mine = mine.select("id", F.size("w").alias("n_text"), F.explode("w").alias("word"))
+    mine = mine.select("id", F.size("w").alias("n_text"), F.explode_outer("w").alias("word")).where("word is not null")
     theirs = alias_words(aliases).select("code", F.array_distinct("alias_tokens").alias("w"))
     theirs = theirs.select("code", F.size("w").alias("n_alias"), F.explode("w").alias("word"))
     met = mine.join(theirs, "word").groupBy("id", "code").agg(F.count("*").alias("shared"), F.first("n_text").alias("n_text"), F.first("n_alias").alias("n_alias"))
@@ -294,7 +295,7 @@ def spans(texts: DataFrame, aliases: DataFrame, least: float = 0.60, few: int =
     What travels is a found word with its surroundings, never a text.
     """
     mine, names = prepared(texts), alias_words(aliases)
-    near = fuzzy(mine.select(F.explode("words").alias("word")), aliases)
+    near = fuzzy(mine.select(F.explode_outer("words").alias("word")), aliases)
     near = stored(near.select("word", "alias_word", "similarity", (F.col("tier") == "phonetic").alias("by_sound")))
     content = F.filter("alias_tokens", lambda w: ~w.isin(*GRAMMAR))
     heads = names.select("alias", "code", "alias_tokens", "n_alias", F.explode(F.array_distinct(F.when(F.size(content) > 0, content).otherwise(F.col("alias_tokens")))).alias("alias_word"))
