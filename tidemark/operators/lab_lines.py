@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +54,11 @@ def _unit_key(unit: Column) -> Column:
     return F.replace(F.replace(F.lower(F.coalesce(unit, F.lit(""))), F.lit("µ"), F.lit("u")), F.lit("μ"), F.lit("u"))
 
 
-def converted(items: DataFrame) -> DataFrame:
+def converted(items: DataFrame, units: DataFrame | None = None) -> DataFrame:
     """``items`` in the one unit of their kind, each rule rounded to its own decimals; other kinds keep theirs.
 
-    Cells given in lakhs or per microlitre are counted in thousands, leukocytes from 100 on if their unit says so or they
+    Kinds without a rule take the unit that ``units`` (``kind, unit``, a dictionary of kinds, each once) gives them, whatever
+    is written; their values stay. Cells given in lakhs or per microlitre are counted in thousands, leukocytes from 100 on if their unit says so or they
     are more than 120; glycated haemoglobin over 25 or in mmol/mol becomes %.
     """
     key, kind, value = _unit_key(F.col("unit")), F.lower("kind"), F.col("value")
@@ -72,6 +75,10 @@ def converted(items: DataFrame) -> DataFrame:
     for rule, changed, unit in reversed(rules):
         new_value, new_unit = F.when(rule, F.coalesce(changed, value)).otherwise(new_value), F.when(rule, unit).otherwise(new_unit)
     rest = [c for c in items.columns if c not in ("value", "unit")]
+    if units is not None:
+        ruled = F.coalesce(functools.reduce(lambda a, b: a | b, (rule for rule, _, _ in rules)), F.lit(False))
+        items = items.join(units.select(F.col("kind").alias("_kind"), F.col("unit").alias("_unit")), F.col("kind") == F.col("_kind"), "left")
+        new_unit = F.when(ruled, new_unit).otherwise(F.coalesce("_unit", "unit"))
     return items.select(*rest, new_value.alias("value"), new_unit.alias("unit"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import lookups, serving
+from tidemark.operators import lab_lines, lookups, serving
 from tidemark.operators.evaluation import rank_within
 from tidemark.operators.ranking import hash_order, hash_ranked
 from tidemark.sources.readers import table
+from tidemark.streaming import caches
 
 
 def subsample_hash(spark, sf):
@@ -114,8 +115,75 @@ def nested_view(spark, sf):
     return found.select("o_custkey", "c_name", *[F.to_json(name).alias(name) for name in sections])
 
 
-QUERIES = {f.__name__: f for f in (nested_view, subsample_hash, name_tiers, lookup_fanout, report_dates, combine_atoms, latest_biomarkers, suggested_prompts, action_categories, rule_protocols, populate_twice, text_report)}
+def measurement_names(spark, sf):
+    """What eight ways of writing a measurement's name mean; product names stand for the dictionary's aliases."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_name")
+    kind, name, two = F.col("p_partkey") % 8, F.col("p_name"), F.split("p_name", " ")
+    key = F.col("p_partkey").cast("string")
+    said = (
+        F.when(kind == 0, F.concat(F.lit("  "), F.upper(name), F.lit("!")))
+        .when(kind == 1, F.concat(F.lit("("), two[0], F.lit(") "), two[1]))
+        .when(kind == 2, F.concat(F.lit("TSH - "), name))
+        .when(kind == 3, F.concat(name, F.lit(" potassium ratio")))
+        .when(kind == 4, F.concat(F.lit("Serum Potassium "), key))
+        .when(kind == 5, F.concat(F.lit("level of "), two[1], F.lit(" "), two[0]))
+        .when(kind == 6, F.concat(name, F.lit("s in urine")))
+        .otherwise(F.concat(F.lit("tshx "), key))
+    )
+    dictionary = parts.groupBy("p_name").agg(F.min("p_partkey").alias("ordinal")).select(F.col("p_name").alias("alias"), F.concat(F.lit("of "), "p_name").alias("target"), (F.col("p_name") < "m").alias("canonical"), "ordinal")
+    return lookups.measurement_names(parts.select(said.alias("name")), dictionary)
+
+
+def condition_profiles(spark, sf):
+    """Profiles of conditions asked for by name, in capitals, within other words, by a part of the name, and by none that is known."""
+    parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size")
+    kind, name = F.col("p_partkey") % 6, F.col("p_name")
+    asked = F.when(kind == 0, name).when(kind == 1, F.concat(F.lit(" "), F.upper(name), F.lit(" "))).when(kind == 2, F.concat(F.lit("Chronic "), name)).when(kind == 3, F.substring(name, 3, 6)).when(kind == 4, F.concat(F.lit("Z"), F.col("p_partkey").cast("string")))
+    known = parts.where("p_name < 'p'").groupBy("p_name").agg(F.min("p_partkey").alias("ordinal"), F.min("p_type").alias("category"), F.max("p_size").alias("size"))
+    dictionary = known.select(F.initcap("p_name").alias("profile"), "ordinal", "category", F.concat(F.lit("size "), F.col("size").cast("string")).alias("description"), (F.col("size") > 45).alias("emergency"))
+    return lookups.condition_profiles(parts.select(asked.alias("name")), dictionary)
+
+
+def unit_defaults(spark, sf):
+    """Values of order lines under five kinds; those without a rule of conversion take the unit that the dictionary has."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    kind = F.element_at(F.array(*map(F.lit, ("sodium", "glucose", "ferritin", "unlisted", "creatinine"))), (F.col("l_linenumber") % 5 + 1).cast("int"))
+    unit = F.when(F.col("l_orderkey") % 3 == 0, "mmol/L").when(F.col("l_orderkey") % 3 == 1, "")
+    units = spark.sql("SELECT * FROM VALUES ('sodium', 'mEq/L'), ('ferritin', 'ng/mL'), ('creatinine', 'no unit') AS t(kind, unit)")
+    items = lines.select("l_orderkey", "l_linenumber", kind.alias("kind"), F.floor("l_quantity").cast("double").alias("value"), unit.alias("unit"))
+    done = lab_lines.converted(items, units)
+    return done.groupBy("kind", "unit").agg(F.count("*").alias("n"), F.round(F.sum("value"), 1).alias("total"))
+
+
+def cache_expiry(spark, sf):
+    """Views of users as lookups of what sign-ups (found), purchases (nothing found) and errors (failures) say, for a day each."""
+    events = table(spark, sf, "events")
+    status = F.when(F.col("event_type") == "signup", "FOUND").when(F.col("event_type") == "purchase", "NONE").otherwise("FAILED")
+    key = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    answers = events.where("event_type in ('signup', 'purchase', 'error')").select(key.alias("key"), "ts", status.alias("status"), F.col("event_id").cast("string").alias("detail"))
+    asks = events.where("event_type = 'view'").select(F.col("event_id").alias("ask_id"), key.alias("key"), "ts")
+    return caches.looked_up(asks, answers, 86_400)
+
+
+QUERIES = {f.__name__: f for f in (measurement_names, condition_profiles, unit_defaults, cache_expiry, nested_view, subsample_hash, name_tiers, lookup_fanout, report_dates, combine_atoms, latest_biomarkers, suggested_prompts, action_categories, rule_protocols, populate_twice, text_report)}
+#: What the cache of answers says to lookups, and at which times.
+CACHE_SQL = """WITH a AS (SELECT 'u' || user_id AS key, ts, CASE event_type WHEN 'signup' THEN 'FOUND' ELSE 'NONE' END AS status, CAST(event_id AS VARCHAR) AS detail FROM events WHERE event_type IN ('signup', 'purchase')),
+        q AS (SELECT event_id AS ask_id, 'u' || user_id AS key, ts FROM events WHERE event_type = 'view'),
+        m AS (SELECT ask_id, q.key, q.ts, a.status, a.detail, epoch_us(q.ts) - epoch_us(a.ts) AS old, row_number() OVER (PARTITION BY ask_id ORDER BY a.ts DESC, a.status DESC, a.detail DESC) AS i FROM q LEFT JOIN a ON a.key = q.key AND a.ts <= q.ts AND a.ts > q.ts - INTERVAL 1 DAY)
+        SELECT ask_id, key, ts, coalesce(status, 'MISS') AS status, detail, old / 1e6 AS age FROM m WHERE i = 1"""
 ORACLES = {
+    "cache_expiry": CACHE_SQL,
+    "measurement_names": """WITH n AS (SELECT p_partkey AS id, p_partkey % 8 AS k, p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part),
+        s AS (SELECT *, CASE k WHEN 0 THEN '  ' || upper(p_name) || '!' WHEN 1 THEN '(' || a || ') ' || b WHEN 2 THEN 'TSH - ' || p_name WHEN 3 THEN p_name || ' potassium ratio' WHEN 4 THEN 'Serum Potassium ' || id WHEN 5 THEN 'level of ' || b || ' ' || a WHEN 6 THEN p_name || 's in urine' ELSE 'tshx ' || id END AS name FROM n)
+        SELECT DISTINCT name, CASE k WHEN 2 THEN 'Thyroid Stimulating Hormone' WHEN 4 THEN 'Potassium' WHEN 7 THEN NULL ELSE 'of ' || p_name END AS target, CASE k WHEN 2 THEN false WHEN 4 THEN true WHEN 7 THEN NULL ELSE p_name < 'm' END AS canonical,
+            ['exact', 'bare', 'acronym', 'contained', 'keyword', 'overlap', 'contained', NULL][k + 1] AS tier, [1.0, 0.98, 0.95, 0.92, 0.90, 0.85, 0.92, NULL][k + 1]::DOUBLE AS confidence FROM s""",
+    "condition_profiles": """WITH p AS (SELECT upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) AS profile, min(p_partkey) AS ordinal, min(p_type) AS category, max(p_size) AS size FROM part WHERE p_name < 'p' GROUP BY p_name),
+        q AS (SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN ' ' || upper(p_name) || ' ' WHEN 2 THEN 'Chronic ' || p_name WHEN 3 THEN substr(p_name, 3, 6) WHEN 4 THEN 'Z' || p_partkey ELSE 'Clinical Condition' END AS name FROM part),
+        m AS (SELECT name, p.*, CASE WHEN name = profile THEN 0 WHEN lower(trim(name)) = lower(profile) THEN 1 ELSE 2 END AS tier FROM q JOIN p ON contains(lower(trim(name)), lower(profile)) OR contains(lower(profile), lower(trim(name)))),
+        b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tier, ordinal) AS i FROM m)
+        SELECT q.name, coalesce(profile, q.name) AS profile, coalesce(['exact', 'folded', 'contained'][tier + 1], 'general') AS tier, coalesce(category, 'General Clinical') AS category, coalesce('size ' || size, 'Targeted clinical management and therapeutic protocol for ' || q.name || '.') AS description, coalesce(size > 45, false) AS emergency FROM q LEFT JOIN b ON b.name = q.name AND i = 1""",
+    "unit_defaults": """WITH l AS (SELECT ['sodium', 'glucose', 'ferritin', 'unlisted', 'creatinine'][l_linenumber % 5 + 1] AS kind, floor(l_quantity)::DECIMAL(18, 6) AS v, CASE l_orderkey % 3 WHEN 0 THEN 'mmol/L' WHEN 1 THEN '' END AS u FROM lineitem)
+        SELECT kind, CASE kind WHEN 'sodium' THEN 'mEq/L' WHEN 'ferritin' THEN 'ng/mL' WHEN 'unlisted' THEN u ELSE 'mg/dL' END AS unit, count(*) AS n, round(sum(CASE WHEN kind = 'glucose' AND u = 'mmol/L' THEN round(v * 18.0182, 1) ELSE v END), 1)::DOUBLE AS total FROM l GROUP BY 1, 2""",
     "nested_view": """WITH o AS (SELECT o_custkey, o_orderkey AS key, o_orderpriority AS class, strftime(o_orderdate, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d') DESC, o_orderkey DESC) AS i FROM orders),
         l AS (SELECT o_custkey, l_orderkey AS key, l_linenumber AS line, l_partkey AS part, floor(l_extendedprice)::BIGINT AS price, row_number() OVER (PARTITION BY o_custkey ORDER BY floor(l_extendedprice) DESC, l_orderkey, l_linenumber, l_partkey) AS i FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
         p AS (SELECT o_custkey, o_orderkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders WHERE o_orderstatus = 'O'),

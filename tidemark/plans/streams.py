@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation, features, matching, models, splits, temporal
 from tidemark.plans.longitudinal import _acute, _points
+from tidemark.plans.lookup_queries import CACHE_SQL
 from tidemark.session import shared_folder
 from tidemark.sources import roles
 from tidemark.sources.readers import table
 from tidemark.sources.roles import KINDS
-from tidemark.streaming import conversation, events
+from tidemark.streaming import caches, conversation, events
 
 #: How late events may come, and limits of the buckets that values are counted in.
 DELAY, LIMITS = "10 minutes", (1.0, 10.0, 50.0, 100.0)
@@ -53,6 +54,25 @@ def stream_refresh(spark, sf):
     return _plain(events.current(spark, f"{folder}/result", "user_id"))
 
 
+def stream_cache(spark, sf):
+    """The lookups of ``cache_expiry`` as a stream, each answered when the watermark has passed it."""
+    key = F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key")
+    status = F.when(F.col("event_type") == "signup", "FOUND").when(F.col("event_type") == "purchase", "NONE").otherwise("FAILED")
+    answers = _stream(spark, sf).where("event_type in ('signup', 'purchase', 'error')").select(key, "ts", status.alias("status"), F.col("event_id").cast("string").alias("detail"))
+    asks = _stream(spark, sf).where("event_type = 'view'").select(F.col("event_id").alias("ask_id"), key, "ts")
+    with conversation.state_store(spark):
+        return _plain(events.drained(caches.looked_up_stream(asks, answers, 86_400)))
+
+
+def stream_distinct(spark, sf):
+    """Events and distinct users of each type and day, from sketches that three batches leave behind."""
+    folder = shared_folder(spark)
+    table(spark, sf, "events").repartition(3, F.pmod(F.xxhash64("event_id"), F.lit(3))).write.parquet(f"{folder}/came")
+    stream = events.event_stream(spark, f"{folder}/came", DELAY, 1).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    events.counted_apart(stream, f"{folder}/counts", ("event_type", "day"), "user_id", 14)
+    return events.apart(spark, f"{folder}/counts", ("event_type", "day"))
+
+
 def stream_metrics(spark, sf):
     """Values of events by hour and type in cumulative buckets."""
     return _plain(events.drained(events.measured(_stream(spark, sf), LIMITS)))
@@ -125,7 +145,7 @@ def bayes_topk(spark, sf):
 
 _CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 
-QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_session, stream_dedup, stream_refresh, stream_metrics, stream_join, stream_conversation, recent_messages, rf_fit_score, rf_attribution, gbt_importance, bayes_topk)}
+QUERIES = {f.__name__: f for f in (stream_tumbling, stream_sliding, stream_session, stream_dedup, stream_refresh, stream_cache, stream_distinct, stream_metrics, stream_join, stream_conversation, recent_messages, rf_fit_score, rf_attribution, gbt_importance, bayes_topk)}
 ORACLES = {
     "stream_tumbling": f'SELECT date_trunc(\'hour\', ts) AS start, date_trunc(\'hour\', ts) + INTERVAL 1 HOUR AS "end", event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2, 3 HAVING date_trunc(\'hour\', ts) + INTERVAL 1 HOUR <= {_CLOSED}'.replace("HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR", "HAVING max(date_trunc('hour', ts)) + INTERVAL 1 HOUR"),
     "stream_sliding": f"""WITH w AS (SELECT *, time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 2 HOUR AS start FROM events, range(3) r(k))
@@ -133,6 +153,9 @@ ORACLES = {
     "stream_session": f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS i FROM g)
         SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", user_id, count(*) AS n, round(sum(value), 2) AS total FROM s GROUP BY user_id, i HAVING max(ts) + INTERVAL 30 MINUTE <= {_CLOSED}""",
     "stream_dedup": "SELECT DISTINCT user_id, event_type, date_trunc('second', ts) AS second FROM events",
+    # the watermark is that of the stream that is behind; the filters run before it, so each stream's is that of its own rows
+    "stream_cache": f"{CACHE_SQL} AND ts < (SELECT least(max(ts) FILTER (event_type = 'view'), max(ts) FILTER (event_type IN ('signup', 'purchase'))) - INTERVAL 10 MINUTE FROM events)",
+    "stream_distinct": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT user_id) AS n_distinct FROM events GROUP BY 1, 2",
     "stream_refresh": "SELECT user_id, count(*) AS n, max(ts) AS last_ts FROM events GROUP BY user_id",
     "stream_metrics": "SELECT date_trunc('hour', ts) AS start, event_type, " + ", ".join(f"count(*) FILTER (value <= {x}) AS le_{str(x).replace('.', '_')}" for x in LIMITS) + f", count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2 HAVING max(date_trunc('hour', ts)) + INTERVAL 1 HOUR <= {_CLOSED}",
     "stream_join": "SELECT a.user_id, a.event_id AS first_id, b.event_id AS then_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR",

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -169,6 +170,18 @@ STATE_STORE = {
 }
 
 
+@contextlib.contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in the provider of ``STATE_STORE``; the session's own setting comes back behind it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, STATE_STORE[name])
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def dialogues_of(messages: DataFrame) -> DataFrame:
     """The same of a whole table; the messages of a conversation are few."""
 
