@@ -1,11 +1,11 @@
-"""Answers that expire, sketches of distinct values, names of measurements, profiles of conditions: known answers and edges."""
+"""Answers that expire, sketches of distinct values, names of measurements, profiles of conditions, places of pain: known answers and edges."""
 
 import datetime as dt
 import random
 
 import pytest
 
-from tidemark.operators import lab_lines, lookups
+from tidemark.operators import lab_lines, locations, lookups
 from tidemark.streaming import caches, conversation, events
 
 T0 = dt.datetime(2024, 1, 1)
@@ -135,3 +135,27 @@ def test_units_of_kinds_without_a_rule(spark):
     units = spark.createDataFrame([("sodium", "mEq/L"), ("glucose", "no"), ("unseen", "z")], "kind string, unit string")
     got = sorted(map(tuple, lab_lines.converted(items, units).collect()), key=repr)
     assert got == sorted([("sodium", 140.0, "mEq/L"), ("sodium", 140.0, "mEq/L"), ("other", 1.0, "x"), ("glucose", 90.1, "mg/dL"), (None, 2.0, "y")], key=repr)
+
+
+PLACES = [("V_1", "knee(R)", 1), ("V_2", "knee(L)", 2), ("V_3", "upper chest", 3), ("V_4", "lumbar spine", 4), ("V_5", "thoracic spine", 5), ("V_6", "Nasal passage", 6), ("V_7", "forearm (L)", 7), ("V_8", None, 8), ("V_9", "finger (index)", 9), ("V_10", " (R)", 10)]
+
+
+def test_location_aliases(spark):
+    got = {}
+    for r in locations.location_aliases(spark.createDataFrame(PLACES, "value string, meaning string, ordinal int")).collect():
+        got.setdefault(r.value, []).append(r.alias)
+    assert all(len(v) == len(set(v)) for v in got.values())
+    assert set(got["V_1"]) == {"knee r", "right knee", "knee", "joint", "joint pain", "knee pain", "aching joints", "painful joints"}
+    assert set(got["V_7"]) == {"forearm l", "left forearm", "forearm", "left forearm muscle", "arm"}
+    assert set(got["V_9"]) == {"finger index", "finger"} and set(got["V_6"]) == {"nasal passage"} and "lower back" in got["V_4"] and "lower back" in got["V_5"]
+    assert "V_8" not in got and set(got["V_10"]) == {"r"}
+
+
+def test_pain_locations(spark):
+    said = ["my knee hurts", "pain in my left knee", "Pain: LEFT KNEE.", "my knee is fine", "lower back pain", "chest pain", "a painful nasal passage and knee", "pain", None, "", "the forearms ache", "arm ache", "my back, my lower back hurts"]
+    want = [("V_1", "knee"), ("V_2", "left knee"), ("V_2", "left knee"), None, ("V_4", "lower back"), ("V_3", "chest pain"), ("V_6", "nasal passage"), None, None, None, None, ("V_7", "arm"), ("V_4", "lower back")]
+    aliases = locations.location_aliases(spark.createDataFrame(PLACES, "value string, meaning string, ordinal int"))
+    texts = spark.createDataFrame(list(enumerate(said)), "id long, text string")
+    got = {r.id: (r.value, r.matched) for r in locations.pain_locations(texts, aliases).collect()}
+    assert [got.get(i) for i in range(len(said))] == want
+    assert locations.pain_locations(texts.limit(0), aliases).collect() == [] == locations.pain_locations(texts, aliases.limit(0)).collect()

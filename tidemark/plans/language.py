@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import lab_lines, matching, questions
+from tidemark.operators import lab_lines, locations, matching, questions
 from tidemark.operators.evaluation import rank_within
 from tidemark.sources import roles
 from tidemark.sources.readers import table
@@ -170,11 +170,33 @@ _LINES = """ln AS (SELECT l_orderkey * 10 + l_linenumber AS id, (l_linenumber -
     cv AS (SELECT id, kind, CASE kind WHEN 'glucose' THEN round(value * 18.0182::DOUBLE + 3.7e-8, 1) WHEN 'cholesterol' THEN round(value * 38.67::DOUBLE + 3.7e-8, 1) WHEN 'creatinine' THEN round(value * 0.0113::DOUBLE + 3.7e-8, 2) WHEN 'platelets' THEN round(value * 100 + 3.7e-8, 1)
         WHEN 'leukocytes' THEN CASE WHEN value > 100 THEN round(value / 1000 + 3.7e-8, 2) ELSE value END WHEN 'hba1c' THEN round(value * 0.09148::DOUBLE + 2.152::DOUBLE + 3.7e-8, 2) ELSE value END AS value, CASE kind WHEN 'glucose' THEN 'mg/dL' WHEN 'cholesterol' THEN 'mg/dL' WHEN 'creatinine' THEN 'mg/dL' WHEN 'platelets' THEN '10³/µL' WHEN 'leukocytes' THEN '10³/µL' WHEN 'hba1c' THEN '%' ELSE unit END AS unit FROM one)"""
 
+def pain_locations(spark, sf):
+    """The place that each order line's sentence names; nouns of product names stand for parts of the body with two sides."""
+    parts = table(spark, sf, "part").select("p_partkey", F.split("p_name", " ")[1].alias("noun"))
+    nouns = parts.select("noun").distinct()
+    sided = nouns.select(F.explode(F.array(*[F.struct(F.concat("noun", F.lit(s)).alias("meaning"), F.lit(i).alias("ordinal")) for i, s in enumerate(("(R)", " (L)"))])).alias("x")).select("x.*")
+    catalogue = sided.unionByName(spark.sql("SELECT * FROM VALUES ('upper chest', 5), ('knee (R)', 6), ('biceps(L)', 7) AS t(meaning, ordinal)"))
+    kind, noun = F.col("l_linenumber") % 7, F.col("noun")
+    said = (
+        F.when(kind == 0, F.concat(F.lit("My "), noun, F.lit(" hurts!")))
+        .when(kind == 1, F.concat(F.lit("There is pain in the left "), noun))
+        .when(kind == 2, F.concat(F.lit("Right "), F.upper(noun), F.lit(", an ache since monday")))
+        .when(kind == 3, F.concat(F.lit("The left "), noun, F.lit(" is fine")))
+        .when(kind == 4, F.lit("chest pain"))
+        .when(kind == 5, F.concat(F.lit("A painful left biceps muscle and "), noun))
+        .otherwise(F.lit("aching joints, the painfully large ones"))
+    )
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"))
+    met = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    texts = met.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), said.alias("text"))
+    return locations.pain_locations(texts, locations.location_aliases(catalogue.withColumn("value", F.col("meaning"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         text_normalize, alias_exact, alias_containment, alias_overlap, alias_fuzzy, alias_longest, negation_scope, polarity_counts, value_intensity, lab_lines_parsed, unit_convert, plausibility, cosine_topk, conv_state_last_polarity,
-        alias_spans, near_misses, keyword_ranking, pain_values, report_measurements,
+        alias_spans, near_misses, keyword_ranking, pain_values, pain_locations, report_measurements,
     )
 }
 ORACLES = {
@@ -194,6 +216,9 @@ ORACLES = {
         SELECT kind, unit, count(*) AS n, count(*) FILTER (value BETWEEN coalesce(low, 0) AND coalesce(high, 10000)) AS n_plausible FROM cv LEFT JOIN b USING (kind) GROUP BY 1, 2""",
     "cosine_topk": """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT a.vec_id AS query, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM m) SELECT query, rank, vec_id, cosine FROM r WHERE rank <= 5""",
+    "pain_locations": """WITH n AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber % 7 AS k, split_part(p_name, ' ', 2) AS noun FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) JOIN part ON p_partkey = l_partkey)
+        SELECT id, CASE k WHEN 0 THEN noun || '(R)' WHEN 1 THEN noun || ' (L)' WHEN 2 THEN noun || '(R)' WHEN 4 THEN 'upper chest' WHEN 5 THEN 'biceps(L)' ELSE 'knee (R)' END AS value,
+            CASE k WHEN 0 THEN noun WHEN 1 THEN 'left ' || noun WHEN 2 THEN 'right ' || noun WHEN 4 THEN 'chest pain' WHEN 5 THEN 'left biceps muscle' ELSE 'aching joints' END AS matched FROM n WHERE k <> 3""",
     "pain_values": "SELECT p_partkey, CASE WHEN p_partkey % 5 IN (0, 3) THEN CAST(p_size % 11 AS INT) END AS intensity, CASE WHEN p_partkey % 5 = 1 THEN CAST(p_size % 11 AS INT) END AS onset, CASE WHEN p_partkey % 5 = 2 THEN CAST(p_size % 11 AS INT) END AS precision FROM part",
     "report_measurements": """WITH l AS (SELECT l_orderkey AS doc, l_linenumber AS n, (l_linenumber - 1) % 7 + 1 AS k, l_linenumber % 3 AS how, CAST(min(l_quantity) AS INT) AS q FROM lineitem GROUP BY l_orderkey, l_linenumber),
         f AS (SELECT *, row_number() OVER (PARTITION BY doc, k ORDER BY n, how) AS i FROM l), o AS (SELECT * FROM f WHERE i = 1 AND k <> 5)
