@@ -120,3 +120,70 @@ def test_repeated_rows_and_labels(spark):
     labels = spark.createDataFrame([(i % 20, i % 2) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, quality int")
     scored = pu_quality.score(docs, pu_quality.fit(docs, labels)).collect()
     assert len(scored) == len(rows) and len({r.score for r in scored}) <= 11
+
+
+def plain_features(text):
+    """Square roots of the shares of hashed byte trigrams, one trigram at a time."""
+    raw = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in f" {text.lower()} ".encode())
+    v = np.zeros(language_id.DIMS)
+    for i in range(len(raw) - 2):
+        if raw[i : i + 3] != b"   ":
+            v[(int.from_bytes(raw[i : i + 3], "big") * 0x9E3779B1 % 2**32) >> (32 - 13)] += 1
+    return np.sqrt(v / max(v.sum(), 1))
+
+
+def plain_machine(x, labels):
+    """One-versus-one squared-hinge machines, by accelerated descent on the weights themselves: ``{(a, b): weights}``."""
+    out = {}
+    for a in sorted(set(labels)):
+        for b in sorted(set(labels)):
+            if a < b:
+                some = [i for i, n in enumerate(labels) if n in (a, b)]
+                z, y = np.column_stack([x[some], np.ones(len(some))]), np.array([1.0 if labels[i] == a else -1.0 for i in some])
+                cost = np.array([10.0 * 0.5 * len(y) / (y == one).sum() for one in y])
+                step = 1 / (1 + np.linalg.norm(z * np.sqrt(cost)[:, None], 2) ** 2)
+                w = ahead = np.zeros(z.shape[1])
+                for _ in range(4000):
+                    slack = np.maximum(0, 1 - y * (z @ ahead))
+                    new = ahead - step * (ahead - z.T @ (cost * y * slack))
+                    w, ahead = new, new + 0.95 * (new - w)
+                out[a, b] = w
+    return out
+
+
+def plain_vote(machines, names, v):
+    votes, sums = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+    for (a, b), w in machines.items():
+        m = w[:-1] @ v + w[-1]
+        votes[a if m >= 0 else b] += 1
+        sums[a], sums[b] = sums[a] + m, sums[b] - m
+    return max(sorted(names), key=lambda n: (votes[n], sums[n]))
+
+
+def test_language_against_a_plain_fit(spark):
+    """Every learnable text is learnt from and every text predicted as by a plain fit without Spark, tries or duals."""
+    rows = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 600").select("doc_id", "text", "lang").collect()
+    drawn = [r for r in rows if r.lang and r.text and regex.search(r"\p{L}", r.text) and zlib.crc32(str(r.doc_id).encode()) % 5]
+    drawn = list({(r.doc_id, r.text): r for r in drawn}.values())
+    assert len({r.lang for r in drawn}) >= 4 and max(sum(r.lang == x for r in drawn) for x in {r.lang for r in drawn}) <= language_id.PER_LANGUAGE
+    x, langs = np.array([plain_features(r.text) for r in drawn]), [r.lang for r in drawn]
+    families = [language_id.FAMILY_OF.get(n, n) for n in langs]
+    between = plain_machine(x, families)
+    within = {f: plain_machine(x[[g == f for g in families]], [n for n, g in zip(langs, families, strict=True) if g == f]) for f in set(families)}
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = language_id.fit(frame)
+    for f, machine in within.items():
+        for (a, b), w in machine.items():
+            names = model.within[f].names
+            at = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))].index((names.index(a), names.index(b)))
+            assert np.abs(model.within[f].weights[at] - w).max() < 2e-3 * max(1, np.abs(w).max())
+    got = {(r.doc_id, r.lang_pred) for r in language_id.identify(frame, model).collect()}
+    want = set()
+    for r in rows:
+        if not r.text or not regex.search(r"\p{L}", r.text):
+            want.add((r.doc_id, "und"))
+            continue
+        v = plain_features(r.text)
+        family = plain_vote(between, set(families), v)
+        want.add((r.doc_id, plain_vote(within[family], {n for n, g in zip(langs, families, strict=True) if g == family}, v)))
+    assert got == want

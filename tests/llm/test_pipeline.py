@@ -97,3 +97,55 @@ def test_first_fourth_and_fifth_stage_against_their_rules(stages):
         assert runs[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(runs, runs[1:])) and (whole is None or sum(n for _, n in runs) == whole)
         assert whole is not None or sum(n for _, n in runs) <= 2048
     assert set(pieces) == set(ids)
+
+
+def test_fourth_stage_against_brute_force(spark, stages):
+    """Paragraphs compared all with all: of equal and similar ones the first occurrence stays, runs of 13 words or more go."""
+    from collections import Counter
+
+    from tidemark.llm.paragraph_dedup import Paragraphs
+
+    (_, before, after) = stages[3]
+    rows = before.selectExpr("xxhash64(doc_id, text) AS k1", "xxhash64('2', text, doc_id) AS k2", "doc_id", "text").collect()
+    places, words, cuts = {}, {}, {}
+    for r in rows:
+        p, words[r.doc_id] = Paragraphs(r.text), (r.text or "").split()
+        low = [w.decode() for w in (r.text or "").encode().lower().split()]
+        cuts[r.doc_id] = list(zip(p.first.tolist(), p.size.tolist(), strict=True))
+        for no, (first, size) in enumerate(cuts[r.doc_id]):
+            if size >= 5:
+                places.setdefault(tuple(low[first : first + size]), []).append((r.k1, r.k2, no, r.doc_id))
+    texts = list(places)
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    holders, up = {}, list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j, n in Counter(j for x in s for j in holders[x] if j < i).items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n):
+                up[root(i)] = root(j)
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(root(i), []).extend(places[t])
+    gone = {}
+    for found in groups.values():
+        for _, _, no, doc in sorted(found)[1:]:
+            gone.setdefault(doc, set()).add(no)
+    assert sum(map(len, gone.values())) > 50
+    left = {r.doc_id: (r.text or "").split() for r in after.collect()}
+    for doc, numbers in ((d, gone.get(d, set())) for d in left):
+        kept, run = [], []
+        for no, (first, size) in [*enumerate(cuts[doc]), (None, (0, 0))]:
+            part = words[doc][first : first + size]
+            if no in numbers:
+                run += part
+            else:
+                kept, run = kept + (run if len(run) < 13 else []) + part, []
+        assert left[doc] == kept, doc
