@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tidemark.operators import lab_lines, locations, lookups
+from tidemark.operators import lab_lines, locations, lookups, matching
 from tidemark.streaming import caches, conversation, events
 
 T0 = dt.datetime(2024, 1, 1)
@@ -159,3 +159,11 @@ def test_pain_locations(spark):
     got = {r.id: (r.value, r.matched) for r in locations.pain_locations(texts, aliases).collect()}
     assert [got.get(i) for i in range(len(said))] == want
     assert locations.pain_locations(texts.limit(0), aliases).collect() == [] == locations.pain_locations(texts, aliases.limit(0)).collect()
+
+
+def test_conflicts(spark):
+    said = [(1, "I have a cough but no fever"), (1, "fever now, really"), (1, "a cough"), (2, "no cough"), (2, None), (3, "no fever, a fever")]
+    texts = spark.createDataFrame([(10 * c + i, t) for i, (c, t) in enumerate(said)], "id long, text string")
+    aliases = spark.createDataFrame([("cough", "C"), ("fever", "F")], "alias string, code string")
+    found = matching.contained(texts, aliases).selectExpr("id div 10 AS conv", "code", "negated")
+    assert [tuple(r) for r in matching.conflicting(found, "conv").collect()] == [(1, "F", 1, 1)]

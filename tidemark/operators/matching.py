@@ -465,6 +465,15 @@ def keyword_ranking(texts: DataFrame, classes: DataFrame, bias: dict[str, tuple[
     return texts.select("id", F.lower("text").alias("text")).where("text is not null").mapInPandas(rank, f"id {kind}, label string, probability double, rank int")
 
 
+def conflicting(found: DataFrame, by: str = "id") -> DataFrame:
+    """``by, code, affirmed, denied``: codes that are both affirmed and denied within one ``by``, and how often each.
+
+    An intersection in one pass: counts are summed up before the shuffle, so the matches of a frequent code never meet.
+    """
+    said = found.groupBy(by, "code").agg(F.count(F.when(~F.col("negated"), 1)).alias("affirmed"), F.count(F.when(F.col("negated"), 1)).alias("denied"))
+    return said.where("affirmed > 0 AND denied > 0")
+
+
 def last_polarity(found: DataFrame) -> DataFrame:
     """``conv, code, positive, turn``: what was said last of each code in a conversation; within a turn a denial wins."""
     return found.groupBy("conv", "code").agg(F.max(F.struct("turn", F.col("negated"))).alias("m")).select("conv", "code", (~F.col("m.negated")).alias("positive"), F.col("m.turn").alias("turn"))

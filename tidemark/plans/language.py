@@ -145,6 +145,12 @@ def conv_state_last_polarity(spark, sf):
     return matching.last_polarity(found)
 
 
+def polarity_conflicts(spark, sf):
+    """Codes that the reports of an order both affirm and deny."""
+    found = matching.contained(roles.reports(spark, sf), roles.aliases(spark, sf)).withColumn("conv", F.floor(F.col("id") / 10))
+    return matching.conflicting(found, "conv")
+
+
 def _normal(column: str) -> str:
     """Normal form in SQL: full stops that end a number's first part are protected while the others go; words are replaced whole."""
     plain = f"replace(regexp_replace(regexp_replace(regexp_replace(replace(lower({column}), '’', chr(39)), '[^a-z0-9.'']+', ' ', 'g'), '\\.([0-9])', '§\\1', 'g'), '\\.', ' ', 'g'), '§', '.')"
@@ -196,7 +202,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         text_normalize, alias_exact, alias_containment, alias_overlap, alias_fuzzy, alias_longest, negation_scope, polarity_counts, value_intensity, lab_lines_parsed, unit_convert, plausibility, cosine_topk, conv_state_last_polarity,
-        alias_spans, near_misses, keyword_ranking, pain_values, pain_locations, report_measurements,
+        alias_spans, near_misses, keyword_ranking, pain_values, pain_locations, polarity_conflicts, report_measurements,
     )
 }
 ORACLES = {
@@ -216,6 +222,7 @@ ORACLES = {
         SELECT kind, unit, count(*) AS n, count(*) FILTER (value BETWEEN coalesce(low, 0) AND coalesce(high, 10000)) AS n_plausible FROM cv LEFT JOIN b USING (kind) GROUP BY 1, 2""",
     "cosine_topk": """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT a.vec_id AS query, b.vec_id, round(list_cosine_similarity(a.v, b.v), 6) AS cosine FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
         r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY cosine DESC, vec_id) AS rank FROM m) SELECT query, rank, vec_id, cosine FROM r WHERE rank <= 5""",
+    "polarity_conflicts": f"{_REP}, {_HITS}, {_NEG} SELECT id // 10 AS conv, code, count(*) FILTER (NOT negated) AS affirmed, count(*) FILTER (negated) AS denied FROM g GROUP BY 1, 2 HAVING bool_or(negated) AND NOT bool_and(negated)",
     "pain_locations": """WITH n AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_linenumber % 7 AS k, split_part(p_name, ' ', 2) AS noun FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) JOIN part ON p_partkey = l_partkey)
         SELECT id, CASE k WHEN 0 THEN noun || '(R)' WHEN 1 THEN noun || ' (L)' WHEN 2 THEN noun || '(R)' WHEN 4 THEN 'upper chest' WHEN 5 THEN 'biceps(L)' ELSE 'knee (R)' END AS value,
             CASE k WHEN 0 THEN noun WHEN 1 THEN 'left ' || noun WHEN 2 THEN 'right ' || noun WHEN 4 THEN 'chest pain' WHEN 5 THEN 'left biceps muscle' ELSE 'aching joints' END AS matched FROM n WHERE k <> 3""",
