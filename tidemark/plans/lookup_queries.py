@@ -138,7 +138,7 @@ def condition_profiles(spark, sf):
     """Profiles of conditions asked for by name, in capitals, within other words, by a part of the name, and by none that is known."""
     parts = table(spark, sf, "part").select("p_partkey", "p_name", "p_type", "p_size")
     kind, name = F.col("p_partkey") % 6, F.col("p_name")
-    asked = F.when(kind == 0, name).when(kind == 1, F.concat(F.lit(" "), F.upper(name), F.lit(" "))).when(kind == 2, F.concat(F.lit("Chronic "), name)).when(kind == 3, F.substring(name, 3, 6)).when(kind == 4, F.concat(F.lit("Z"), F.col("p_partkey").cast("string")))
+    asked = F.when(kind == 0, F.initcap(name)).when(kind == 1, F.concat(F.lit(" "), F.upper(name), F.lit(" "))).when(kind == 2, F.concat(F.lit("Chronic "), name)).when(kind == 3, F.substring(name, 3, 6)).when(kind == 4, F.concat(F.lit("Z"), F.col("p_partkey").cast("string")))
     known = parts.where("p_name < 'p'").groupBy("p_name").agg(F.min("p_partkey").alias("ordinal"), F.min("p_type").alias("category"), F.max("p_size").alias("size"))
     dictionary = known.select(F.initcap("p_name").alias("profile"), "ordinal", "category", F.concat(F.lit("size "), F.col("size").cast("string")).alias("description"), (F.col("size") > 45).alias("emergency"))
     return lookups.condition_profiles(parts.select(asked.alias("name")), dictionary)
@@ -177,8 +177,9 @@ ORACLES = {
         s AS (SELECT *, CASE k WHEN 0 THEN '  ' || upper(p_name) || '!' WHEN 1 THEN '(' || a || ') ' || b WHEN 2 THEN 'TSH - ' || p_name WHEN 3 THEN p_name || ' potassium ratio' WHEN 4 THEN 'Serum Potassium ' || id WHEN 5 THEN 'level of ' || b || ' ' || a WHEN 6 THEN p_name || 's in urine' ELSE 'tshx ' || id END AS name FROM n)
         SELECT DISTINCT name, CASE k WHEN 2 THEN 'Thyroid Stimulating Hormone' WHEN 4 THEN 'Potassium' WHEN 7 THEN NULL ELSE 'of ' || p_name END AS target, CASE k WHEN 2 THEN false WHEN 4 THEN true WHEN 7 THEN NULL ELSE p_name < 'm' END AS canonical,
             ['exact', 'bare', 'acronym', 'contained', 'keyword', 'overlap', 'contained', NULL][k + 1] AS tier, [1.0, 0.98, 0.95, 0.92, 0.90, 0.85, 0.92, NULL][k + 1]::DOUBLE AS confidence FROM s""",
-    "condition_profiles": """WITH p AS (SELECT upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) AS profile, min(p_partkey) AS ordinal, min(p_type) AS category, max(p_size) AS size FROM part WHERE p_name < 'p' GROUP BY p_name),
-        q AS (SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN ' ' || upper(p_name) || ' ' WHEN 2 THEN 'Chronic ' || p_name WHEN 3 THEN substr(p_name, 3, 6) WHEN 4 THEN 'Z' || p_partkey ELSE 'Clinical Condition' END AS name FROM part),
+    "condition_profiles": """WITH c AS (SELECT *, upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) AS cap FROM part),
+        p AS (SELECT min(cap) AS profile, min(p_partkey) AS ordinal, min(p_type) AS category, max(p_size) AS size FROM c WHERE p_name < 'p' GROUP BY p_name),
+        q AS (SELECT DISTINCT CASE p_partkey % 6 WHEN 0 THEN cap WHEN 1 THEN ' ' || upper(p_name) || ' ' WHEN 2 THEN 'Chronic ' || p_name WHEN 3 THEN substr(p_name, 3, 6) WHEN 4 THEN 'Z' || p_partkey ELSE 'Clinical Condition' END AS name FROM c),
         m AS (SELECT name, p.*, CASE WHEN name = profile THEN 0 WHEN lower(trim(name)) = lower(profile) THEN 1 ELSE 2 END AS tier FROM q JOIN p ON contains(lower(trim(name)), lower(profile)) OR contains(lower(profile), lower(trim(name)))),
         b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tier, ordinal) AS i FROM m)
         SELECT q.name, coalesce(profile, q.name) AS profile, coalesce(['exact', 'folded', 'contained'][tier + 1], 'general') AS tier, coalesce(category, 'General Clinical') AS category, coalesce('size ' || size, 'Targeted clinical management and therapeutic protocol for ' || q.name || '.') AS description, coalesce(size > 45, false) AS emergency FROM q LEFT JOIN b ON b.name = q.name AND i = 1""",
