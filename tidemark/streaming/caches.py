@@ -66,6 +66,7 @@ class ExpiringAnswers(StatefulProcessor):
         self.handle = handle
         self.answers = handle.getMapState("answers", "us long", "status string, detail string")
         self.asks = handle.getListState("asks", "ask_id long, us long")
+        self.swept = handle.getValueState("swept", "ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         wake = set()
@@ -87,7 +88,11 @@ class ExpiringAnswers(StatefulProcessor):
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        now = timerValues.getCurrentWatermarkInMs()
+        if self.swept.exists() and self.swept.get()[0] == now:
+            return  # the first timer of a trigger answers all lookups that are due, so a hot key is gone through once
+        self.swept.update((now,))
+        passed = now * 1000
         waiting = [tuple(x) for x in self.asks.get()] if self.asks.exists() else []
         due, rest = [x for x in waiting if x[1] < passed], [x for x in waiting if x[1] >= passed]
         known = sorted((k[0], *v) for k, v in self.answers.iterator()) if due else []
