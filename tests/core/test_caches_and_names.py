@@ -91,6 +91,32 @@ def test_sketches_of_three_batches(spark, tmp_path):
     assert len(list((tmp_path / "counts").glob("batch=*"))) == 3
 
 
+def test_distinct_values_of_three_batches_are_exact(spark, tmp_path):
+    """20,000 values of one key, half of them in two batches: what a sketch of any size only estimates."""
+    hot = spark.range(30_000).selectExpr("'hot' AS k", "id % 20000 AS v", "timestamp_seconds(id) AS ts", "pmod(id, 3) AS part")
+    none = spark.range(6).selectExpr("'none' AS k", "cast(null as long) AS v", "timestamp_seconds(id) AS ts", "pmod(id, 3) AS part")
+    nameless = spark.range(9).selectExpr("cast(null as string) AS k", "id % 2 AS v", "timestamp_seconds(id) AS ts", "pmod(id, 3) AS part")
+    for i in range(3):
+        hot.unionByName(none).unionByName(nameless).where(f"part = {i}").drop("part").coalesce(1).write.mode("append").parquet(f"{tmp_path}/came")
+        stream = spark.readStream.schema("k string, v long, ts timestamp").parquet(f"{tmp_path}/came")
+        events.values_apart(stream, f"{tmp_path}/counts", ("k",), "v")
+    got = {r.k: (r.n, r.n_distinct) for r in events.values_of(spark, f"{tmp_path}/counts", ("k",)).collect()}
+    assert got == {"hot": (30_000, 20_000), "none": (6, 0), None: (9, 2)}
+
+
+def test_distinct_users_of_many_are_those_of_the_sql(spark, tmp_path):
+    """20,000 users a day: estimates differ from the counts."""
+    import duckdb
+
+    from tests.compare import difference
+    from tidemark.plans import catalogue
+
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i) SECOND AS ts, i % 20000 AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '{{}}' AS props FROM range(30000) r(i)) TO '{tmp_path}/events.parquet'""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    assert difference(catalogue.QUERIES["stream_distinct"](spark, str(tmp_path)), con.sql(catalogue.ORACLES["stream_distinct"])) is None
+
+
 ALIASES = [
     ("glucose", "Glucose", True, 1), ("blood sugar", "Glucose", True, 2), ("urea", "Urea Nitrogen", True, 3), ("calcium", "Calcium", True, 4), ("total iron binding capacity", "Serum Iron", False, 5),
     ("sugar", "Sugar", False, 6), ("ldl/hdl ratio", "Ratio", False, 7), ("ph", "pH", False, 8),

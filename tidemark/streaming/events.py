@@ -129,3 +129,40 @@ def apart(spark: SparkSession, path: str, keys: tuple[str, ...]) -> DataFrame:
     """
     rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
     return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct"))
+
+
+def values_apart(stream: DataFrame, path: str, keys: tuple[str, ...], of: str) -> None:
+    """``counted_apart`` without an error: keeps, for each batch, its distinct values of ``of`` in each key and how many rows have them.
+
+    A batch reads nothing of the history, and rows that repeat are summed up before they are kept.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.groupBy(*keys, F.col(of).alias("_value")).agg(F.count("*").alias("_rows")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{path}/_state").trigger(availableNow=True).start().awaitTermination()
+
+
+def values_of(spark: SparkSession, path: str, keys: tuple[str, ...]) -> DataFrame:
+    """``keys, n, n_distinct`` over all batches that ``values_apart`` has taken, exactly; nulls count as rows, not as values.
+
+    Values are united before they are counted, so a hot key is spread over as many tasks as its values ask for.
+    """
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    united = rows.groupBy(*keys, "_value").agg(F.sum("_rows").alias("_rows"))
+    return united.groupBy(*keys).agg(F.sum("_rows").alias("n"), F.count("_value").alias("n_distinct"))
+
+
+def latest(stream: DataFrame, key: str) -> DataFrame:
+    """The last row of each key that a stream in update mode gives on the input at hand.
+
+    A trigger's rows are written in a folder of its own, anew if it is run again.
+    """
+    spark = stream.sparkSession
+    folder = shared_folder(spark)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return current(spark, f"{folder}/out", key)
