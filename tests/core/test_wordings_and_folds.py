@@ -29,3 +29,21 @@ def test_repeated_texts_are_looked_up_once(spark):
     assert sorted(map(tuple, got.select(each.columns).collect())) == sorted(map(tuple, each.collect())) != []
     plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in (got, each)]
     assert "Generate" not in plans[0] and "Generate" in plans[1]
+
+
+def test_names_are_compared_with_a_text_at_once():
+    """Names of up to 16, 32 and 63 letters and beyond, empty and longer than the text, texts over several blocks: as one by one."""
+    import random
+
+    import numpy as np
+
+    from tidemark.functions import text
+
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abcde é") for _ in range(n))
+    labels = ["", "a", "ab cd", "ÉB a", *[some(n) for n in (3, 9, 16, 17, 31, 32, 33, 62, 63, 64, 70)]]
+    bounds = matching.NameBounds(labels, {})
+    every = np.arange(len(labels))
+    for t in ("", "a", "ab", "cd x ab", some(40), some(matching.STRETCHES - 1), some(2 * matching.STRETCHES + 7), "\U0001f600 ab\ud800"):
+        assert bounds.partials(t, every).tolist() == [text.partial(x, t) for x in bounds.names]
+        assert bounds.set_ratios(t, every) == [text.token_set(x, t) for x in bounds.names]
