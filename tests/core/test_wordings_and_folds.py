@@ -47,3 +47,16 @@ def test_names_are_compared_with_a_text_at_once():
     for t in ("", "a", "ab", "cd x ab", some(40), some(matching.STRETCHES - 1), some(2 * matching.STRETCHES + 7), "\U0001f600 ab\ud800"):
         assert bounds.partials(t, every).tolist() == [text.partial(x, t) for x in bounds.names]
         assert bounds.set_ratios(t, every) == [text.token_set(x, t) for x in bounds.names]
+
+
+def test_spans_of_few_aliases_try_few_places_and_move_no_surroundings(spark):
+    """Of places with one word of the alias only the first and nearest is tried; no words travel to be put around others."""
+    near = {"blue": [("blue", 1.0, False)], "blur": [("blue", 0.8, False)], "bolt": [("bolt", 1.0, False)]}
+    words = ["blur"] + ["x"] * 20 + ["blue"] + ["x"] * 20 + ["blue"] + ["x"] * 20 + ["bolt", "y", "blue"]
+    assert matching.said_near(words, near, [("blue bolt", ["blue", "bolt"], ["blue", "bolt"])]) == [("blue bolt", [63, 65, 21])]
+    assert matching.said_near(words[:60], near, [("blue bolt", ["blue", "bolt"], ["blue", "bolt"])]) == []
+    texts = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "a blue bolt")], "id long, text string")
+    aliases = spark.createDataFrame([("blue bolt", "B")], "alias string, code string")
+    found = matching.spans(texts, aliases)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, matching.spans(texts, aliases, few=0).collect())) != []
