@@ -1,6 +1,6 @@
 """Conversations folded without Python, texts that repeat looked up once: known answers, and what the plans hold."""
 
-from tidemark.operators import matching
+from tidemark.operators import cases, matching, questions
 from tidemark.streaming import conversation, events
 
 SAID = "conv long, turn long, code string, negated boolean"
@@ -60,3 +60,20 @@ def test_spans_of_few_aliases_try_few_places_and_move_no_surroundings(spark):
     found = matching.spans(texts, aliases)
     assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(repr, found.collect())) == sorted(map(repr, matching.spans(texts, aliases, few=0).collect())) != []
+
+
+def test_conversations_in_the_same_state_are_ranked_once(spark):
+    """Order and repeats do not tell states apart; polarity and what was asked do. Each has the rows that it has by itself."""
+    codes = "ABCDEF"
+    graph = spark.createDataFrame([(a, b, 20 + i, 0.1 * i + 0.05, 0.4, 0.3, 0.2 + 0.1 * j) for i, a in enumerate(codes) for j, b in enumerate(codes) if a < b], "a string, b string, pair_count long, conditional double, reverse double, jaccard double, association double")
+    ontology = spark.createDataFrame([(c, f"name {c}", f"Do you have {c * 4}?", "B", None, False) for c in codes], "code string, name string, question string, data_type string, values array<string>, antecedent boolean")
+    told = [(1, "A", True), (1, "B", False), (2, "B", False), (2, "A", True), (2, "A", True), (3, "A", True), (3, "B", True), (4, "A", True), (4, "B", False), (5, "C", False), (6, None, True), (6, "A", True), (None, "A", True), (7, "A", True), (7, "B", None)]
+    known = spark.createDataFrame(told, "conv long, code string, positive boolean")
+    asked = spark.createDataFrame([(4, "C"), (8, "A")], "conv long, code string")
+    got = {"next": cases.questions(known, graph, 3), "ranked": questions.ranked(known, graph, ontology, asked, 3)}
+    each = {"next": cases._questions(known, graph, 3, 0.03, 10), "ranked": questions._ranked(known, graph, ontology, asked, 3, 0.03, 10)}
+    for name, rows in got.items():
+        assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, each[name].select(rows.columns).collect())) != []
+    calls = []
+    cases.once_a_state(known, lambda some, done: calls.append((some.select("conv").distinct().count(), done)) or some.select("conv", "code"))
+    assert calls == [(4, None)]  # of seven conversations 1, 2, 4 and 7 are in one state

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.splits import signature
+from tidemark.session import stored
 
 #: Tokens before all codes in a vocabulary.
 SPECIALS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
@@ -132,17 +135,40 @@ def both_ways(graph: DataFrame) -> DataFrame:
     return graph.unionByName(back)
 
 
+def once_a_state(known: DataFrame, rank: Callable[[DataFrame, DataFrame | None], DataFrame], asked: DataFrame | None = None) -> DataFrame:
+    """What ``rank(known, asked)`` says of each ``conv``, made once for all conversations in the same state.
+
+    A state is what is known (``conv, code, positive``) and asked (``conv, code``); ``rank`` gives few rows for each conversation
+    and depends on nothing else. The first conversation of each state stands for it, and its rows are joined back to the others.
+    """
+    said = known.select("conv", "code", F.when(F.col("positive"), 2).otherwise(1).alias("said"))
+    if asked is not None:
+        said = said.unionByName(asked.select("conv", "code", F.lit(0).alias("said")))
+    states = said.where("conv is not null").groupBy("conv").agg(F.sort_array(F.collect_set(F.struct("code", "said"))).alias("_state"))
+    states = stored(states.withColumn("_h", F.xxhash64("_state")))
+    first = stored(states.groupBy("_h", "_state").agg(F.min("conv").alias("_first")))
+    each = first.select(F.col("_first").alias("conv"), F.explode("_state").alias("s")).select("conv", "s.*")
+    out = rank(each.where("said > 0").select("conv", "code", (F.col("said") == 2).alias("positive")), None if asked is None else each.where("said = 0").select("conv", "code"))
+    best = out.groupBy(F.col("conv").alias("_first")).agg(F.collect_list(F.struct(*[c for c in out.columns if c != "conv"])).alias("_best"))
+    return states.join(first.join(best, "_first").drop("_first"), ["_h", "_state"]).select("conv", F.explode("_best").alias("b")).select("conv", "b.*")
+
+
 def questions(known: DataFrame, graph: DataFrame, k: int = 5, least_association: float = 0.03, least_pairs: int = 10) -> DataFrame:
     """Per ``conv``, the ``k`` best codes to ask for next, given ``known`` (``conv, code, positive``).
 
     Neighbours of the positive codes that are not yet known are scored by mean association and conditional, the best
     Jaccard, the share of positive codes that support them and a bonus for each further support, clamped to 0..1.
-    Known codes, positive or negated, are never asked again.
+    Known codes, positive or negated, are never asked again. Conversations in the same state are ranked once; the graph, of
+    the size of the coding system's pairs, is sent to where they are.
     """
+    return once_a_state(known, lambda some, _: _questions(some, graph, k, least_association, least_pairs))
+
+
+def _questions(known: DataFrame, graph: DataFrame, k: int, least_association: float, least_pairs: int) -> DataFrame:
     near = both_ways(graph).where((F.col("association") >= least_association) & (F.col("pair_count") >= least_pairs))
     positive = known.where("positive").select("conv", "code").distinct()
     size = positive.groupBy("conv").agg(F.count("*").alias("_n"))
-    found = positive.join(near, F.col("code") == F.col("a")).groupBy("conv", F.col("b").alias("candidate")).agg(
+    found = positive.join(F.broadcast(near), F.col("code") == F.col("a")).groupBy("conv", F.col("b").alias("candidate")).agg(
         F.count("*").alias("support"), F.avg("association").alias("_as"), F.avg("conditional").alias("_co"), F.max("jaccard").alias("_ja"), F.sum("pair_count").alias("pairs")
     )
     fresh = found.join(known.select("conv", F.col("code").alias("candidate")).distinct(), ["conv", "candidate"], "left_anti").join(size, "conv")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import normalised, tokens
-from tidemark.operators.cases import TIE, both_ways
+from tidemark.operators.cases import TIE, both_ways, once_a_state
 from tidemark.operators.evaluation import rank_within
 
 #: Words without content in questions, and words that tell what a question is about.
@@ -63,14 +63,19 @@ def ranked(known: DataFrame, graph: DataFrame, ontology: DataFrame, asked: DataF
     ``known``: ``conv, code, positive``; ``asked``: ``conv, code``. Neighbours of positive codes that are neither known nor
     asked are scored by nine weighted parts and five penalties, with a bonus for each further support, and less for history
     and risk while questions about symptoms are left. Values of a code are asked for only if the code is known. Positive
-    codes of a conversation are few; their words are compared with those of each candidate.
+    codes of a conversation are few; their words are compared with those of each candidate. Conversations in the same state
+    are ranked once; the graph, of the size of the coding system's pairs, is sent to where they are.
     """
+    return once_a_state(known, lambda some, done: _ranked(some, graph, ontology, done, k, least_association, least_pairs), asked)
+
+
+def _ranked(known: DataFrame, graph: DataFrame, ontology: DataFrame, asked: DataFrame | None, k: int, least_association: float, least_pairs: int) -> DataFrame:
     items = described(ontology).where("trim(coalesce(question, '')) <> ''")
     near = both_ways(graph).where((F.col("association") >= least_association) & (F.col("pair_count") >= least_pairs))
     positive = known.where("positive").select("conv", "code").distinct()
     words = positive.join(F.broadcast(described(ontology)), "code", "left")
     held = words.groupBy("conv").agg(F.count("*").alias("_n"), F.collect_list(F.struct("name_words", "q_words")).alias("_held"))
-    found = positive.join(near, F.col("code") == F.col("a")).groupBy("conv", F.col("b").alias("candidate")).agg(
+    found = positive.join(F.broadcast(near), F.col("code") == F.col("a")).groupBy("conv", F.col("b").alias("candidate")).agg(
         F.count("*").alias("support"), F.avg("association").alias("association"), F.avg("conditional").alias("conditional"), F.avg("jaccard").alias("jaccard"), F.sum("pair_count").alias("pairs")
     )
     done = known.select("conv", F.col("code").alias("candidate"))
