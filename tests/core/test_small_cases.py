@@ -216,3 +216,23 @@ def test_entry_points(spark):
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and entry.entry(spark).columns
+
+
+def test_points_stay_where_they_met_their_values(spark):
+    """The wide rows of ``wide`` and ``long_block``, other columns of the points kept, without a shuffle after the join."""
+    day = lambda n: dt.datetime(1990, 1, 1) + dt.timedelta(n)
+    obs = spark.createDataFrame([(e, day(n), k, float(n % 7 + e), "u") for e in (1, 2) for n in (0, 1, 1, 250, 364, 365, 366, 729, 730, 731) for k in ("A", "B") if (n + e) % 3 or k == "A"], "entity long, ts timestamp_ntz, kind string, value double, unit string")
+    points = spark.createDataFrame([(e, day(n), n % 2) for e in (1, 2, 3) for n in (0, 1, 364, 365, 366, 730, 1095, 1097, 4000)], "entity long, snap_ts timestamp_ntz, label int")
+    plain = features.wide(points, features.long_block(points, obs), ("A", "B"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = features.wide_at(points, obs, ("A", "B"))
+        assert got.columns == plain.columns and sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+        for frame in (got, features.long_block(points, obs)):
+            plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert "SortMergeJoin" in plan and "Exchange" not in plan[: plan.index("SortMergeJoin")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    values = {(r.entity, r.snap_ts): r.n for r in features.long_block(points, obs).groupBy("entity", "snap_ts").agg(F.sum("n_long").alias("n")).collect()}
+    days = obs.select("entity", "ts", "kind").distinct().collect()
+    assert values == {k: n for r in points.collect() if (n := sum(d.entity == r.entity and 0 <= (r.snap_ts - d.ts).days <= 365 for d in days)) for k in [(r.entity, r.snap_ts)]}
