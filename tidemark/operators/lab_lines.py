@@ -85,30 +85,42 @@ def converted(items: DataFrame, units: DataFrame | None = None) -> DataFrame:
 def report_items(lines: DataFrame, names: DataFrame) -> DataFrame:
     """``doc, kind, value, unit, line, confidence``: measurements of whole reports, each kind's first one.
 
-    ``lines`` has ``doc, no, line``; ``names`` (``alias, kind``) is a dimension of names as they are written. A line counts
-    in the first of three layouts whose name is known; a line that is a known name alone takes the value that the next line
-    begins with, at nine tenths of the confidence. A composite pressure gives a systolic and a diastolic value, if plausible.
+    ``lines`` has ``doc, no, line``; ``names`` (``alias, kind``) is a dimension of names as they are written, sent to the
+    lines. A line counts in the first of three layouts whose name is known; a line that is a known name alone takes the value
+    that the next line begins with, at nine tenths of the confidence. A composite pressure gives a systolic and a diastolic
+    value, if plausible, before other values of these kinds. Lines are read once, each is matched with each layout once, and
+    those that are dealt by ``doc`` are not shuffled again.
     """
     from pyspark.sql import Window as W
 
     key = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     number = lambda c: F.regexp_replace(c, r"[,<>\s]", "").try_cast("double")
+    part = lambda pattern, n, c="line": F.regexp_extract(c, pattern, n)
     line = F.regexp_replace(F.trim(F.coalesce("line", F.lit(""))), "[\"']", "")
     after = F.lead("line").over(W.partitionBy("doc").orderBy("no"))  # the lines of one report
-    cleaned = lines.select("doc", "no", line.alias("line"), F.trim(F.coalesce(after, F.lit(""))).alias("after"))
-    part = lambda pattern, n, c="line": F.regexp_extract(c, pattern, n)
-    option = lambda i, name, value, unit, sure: F.struct(F.lit(i).alias("i"), key(name).alias("alias"), value.alias("value"), unit.alias("unit"), F.lit(sure).alias("sure"))
-    options = [option(i, part(p, 1), number(part(p, 2)), part(p, 3), 1.0) for i, p in enumerate(LAYOUTS)] + [option(9, F.col("line"), number(part(VALUE_FIRST, 1, "after")), part(VALUE_FIRST, 2, "after"), 0.9)]
-    each = cleaned.where(F.length("line") >= 3).select("doc", "no", F.explode(F.array(*options)).alias("o")).select("doc", "no", "o.*").where("value is not null and alias <> ''")
-    known = names.select(key(F.col("alias")).alias("alias"), "kind").distinct()
-    met = each.join(known, "alias").groupBy("doc", "no").agg(F.min(F.struct("i", "kind", "value", "unit", "sure")).alias("m")).select("doc", "no", "m.*")
-    named = converted(met.groupBy("doc", "kind").agg(F.min(F.struct("no", "value", "unit", "sure")).alias("m")).select("doc", "kind", "m.*"))
-    pressed = cleaned.select("doc", "no", F.coalesce(*[F.when(part(p, 1) != "", F.array(part(p, 1), part(p, 2))) for p in PRESSURES]).alias("p")).where("p is not null")
-    two = F.array(*[F.struct(F.lit(k).alias("kind"), F.col("p")[i].cast("double").alias("value")) for i, k in enumerate(("systolic", "diastolic"))])
-    two = judged(pressed.select("doc", "no", F.explode(two).alias("x")).select("doc", "no", "x.*")).where("plausible")
-    two = two.groupBy("doc", "kind").agg(F.min(F.struct("no", "value")).alias("m")).select("doc", "kind", "m.value", F.lit("mmHg").alias("unit"), F.col("m.no").alias("no"), F.lit(0.95).alias("sure"))
-    both = named.join(two, ["doc", "kind"], "left_anti").select("doc", "kind", "value", "unit", "no", "sure").unionByName(two)
-    return both.select("doc", "kind", "value", "unit", F.col("no").alias("line"), F.col("sure").alias("confidence"))
+    cleaned = lines.select("doc", "no", line.alias("line"), F.trim(F.coalesce(after, F.lit(""))).alias("after")).where(F.length("line") >= 3)
+    # all groups by one match: none of them holds the mark between them, and a line without a match stays as it is
+    tried = lambda pattern: F.when(F.col("line").rlike("[0-9,]"), F.regexp_replace("line", pattern + "(?s:.*)", "$1\x01$2\x01$3"))
+    pressed = F.coalesce(*[F.when(F.col("line").rlike(p), F.array(part(p, 1), part(p, 2))) for p in PRESSURES])
+    pressed = F.when(F.col("line").rlike(r"\d{2}\s*[/\\-]\s*\d{2}"), pressed)  # all of them hold this
+    read = cleaned.select("doc", "no", "line", "after", pressed.alias("_two"), *[tried(p).alias(f"_{i}") for i, p in enumerate(LAYOUTS)])
+    option = lambda i, name, value, unit, sure, kind=None: F.struct(F.lit(i).alias("i"), name.alias("alias"), F.lit(kind).cast("string").alias("pressed"), value.alias("value"), unit.alias("unit"), F.lit(sure).alias("sure"))
+    options = []
+    for i in range(len(LAYOUTS)):
+        groups = F.split(f"_{i}", "\x01")
+        options.append(F.when(F.col(f"_{i}") != F.col("line"), option(i, key(groups[0]), number(groups[1]), groups[2], 1.0)))
+    begins = F.col("after").rlike(VALUE_FIRST)
+    options.append(F.when(begins, option(9, key(F.col("line")), number(part(VALUE_FIRST, 1, "after")), part(VALUE_FIRST, 2, "after"), 0.9)))
+    for i, kind in enumerate(("systolic", "diastolic")):
+        options.append(F.when(F.col("_two").isNotNull(), option(-1, F.lit(None).cast("string"), F.col("_two")[i].cast("double"), F.lit("mmHg"), 0.95, kind)))
+    # the outer form: with the other one the optimiser matches all lines once more to see which have options
+    each = read.select("doc", "no", F.explode_outer(F.array_compact(F.array(*options))).alias("o")).select("doc", "no", "o.*").where("value is not null and (pressed is not null or alias <> '')")
+    known = names.select(key(F.col("alias")).alias("alias"), F.col("kind").alias("named")).distinct()
+    met = each.join(F.broadcast(known), "alias", "left").where("pressed is not null or named is not null").withColumn("kind", F.coalesce("pressed", "named"))
+    met = judged(met).where("pressed is null or plausible")
+    once = met.groupBy("doc", "no", "pressed").agg(F.min(F.struct("i", "kind", "value", "unit", "sure")).alias("m")).select("doc", "no", "pressed", "m.*")
+    first = once.groupBy("doc", "kind").agg(F.min(F.struct(F.col("pressed").isNull().alias("named"), "no", "value", "unit", "sure")).alias("m")).select("doc", "kind", "m.*")
+    return converted(first).select("doc", "kind", "value", "unit", F.col("no").alias("line"), F.col("sure").alias("confidence"))
 
 
 def judged(items: DataFrame) -> DataFrame:
