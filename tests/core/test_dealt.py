@@ -1,9 +1,13 @@
 """Groups that are dealt by the number of rows: how many tasks and shuffles there are, and results that stay."""
 
+from types import SimpleNamespace
+
+import pandas as pd
 import pytest
 
 from tidemark.operators import lab_lines, locations, matching
 from tidemark.session import dealt
+from tidemark.streaming import caches
 
 
 def test_dealt(spark):
@@ -56,3 +60,62 @@ def test_places_of_wordings(spark, monkeypatch, capsys):
     asked[0].explain()
     plan = capsys.readouterr().out
     assert plan.index("arrays_overlap") < plan.index("HashAggregate")  # the plan is written from its end
+
+
+class Kept:
+    """State of one key in memory, with the timers that are set."""
+
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, State())
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class State:
+    value = None
+
+    def get(self):
+        return self.value if isinstance(self.value, tuple) or self.value is None and self.single else iter(self.value or [])
+
+    single = False
+
+    def update(self, value):
+        self.value = value
+
+    put = update
+
+    def appendList(self, more):
+        self.value = [*(self.value or []), *more]
+
+    def clear(self):
+        self.value = None
+
+
+def test_a_key_has_one_timer():
+    handle, ttl, big = Kept(), 10, 2**60
+    handle.getListState("timer", "").single = True
+    fold = caches.ExpiringAnswers(ttl)
+    fold.init(handle)
+    rows = [(0, 1_000_000 * t, False, "FOUND", d) for t, d in ((5, "a"), (5, "b"), (20, None), (21, "c"))] + [(big + t, 1_000_000 * t, True, None, None) for t in (1, 5, 14, 15, 20, 22, 40)]
+    frame = pd.DataFrame(rows, columns=["ask_id", "us", "asked", "status", "detail"])
+    assert list(fold.handleInputRows(("k",), iter([frame[:3], frame[3:]]), None)) == []
+    assert handle.timers == [1001]
+    told, fired, marks = {}, 0, (500, 6000, 20_500, 100_000)
+    for mark in marks:
+        while due := [t for t in handle.timers if t <= mark]:
+            assert len(due) == 1
+            handle.timers.remove(due[0])
+            fired += 1
+            for out in fold.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda m=mark: m), None):
+                told.update({r.ask_id - big: (r.status, r.detail) for r in out.itertuples()})
+    assert fired == 3 and handle.timers == [] and all(s.value is None for s in handle.states.values())
+    assert told == {1: ("MISS", None), 5: ("FOUND", "b"), 14: ("FOUND", "b"), 15: ("MISS", None), 20: ("FOUND", None), 22: ("FOUND", "c"), 40: ("MISS", None)}

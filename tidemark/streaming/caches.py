@@ -57,59 +57,72 @@ def looked_up(asks: DataFrame, answers: DataFrame, ttl: int, statuses: tuple[str
 
 
 class ExpiringAnswers(StatefulProcessor):
-    """Lookups wait until the watermark has passed them, so that answers may come late; answers go when none can ask for them any more."""
+    """Lookups wait until the watermark has passed them, so that answers may come late; answers go when none can ask for them any more.
+
+    A key has one timer, for what is due first of it. When it expires all that is due is dealt with, so state is read and
+    written a few times for each key and trigger, however many rows it has.
+    """
 
     def __init__(self, ttl: int):
         self.ttl = ttl * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.answers = handle.getMapState("answers", "us long", "status string, detail string")
+        self.answers = handle.getListState("answers", "us long, status string, detail string")
         self.asks = handle.getListState("asks", "ask_id long, us long")
-        self.swept = handle.getValueState("swept", "ms long")
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def _wake(self, asks: list[tuple], answers: list[tuple]) -> int | None:
+        """The first time at which a lookup is due or an answer of no use any more."""
+        first = [min(x[1] for x in asks)] if asks else []
+        first += [min(x[0] for x in answers) + self.ttl] if answers else []
+        return min(first) // 1000 + 1 if first else None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        wake = set()
+        asks, answers = [], []
+        text = lambda x: None if pd.isna(x) else x
         for part in rows:
-            text = lambda x: None if pd.isna(x) else x
-            for r in part[part["ask_id"].isna()].itertuples(index=False):
-                new = (r.status, text(r.detail))
-                if self.answers.containsKey((int(r.us),)):
-                    order = lambda a: (a[0], a[1] is not None, a[1] or "")
-                    new = max(new, tuple(self.answers.getValue((int(r.us),))), key=order)
-                self.answers.updateValue((int(r.us),), new)
-                wake.add((int(r.us) + self.ttl) // 1000 + 1)
-            waiting = part[part["ask_id"].notna()]
-            if len(waiting):
-                self.asks.appendList([(int(a), int(u)) for a, u in zip(waiting["ask_id"], waiting["us"], strict=True)])
-                wake.update(int(u) // 1000 + 1 for u in waiting["us"])
-        for at in wake:
+            for ask, us, asked, status, detail in zip(*[part[c].tolist() for c in ("ask_id", "us", "asked", "status", "detail")], strict=True):
+                if asked:
+                    asks.append((ask, us))
+                else:
+                    answers.append((us, status, text(detail)))
+        if asks:
+            self.asks.appendList(asks)
+        if answers:
+            self.answers.appendList(answers)
+        at, set_for = self._wake(asks, answers), self.timer.get()
+        if at is not None and (set_for is None or at < set_for[0]):
+            if set_for is not None:
+                self.handle.deleteTimer(set_for[0])
             self.handle.registerTimer(at)
+            self.timer.update((at,))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        if self.swept.exists() and self.swept.get()[0] == now:
-            return  # the first timer of a trigger answers all lookups that are due, so a hot key is gone through once
-        self.swept.update((now,))
-        passed = now * 1000
-        waiting = [tuple(x) for x in self.asks.get()] if self.asks.exists() else []
-        due, rest = [x for x in waiting if x[1] < passed], [x for x in waiting if x[1] >= passed]
-        known = sorted((k[0], *v) for k, v in self.answers.iterator()) if due else []
-        if due:
-            out, at = [], 0
-            for ask, us in sorted(due, key=lambda x: x[1]):
-                while at < len(known) and known[at][0] <= us:
-                    at += 1
-                hit = known[at - 1] if at and us - known[at - 1][0] < self.ttl else None
-                out.append((ask, key[0], pd.Timestamp(us, unit="us"), hit[1] if hit else "MISS", hit[2] if hit else None, (us - hit[0]) / 1e6 if hit else None))
-            self.asks.clear()
-            if rest:
-                self.asks.put(rest)
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting, answers = [tuple(x) for x in self.asks.get()], [tuple(x) for x in self.answers.get()]
+        due, rest = sorted((x for x in waiting if x[1] < passed), key=lambda x: x[1]), [x for x in waiting if x[1] >= passed]
+        known = sorted(answers, key=lambda x: (x[0], x[1], x[2] is not None, x[2] or ""))
+        out, at = [], 0
+        for ask, us in due:
+            while at < len(known) and known[at][0] <= us:
+                at += 1
+            hit = known[at - 1] if at and us - known[at - 1][0] < self.ttl else None
+            out.append((ask, key[0], pd.Timestamp(us, unit="us"), hit[1] if hit else "MISS", hit[2] if hit else None, (us - hit[0]) / 1e6 if hit else None))
+        left = [x for x in answers if x[0] + self.ttl > passed]
+        for state, before, now in ((self.asks, waiting, rest), (self.answers, answers, left)):
+            if not now:
+                state.clear()
+            elif len(now) < len(before):
+                state.put(now)
+        if (wake := self._wake(rest, left)) is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(wake)
+            self.timer.update((wake,))
+        if out:
             yield pd.DataFrame(out, columns=["ask_id", "key", "ts", "status", "detail", "age"]).astype({"age": "float64"})
-        for us in [k[0] for k in self.answers.keys()]:
-            if us + self.ttl <= passed:
-                self.answers.removeKey((us,))
 
     def close(self) -> None:
         pass
@@ -121,7 +134,7 @@ def looked_up_stream(asks: DataFrame, answers: DataFrame, ttl: int, statuses: tu
     State of a key are its answers of the last ``ttl`` seconds and the lookups that wait. Rows without a key or a time are
     left out, since no watermark passes them. The session needs ``conversation.STATE_STORE``'s provider.
     """
-    given = _kept(answers, statuses).select("key", "ts", F.lit(None).cast("long").alias("ask_id"), _micros("ts").alias("us"), "status", "detail")
+    given = _kept(answers, statuses).select("key", "ts", F.lit(0).cast("long").alias("ask_id"), _micros("ts").alias("us"), F.lit(False).alias("asked"), "status", "detail")
     none = F.lit(None).cast("string")
-    asked = asks.where("key is not null and ts is not null").select("key", "ts", F.col("ask_id").cast("long").alias("ask_id"), _micros("ts").alias("us"), none.alias("status"), none.alias("detail"))
+    asked = asks.where("key is not null and ts is not null").select("key", "ts", F.col("ask_id").cast("long").alias("ask_id"), _micros("ts").alias("us"), F.lit(True).alias("asked"), none.alias("status"), none.alias("detail"))
     return given.unionByName(asked).groupBy("key").transformWithStateInPandas(ExpiringAnswers(ttl), FOUND, "Append", "EventTime")
