@@ -5,7 +5,7 @@ from types import SimpleNamespace
 import pandas as pd
 import pytest
 
-from tidemark.operators import lab_lines, locations, matching
+from tidemark.operators import lab_lines, locations, matching, ranking
 from tidemark.session import dealt
 from tidemark.streaming import caches
 
@@ -119,3 +119,10 @@ def test_a_key_has_one_timer():
                 told.update({r.ask_id - big: (r.status, r.detail) for r in out.itertuples()})
     assert fired == 3 and handle.timers == [] and all(s.value is None for s in handle.states.values())
     assert told == {1: ("MISS", None), 5: ("FOUND", "b"), 14: ("FOUND", "b"), 15: ("MISS", None), 20: ("FOUND", None), 22: ("FOUND", "c"), 40: ("MISS", None)}
+
+
+def test_quantiles_read_their_input_once(spark, capsys):
+    found = ranking.quantiles(spark.range(1001).selectExpr("id % 2 AS g", "double(id) AS v"), "v", {"m": 0.5}, ("g",))
+    found.explain()
+    assert "Range (" not in capsys.readouterr().out
+    assert sorted(map(tuple, found.collect())) == [(0, 501, 0.0, 1000.0, 500.0), (1, 500, 1.0, 999.0, 500.0)]
