@@ -7,6 +7,7 @@ import pytest
 
 from tidemark.operators import lab_lines, locations, matching, ranking
 from tidemark.session import dealt
+from tidemark.sources import roles
 from tidemark.streaming import caches
 
 
@@ -126,3 +127,11 @@ def test_quantiles_read_their_input_once(spark, capsys):
     found.explain()
     assert "Range (" not in capsys.readouterr().out
     assert sorted(map(tuple, found.collect())) == [(0, 501, 0.0, 1000.0, 500.0), (1, 500, 1.0, 999.0, 500.0)]
+
+
+def test_bags_are_dealt_by_the_number_of_lines(spark, sf, capsys):
+    bags = roles.bags(spark, sf)
+    bags.explain()
+    plan = capsys.readouterr().out
+    assert "REPARTITION_BY_NUM" in plan and "Exchange hashpartitioning(case_id" not in plan and plan.count("Exchange hashpartitioning(l_orderkey") == 1
+    assert bags.count() == bags.select("case_id").distinct().count() > 0
