@@ -135,3 +135,19 @@ def test_bags_are_dealt_by_the_number_of_lines(spark, sf, capsys):
     plan = capsys.readouterr().out
     assert "REPARTITION_BY_NUM" in plan and "Exchange hashpartitioning(case_id" not in plan and plan.count("Exchange hashpartitioning(l_orderkey") == 1
     assert bags.count() == bags.select("case_id").distinct().count() > 0
+
+
+def test_distinct_words(spark, sf):
+    odd = ["I don't; DONT", "it’s ’tis ''", "a.5 b. .7 c..8 x.y 1.2.3", None, "", " . ' ", "im I'M i'm's can'tdo", "naïve Ünder\nnew\tline..", "won't.5 .won't 5.won't"]
+    for texts in (spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "id long, text string"), spark.read.parquet(f"{sf}/documents.parquet").withColumnRenamed("doc_id", "id")):
+        want = {w for r in matching.prepared(texts).select("words").collect() for w in r.words}
+        got = [r.word for r in matching.distinct_words(texts).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_near_words_are_looked_for_in_all_tasks(spark):
+    words = spark.range(3000).selectExpr("concat('word', id) AS word")
+    names = spark.createDataFrame([("words bolt", "B")], "alias string, code string")
+    found = matching.fuzzy(words, names)
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert found.where("word = 'word1'").count() == 1
