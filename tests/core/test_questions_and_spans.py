@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -169,6 +170,39 @@ def test_every_span_of_documents(spark, sf):
     assert held_against_all_windows(spark, texts, aliases, matching.spans(texts, aliases)) > 5
 
 
+def test_spans_where_near_words_are_many(spark, found):
+    """Near words that are dealt to the texts that have them, in place of a broadcast; a text without an id."""
+    texts, aliases = spark.createDataFrame([*SAID, (None, SAID[0][1])], "id long, text string"), spark.createDataFrame(ALIASES, "alias string, code string")
+    sent, dealt = (sorted(map(repr, matching.spans(texts, aliases, few_near=n).collect())) for n in (matching.FEW, 0))
+    assert sent == dealt and set(map(repr, found.collect())) < set(sent)
+
+
+def test_only_places_that_may_be_best_are_tried(monkeypatch):
+    """A word that is everywhere brings no windows of its own where the whole alias is said better, nor of aliases that a text can't hold."""
+    rows = []
+    scored = matching.best_windows
+    monkeypatch.setattr(matching, "best_windows", lambda similar, *rest: rows.append(len(similar)) or scored(similar, *rest))
+    words = [*["pain", "x"] * 500, "sharp", "pain", "tonight", *["pain", "y"] * 500]
+    near = pd.DataFrame([(w, w, 1.0, False) for w in ("pain", "sharp", "tonight")], columns=["word", "alias_word", "similarity", "by_sound"])
+    aliases = [("sharp pain tonight", ["sharp", "pain", "tonight"], ["sharp", "pain", "tonight"]), ("pain nowhere else", ["pain", "nowhere", "else"], ["pain", "nowhere", "else"])]
+    (best,) = matching.TextSpans(near, aliases).best([words])
+    assert best[:5] == (0, 0, 1.08, 1000, 3) and best[-1] == [1000, 1001, 1002] and sum(rows) < 20
+
+
+def test_near_words_by_bits():
+    """Many pairs at once, against one pair at a time: words above 63 letters, other letters, and none at all in common."""
+    rng = random.Random(9)
+    pick = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
+    said = [(w := pick(rng.randint(1, 70)), w[: rng.choice((4, 90))], rng.choice("ST")) for _ in range(300)]
+    known = [(w[: rng.randint(1, 70)], w[:5], rng.choice("ST")) for w, *_ in said[:60]] + [("x" * 70, "x" * 69, "S")]
+    known = list({k[0]: k for k in known}.values())
+    lengths = frozenset(len(x) for k in known for x in k[:2])
+    words = matching.NearWords(known, 0.78)
+    got = [{(x["alias_word"], x["tier"], x["similarity"]) for x in row} for row in words.near(said, lengths)]
+    want = [{(k[0], *n) for k in known if k[0] in matching._found(*w, words.index, 0.78, lengths) and (n := matching.nearness(w, k, 0.78))} for w in said]
+    assert got == want and sum(map(len, got)) > 100 and {x[1] for row in got for x in row} == {"exact", "lemma", "edited", "phonetic"}
+
+
 def test_names_that_read_like_texts(spark):
     """Against all names, and with fewer comparisons than there are pairs."""
     rng = random.Random(3)
