@@ -1,5 +1,7 @@
 """Conversations folded without Python, texts that repeat looked up once: known answers, and what the plans hold."""
 
+from pyspark.sql import functions as F
+
 from tidemark.operators import cases, matching, questions
 from tidemark.streaming import conversation, events
 
@@ -79,6 +81,18 @@ def test_conversations_in_the_same_state_are_ranked_once(spark):
     assert calls == [(4, None)]  # of seven conversations 1, 2, 4 and 7 are in one state
 
 
+def test_candidates_stay_with_their_conversations(spark):
+    """Candidates, many for each state, are grouped, held against what is known and ranked without a shuffle; bags give what their codes do."""
+    codes = "ABCDEF"
+    graph = spark.createDataFrame([(a, b, 20, 0.3, 0.4, 0.3, 0.2 + 0.1 * j) for a in codes for j, b in enumerate(codes) if a < b], "a string, b string, pair_count long, conditional double, reverse double, jaccard double, association double")
+    bags = spark.createDataFrame([(1, ["A", "B"]), (2, ["B", "A"]), (3, ["C"]), (4, []), (5, ["B"]), (None, ["A"])], "case_id long, codes array<string>")
+    known = bags.select(F.col("case_id").alias("conv"), F.explode("codes").alias("code")).withColumn("positive", F.col("code") != "B")
+    plan = cases._questions(known.repartition("conv"), graph, 3, 0.03, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
+    got = cases.questions_of_bags(bags, lambda c: c != "B", graph, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, cases.questions(known, graph, 3).collect())) and {r.conv for r in got.collect()} == {1, 2, 3}
+
+
 def test_known_codes_are_read_from_the_lines(spark, sf):
     """Codes that repeat in an order are counted once without bags being made and taken apart."""
     from tidemark.plans import corpus

@@ -112,12 +112,12 @@ def nodes(cases: DataFrame) -> DataFrame:
 def edges(cases: DataFrame) -> DataFrame:
     """``a, b`` (in order) and how their codes occur together: count, both conditionals, Jaccard, and their geometric mean.
 
-    Pairs are made within a case and counted in each task before the shuffle; a row for each pair of codes is left. The
-    table of codes that it is joined with has a row for each code.
+    Pairs are made within a case and counted in each task before the shuffle, each code with itself as well, so cases are
+    read once; a row for each pair of codes is left.
     """
-    pair = F.filter(F.flatten(F.transform(F.array_distinct("codes"), lambda x: F.transform(F.array_distinct("codes"), lambda y: F.struct(x.alias("a"), y.alias("b"))))), lambda z: z["a"] < z["b"])
-    counted = cases.select(F.explode(pair).alias("z")).groupBy("z.a", "z.b").agg(F.count("*").alias("pair_count"))
-    size = nodes(cases).select("code", "frequency")
+    pair = F.filter(F.flatten(F.transform(F.array_distinct("codes"), lambda x: F.transform(F.array_distinct("codes"), lambda y: F.struct(x.alias("a"), y.alias("b"))))), lambda z: z["a"] <= z["b"])
+    met = stored(cases.select(F.explode(pair).alias("z")).groupBy("z.a", "z.b").agg(F.count("*").alias("pair_count")))  # a code with itself: cases that have it
+    counted, size = met.where("a < b"), met.where("a = b").select(F.col("a").alias("code"), F.col("pair_count").alias("frequency"))
     joined = counted.join(size.select(F.col("code").alias("a"), F.col("frequency").alias("_na")), "a").join(size.select(F.col("code").alias("b"), F.col("frequency").alias("_nb")), "b")
     n = F.col("pair_count")
     return joined.select(
@@ -141,16 +141,29 @@ def once_a_state(known: DataFrame, rank: Callable[[DataFrame, DataFrame | None],
     A state is what is known (``conv, code, positive``) and asked (``conv, code``); ``rank`` gives few rows for each conversation
     and depends on nothing else. The first conversation of each state stands for it, and its rows are joined back to the others.
     """
-    said = known.select("conv", "code", F.when(F.col("positive"), 2).otherwise(1).alias("said"))
+    said = known.select("conv", _said("code", F.when(F.col("positive"), 2).otherwise(1)).alias("said"))
     if asked is not None:
-        said = said.unionByName(asked.select("conv", "code", F.lit(0).alias("said")))
-    states = said.where("conv is not null").groupBy("conv").agg(F.sort_array(F.collect_set(F.struct("code", "said"))).alias("_state"))
-    states = stored(states.withColumn("_h", F.xxhash64("_state")))
-    first = stored(states.groupBy("_h", "_state").agg(F.min("conv").alias("_first")))
-    each = first.select(F.col("_first").alias("conv"), F.explode("_state").alias("s")).select("conv", "s.*")
-    out = rank(each.where("said > 0").select("conv", "code", (F.col("said") == 2).alias("positive")), None if asked is None else each.where("said = 0").select("conv", "code"))
-    best = out.groupBy(F.col("conv").alias("_first")).agg(F.collect_list(F.struct(*[c for c in out.columns if c != "conv"])).alias("_best"))
-    return states.join(first.join(best, "_first").drop("_first"), ["_h", "_state"]).select("conv", F.explode("_best").alias("b")).select("conv", "b.*")
+        said = said.unionByName(asked.select("conv", _said("code", F.lit(0)).alias("said")))
+    states = said.where("conv is not null").groupBy("conv").agg(F.sort_array(F.collect_set("said")).alias("state"))
+    return _once(stored(states), rank, asked is not None)
+
+
+def _said(code: Column | str, how: Column) -> Column:
+    """An entry of a state: how a code was said (2 positive, 1 not, 0 asked), and the code unless it is null."""
+    return F.concat(how.cast("string"), F.coalesce(F.concat(F.lit("="), code), F.lit("")))
+
+
+def _once(states: DataFrame, rank: Callable[[DataFrame, DataFrame | None], DataFrame], asks: bool) -> DataFrame:
+    """``once_a_state`` of ``conv, state``, read twice; conversations travel with 128 bits of their state, not with all of it."""
+    key = F.unhex(F.md5(F.to_json("state")))
+    first = stored(states.groupBy(key.alias("_k"), "state").agg(F.min("conv").alias("conv")))
+    # a state's entries stay in one task from here on, so what is grouped by conversation needs no other shuffle
+    each = first.select("conv", "state").repartition("conv").select("conv", F.explode("state").alias("s"))
+    each = each.select("conv", F.substring("s", 1, 1).cast("int").alias("said"), F.when(F.length("s") > 1, F.expr("substring(s, 3)")).alias("code"))
+    out = rank(each.where("said > 0").select("conv", "code", (F.col("said") == 2).alias("positive")), each.where("said = 0").select("conv", "code") if asks else None)
+    best = out.groupBy("conv").agg(F.collect_list(F.struct(*[c for c in out.columns if c != "conv"])).alias("_best"))
+    best = first.select("conv", "_k").join(best, "conv").select("_k", "_best")
+    return states.select("conv", key.alias("_k")).join(best, "_k").select("conv", F.explode("_best").alias("b")).select("conv", "b.*")
 
 
 def questions(known: DataFrame, graph: DataFrame, k: int = 5, least_association: float = 0.03, least_pairs: int = 10) -> DataFrame:
@@ -164,14 +177,21 @@ def questions(known: DataFrame, graph: DataFrame, k: int = 5, least_association:
     return once_a_state(known, lambda some, _: _questions(some, graph, k, least_association, least_pairs))
 
 
+def questions_of_bags(bags: DataFrame, positive: Callable[[Column], Column], graph: DataFrame, k: int = 5, least_association: float = 0.03, least_pairs: int = 10) -> DataFrame:
+    """``questions`` of cases (``case_id, codes``, distinct codes; written, as they are read twice) as conversations: a code is known to hold if ``positive``."""
+    entries = F.sort_array(F.transform("codes", lambda c: _said(c, F.when(positive(c), 2).otherwise(1))))
+    states = bags.where("case_id is not null and size(codes) > 0").select(F.col("case_id").alias("conv"), entries.alias("state"))
+    return _once(states, lambda some, _: _questions(some, graph, k, least_association, least_pairs), False)
+
+
 def _questions(known: DataFrame, graph: DataFrame, k: int, least_association: float, least_pairs: int) -> DataFrame:
     near = both_ways(graph).where((F.col("association") >= least_association) & (F.col("pair_count") >= least_pairs))
-    positive = known.where("positive").select("conv", "code").distinct()
-    size = positive.groupBy("conv").agg(F.count("*").alias("_n"))
-    found = positive.join(F.broadcast(near), F.col("code") == F.col("a")).groupBy("conv", F.col("b").alias("candidate")).agg(
-        F.count("*").alias("support"), F.avg("association").alias("_as"), F.avg("conditional").alias("_co"), F.max("jaccard").alias("_ja"), F.sum("pair_count").alias("pairs")
+    # one row for each conversation with all its codes: candidates are held against them in place, not by a join
+    held = known.where("conv is not null").groupBy("conv").agg(F.collect_set("code").alias("_known"), F.collect_set(F.when(F.col("positive"), F.struct("code"))).alias("_positive"))
+    met = held.select("conv", "_known", F.size("_positive").alias("_n"), F.explode("_positive.code").alias("code")).join(F.broadcast(near), F.col("code") == F.col("a"))
+    fresh = met.where(~F.array_contains("_known", F.col("b"))).groupBy("conv", F.col("b").alias("candidate")).agg(
+        F.count("*").alias("support"), F.avg("association").alias("_as"), F.avg("conditional").alias("_co"), F.max("jaccard").alias("_ja"), F.sum("pair_count").alias("pairs"), F.first("_n").alias("_n")
     )
-    fresh = found.join(known.select("conv", F.col("code").alias("candidate")).distinct(), ["conv", "candidate"], "left_anti").join(size, "conv")
     raw = 0.40 * F.col("_as") + 0.25 * F.col("_co") + 0.15 * F.col("_ja") + 0.20 * F.sqrt(F.col("support") / F.col("_n")) + F.least(F.lit(0.10), 0.04 * (F.col("support") - 1))
     scored = fresh.select("conv", "candidate", "support", "pairs", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)) + TIE, 5).alias("score"))
     from tidemark.operators.evaluation import rank_within
