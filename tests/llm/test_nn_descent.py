@@ -101,3 +101,32 @@ def test_repeated_ids_and_rows(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 0)]
     got = sorted(tuple(r) for r in nn_descent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
+
+
+def test_rounds_in_half_precision_lose_no_link():
+    """Cosines within ``MARGIN``, also of very long vectors and very unequal components; offers are the best others above what is known."""
+    rng = np.random.default_rng(4)
+    for size in (2, 64, 4096):
+        x = nn_descent.unit(list(rng.standard_normal((40, size)) * 10.0 ** rng.integers(-9, 9, (40, 1)) * np.where(rng.random((40, size)) < 0.1, 30, 1)))
+        x = nn_descent.unit(list(np.concatenate([x, x + rng.standard_normal(x.shape) * 0.2 / size**0.5])))
+        half = x.astype("<f2")
+        ids, starts = np.arange(len(x)) * 10, np.asarray([0, len(x)])
+        a, b, similar = nn_descent.met_around(ids, starts, [half], np.full(len(x), -2.0), 5)
+        true = x @ x.T
+        assert np.abs(similar - true[a // 10, b // 10]).max() < nn_descent.MARGIN and len(a) == 5 * len(x)
+        np.fill_diagonal(true, -2)
+        assert (true.max(axis=1) - np.asarray([similar[a == i].max() for i in ids]) < nn_descent.MARGIN).all()
+        better = nn_descent.met_around(ids, starts, [half], np.full(len(x), 0.9), 5)
+        assert sorted(zip(*better, strict=True)) == sorted(z for z in zip(a, b, similar, strict=True) if z[2] > 0.9)
+
+
+def test_vectors_travel_packed(spark, vectors):
+    """A round carries bytes of two for each component, and what is offered is shuffled once for the group and its best."""
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label long")
+    points = nn_descent.usable(frame, "vec_id", "embedding", "label").dropDuplicates(["_id"])
+    graph = spark.createDataFrame([(0, 1, 0.5)], "_id long, _other long, _sim double")
+    plan = nn_descent.refine(nn_descent.halved(points), graph, 4)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert above.count("Exchange hashpartitioning(") == 1
+    packed = {r._id: r._b for r in nn_descent.halved(points).collect()}
+    assert {r._id: 2 * len(r._v) for r in points.collect()} == {i: len(b) for i, b in packed.items()}

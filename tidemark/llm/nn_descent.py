@@ -2,7 +2,9 @@
 
 Vectors are compared only within their label. The graph starts from neighbours along random projections. Each round, every
 vector gathers itself, its neighbours and those that have it as a neighbour, compares them with each other in one local
-matrix product, and offers each the best of the others; the best ``k`` offers stay. Vectors whose whole list links are
+matrix product, and offers each the best of the others; the best ``k`` offers stay. Rounds work on unit vectors in half
+precision, whose cosines are off by less than ``MARGIN``; what comes that near to the threshold is held against it in double
+precision. Vectors whose whole list links are
 saturated: all of their connected group are compared with their whole label, in tiles of bounded size. What reaches the
 threshold is an edge. Equal vectors take part as one, with a weight.
 """
@@ -13,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +26,10 @@ from tidemark.llm.common import components, durable, join_spread
 TILE = 2048
 #: Share of new links at which rounds end, and rounds at most.
 SETTLED, ROUNDS = 0.001, 12
+#: More than two unit vectors' cosine is off by when both are rounded to half precision (at most 2 ** -10 and a little more).
+MARGIN = 0.002
+#: Vectors whose surroundings are compared at once.
+CENTERS = 512
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -78,37 +85,89 @@ def initial_graph(points: DataFrame, k: int, lines: int, seed: int) -> DataFrame
     return ordered.mapInPandas(pair, "_id long, _other long").where("_id <> _other").distinct()
 
 
-def refine(points: DataFrame, graph: DataFrame, k: int) -> DataFrame:
-    """One round: ``_id, _other, _sim`` of the best ``k`` neighbours of each vector among those met around any vector."""
-    both = graph.select("_id", "_other").unionByName(graph.select(F.col("_other").alias("_id"), F.col("_id").alias("_other"))).distinct()
+def halved(points: DataFrame) -> DataFrame:
+    """``_id, _b``: unit vectors in half precision, as bytes."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"_id": batch["_id"], "_b": [unit([v])[0].astype("<f2").tobytes() for v in batch["_v"]]})
+
+    return points.select("_id", "_v").mapInPandas(pack, "_id long, _b binary")
+
+
+def met_around(ids: np.ndarray, starts: np.ndarray, vectors: list[np.ndarray], worst: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``id, other, similarity``: for each vector of a group its ``k`` best others there, as far as they are better than its ``worst``.
+
+    Group ``i`` is ``ids[starts[i]:starts[i + 1]]``, its vectors (in half precision) are ``vectors[i]``. Groups of equal size and dimension are compared together.
+    """
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for i, x in enumerate(vectors):
+        if len(x) > 1:
+            kinds.setdefault(x.shape, []).append(i)
+    found = [(ids[:0], ids[:0], worst[:0])]
+    for (n, _), groups in kinds.items():
+        for low in range(0, len(groups), CENTERS):
+            some = groups[low : low + CENTERS]
+            x = np.stack([vectors[i] for i in some]).astype(np.float32)
+            at = starts[some][:, None] + np.arange(n)
+            similar = x @ x.transpose(0, 2, 1)
+            similar[:, np.arange(n), np.arange(n)] = -2
+            take = min(k, n - 1)
+            best = np.argpartition(-similar, take - 1, axis=2)[:, :, :take]
+            values = np.take_along_axis(similar, best, axis=2).astype(np.float64)
+            group, row, column = np.nonzero(values > worst[at][:, :, None])
+            found.append((ids[at[group, row]], ids[at[group, best[group, row, column]]], values[group, row, column]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def refine(packed: DataFrame, graph: DataFrame, k: int) -> DataFrame:
+    """One round: ``_id, _other, _sim`` of the best ``k`` neighbours of each vector among those of ``graph`` and those met around any vector.
+
+    ``packed`` are ``halved`` vectors. Once ``graph`` has similarities, only what is better than a vector's worst neighbour is offered.
+    """
+    both = graph.select("_id", "_other").unionByName(graph.select(F.col("_other").alias("_id"), F.col("_id").alias("_other"))).repartition("_id").distinct()
     # those around a vector: by a hash of the pair at most 2k reach it, for this round
     around = both.withColumn("_n", F.row_number().over(W.partitionBy("_id").orderBy(F.xxhash64("_id", "_other")))).where(F.col("_n") <= 2 * k).select(F.col("_id").alias("_center"), F.col("_other").alias("_id"))
-    around = around.unionByName(points.select(F.col("_id").alias("_center"), "_id"))
-    gathered = around.join(points.select("_id", "_v"), "_id").groupBy("_center").agg(F.collect_list(F.struct("_id", "_v")).alias("_met"))
+    around = around.unionByName(packed.select(F.col("_id").alias("_center"), "_id"))
+    known = "_sim" in graph.columns
+    worst = F.when(F.count("*") >= k, F.min("_sim")).otherwise(-2.0).alias("_worst")
+    own = packed.join(graph.groupBy("_id").agg(worst), "_id", "left") if known else packed.withColumn("_worst", F.lit(-2.0))
+    gathered = around.join(own.withColumn("_worst", F.coalesce("_worst", F.lit(-2.0))), "_id").groupBy("_center").agg(F.collect_list(F.struct("_id", "_b", "_worst")).alias("_met"))
 
-    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, s = [], [], []
-            for met in batch["_met"]:
-                ids, x = np.asarray([m["_id"] for m in met]), unit([m["_v"] for m in met])
-                if len(ids) < 2:
-                    continue
-                sim = x @ x.T
-                np.fill_diagonal(sim, -2)
-                take = min(k, len(ids) - 1)
-                best = np.argpartition(-sim, take - 1, axis=1)[:, :take]
-                a.append(np.repeat(ids, take))
-                b.append(ids[best].ravel())
-                s.append(np.take_along_axis(sim, best, axis=1).ravel())
-            if a:
-                frame = pd.DataFrame({"_id": np.concatenate(a), "_other": np.concatenate(b), "_sim": np.concatenate(s)})
-                yield frame.drop_duplicates(["_id", "_other"])
-
-    offers = gathered.mapInPandas(meet, "_id long, _other long, _sim double").groupBy("_id", "_other").agg(F.max("_sim").alias("_sim"))
+            met = batch.column("_met")
+            inner, starts = met.flatten(), np.asarray(met.offsets, dtype=np.int64) - met.offsets[0].as_py()
+            ids, held, worst = np.asarray(inner.field("_id")), inner.field("_b"), np.asarray(inner.field("_worst"))
+            ends = np.frombuffer(held.buffers()[1], dtype=np.int32)[held.offset : held.offset + len(held) + 1]
+            numbers = np.frombuffer(held.buffers()[2], dtype="<f2")
+            vectors = [numbers[ends[a] // 2 : ends[b] // 2].reshape(b - a, -1) for a, b in zip(starts.tolist(), starts[1:].tolist(), strict=False)]
+            a, b, similar = met_around(ids, starts, vectors, worst, k)
+            # a pair that is met around several vectors is offered once
+            order = np.lexsort((-similar, b, a))
+            first = order[np.flatnonzero(np.diff(a[order], prepend=-1) | np.diff(b[order], prepend=-1))] if len(order) else order
+            yield pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(similar[first])], names=["_id", "_other", "_sim"])
+
+    offers = gathered.select("_met").mapInArrow(meet, "_id long, _other long, _sim double")
+    if known:
+        offers = offers.unionByName(graph.select("_id", "_other", "_sim"))
+    offers = offers.repartition("_id").groupBy("_id", "_other").agg(F.max("_sim").alias("_sim"))  # once for the group and the window
     rank = W.partitionBy("_id").orderBy(F.desc("_sim"), "_other")
     return offers.withColumn("_n", F.row_number().over(rank)).where(F.col("_n") <= k).select("_id", "_other", "_sim")
 
 
+def verified(points: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Of ``a, b`` those whose vectors have a cosine of at least ``threshold`` in double precision."""
+    side = lambda n: points.select(F.col("_id").alias(n), F.col("_v").alias(f"_{n}"))
+
+    def hold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            kept = [np.dot(unit([x])[0], unit([y])[0]) >= threshold for x, y in zip(batch["_a"], batch["_b"], strict=True)]
+            yield batch.loc[np.asarray(kept, dtype=bool), ["a", "b"]]
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(hold, "a long, b long")
+
+
 def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of a symmetric matrix of links those ``i, j`` that make a spanning forest."""
     left, a, b = np.ones(len(linked), bool), [], []
@@ -168,21 +227,22 @@ def tiles(points: DataFrame, asked: DataFrame, threshold: float) -> DataFrame:
 
 
 def neighbour_links(points: DataFrame, threshold: float, k: int = 16, rounds: int = ROUNDS, lines: int = 4, seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """Edges ``a, b`` at the threshold found by NN-descent, and ``_id`` of the vectors whose lists are saturated.
+    """Edges ``a, b`` at the threshold found by NN-descent, and ``_id`` of the vectors whose lists are saturated: full of what is that near, or nearly.
 
     Rounds go on until one adds less than ``SETTLED`` of the links at the threshold.
     """
-    graph = durable(initial_graph(points, k, lines, seed))
-    before = None
+    graph, packed = durable(initial_graph(points, k, lines, seed)), durable(halved(points))
+    before, close = None, threshold - MARGIN
     for _ in range(rounds):
-        graph = durable(refine(points, graph, k))
-        now = graph.where(F.col("_sim") >= threshold).count()
+        graph = durable(refine(packed, graph, k))
+        now = graph.where(F.col("_sim") >= close).count()
         if before is not None and now - before <= SETTLED * now:
             break
         before = now
-    linked = graph.where(F.col("_sim") >= threshold) if "_sim" in graph.columns else graph.where("false")
+    linked = graph.where(F.col("_sim") >= close) if "_sim" in graph.columns else graph.where("false")
     saturated = linked.groupBy("_id").count().where(F.col("count") >= k).select("_id")
-    return linked.select(F.col("_id").alias("a"), F.col("_other").alias("b")), saturated
+    pairs = durable(linked.select(F.least("_id", "_other").alias("a"), F.greatest("_id", "_other").alias("b")).distinct())
+    return verified(points, pairs, threshold), saturated
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, k: int = 16, rounds: int = ROUNDS) -> DataFrame:
@@ -204,7 +264,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     groups = durable(components(edges))
     full = groups.join(saturated, groups["node"] == saturated["_id"], "left_semi").select("component").distinct()
     # lists that aren't saturated hold all links found; groups with saturated ones are held against their whole label
-    asked = durable(groups.join(full, "component", "left_semi").select(F.col("node").alias("_id")))
+    asked = durable(groups.join(full, "component", "left_semi").select(F.col("node").alias("_id")).unionByName(saturated).distinct())
     met = durable(tiles(same, asked, threshold))
     groups = durable(components(edges.unionByName(met.where("_other is not null").select(F.col("_id").alias("a"), F.col("_other").alias("b")))))
     pairs = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
